@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.grid import coarse_size
 from .skew import attach_by_key
 from .tiles import DEFAULT_TILE, Window, column_array, double_field, int_field, map_tiles, with_halo, with_keys
+from .warp import coarse_nodes, replicate_sample, resize_positions
 
 # Outlier, declustering and interpolation defaults.
 OUTLIER_STD = 3.0
@@ -259,37 +260,54 @@ def grid_tiles(grids: DataFrame, tile: int, height: Column, width: Column) -> Da
     return tiles.repartition(parts)
 
 
-def idw_grid(grids: DataFrame, vectors: DataFrame, keys: Sequence[str], step: int = 1, tile: int = DEFAULT_TILE) -> DataFrame:
-    """Velocity at every ``step``-th cell, by inverse distance to the nearest vectors.
+def idw_grid(
+    grids: DataFrame, vectors: DataFrame, keys: Sequence[str], step: int = 1, upscale: bool = False, tile: int = DEFAULT_TILE
+) -> DataFrame:
+    """Velocity by inverse distance to the nearest vectors, at every ``step``-th cell.
 
     ``grids`` has one row per frame set with ``height`` and ``width``.  Tiles
     meet their frame's packed vectors by key and are filled task-locally, so no
-    cell is shuffled.  Frame sets without vectors get zero motion.  Output
-    ``row, col`` count coarse cells; cell (i, j) sits at (i * step, j * step).
+    cell is shuffled.  Frame sets without vectors get zero motion.  Coarse node
+    (i, j) sits at (i * step, j * step).  The result holds the coarse nodes, or
+    with ``upscale`` every full cell, resized from the nodes its tile needs.
     """
     names = list(keys)
     coarse_h, coarse_w = coarse_size(F.col("height"), F.lit(step)), coarse_size(F.col("width"), F.lit(step))
-    sized = grids.select(*names, coarse_h.alias("coarse_h"), coarse_w.alias("coarse_w"))
-    tiles = grid_tiles(sized, tile, F.col("coarse_h"), F.col("coarse_w")).join(pack_vectors(vectors, names), names, "left")
+    sized = grids.select(*names, "height", "width", coarse_h.alias("coarse_h"), coarse_w.alias("coarse_w"))
+    edge = ("height", "width") if upscale else ("coarse_h", "coarse_w")
+    tiles = grid_tiles(sized, tile, F.col(edge[0]), F.col(edge[1])).join(pack_vectors(vectors, names), names, "left")
     schema = T.StructType([*(sized.schema[key] for key in names), int_field("row"), int_field("col"), double_field("u"), double_field("v")])
     arrow = to_arrow_schema(schema)
 
+    def nodes(rows: np.ndarray, cols: np.ndarray, packed: list | None) -> np.ndarray:
+        r, c = (part.ravel() for part in np.meshgrid(rows, cols, indexing="ij"))
+        if not packed:
+            return np.zeros((len(rows), len(cols), 2))
+        points = np.array([(p["x"], p["y"], p["u"], p["v"]) for p in packed])
+        uv = idw_values(c * float(step), r * float(step), points[:, 0], points[:, 1], points[:, 2:], float(step))
+        return uv.reshape(len(rows), len(cols), 2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                line = batch.slice(i, 1)
-                top, left = line["tile_r"][0].as_py() * tile, line["tile_c"][0].as_py() * tile
-                h, w = line["coarse_h"][0].as_py(), line["coarse_w"][0].as_py()
+                line = {name: batch.column(name)[i] for name in batch.schema.names}
+                packed = line["vectors"].as_py()
+                top, left = line["tile_r"].as_py() * tile, line["tile_c"].as_py() * tile
+                h, w = line[edge[0]].as_py(), line[edge[1]].as_py()
                 rows, cols = np.arange(top, min(top + tile, h)), np.arange(left, min(left + tile, w))
+                if upscale:
+                    ch, cw = line["coarse_h"].as_py(), line["coarse_w"].as_py()
+                    r0, r1 = coarse_nodes(rows[0], rows[-1], h, ch)
+                    c0, c1 = coarse_nodes(cols[0], cols[-1], w, cw)
+                    coarse = nodes(np.arange(r0, r1 + 1), np.arange(c0, c1 + 1), packed)
+                    y, x = np.meshgrid(resize_positions(rows, ch, h), resize_positions(cols, cw, w), indexing="ij")
+                    u, v = (replicate_sample(coarse[:, :, part], y, x, ch, cw, r0, c0) for part in (0, 1))
+                else:
+                    uv = nodes(rows, cols, packed)
+                    u, v = uv[:, :, 0], uv[:, :, 1]
                 r, c = (part.ravel() for part in np.meshgrid(rows, cols, indexing="ij"))
-                packed = line["vectors"][0].as_py()
-                uv = np.zeros((len(r), 2))
-                if packed:
-                    points = np.array([(p["x"], p["y"], p["u"], p["v"]) for p in packed])
-                    uv = idw_values(c * float(step), r * float(step), points[:, 0], points[:, 1], points[:, 2:], float(step))
-                keyed = [line[name][0] for name in names]
-                table = with_keys(arrow, names, keyed, {"row": r, "col": c, "u": uv[:, 0], "v": uv[:, 1]})
-                yield from table.to_batches()
+                keyed = [line[name] for name in names]
+                yield from with_keys(arrow, names, keyed, {"row": r, "col": c, "u": u.ravel(), "v": v.ravel()}).to_batches()
 
     return tiles.mapInArrow(run, schema)
 

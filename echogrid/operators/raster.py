@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grid
 from ..functions import values as V
-from ..functions.projection import WEB_MERCATOR, Crs, forward, inverse, transform
+from ..functions.projection import WEB_MERCATOR, Crs, forward, inverse, project
 from .cells import max_cells, target_cells
 from .skew import broadcast_if_small
 
@@ -32,8 +32,8 @@ def perimeter_bbox(frames: DataFrame, keys: Sequence[str], source: Crs, target:
         .withColumn("_x", F.when(F.col("_edge") == "west", F.col("x_min")).when(F.col("_edge") == "east", x_max).otherwise(along_x))
         .withColumn("_y", F.when(F.col("_edge") == "south", y_min).when(F.col("_edge") == "north", F.col("y_max")).otherwise(along_y))
     )
-    mx, my = transform(F.col("_x"), F.col("_y"), source, target)
-    return points.select(*keys, mx.alias("_mx"), my.alias("_my")).groupBy(*keys).agg(
+    placed = project(points, F.col("_x"), F.col("_y"), source, target, ("_mx", "_my"))
+    return placed.groupBy(*keys).agg(
         F.min("_mx").alias("x_low"), F.min("_my").alias("y_low"), F.max("_mx").alias("x_high"), F.max("_my").alias("y_high")
     )
 
@@ -50,13 +50,12 @@ def finest_cell(frames: DataFrame, keys: Sequence[str], source: Crs, target: Crs
     x = grid.column_centre(F.col("_c"), F.col("x_min"), F.col("px"))
     y = grid.row_centre(F.col("_r"), F.col("y_max"), F.col("py"))
     points = points.withColumns({"_x": x, "_y": y})
-    mx, my = transform(F.col("_x"), F.col("_y"), source, target)
-    ex, ey = transform(F.col("_x") + F.col("px"), F.col("_y"), source, target)
-    sx, sy = transform(F.col("_x"), F.col("_y") - F.col("py"), source, target)
-    edges = points.select(
-        *keys, F.least(F.hypot(ex - mx, ey - my), F.hypot(sx - mx, sy - my)).alias("_edge")
-    )
-    return edges.groupBy(*keys).agg(F.min("_edge").alias("resolution"))
+    placed = project(points, F.col("_x"), F.col("_y"), source, target, ("_mx", "_my"))
+    placed = project(placed, F.col("_x") + F.col("px"), F.col("_y"), source, target, ("_ex", "_ey"))
+    placed = project(placed, F.col("_x"), F.col("_y") - F.col("py"), source, target, ("_sx", "_sy"))
+    east = F.hypot(F.col("_ex") - F.col("_mx"), F.col("_ey") - F.col("_my"))
+    south = F.hypot(F.col("_sx") - F.col("_mx"), F.col("_sy") - F.col("_my"))
+    return placed.groupBy(*keys).agg(F.min(F.least(east, south)).alias("resolution"))
 
 
 def target_grid(extents: DataFrame) -> DataFrame:
@@ -84,18 +83,20 @@ def union_extent(extents: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def bounds_extent(products: DataFrame, target: Crs = WEB_MERCATOR) -> DataFrame:
     """Requested lon/lat bounds of products as a projected extent."""
-    x1, y1 = forward(F.col("west"), F.col("south"), target)
-    x2, y2 = forward(F.col("east"), F.col("north"), target)
-    return products.withColumns(
-        {"x_low": F.least(x1, x2), "y_low": F.least(y1, y2), "x_high": F.greatest(x1, x2), "y_high": F.greatest(y1, y2)}
-    )
+    placed = forward(products, F.col("west"), F.col("south"), target, ("_x1", "_y1"))
+    placed = forward(placed, F.col("east"), F.col("north"), target, ("_x2", "_y2"))
+    return placed.withColumns(
+        {
+            "x_low": F.least("_x1", "_x2"), "y_low": F.least("_y1", "_y2"),
+            "x_high": F.greatest("_x1", "_x2"), "y_high": F.greatest("_y1", "_y2"),
+        }
+    ).drop("_x1", "_y1", "_x2", "_y2")
 
 
 def lonlat_bounds(grids: DataFrame, crs: Crs = WEB_MERCATOR) -> DataFrame:
     """Adds ``west, south, east, north`` in degrees for grids given in ``crs``."""
-    west, south = inverse(F.col("x_min"), F.col("y_max") - F.col("height") * F.col("py"), crs)
-    east, north = inverse(F.col("x_min") + F.col("width") * F.col("px"), F.col("y_max"), crs)
-    return grids.withColumns({"west": west, "south": south, "east": east, "north": north})
+    low = inverse(grids, F.col("x_min"), F.col("y_max") - F.col("height") * F.col("py"), crs, ("west", "south"))
+    return inverse(low, F.col("x_min") + F.col("width") * F.col("px"), F.col("y_max"), crs, ("east", "north"))
 
 
 def sampling_index(
@@ -122,11 +123,11 @@ def sampling_index(
     )
     parts = []
     for input_id, crs in source_crs.items():
-        sx, sy = transform(F.col("_tx"), F.col("_ty"), target_crs, crs)
+        served = cells.join(F.broadcast(geo.where(F.col("input_id") == input_id)), list(keys))
+        placed = project(served, F.col("_tx"), F.col("_ty"), target_crs, crs, ("_sx", "_sy"))
         parts.append(
-            cells.join(F.broadcast(geo.where(F.col("input_id") == input_id)), list(keys))
-            .withColumn("_col", grid.nearest_column(sx, F.col("_sx0"), F.col("_spx")))
-            .withColumn("_row", grid.nearest_row(sy, F.col("_sy0"), F.col("_spy")))
+            placed.withColumn("_col", grid.nearest_column(F.col("_sx"), F.col("_sx0"), F.col("_spx")))
+            .withColumn("_row", grid.nearest_row(F.col("_sy"), F.col("_sy0"), F.col("_spy")))
         )
     merged = parts[0]
     for part in parts[1:]:

@@ -99,7 +99,7 @@ def sample_bilinear(
     return joined.groupBy(*[c for c in points.columns if c not in ("sx", "sy")]).agg(*sums)
 
 
-def _bilinear_replicate(array: np.ndarray, y: np.ndarray, x: np.ndarray, height: int, width: int, top: int, left: int) -> np.ndarray:
+def replicate_sample(array: np.ndarray, y: np.ndarray, x: np.ndarray, height: int, width: int, top: int, left: int) -> np.ndarray:
     """Sample a region array at whole-grid positions clamped to the grid."""
     y, x = np.clip(y, 0, height - 1), np.clip(x, 0, width - 1)
     y0, x0 = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
@@ -147,14 +147,14 @@ def trajectories(vel_u, vel_v, rows, cols, steps, sample):
         yield dx.copy(), dy.copy()
 
 
-def _coarse_nodes(first: int, last: int, size: int, coarse: int) -> tuple[int, int]:
+def coarse_nodes(first: int, last: int, size: int, coarse: int) -> tuple[int, int]:
     """Coarse nodes tapped when resizing to full cells ``first..last``."""
     low = np.floor((first + 0.5) * coarse / size - 0.5)
     high = np.floor((last + 0.5) * coarse / size - 0.5) + 1
     return int(np.clip(low, 0, coarse - 1)), int(np.clip(high, 0, coarse - 1))
 
 
-def _resize_positions(index: np.ndarray, size_in: int, size_out: int) -> np.ndarray:
+def resize_positions(index: np.ndarray, size_in: int, size_out: int) -> np.ndarray:
     return (index + 0.5) * size_in / size_out - 0.5
 
 
@@ -220,7 +220,7 @@ def extrapolate(
         if step > 1 and ch >= 2 and cw >= 2:
             moves = _coarse_moves(u, v, window, rows, cols, steps, step, ch, cw)
         else:
-            sample = lambda a, y, x: _bilinear_replicate(a, y, x, h, w, window.top, window.left)
+            sample = lambda a, y, x: replicate_sample(a, y, x, h, w, window.top, window.left)
             moves = trajectories(u, v, rows, cols, steps, sample)
         out = {name: [] for name in empty}
         for number, (dx, dy) in enumerate(moves):
@@ -240,19 +240,19 @@ def _coarse_moves(u, v, window, rows, cols, steps, step, ch, cw):
     """Trajectories on the coarse grid, resized to the tile's cells."""
     h, w = window.height, window.width
     # Coarse velocities whose two taps lie in the region.
-    full_y, full_x = _resize_positions(np.arange(ch), h, ch), _resize_positions(np.arange(cw), w, cw)
+    full_y, full_x = resize_positions(np.arange(ch), h, ch), resize_positions(np.arange(cw), w, cw)
     has = lambda p, size, low, n: (np.floor(np.clip(p, 0, size - 1)) >= low) & (np.minimum(np.floor(np.clip(p, 0, size - 1)) + 1, size - 1) < low + n)
     ok_r, ok_c = np.flatnonzero(has(full_y, h, window.top, window.rows)), np.flatnonzero(has(full_x, w, window.left, window.cols))
     gy, gx = np.meshgrid(full_y[ok_r], full_x[ok_c], indexing="ij")
-    cu = _bilinear_replicate(u, gy, gx, h, w, window.top, window.left) / step
-    cv = _bilinear_replicate(v, gy, gx, h, w, window.top, window.left) / step
+    cu = replicate_sample(u, gy, gx, h, w, window.top, window.left) / step
+    cv = replicate_sample(v, gy, gx, h, w, window.top, window.left) / step
     top, left = int(ok_r[0]), int(ok_c[0])
-    r_low, r_high = _coarse_nodes(window.r0, window.r1 - 1, h, ch)
-    c_low, c_high = _coarse_nodes(window.c0, window.c1 - 1, w, cw)
+    r_low, r_high = coarse_nodes(window.r0, window.r1 - 1, h, ch)
+    c_low, c_high = coarse_nodes(window.c0, window.c1 - 1, w, cw)
     nr, nc = np.meshgrid(np.arange(r_low, r_high + 1), np.arange(c_low, c_high + 1), indexing="ij")
-    sample = lambda a, y, x: _bilinear_replicate(a, y, x, ch, cw, top, left)
-    at_y, at_x = _resize_positions(rows, ch, h), _resize_positions(cols, cw, w)
+    sample = lambda a, y, x: replicate_sample(a, y, x, ch, cw, top, left)
+    at_y, at_x = resize_positions(rows, ch, h), resize_positions(cols, cw, w)
     for dx, dy in trajectories(cu, cv, nr, nc, steps, sample):
-        full_dx = _bilinear_replicate(dx, at_y, at_x, ch, cw, r_low, c_low) * step
-        full_dy = _bilinear_replicate(dy, at_y, at_x, ch, cw, r_low, c_low) * step
+        full_dx = replicate_sample(dx, at_y, at_x, ch, cw, r_low, c_low) * step
+        full_dy = replicate_sample(dy, at_y, at_x, ch, cw, r_low, c_low) * step
         yield full_dx, full_dy
