@@ -173,4 +173,5 @@ def retry_delay(attempts: Column, base_s: float = 5.0, cap_s: float = 300.0) ->
 def frame_budget(retention_s: Column, period_s: Column) -> Column:
     """Frames an input should hold: retention over period plus two; NULL stays NULL."""
     period = F.greatest(period_s, F.lit(1))
-    return F.greatest(F.lit(1), F.floor(retention_s / period) + 2).cast("int")
+    frames = F.greatest(F.lit(1), F.floor(retention_s / period) + 2)
+    return F.when(retention_s.isNotNull(), frames).cast("int")

@@ -74,11 +74,11 @@ def payload_links_any_depth(payloads: DataFrame, depth: int = DEPTH) -> DataFram
     return found
 
 
-def link_files(links: DataFrame, inputs: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame:
-    """Remote files among links, for rows that carry an ``input_id``.
+def named_links(links: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Links that are files of their row's ``input_id``, with ``filename`` and ``frame_ts``.
 
     Keeps names with a wanted suffix and the input's quantity between ``@``
-    signs, and drops names without a timestamp.
+    signs, and drops names without a timestamp.  Works on streams too.
     """
     config = inputs.select("input_id", "suffixes", "ts_pattern", F.col("quantity").alias("_q"))
     named = links.join(F.broadcast(config), "input_id").withColumn("filename", names.filename_of(F.col("href")))
@@ -87,7 +87,12 @@ def link_files(links: DataFrame, inputs: DataFrame, order: Sequence[str] = ("pos
         F.col("filename"), F.concat(F.lit("@"), F.col("_q"), F.lit("@"))
     )
     stamped = named.where(suffix & quantity).withColumn("frame_ts", names.parsed_timestamp(F.col("filename"), F.col("ts_pattern")))
-    rows = stamped.where(F.col("frame_ts").isNotNull()).select(
+    return stamped.where(F.col("frame_ts").isNotNull()).drop("suffixes", "ts_pattern", "_q")
+
+
+def link_files(links: DataFrame, inputs: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame:
+    """Remote files among links, one per URL: the last one's values, the first one's position."""
+    rows = named_links(links, inputs).select(
         "input_id", "frame_ts", F.col("href").alias("url"), "filename",
         F.map_from_arrays(F.array(F.lit("length"), F.lit("type"), F.lit("title")), F.array("length", "type", "title")).alias("metadata"),
         F.struct(*order).alias("pos"),
