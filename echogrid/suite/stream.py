@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import registry
 from ..functions import values as V
@@ -35,7 +36,7 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all there is and return what its batches emitted, with ``batch_id``."""
     spark = stream.sparkSession
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    schema = stream.schema.add("batch_id", "bigint")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch_id={batch_id}")
