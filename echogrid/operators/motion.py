@@ -38,18 +38,23 @@ def frame_pairs(levels: DataFrame, order: DataFrame, keys: Sequence[str], seq: s
     """Put each frame beside its successor: columns ``prev`` and ``next`` per cell.
 
     ``order`` maps (keys, frame ``seq``) to ``pair`` ids in which the frame is
-    first or second; a frame joins at most two pairs, so this is a two-fold copy
-    and one aggregate, not a self-join.
+    first or second.  A frame joins at most two pairs, so each cell is copied at
+    most twice and then met by one aggregate, without a self-join.
     """
-    by_frame = [*keys, seq]
-    first = attach_by_key(levels, order.select(*keys, F.col("first_seq").alias(seq), "pair"), by_frame, ["row", "col"])
-    second = attach_by_key(levels, order.select(*keys, F.col("second_seq").alias(seq), "pair"), by_frame, ["row", "col"])
-    side = lambda df, flag: df.select(*keys, "pair", "row", "col", "level", "valid", F.lit(flag).alias("is_prev"))
-    both = side(first, True).unionByName(side(second, False))
-    return both.groupBy(*keys, "pair", "row", "col").agg(
-        F.max(F.when(F.col("is_prev"), F.col("level"))).alias("prev"),
-        F.max(F.when(~F.col("is_prev"), F.col("level"))).alias("next"),
-        F.max(F.when(F.col("is_prev"), F.col("valid"))).alias("prev_valid"),
+    roles = order.select(
+        *keys, F.explode(F.array(
+            F.struct(F.col("first_seq").alias(seq), "pair", F.lit(True).alias("is_prev")),
+            F.struct(F.col("second_seq").alias(seq), "pair", F.lit(False).alias("is_prev")),
+        )).alias("_role"),
+    )
+    per_frame = roles.groupBy(*keys, F.col(f"_role.{seq}").alias(seq)).agg(F.collect_set(F.struct("_role.pair", "_role.is_prev")).alias("_roles"))
+    routed = attach_by_key(levels.select(*keys, seq, "row", "col", "level", "valid"), per_frame, [*keys, seq], ["row", "col"])
+    copies = routed.withColumn("_as", F.explode("_roles"))
+    is_prev = F.col("_as.is_prev")
+    return copies.groupBy(*keys, F.col("_as.pair").alias("pair"), "row", "col").agg(
+        F.max(F.when(is_prev, F.col("level"))).alias("prev"),
+        F.max(F.when(~is_prev, F.col("level"))).alias("next"),
+        F.max(F.when(is_prev, F.col("valid"))).alias("prev_valid"),
     )
 
 

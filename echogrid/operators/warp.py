@@ -167,6 +167,7 @@ def extrapolate(
     width: int | Column,
     grid_step: int = 1,
     tile: int = DEFAULT_TILE,
+    speed: DataFrame | None = None,
 ) -> DataFrame:
     """Move ``values`` along ``velocity`` (``u, v`` cells per step) to each lead.
 
@@ -174,23 +175,24 @@ def extrapolate(
     come out finite; all others are missing.
 
     The farthest any cell can travel is the frame's largest speed times the last
-    lead.  It is aggregated first and used as the halo of the tiles, so the
-    whole trajectory and the final sampling of every lead run in one group and
-    need a single shuffle.  ``grid_step`` > 1 integrates on a coarser grid.
+    lead.  It becomes the halo of the tiles, so the whole trajectory and the
+    final sampling of every lead run in one group and need a single shuffle.
+    ``speed`` (keys, speed) is a known bound on ``u`` and ``v``; without it the
+    bound is aggregated from the velocity.  ``grid_step`` > 1 integrates on a
+    coarser grid.
     """
     names = list(keys)
     steps = _steps(list(leads))
     total = float(leads[-1])
-    speed = velocity.groupBy(*names).agg(
-        F.max(F.greatest(F.abs("u"), F.abs("v"))).alias("_speed")
-    )
+    if speed is None:
+        speed = velocity.groupBy(*names).agg(F.max(F.greatest(F.abs("u"), F.abs("v"))).alias("speed"))
     # Coarse steps and the interpolation taps reach a few cells further.
-    reach = (F.ceil(F.col("_speed") * F.lit(total)) + F.lit(4 * grid_step + 2)).cast("int")
-    speed = speed.select(*names, reach.alias("_reach"))
+    reach = (F.ceil(F.col("speed") * F.lit(total)) + F.lit(4 * grid_step + 2)).cast("int")
+    bounds = speed.select(*names, reach.alias("_reach"))
 
     def tiled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         sized = df.select(*names, "row", "col", *columns, *[c.alias(n) for c, n in zip(size, ("_h", "_w"))])
-        joined = attach_by_key(sized, speed, names, ["row", "col"])
+        joined = attach_by_key(sized, bounds, names, ["row", "col"])
         return with_halo(joined, tile, F.col("_reach"), F.col("_h"), F.col("_w")).drop("_h", "_w", "_reach")
 
     size = [part if isinstance(part, Column) else F.lit(part) for part in (height, width)]

@@ -15,6 +15,7 @@ from ..operators import neighbourhood as N
 from ..operators.skew import attach_by_key
 from ..operators.tiles import DEFAULT_TILE
 from ..operators.warp import extrapolate
+from ..session import cut_lineage
 
 
 def lead_minutes(minutes: Sequence[int]) -> list[int]:
@@ -64,7 +65,9 @@ def motion_vectors(
     frame = [*keys, "frame_ts"]
     filled = C.fill_missing(cells, frame)
     opened = N.morph_open(filled, frame, height, width, tile=tile)
-    levels = C.rescale_to_byte(opened, frame)
+    # Read three times below: written once to the shared folder instead of
+    # being computed three times.
+    levels = cut_lineage(C.rescale_to_byte(opened, frame).select(*frame, "row", "col", "level", "valid"))
     pairs_of = consecutive_pairs(history, keys)
     scores = N.corner_score(levels, frame, height, width, tile=tile)
     features = N.select_features(scores, frame, height, width)
@@ -102,13 +105,18 @@ def nowcast(
     newest = steps.select(*keys, F.col("issue_frame").alias("frame_ts"))
     latest = attach_by_key(cells, newest.withColumn("_is", F.lit(True)), issue, ["row", "col"]).drop("_is")
     vectors = motion_vectors(cells, history, keys, height, width, method, tile)
-    per_minute = vectors.join(steps.select(*keys, "dt_min"), list(keys)).select(
-        *keys, "x", "y", (F.col("u") / F.col("dt_min")).alias("u"), (F.col("v") / F.col("dt_min")).alias("v")
+    per_minute = cut_lineage(
+        vectors.join(steps.select(*keys, "dt_min"), list(keys)).select(
+            *keys, "x", "y", (F.col("u") / F.col("dt_min")).alias("u"), (F.col("v") / F.col("dt_min")).alias("v")
+        )
     )
+    # Interpolated velocities are averages of vectors, so the fastest vector bounds them.
+    fastest = per_minute.groupBy(*keys).agg(F.max(F.greatest(F.abs("u"), F.abs("v"))).alias("speed"))
+    speed = newest.select(*keys).join(fastest, list(keys), "left").select(*keys, F.coalesce("speed", F.lit(0.0)).alias("speed"))
     grids = newest.select(*keys, F.lit(height).alias("height"), F.lit(width).alias("width"))
     velocity = M.idw_grid(grids, per_minute, keys, step=motion_step(height, width, motion_grid_step), upscale=True, tile=tile)
     source = latest.where(V.is_echo(F.col("value"))).select(*keys, "row", "col", "value")
-    moved = extrapolate(source, velocity, keys, [float(m) for m in leads], height, width, warp_grid_step, tile)
+    moved = extrapolate(source, velocity, keys, [float(m) for m in leads], height, width, warp_grid_step, tile, speed)
     lead = F.get(F.array(*map(F.lit, leads)), F.col("lead"))
     value = V.mask_at_or_below(F.col("value"), floor) if floor is not None else F.col("value")
     stamped = moved.select(*keys, lead.alias("lead_min"), "row", "col", value.alias("value")).where(F.col("value").isNotNull())
