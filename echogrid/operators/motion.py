@@ -16,9 +16,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.grid import coarse_size
-from .skew import attach_by_key
-from .tiles import DEFAULT_TILE, Window, column_array, double_field, int_field, map_tiles, with_halo, with_keys
-from .warp import coarse_nodes, replicate_sample, resize_positions
+from .skew import attach_by_key, broadcast_if_small
+from .neighbourhood import byte_levels
+from .tiles import (
+    DEFAULT_TILE, Window, cogrouped, column_array, double_field, frame_tiles, int_field, map_tiles, map_tiles_with, window_of, with_halo, with_keys,
+)
+from .warp import coarse_nodes, lead_differences, moved_cells, replicate_sample, resize_positions
 
 # Outlier, declustering and interpolation defaults.
 OUTLIER_STD = 3.0
@@ -189,6 +192,61 @@ def track_features(
     return map_tiles(tiled, keys, tile, fn, [double_field(name) for name in ("x", "y", "u", "v")])
 
 
+def track_frames(
+    opened: DataFrame,
+    ranges: DataFrame,
+    features: DataFrame,
+    keys: Sequence[str],
+    height: int,
+    width: int,
+    radius: int = SEARCH_RADIUS,
+    half: int = WINDOW_HALF,
+    refine: bool = True,
+    tile: int = DEFAULT_TILE,
+) -> DataFrame:
+    """Sparse vectors between neighbouring frames of a history, in one shuffle.
+
+    ``opened`` has (keys, pos, last, row, col, value) with frames numbered
+    ``pos`` = 1..``last``; pair p joins frames p and p + 1.  A frame's part in
+    its pairs follows from its number, so frames meet without a join: each cell
+    goes to at most two pairs, and both images and the features of a tile arrive
+    as rows with a role.  ``ranges`` and ``features`` are keyed by (keys, pos).
+    """
+    halo = radius + half + 2
+    before = F.when(F.col("pos") < F.col("last"), F.struct(F.col("pos").alias("pair"), F.lit(0).alias("role")))
+    after = F.when(F.col("pos") > 1, F.struct((F.col("pos") - 1).alias("pair"), F.lit(1).alias("role")))
+    roles = F.explode(F.filter(F.array(before, after), lambda part: part.isNotNull()))
+    images = opened.withColumn("_p", roles).select(*keys, F.col("_p.pair").alias("pair"), F.col("_p.role").alias("role"), "row", "col", "value")
+    marks = features.select(*keys, F.col("pos").alias("pair"), F.lit(2).alias("role"), "row", "col", F.lit(0.0).alias("value"))
+    pair_keys = [*keys, "pair"]
+    spans = ranges.withColumn("_p", roles).select(*keys, F.col("_p.pair").alias("pair"), F.col("_p.role").alias("role"), "low", "high")
+    pick = lambda role, name: F.max(F.when(F.col("role") == role, F.col(name)))
+    known_ranges = (
+        spans.groupBy(*pair_keys)
+        .agg(pick(0, "low").alias("low0"), pick(0, "high").alias("high0"), pick(1, "low").alias("low1"), pick(1, "high").alias("high1"))
+        .where(F.col("low0").isNotNull() & F.col("low1").isNotNull())
+    )
+
+    def fn(window: Window, table: pa.Table, known: dict) -> dict[str, np.ndarray]:
+        row, col, value, role = (column_array(table, name) for name in ("row", "col", "value", "role"))
+        chosen = (role == 2) & window.is_core(row, col)
+        if not chosen.any():
+            return {name: np.array([]) for name in ("x", "y", "u", "v")}
+
+        def image(part: int) -> np.ndarray:
+            mine = role == part
+            return window.dense(row[mine], col[mine], byte_levels(value[mine], known[f"low{part}"], known[f"high{part}"]), fill=0.0)
+
+        order = np.lexsort((col[chosen], row[chosen]))
+        r, c = row[chosen][order], col[chosen][order]
+        dr, dc, good = _track(image(0), image(1), r - window.top, c - window.left, radius, half, refine)
+        return {"x": c[good].astype(float), "y": r[good].astype(float), "u": dc[good], "v": dr[good]}
+
+    tiled = with_halo(images.unionByName(marks), tile, halo, height, width)
+    fields = [double_field(name) for name in ("x", "y", "u", "v")]
+    return map_tiles_with(tiled, known_ranges, pair_keys, tile, fn, fields, height, width, halo)
+
+
 def drop_outliers(vectors: DataFrame, keys: Sequence[str], std: float = OUTLIER_STD, neighbours: int = OUTLIER_NEIGHBOURS) -> DataFrame:
     """Drop vectors further than ``std`` deviations from their nearest neighbours.
 
@@ -322,13 +380,72 @@ def zero_motion(grids: DataFrame, keys: Sequence[str]) -> DataFrame:
     return grids.select(*keys, *[F.lit(None).cast("double").alias(name) for name in ("x", "y", "u", "v")]).where(F.lit(False))
 
 
-def sparse_vectors(pairs: DataFrame, features: DataFrame, keys: Sequence[str], height, width, tile: int = DEFAULT_TILE, refine: bool = True) -> DataFrame:
-    return track_features(pairs, features, keys, height, width, refine=refine, tile=tile)
-
-
-# Motion methods a forecast may name.
+# Motion methods a forecast may name: whether matches are refined, or no motion.
 MOTION_METHODS: dict[str, Callable[..., DataFrame] | None] = {
-    "lucas_kanade": lambda *args, **kw: sparse_vectors(*args, refine=True, **kw),
-    "block_match": lambda *args, **kw: sparse_vectors(*args, refine=False, **kw),
+    "lucas_kanade": lambda *args, **kw: track_frames(*args, refine=True, **kw),
+    "block_match": lambda *args, **kw: track_frames(*args, refine=False, **kw),
     "zero": None,
 }
+
+
+def extrapolate_vectors(
+    values: DataFrame,
+    vectors: DataFrame,
+    frames: DataFrame,
+    keys: Sequence[str],
+    leads: Sequence[float],
+    height: int,
+    width: int,
+    motion_step: int = 2,
+    grid_step: int = 2,
+    tile: int = DEFAULT_TILE,
+) -> DataFrame:
+    """Extrapolation with velocities interpolated from vectors where they are used.
+
+    Gives what ``extrapolate(values, idw_grid(vectors, upscale=True))`` gives.
+    Each tile receives its frame's vectors (bounded, see :func:`pack_vectors`)
+    and fills the velocities of its region itself, so no velocity is ever
+    shuffled.  ``frames`` lists the frame sets; those without vectors stand still.
+    Interpolated velocities are averages of vectors, so the fastest vector
+    bounds the travel and with it the halo.
+    """
+    names = list(keys)
+    fastest = vectors.groupBy(*names).agg(F.max(F.greatest(F.abs("u"), F.abs("v"))).alias("speed"))
+    packed = frames.select(*names).join(fastest, names, "left").join(pack_vectors(vectors, names), names, "left")
+    reach = F.ceil(F.coalesce(F.col("speed"), F.lit(0.0)) * F.lit(float(leads[-1]))).cast("int") + 4 * max(grid_step, motion_step) + 2
+    known = packed.select(*names, reach.alias("reach"), "vectors")
+    reaches = broadcast_if_small(known.select(*names, F.col("reach").alias("_reach")))
+    routed = values.where(F.col("value").isNotNull()).select(*names, "row", "col", "value").join(reaches, names)
+    tiled = with_halo(routed, tile, F.col("_reach"), height, width).select(*names, "tile_r", "tile_c", "row", "col", "value")
+    sides = frame_tiles(known, tile, height, width)
+    schema = T.StructType([*(values.schema[key] for key in names), int_field("lead"), int_field("row"), int_field("col"), double_field("value")])
+    arrow = to_arrow_schema(schema)
+    steps = lead_differences(list(leads))
+    ch, cw = -(-height // motion_step), -(-width // motion_step)
+
+    def velocities(window: Window, packed_rows: list | None) -> tuple[np.ndarray, np.ndarray]:
+        shape = (window.rows, window.cols)
+        if not packed_rows:
+            return np.zeros(shape), np.zeros(shape)
+        points = np.array([(p["x"], p["y"], p["u"], p["v"]) for p in packed_rows])
+        r0, r1 = coarse_nodes(window.top, window.top + window.rows - 1, height, ch)
+        c0, c1 = coarse_nodes(window.left, window.left + window.cols - 1, width, cw)
+        r, c = np.meshgrid(np.arange(r0, r1 + 1), np.arange(c0, c1 + 1), indexing="ij")
+        uv = idw_values(c.ravel() * float(motion_step), r.ravel() * float(motion_step), points[:, 0], points[:, 1], points[:, 2:], float(motion_step))
+        uv = uv.reshape(*r.shape, 2)
+        y = resize_positions(np.arange(window.top, window.top + window.rows), ch, height)
+        x = resize_positions(np.arange(window.left, window.left + window.cols), cw, width)
+        y, x = np.meshgrid(y, x, indexing="ij")
+        return tuple(replicate_sample(uv[:, :, part], y, x, ch, cw, r0, c0) for part in (0, 1))
+
+    def run(group_key: tuple[pa.Scalar, ...], cells: pa.Table, side: pa.Table) -> pa.Table:
+        if cells.num_rows == 0 or side.num_rows == 0:
+            return arrow.empty_table()
+        tile_r, tile_c = (int(part.as_py()) for part in group_key[len(names) :])
+        window = window_of(tile_r, tile_c, tile, int(side.column("reach")[0].as_py()), height, width)
+        field = window.dense(column_array(cells, "row"), column_array(cells, "col"), column_array(cells, "value"))
+        u, v = velocities(window, side.column("vectors")[0].as_py())
+        return with_keys(arrow, names, group_key[: len(names)], moved_cells(window, field, u, v, steps, grid_step))
+
+    grouping = [*names, "tile_r", "tile_c"]
+    return cogrouped(tiled, sides, grouping).applyInArrow(run, schema)

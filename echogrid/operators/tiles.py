@@ -111,6 +111,55 @@ def map_tiles(
     return tiled.groupBy(*names, "tile_r", "tile_c").applyInArrow(run, schema)
 
 
+def map_tiles_with(
+    tiled: DataFrame,
+    per_frame: DataFrame,
+    keys: Sequence[str],
+    tile: int,
+    fn: Callable[[Window, pa.Table, dict], dict[str, np.ndarray]],
+    fields: Sequence[T.StructField],
+    height: int,
+    width: int,
+    halo: int,
+) -> DataFrame:
+    """Like :func:`map_tiles`, with the frame's row of ``per_frame`` as a dict.
+
+    Per-frame values meet the tiles by cogrouping one small row per tile, so the
+    cells need no join, and no shuffle, beyond the one that builds the tiles.
+    Frames without a row are left out.
+    """
+    schema = T.StructType([*(tiled.schema[key] for key in keys), *fields])
+    arrow = to_arrow_schema(schema)
+    names = list(keys)
+    extra = [name for name in per_frame.columns if name not in names]
+
+    def run(group_key: tuple[pa.Scalar, ...], table: pa.Table, side: pa.Table) -> pa.Table:
+        if table.num_rows == 0 or side.num_rows == 0:
+            return arrow.empty_table()
+        tile_r, tile_c = (int(part.as_py()) for part in group_key[len(names) :])
+        window = window_of(tile_r, tile_c, tile, halo, height, width)
+        known = {name: side.column(name)[0].as_py() for name in extra}
+        return with_keys(arrow, names, group_key[: len(names)], fn(window, table, known))
+
+    grouping = [*names, "tile_r", "tile_c"]
+    sides = frame_tiles(per_frame, tile, height, width)
+    slim = tiled.drop("reach", "grid_h", "grid_w")
+    return cogrouped(slim, sides, grouping).applyInArrow(run, schema)
+
+
+def cogrouped(left: DataFrame, right: DataFrame, grouping: Sequence[str]):
+    """Cogroup on equal keys; the right side's are renamed, so both may stem from one table."""
+    renamed = right.select(*[F.col(name).alias(f"_side_{name}" if name in grouping else name) for name in right.columns])
+    return left.groupBy(*grouping).cogroup(renamed.groupBy(*[f"_side_{name}" for name in grouping]))
+
+
+def frame_tiles(per_frame: DataFrame, tile: int, height: int, width: int) -> DataFrame:
+    """One row per tile of each frame row."""
+    rows = F.explode(F.sequence(F.lit(0), F.lit((height - 1) // tile)))
+    cols = F.explode(F.sequence(F.lit(0), F.lit((width - 1) // tile)))
+    return per_frame.withColumn("tile_r", rows).withColumn("tile_c", cols)
+
+
 def with_keys(arrow: pa.Schema, names: Sequence[str], values: Sequence[pa.Scalar], columns: dict[str, np.ndarray]) -> pa.Table:
     """An Arrow table of the output schema: repeated key values, then the columns."""
     size = len(next(iter(columns.values()))) if columns else 0

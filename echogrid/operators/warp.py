@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .skew import attach_by_key
-from .tiles import DEFAULT_TILE, column_array, double_field, int_field, window_of, with_halo, with_keys
+from .tiles import DEFAULT_TILE, Window, cogrouped, column_array, double_field, int_field, window_of, with_halo, with_keys
 
 
 def _taps(position: Column, size: Column) -> tuple[Column, Column, Column]:
@@ -123,7 +123,7 @@ def _sample_values(array: np.ndarray, y: np.ndarray, x: np.ndarray, top: int, le
     return total
 
 
-def _steps(leads: Sequence[float]) -> list[float]:
+def lead_differences(leads: Sequence[float]) -> list[float]:
     if not leads:
         raise ValueError("at least one lead is needed")
     if list(leads) != sorted(leads) or leads[0] <= 0:
@@ -182,7 +182,7 @@ def extrapolate(
     coarser grid.
     """
     names = list(keys)
-    steps = _steps(list(leads))
+    steps = lead_differences(list(leads))
     total = float(leads[-1])
     if speed is None:
         speed = velocity.groupBy(*names).agg(F.max(F.greatest(F.abs("u"), F.abs("v"))).alias("speed"))
@@ -207,9 +207,8 @@ def extrapolate(
 
     def run(group_key: tuple[pa.Scalar, ...], cells: pa.Table, motion: pa.Table) -> pa.Table:
         keyed = group_key[:n_keys]
-        empty = {"lead": np.array([], dtype=int), "row": np.array([], dtype=int), "col": np.array([], dtype=int), "value": np.array([])}
         if cells.num_rows == 0 or motion.num_rows == 0:
-            return with_keys(arrow, names, keyed, empty)
+            return arrow.empty_table()
         tile_r, tile_c = (int(part.as_py()) for part in group_key[n_keys:])
         h, w = int(motion.column("grid_h")[0].as_py()), int(motion.column("grid_w")[0].as_py())
         window = window_of(tile_r, tile_c, tile, int(motion.column("reach")[0].as_py()), h, w)
@@ -217,25 +216,29 @@ def extrapolate(
         mr, mc = column_array(motion, "row"), column_array(motion, "col")
         u = window.dense(mr, mc, column_array(motion, "u"), fill=0.0)
         v = window.dense(mr, mc, column_array(motion, "v"), fill=0.0)
-        rows, cols = np.meshgrid(np.arange(window.r0, window.r1), np.arange(window.c0, window.c1), indexing="ij")
-        ch, cw = -(-h // step), -(-w // step)
-        if step > 1 and ch >= 2 and cw >= 2:
-            moves = _coarse_moves(u, v, window, rows, cols, steps, step, ch, cw)
-        else:
-            sample = lambda a, y, x: replicate_sample(a, y, x, h, w, window.top, window.left)
-            moves = trajectories(u, v, rows, cols, steps, sample)
-        out = {name: [] for name in empty}
-        for number, (dx, dy) in enumerate(moves):
-            moved = _sample_values(field, rows + dy, cols + dx, window.top, window.left)
-            keep = np.isfinite(moved)
-            out["lead"].append(np.full(int(keep.sum()), number))
-            out["row"].append(rows[keep])
-            out["col"].append(cols[keep])
-            out["value"].append(moved[keep])
-        return with_keys(arrow, names, keyed, {name: np.concatenate(parts) for name, parts in out.items()})
+        return with_keys(arrow, names, keyed, moved_cells(window, field, u, v, steps, step))
 
     grouping = [*names, "tile_r", "tile_c"]
-    return left.groupBy(*grouping).cogroup(right.groupBy(*grouping)).applyInArrow(run, schema)
+    return cogrouped(left, right, grouping).applyInArrow(run, schema)
+
+
+def moved_cells(window: Window, field: np.ndarray, u: np.ndarray, v: np.ndarray, steps: Sequence[float], step: int) -> dict[str, np.ndarray]:
+    """Finite cells of the tile at every lead, from its region's values and velocities."""
+    h, w = window.height, window.width
+    rows, cols = np.meshgrid(np.arange(window.r0, window.r1), np.arange(window.c0, window.c1), indexing="ij")
+    ch, cw = -(-h // step), -(-w // step)
+    if step > 1 and ch >= 2 and cw >= 2:
+        moves = _coarse_moves(u, v, window, rows, cols, steps, step, ch, cw)
+    else:
+        sample = lambda a, y, x: replicate_sample(a, y, x, h, w, window.top, window.left)
+        moves = trajectories(u, v, rows, cols, steps, sample)
+    parts: dict[str, list[np.ndarray]] = {name: [] for name in ("lead", "row", "col", "value")}
+    for number, (dx, dy) in enumerate(moves):
+        moved = _sample_values(field, rows + dy, cols + dx, window.top, window.left)
+        keep = np.isfinite(moved)
+        for name, found in zip(parts, (np.full(int(keep.sum()), number), rows[keep], cols[keep], moved[keep])):
+            parts[name].append(found)
+    return {name: np.concatenate(found) for name, found in parts.items()}
 
 
 def _coarse_moves(u, v, window, rows, cols, steps, step, ch, cw):

@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import values as V
-from ..operators import cells as C
 from ..operators import motion as M
 from ..operators import neighbourhood as N
-from ..operators.skew import attach_by_key
+from ..operators.skew import attach_by_key, broadcast_if_small
 from ..operators.tiles import DEFAULT_TILE
-from ..operators.warp import extrapolate
 from ..session import cut_lineage
 
 
@@ -43,13 +41,11 @@ def history_steps(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     return timed.where(enough.isNull() & ordered.isNull()).select(*keys, "frames", "issue_frame", "dt_min")
 
 
-def consecutive_pairs(history: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, pair, first_seq, second_seq) of neighbouring history frames."""
+def numbered_history(history: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, frame_ts, pos, last): frames of each issue numbered from the oldest."""
     stamps = history.groupBy(*keys).agg(F.sort_array(F.collect_list("frame_ts")).alias("_ts"))
-    pair = F.explode(F.sequence(F.lit(0), F.size("_ts") - 2)).alias("pair")
-    return stamps.where(F.size("_ts") >= 2).select(*keys, "_ts", pair).select(
-        *keys, "pair", F.get("_ts", F.col("pair")).alias("first_seq"), F.get("_ts", F.col("pair") + 1).alias("second_seq")
-    )
+    numbered = stamps.select(*keys, F.size("_ts").alias("last"), F.posexplode("_ts").alias("_i", "frame_ts"))
+    return numbered.select(*keys, "frame_ts", (F.col("_i") + 1).alias("pos"), "last")
 
 
 def motion_vectors(
@@ -57,24 +53,28 @@ def motion_vectors(
     method: str = "lucas_kanade", tile: int = DEFAULT_TILE,
 ) -> DataFrame:
     """Cleaned, declustered vectors per issue, from all neighbouring history pairs."""
+    check_method(method)
+    placed = attach_by_key(cells, numbered_history(history, keys), [*keys, "frame_ts"], ["row", "col"])
+    return _vectors(placed, keys, height, width, method, tile)
+
+
+def check_method(method: str) -> None:
     if method not in M.MOTION_METHODS:
         raise ValueError(f"unknown motion method {method!r}; known: {sorted(M.MOTION_METHODS)}")
+
+
+def _vectors(placed: DataFrame, keys: Sequence[str], height: int, width: int, method: str, tile: int) -> DataFrame:
     track = M.MOTION_METHODS[method]
     if track is None:
-        return M.zero_motion(history.select(*keys).distinct(), keys)
-    frame = [*keys, "frame_ts"]
-    filled = C.fill_missing(cells, frame)
-    opened = N.morph_open(filled, frame, height, width, tile=tile)
-    # Read three times below: written once to the shared folder instead of
-    # being computed three times.
-    levels = cut_lineage(C.rescale_to_byte(opened, frame).select(*frame, "row", "col", "level", "valid"))
-    pairs_of = consecutive_pairs(history, keys)
-    scores = N.corner_score(levels, frame, height, width, tile=tile)
+        return M.zero_motion(placed.select(*keys), keys)
+    frame = [*keys, "pos", "last"]
+    # Read by the ranges, the scores and the tracking: written once to the
+    # shared folder instead of being computed three times.
+    opened = cut_lineage(N.open_frames(placed, frame, height, width, tile))
+    ranges = N.level_range(opened, frame)
+    scores = N.frame_corners(opened.where(F.col("pos") < F.col("last")), ranges, frame, height, width, tile=tile)
     features = N.select_features(scores, frame, height, width)
-    first = pairs_of.select(*keys, "pair", F.col("first_seq").alias("frame_ts"))
-    marked = features.join(first, frame).select(*keys, "pair", "row", "col")
-    paired = M.frame_pairs(levels, pairs_of, keys, "frame_ts")
-    vectors = track(paired, marked, [*keys, "pair"], height, width, tile=tile)
+    vectors = track(opened, ranges, features, keys, height, width, tile=tile)
     return M.decluster(M.drop_outliers(vectors, keys), keys)
 
 
@@ -93,34 +93,32 @@ def nowcast(
 ) -> DataFrame:
     """Forecast cells ``(keys, issue_ts, lead_min, valid_ts, row, col, value)``.
 
-    ``cells`` holds one row per (keys, frame_ts, row, col) of the history frames
-    in ``history``.  Only finite cells above the floor are returned; everything
-    else, such as an issue whose newest frame has no echo, is missing.
+    ``cells`` holds one row per (keys, frame_ts, row, col); frames outside
+    ``history`` are ignored.  Only finite cells above the floor are returned;
+    everything else, such as an issue whose newest frame has no echo, is missing.
     Velocities are per minute, so issues with different frame spacings share one
     plan with leads in minutes.
     """
+    check_method(method)
     leads = lead_minutes(minutes)
     steps = history_steps(history, keys)
-    issue = [*keys, "frame_ts"]
-    newest = steps.select(*keys, F.col("issue_frame").alias("frame_ts"))
-    latest = attach_by_key(cells, newest.withColumn("_is", F.lit(True)), issue, ["row", "col"]).drop("_is")
-    vectors = motion_vectors(cells, history, keys, height, width, method, tile)
+    numbered = numbered_history(history, keys)
+    placed = attach_by_key(cells, numbered, [*keys, "frame_ts"], ["row", "col"])
+    vectors = _vectors(placed, keys, height, width, method, tile)
+    # A few hundred rows per issue, read by the halo and by the velocities.
     per_minute = cut_lineage(
         vectors.join(steps.select(*keys, "dt_min"), list(keys)).select(
             *keys, "x", "y", (F.col("u") / F.col("dt_min")).alias("u"), (F.col("v") / F.col("dt_min")).alias("v")
         )
     )
-    # Interpolated velocities are averages of vectors, so the fastest vector bounds them.
-    fastest = per_minute.groupBy(*keys).agg(F.max(F.greatest(F.abs("u"), F.abs("v"))).alias("speed"))
-    speed = newest.select(*keys).join(fastest, list(keys), "left").select(*keys, F.coalesce("speed", F.lit(0.0)).alias("speed"))
-    grids = newest.select(*keys, F.lit(height).alias("height"), F.lit(width).alias("width"))
-    velocity = M.idw_grid(grids, per_minute, keys, step=motion_step(height, width, motion_grid_step), upscale=True, tile=tile)
-    source = latest.where(V.is_echo(F.col("value"))).select(*keys, "row", "col", "value")
-    moved = extrapolate(source, velocity, keys, [float(m) for m in leads], height, width, warp_grid_step, tile, speed)
+    source = placed.where((F.col("pos") == F.col("last")) & V.is_echo(F.col("value"))).select(*keys, "row", "col", "value")
+    issues = steps.select(*keys, F.col("issue_frame").alias("issue_ts"))
+    step = motion_step(height, width, motion_grid_step)
+    moved = M.extrapolate_vectors(source, per_minute, issues, keys, [float(m) for m in leads], height, width, step, warp_grid_step, tile)
     lead = F.get(F.array(*map(F.lit, leads)), F.col("lead"))
     value = V.mask_at_or_below(F.col("value"), floor) if floor is not None else F.col("value")
     stamped = moved.select(*keys, lead.alias("lead_min"), "row", "col", value.alias("value")).where(F.col("value").isNotNull())
-    timed = attach_by_key(stamped, newest.withColumnRenamed("frame_ts", "issue_ts"), keys, ["row", "col"])
+    timed = stamped.join(broadcast_if_small(issues), list(keys))
     return timed.withColumn("valid_ts", names.valid_time(F.col("issue_ts"), F.col("lead_min")))
 
 

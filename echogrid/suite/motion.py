@@ -184,6 +184,15 @@ def frame_time(k):
     return F.timestamp_add("MINUTE", k * 5, F.lit("2026-06-05 00:00:00").cast("timestamp_ntz"))
 
 
+@query("extrapolate_vectors")
+def extrapolate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans moved along velocities interpolated from the declustered vectors, three leads."""
+    vectors = M.decluster(cell_vectors(spark, sf_dir), ["k"], scale=4)
+    frames = scan(spark, sf_dir).select("k").distinct()
+    moved = M.extrapolate_vectors(scan(spark, sf_dir), vectors, frames, ["k"], [0.5, 1.0, 2.0], GRID, GRID, 2, 2, TILE)
+    return moved.withColumn("value", F.round("value", 6))
+
+
 @query("nowcast")
 def nowcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full nowcast of every run of three scans, six leads."""
@@ -191,8 +200,7 @@ def nowcast(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("k") / 3).cast("int").alias("forecast"), frame_time(F.col("k")).alias("frame_ts"), "row", "col", "value"
     )
     history = whole_runs(scan_history(spark, sf_dir))
-    kept = cells.join(history, ["forecast", "frame_ts"])
-    out = Now.nowcast(kept, history, ["forecast"], GRID, GRID, (10, 20, 30, 40, 50, 60), floor=4.0, tile=GRID)
+    out = Now.nowcast(cells, history, ["forecast"], GRID, GRID, (10, 20, 30, 40, 50, 60), floor=4.0, tile=GRID)
     return out.withColumn("value", F.round("value", 6))
 
 

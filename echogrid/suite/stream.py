@@ -177,14 +177,22 @@ def sidecar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BRIDGE_VALUES = ", ".join(
+    f"('{row[0]}', '{inp}')" for row in registry.product_rows() for inp in registry.PRODUCT_INPUTS.get(row[0], ("opera_dbzh",))
+)
+
+
 @query(
     "variant_manifest",
-    f"""WITH {OBS}, b AS (SELECT DISTINCT 'radar_cz_' || strftime(TIMESTAMP '2026-06-05' + INTERVAL 5 MINUTE * k, '%Y%m%d_%H%M') AS base FROM obs)
+    f"""WITH {OBS}, p(product_id, input_id) AS (VALUES {_BRIDGE_VALUES}),
+    b AS (SELECT DISTINCT 'radar_' || product_id || '_' || strftime(TIMESTAMP '2026-06-05' + INTERVAL 5 MINUTE * k, '%Y%m%d_%H%M') AS base FROM obs JOIN p USING (input_id))
     SELECT base, variant, base || '_' || variant || '.png' AS file, CAST(size AS INTEGER) AS width, CAST(size AS INTEGER) AS height FROM b, (VALUES ('overlay', {GRID}), ('overlay_small', 21)) v(variant, size)""",
 )
 def variant_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = obs(spark, sf_dir).select(F.lit("cz").alias("product_id"), frame_time(F.col("k")).alias("frame_ts")).distinct()
-    named = render.named_frames(frames, registry.products(spark))
+    """Files and sizes of every product frame's variants."""
+    frames = obs(spark, sf_dir).select("input_id", frame_time(F.col("k")).alias("frame_ts")).distinct()
+    routed = frames.join(F.broadcast(registry.product_inputs(spark)), "input_id").select("product_id", "frame_ts").distinct()
+    named = render.named_frames(routed, registry.products(spark))
     return render.variant_manifest(named.withColumns({"height": F.lit(GRID), "width": F.lit(GRID)}))
 
 

@@ -216,6 +216,22 @@ def test_extrapolation_matches_whole_grid_scheme(spark, step, tile):
         np.testing.assert_allclose(array_of(out.where(F.col("lead") == number), h, w), expected, atol=1e-9)
 
 
+@pytest.mark.parametrize("tile", [16, 64])
+def test_vectors_extrapolate_as_their_velocity_field_does(spark, tile):
+    h, w = 41, 53
+    rng = np.random.default_rng(8)
+    values = cells_of(spark, rng.normal(20, 5, size=(h, w)))
+    rows = [(0, float(x), float(y), float(rng.normal(2, 1)), float(rng.normal(-1, 1))) for x in range(5, 53, 12) for y in range(4, 41, 9)]
+    vectors = spark.createDataFrame(rows, "k int, x double, y double, u double, v double")
+    grids = spark.createDataFrame([(0, h, w)], "k int, height int, width int")
+    velocity = M.idw_grid(grids, vectors, ["k"], step=2, upscale=True, tile=tile)
+    whole = Wp.extrapolate(values, velocity, ["k"], [1.0, 3.0], h, w, grid_step=2, tile=tile)
+    local = M.extrapolate_vectors(values, vectors, grids.select("k"), ["k"], [1.0, 3.0], h, w, 2, 2, tile)
+    for lead in (0, 1):
+        a, b = (array_of(df.where(F.col("lead") == lead), h, w) for df in (whole, local))
+        np.testing.assert_allclose(a, b, atol=1e-9)
+
+
 def test_extrapolation_leads_must_ascend(spark):
     df = cells_of(spark, [[1.0]])
     with pytest.raises(ValueError, match="ascending"):

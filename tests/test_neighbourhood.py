@@ -78,3 +78,12 @@ def test_frames_without_an_echo_are_left_out(spark):
     df = cells_of(spark, [[np.nan, np.nan]], 1).union(cells_of(spark, [[np.nan, 3.0]], 2))
     assert {r.k for r in C.fill_missing(df, ["k"]).collect()} == {2}
     assert [r.k for r in C.empty_frames(df, ["k"]).collect()] == [1]
+
+
+@pytest.mark.parametrize("tile", [9, 64])
+def test_fused_opening_and_scores_equal_the_single_steps(spark, raster, filled, tile):
+    opened = N.open_frames(cells_of(spark, raster), ["k"], 37, 45, tile)
+    single = N.morph_open(filled, ["k"], 37, 45, tile=tile)
+    assert rows(opened) == rows(single.select(*opened.columns))
+    fused = N.frame_corners(opened, N.level_range(opened, ["k"]), ["k"], 37, 45, tile=tile)
+    assert rows(fused) == rows(N.corner_score(C.rescale_to_byte(single, ["k"]), ["k"], 37, 45, tile=tile))
