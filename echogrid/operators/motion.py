@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.grid import coarse_size
-from .skew import attach_by_key, broadcast_if_small
+from .skew import attach_by_key, attach_settled
 from .neighbourhood import byte_levels
 from .tiles import (
     DEFAULT_TILE, Window, cogrouped, column_array, double_field, frame_tiles, int_field, map_tiles, map_tiles_with, window_of, with_halo, with_keys,
@@ -407,15 +407,16 @@ def extrapolate_vectors(
     and fills the velocities of its region itself, so no velocity is ever
     shuffled.  ``frames`` lists the frame sets; those without vectors stand still.
     Interpolated velocities are averages of vectors, so the fastest vector
-    bounds the travel and with it the halo.
+    bounds the travel and with it the halo.  Both small sides should be written
+    or checkpointed before, as they are read more than once.
     """
     names = list(keys)
     fastest = vectors.groupBy(*names).agg(F.max(F.greatest(F.abs("u"), F.abs("v"))).alias("speed"))
     packed = frames.select(*names).join(fastest, names, "left").join(pack_vectors(vectors, names), names, "left")
     reach = F.ceil(F.coalesce(F.col("speed"), F.lit(0.0)) * F.lit(float(leads[-1]))).cast("int") + 4 * max(grid_step, motion_step) + 2
     known = packed.select(*names, reach.alias("reach"), "vectors")
-    reaches = broadcast_if_small(known.select(*names, F.col("reach").alias("_reach")))
-    routed = values.where(F.col("value").isNotNull()).select(*names, "row", "col", "value").join(reaches, names)
+    reaches = known.select(*names, F.col("reach").alias("_reach"))
+    routed = attach_settled(values.where(F.col("value").isNotNull()).select(*names, "row", "col", "value"), reaches, names, ["row", "col"])
     tiled = with_halo(routed, tile, F.col("_reach"), height, width).select(*names, "tile_r", "tile_c", "row", "col", "value")
     sides = frame_tiles(known, tile, height, width)
     schema = T.StructType([*(values.schema[key] for key in names), int_field("lead"), int_field("row"), int_field("col"), double_field("value")])

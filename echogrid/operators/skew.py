@@ -41,3 +41,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataF
     if df.limit(limit + 1).count() <= limit:
         return F.broadcast(df)
     return df
+
+
+def attach_settled(
+    many: DataFrame, settled: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROW_LIMIT
+) -> DataFrame:
+    """:func:`attach_by_key` for a small side that is already written or checkpointed.
+
+    Counting such a side is cheap, so it is broadcast under ``limit`` rows, which
+    spares the many side its shuffle.  Above the limit the salted join is used.
+    """
+    if settled.limit(limit + 1).count() <= limit:
+        return many.join(F.broadcast(settled), list(keys), how)
+    return attach_by_key(many, settled, keys, spread, how)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import values as V
+from ..functions.projection import Crs
 from ..operators import motion as M
 from ..operators import neighbourhood as N
-from ..operators.skew import attach_by_key, broadcast_if_small
+from ..operators.raster import composite_to_grid
+from ..operators.skew import attach_by_key, attach_settled, broadcast_if_small
 from ..operators.tiles import DEFAULT_TILE
 from ..session import cut_lineage
 
@@ -48,6 +50,19 @@ def numbered_history(history: DataFrame, keys: Sequence[str]) -> DataFrame:
     return numbered.select(*keys, "frame_ts", (F.col("_i") + 1).alias("pos"), "last")
 
 
+def history_cells(
+    cells: DataFrame, history: DataFrame, targets: DataFrame, sources: DataFrame, source_crs: Mapping[str, Crs],
+    keys: Sequence[str] = ("product_id",), stamp: str = "frame_ts",
+) -> DataFrame:
+    """Input cells of the history frames, resampled onto each product's grid and merged.
+
+    Frames no product needs are dropped before the resampling join.
+    """
+    needed = cells.join(history.select(stamp).distinct(), stamp, "left_semi")
+    merged = composite_to_grid(needed, targets, sources, source_crs, keys, [stamp])
+    return merged.join(history.select(*keys, stamp), [*keys, stamp], "left_semi")
+
+
 def motion_vectors(
     cells: DataFrame, history: DataFrame, keys: Sequence[str], height: int, width: int,
     method: str = "lucas_kanade", tile: int = DEFAULT_TILE,
@@ -101,9 +116,10 @@ def nowcast(
     """
     check_method(method)
     leads = lead_minutes(minutes)
-    steps = history_steps(history, keys)
-    numbered = numbered_history(history, keys)
-    placed = attach_by_key(cells, numbered, [*keys, "frame_ts"], ["row", "col"])
+    # A few rows per issue, used throughout: written once.
+    numbered = cut_lineage(numbered_history(history, keys))
+    steps = history_steps(numbered, keys)
+    placed = attach_settled(cells, numbered, [*keys, "frame_ts"], ["row", "col"])
     vectors = _vectors(placed, keys, height, width, method, tile)
     # A few hundred rows per issue, read by the halo and by the velocities.
     per_minute = cut_lineage(

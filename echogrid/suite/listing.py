@@ -53,14 +53,11 @@ def first_href_per_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directory listings of file names: one page per input and day."""
-    source = files(spark, sf_dir)
-    line = F.concat(F.lit('<a href="'), "filename", F.lit('">'), "filename", F.lit("</a>"))
-    return (
-        source.groupBy("input_id", F.date_format("slot_ts", "yyyyMMdd").alias("day"))
-        .agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("_lines"))
-        .select("input_id", F.concat(F.lit("https://data.example/radar/"), "input_id", F.lit("/"), "day", F.lit("/")).alias("url"), F.col("_lines").alias("html"))
-    )
+    """Directory listings of file names: each event rewrites its day's page with its own line."""
+    day = F.date_format("slot_ts", "yyyyMMdd")
+    page = F.concat(F.lit('<html><a href="../">up</a>\n<a href="'), "filename", F.lit('">'), "filename", F.lit("</a></html>"))
+    url = F.concat(F.lit("https://data.example/radar/"), "input_id", F.lit("/"), day, F.lit("/"))
+    return files(spark, sf_dir).select("input_id", url.alias("url"), page.alias("html"))
 
 
 @query(
@@ -163,29 +160,32 @@ def lookback_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One store per customer nation: hourly axis of its order dates, frontier at a late order."""
+    """Fifty stores; each one's newest valid time comes from a late order."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
-    return (
-        orders.groupBy((F.col("o_custkey") % 50).alias("store_id"))
-        .agg(
-            F.array_sort(F.collect_set(F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000)).alias("axis"),
-            F.max(F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderdate"))).alias("_last"),
-        )
-        .select("store_id", "axis", F.when(F.col("store_id") % 11 != 0, F.timestamp_add("HOUR", F.lit(13), F.col("_last")) - F.expr("INTERVAL 30 DAYS")).alias("last_valid"))
-        .withColumns({"input_id": F.concat(F.lit("in"), F.col("store_id").cast("string")), "store_url": F.lit("https://store.example/radar.zarr"), "variable": F.lit("RR")})
+    last = orders.groupBy((F.col("o_custkey") % 50).alias("store_id")).agg(F.max(F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderdate"))).alias("_last"))
+    valid = F.timestamp_add("HOUR", F.lit(13), F.col("_last")) - F.expr("INTERVAL 30 DAYS")
+    return last.select(
+        "store_id", F.when(F.col("store_id") % 11 != 0, valid).alias("last_valid"), F.concat(F.lit("in"), F.col("store_id").cast("string")).alias("input_id"),
+        F.lit("https://store.example/radar.zarr").alias("store_url"), F.lit("RR").alias("variable"),
     )
 
 
-_STORES = """ax AS (SELECT store_id, axis_ts, CAST(row_number() OVER (PARTITION BY store_id ORDER BY axis_ts) - 1 AS INTEGER) AS idx FROM (SELECT DISTINCT o_custkey % 50 AS store_id, o_orderdate AS axis_ts FROM orders)),
+def store_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days each store has an order on, by day number."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    day = F.datediff("o_orderdate", F.lit("1990-01-01").cast("date"))
+    return orders.select((F.col("o_custkey") % 50).alias("store_id"), day.alias("idx"), F.col("o_orderdate").alias("axis_ts")).distinct()
+
+
+_STORES = """ax AS (SELECT DISTINCT o_custkey % 50 AS store_id, o_orderdate AS axis_ts, CAST(date_diff('day', TIMESTAMP '1990-01-01', o_orderdate) AS INTEGER) AS idx FROM orders),
 lv AS (SELECT o_custkey % 50 AS store_id, max(CASE WHEN o_orderkey % 7 = 0 THEN o_orderdate END) + INTERVAL 13 HOUR - INTERVAL 30 DAY AS last_valid FROM orders WHERE (o_custkey % 50) % 11 <> 0 GROUP BY ALL HAVING last_valid IS NOT NULL),
-fr AS (SELECT store_id, coalesce(max(CASE WHEN axis_ts <= last_valid THEN idx END), 0) AS frontier_idx FROM ax JOIN lv USING (store_id) GROUP BY ALL)"""
+fr AS (SELECT store_id, coalesce(max(CASE WHEN axis_ts <= last_valid THEN idx END), min(idx)) AS frontier_idx FROM ax JOIN lv USING (store_id) GROUP BY ALL)"""
 
 
 @query("asof_frontier", f"WITH {_STORES} SELECT fr.store_id, CAST(frontier_idx AS INTEGER) AS frontier_idx, axis_ts AS frontier_ts FROM fr JOIN ax ON ax.store_id = fr.store_id AND ax.idx = frontier_idx")
 def asof_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last axis entry at or before each store's newest valid time."""
-    source = stores(spark, sf_dir)
-    return chunks.frontier(chunks.axis_rows(source.select("store_id", "axis")), source)
+    return chunks.frontier(store_axis(spark, sf_dir), stores(spark, sf_dir))
 
 
 @query(
@@ -194,9 +194,8 @@ def asof_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     'in' || store_id || '_' || strftime(axis_ts, '%Y%m%d%H%M%S') || '.h5' AS filename FROM ax JOIN fr USING (store_id) WHERE idx <= frontier_idx AND idx > frontier_idx - 12""",
 )
 def store_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest twelve frames of each store."""
-    source = stores(spark, sf_dir)
-    frames = chunks.store_frames(chunks.axis_rows(source.select("store_id", "axis")), source, F.lit(chunks.DEFAULT_WINDOW))
+    """Frames of the newest twelve axis steps of each store."""
+    frames = chunks.store_frames(store_axis(spark, sf_dir), stores(spark, sf_dir), F.lit(chunks.DEFAULT_WINDOW))
     return frames.drop("metadata")
 
 
@@ -288,7 +287,7 @@ def discovery_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = catalog_inputs(spark).withColumn("enabled", F.col("input_id") != "error")
     listed = listing.listed_files(listing_pages(spark, sf_dir), config)
     source = stores(spark, sf_dir)
-    stored = chunks.store_frames(chunks.axis_rows(source.select("store_id", "axis")), source, F.lit(12))
+    stored = chunks.store_frames(store_axis(spark, sf_dir), source, F.lit(chunks.DEFAULT_WINDOW))
     ids = source.select("input_id", F.lit(True).alias("enabled"))
     both = config.select("input_id", "enabled").unionByName(ids)
     return discovery.discover([listed, stored], both, limit=10).drop("metadata")

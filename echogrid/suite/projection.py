@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import projection as P
 from ..operators import geometry as G
 from ..operators import raster as R
+from ..plans import nowcast as Now
 from . import query
 from .views import OBS, SETTLED, obs, settled, table
 
@@ -197,6 +199,20 @@ def resample_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(R.composite_to_grid(obs(spark, sf_dir), targets, sources, SOURCE_CRS, ["product_id"], ["k"]))
 
 
+@query(
+    "history_cells",
+    f"""WITH {_RESAMPLED}, h AS (SELECT DISTINCT s.product_id, k FROM obs JOIN s USING (input_id) QUALIFY dense_rank() OVER (PARTITION BY s.product_id ORDER BY k DESC) <= 3)
+    SELECT product_id, k, "row", "col", {SETTLED} FROM merged JOIN h USING (product_id, k)""",
+)
+def history_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three newest frames of each product on its grid, as a nowcast reads them."""
+    targets, sources = sampling_tables(spark)
+    known = obs(spark, sf_dir).select("input_id", "k").distinct().join(F.broadcast(sources.select("product_id", "input_id")), "input_id")
+    order = W.partitionBy("product_id").orderBy(F.col("k").desc())
+    history = known.select("product_id", "k").distinct().withColumn("n", F.row_number().over(order)).where("n <= 3").drop("n")
+    return settled(Now.history_cells(obs(spark, sf_dir), history, targets, sources, SOURCE_CRS, ["product_id"], "k"))
+
+
 @query("resample_ellipsoidal")
 def resample_ellipsoidal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with an equal-area and a transverse Mercator source."""

@@ -235,13 +235,13 @@ def cell_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "palette_validation",
-    f"""WITH {OBS}, p AS (SELECT input_id, k, list(DISTINCT value ORDER BY value) AS levels FROM obs WHERE isfinite(value) GROUP BY ALL)
+    f"""WITH {OBS}, p AS (SELECT input_id, k, list(DISTINCT floor(value / 4) * 4 ORDER BY floor(value / 4) * 4) AS levels FROM obs WHERE isfinite(value) GROUP BY ALL)
     SELECT input_id, k, CAST(len(levels) AS INTEGER) AS n_levels, len(levels) = 15 + 1 AS valid_asc, len(levels) <= 1 AND len(levels) = 15 + 1 AS valid_desc FROM p""",
 )
 def palette_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct values of a frame taken as palette levels: the check on each, and on its reverse."""
+    """The 4 dBZ steps a frame reaches taken as palette levels: the check on them, and on their reverse."""
     colours = F.array(*map(F.lit, registry.STANDARD_COLORS))
-    levels = obs(spark, sf_dir).where(V.is_echo(F.col("value"))).groupBy(*FRAME).agg(F.sort_array(F.collect_set("value")).alias("levels"))
+    levels = obs(spark, sf_dir).where(V.is_echo(F.col("value"))).groupBy(*FRAME).agg(F.sort_array(F.collect_set(F.floor(F.col("value") / 4) * 4.0)).alias("levels"))
     return levels.select(
         *FRAME, F.size("levels").alias("n_levels"),
         V.palette_is_valid(F.col("levels"), colours).alias("valid_asc"),
