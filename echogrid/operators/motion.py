@@ -65,8 +65,10 @@ def _clamped(array: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarra
     return array[np.clip(rows, 0, array.shape[0] - 1), np.clip(cols, 0, array.shape[1] - 1)]
 
 
-def block_match(pairs: DataFrame, keys: Sequence[str], height, width, block: int, radius: int, tile: int = DEFAULT_TILE) -> DataFrame:
-    """Best integer displacement of each ``block`` x ``block`` square.
+def block_match(
+    pairs: DataFrame, keys: Sequence[str], height: int, width: int, block: int, radius: int, tile: int = DEFAULT_TILE
+) -> DataFrame:
+    """Best integer displacement of each ``block`` x ``block`` square of every pair.
 
     Minimises the mean squared difference over the cells whose displaced
     position stays in the grid; ties go to the shortest, then to the smallest
@@ -77,7 +79,7 @@ def block_match(pairs: DataFrame, keys: Sequence[str], height, width, block: int
     moves = [(dr, dc) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1)]
     moves.sort(key=lambda move: (move[0] ** 2 + move[1] ** 2, move))
 
-    def fn(window: Window, table: pa.Table) -> dict[str, np.ndarray]:
+    def fn(window: Window, table: pa.Table, known: dict) -> dict[str, np.ndarray]:
         row, col = column_array(table, "row"), column_array(table, "col")
         prev = window.dense(row, col, np.nan_to_num(column_array(table, "prev")), fill=0.0)
         nxt = window.dense(row, col, np.nan_to_num(column_array(table, "next")), fill=0.0)
@@ -104,7 +106,7 @@ def block_match(pairs: DataFrame, keys: Sequence[str], height, width, block: int
 
     tiled = with_halo(pairs.select(*keys, "row", "col", "prev", "next"), tile, radius, height, width)
     fields = [int_field("block_r"), int_field("block_c"), int_field("dr"), int_field("dc"), double_field("cost")]
-    return map_tiles(tiled, keys, tile, fn, fields)
+    return map_tiles_with(tiled, pairs.select(*keys).distinct(), keys, tile, fn, fields, height, width, radius, empty_tiles=True)
 
 
 def _bilinear(array: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -121,12 +121,14 @@ def map_tiles_with(
     height: int,
     width: int,
     halo: int,
+    empty_tiles: bool = False,
 ) -> DataFrame:
     """Like :func:`map_tiles`, with the frame's row of ``per_frame`` as a dict.
 
     Per-frame values meet the tiles by cogrouping one small row per tile, so the
     cells need no join, and no shuffle, beyond the one that builds the tiles.
-    Frames without a row are left out.
+    Frames without a row are left out.  Tiles without a cell are too, unless
+    ``empty_tiles`` asks for them.
     """
     schema = T.StructType([*(tiled.schema[key] for key in keys), *fields])
     arrow = to_arrow_schema(schema)
@@ -134,7 +136,7 @@ def map_tiles_with(
     extra = [name for name in per_frame.columns if name not in names]
 
     def run(group_key: tuple[pa.Scalar, ...], table: pa.Table, side: pa.Table) -> pa.Table:
-        if table.num_rows == 0 or side.num_rows == 0:
+        if side.num_rows == 0 or (table.num_rows == 0 and not empty_tiles):
             return arrow.empty_table()
         tile_r, tile_c = (int(part.as_py()) for part in group_key[len(names) :])
         window = window_of(tile_r, tile_c, tile, halo, height, width)
