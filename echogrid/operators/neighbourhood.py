@@ -107,15 +107,23 @@ def byte_levels(value: np.ndarray, low: float, high: float) -> np.ndarray:
 
 def frame_corners(
     opened: DataFrame, ranges: DataFrame, keys: Sequence[str], height: int, width: int,
-    block_size: int = BLOCK_SIZE, buffer: int = NODATA_BUFFER, tile: int = DEFAULT_TILE,
+    block_size: int = BLOCK_SIZE, buffer: int = NODATA_BUFFER, tile: int = DEFAULT_TILE, candidates: bool = False,
 ) -> DataFrame:
-    """Corner scores straight from opened frames: levels are computed inside the tile."""
+    """Corner scores straight from opened frames: levels are computed inside the tile.
+
+    ``candidates`` returns only cells a feature may come from: free and with a
+    positive score, which leaves out the empty part of every frame.
+    """
     half, pad = block_size // 2, buffer // 2
     halo = max(half + 1, pad)
 
     def fn(window: Window, table: pa.Table, known: dict) -> dict[str, np.ndarray]:
         levels = byte_levels(column_array(table, "value"), known["low"], known["high"])
-        return _scored(window, table, levels, half, pad)
+        scored = _scored(window, table, levels, half, pad)
+        if candidates:
+            keep = ~scored["blocked"] & (scored["score"] > 0)
+            return {name: values[keep] for name, values in scored.items()}
+        return scored
 
     tiled = with_halo(opened.select(*keys, "row", "col", "value", "valid"), tile, halo, height, width)
     return map_tiles_with(tiled, ranges, keys, tile, fn, SCORE_FIELDS, height, width, halo)

@@ -87,7 +87,7 @@ def _vectors(placed: DataFrame, keys: Sequence[str], height: int, width: int, me
     # shared folder instead of being computed three times.
     opened = cut_lineage(N.open_frames(placed, frame, height, width, tile))
     ranges = N.level_range(opened, frame)
-    scores = N.frame_corners(opened.where(F.col("pos") < F.col("last")), ranges, frame, height, width, tile=tile)
+    scores = N.frame_corners(opened.where(F.col("pos") < F.col("last")), ranges, frame, height, width, tile=tile, candidates=True)
     features = N.select_features(scores, frame, height, width)
     vectors = track(opened, ranges, features, keys, height, width, tile=tile)
     return M.decluster(M.drop_outliers(vectors, keys), keys)

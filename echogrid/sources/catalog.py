@@ -54,9 +54,9 @@ def within_retention(now: Column | datetime | str) -> Column:
 def scan_catalog(files: DataFrame, inputs: DataFrame, now: Column | datetime | str | None = None) -> DataFrame:
     """The input index: ``(input_id, frame_ts, path, filename)``, one row per path.
 
-    Without ``now`` the cutoff counts from the current time.
+    Without ``now`` the cutoff counts from the current time, in UTC like the frames.
     """
-    reference = F.localtimestamp() if now is None else now
+    reference = F.convert_timezone(None, F.lit("UTC"), F.localtimestamp()) if now is None else now
     kept = usable_files(files, inputs).where(within_retention(reference))
     return kept.groupBy("input_id", "frame_ts", "path").agg(F.max("filename").alias("filename"))
 

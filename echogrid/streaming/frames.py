@@ -12,6 +12,7 @@ from ..plans import readiness
 from ..sources.catalog import as_time, usable_files
 
 RETENTION = "2 hours"
+CATALOG = "input_id STRING, frame_ts TIMESTAMP_NTZ, path STRING, filename STRING, batch_id BIGINT, frame_date DATE"
 
 
 def recent_frames(frames: DataFrame, now, retention_s: int = 7200) -> DataFrame:
@@ -69,11 +70,12 @@ def refresh_on_arrival(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = usable_files(batch, inputs).select("input_id", "frame_ts", "path", "filename")
-        fresh.write.mode("overwrite").parquet(f"{catalog_path}/batch_id={batch_id}")
-        added = spark.read.parquet(f"{catalog_path}/batch_id={batch_id}")
-        known = spark.read.option("basePath", catalog_path).parquet(catalog_path).drop("batch_id")
-        touched = known.join(added.select("frame_ts").distinct(), "frame_ts", "left_semi")
+        fresh = usable_files(batch, inputs).select("input_id", "frame_ts", "path", "filename", F.to_date("frame_ts").alias("frame_date"))
+        fresh.write.mode("overwrite").partitionBy("frame_date").parquet(f"{catalog_path}/batch_id={batch_id}")
+        catalog = spark.read.schema(CATALOG).option("basePath", catalog_path).parquet(catalog_path)
+        added = catalog.where(F.col("batch_id") == batch_id).select("frame_date", "frame_ts").distinct()
+        # The join on the date prunes the catalog to the days of this batch.
+        touched = catalog.join(added, ["frame_date", "frame_ts"], "left_semi")
         ready = readiness.ready_timestamps(touched, products, product_inputs)
         pending = readiness.pending_jobs(ready, products, outputs())
         pending.write.mode("overwrite").parquet(f"{jobs_path}/batch_id={batch_id}")

@@ -34,9 +34,11 @@ def _pooled(index: str, out: int, size: int = GRID) -> str:
     SELECT k, CAST(idx AS SMALLINT) AS idx, count(*) AS n FROM cls GROUP BY ALL""",
 )
 def palette_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Composite over inputs, pool by 1.5, classify with a missing-data slot, count per frame and bin."""
-    merged = C.max_cells(obs(spark, sf_dir), ["k"])
-    pooled = R.pool_max(merged, ["k"], F.lit(1.5), F.lit(GRID), F.lit(GRID))
+    """Composite over inputs, pool by 1.5, classify with a missing-data slot, count per frame and bin.
+
+    Composite and pooling are both maxima, so one aggregate does both.
+    """
+    pooled = R.pool_max(obs(spark, sf_dir), ["k"], F.lit(1.5), F.lit(GRID), F.lit(GRID))
     classes = R.classify(pooled, registry.STANDARD_LEVELS, nodata_fill=True)
     return classes.groupBy("k", "idx").agg(F.count(F.lit(1)).alias("n"))
 

@@ -87,3 +87,11 @@ def test_fused_opening_and_scores_equal_the_single_steps(spark, raster, filled,
     assert rows(opened) == rows(single.select(*opened.columns))
     fused = N.frame_corners(opened, N.level_range(opened, ["k"]), ["k"], 37, 45, tile=tile)
     assert rows(fused) == rows(N.corner_score(C.rescale_to_byte(single, ["k"]), ["k"], 37, 45, tile=tile))
+
+
+def test_candidates_give_the_same_features(spark, raster):
+    opened = N.open_frames(cells_of(spark, raster), ["k"], 37, 45, 16)
+    ranges = N.level_range(opened, ["k"])
+    every, some = (N.frame_corners(opened, ranges, ["k"], 37, 45, tile=16, candidates=flag) for flag in (False, True))
+    assert some.count() < every.count()
+    assert rows(N.select_features(some, ["k"], 37, 45)) == rows(N.select_features(every, ["k"], 37, 45))
