@@ -143,7 +143,7 @@ def topic_parts(topic: Column) -> Column:
 
 def is_json_object(payload: Column) -> Column:
     """True where the text parses as JSON and its top level is an object."""
-    return F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(payload)), F.lit("OBJECT")), F.lit(False))
+    return F.json_object_keys(payload).isNotNull()
 
 
 # Content types by file suffix.

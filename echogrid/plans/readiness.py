@@ -11,12 +11,13 @@ from ..functions import names
 def ready_timestamps(catalog: DataFrame, products: DataFrame, product_inputs: DataFrame) -> DataFrame:
     """Timestamps at which every input of an enabled product has a file.
 
-    Relational division: distinct (input, timestamp), joined to the small
-    product-input bridge, counted per (product, timestamp).
+    Relational division: distinct (input, timestamp), joined to the
+    product-input bridge, counted per (product, timestamp).  Products and bridge
+    are configuration, a few rows per product, and are broadcast.
     """
-    enabled = product_inputs.join(products.where("enabled").select("product_id"), "product_id", "left_semi")
+    enabled = product_inputs.join(F.broadcast(products.where("enabled").select("product_id")), "product_id", "left_semi")
     needed = enabled.groupBy("product_id").agg(F.countDistinct("input_id").alias("_needed"))
-    bridge = F.broadcast(enabled.select("product_id", "input_id").distinct().join(needed, "product_id"))
+    bridge = F.broadcast(enabled.select("product_id", "input_id").distinct().join(F.broadcast(needed), "product_id"))
     slots = catalog.select("input_id", "frame_ts").distinct()
     found = slots.join(bridge, "input_id").groupBy("product_id", "frame_ts", "_needed").agg(F.count(F.lit(1)).alias("_found"))
     return found.where(F.col("_found") == F.col("_needed")).select("product_id", "frame_ts")
@@ -43,9 +44,8 @@ def expected_outputs(frames: DataFrame, products: DataFrame) -> DataFrame:
 
 def expected_forecast_outputs(fields: DataFrame, forecasts: DataFrame, products: DataFrame) -> DataFrame:
     """Sidecar and variant names of stored forecast fields ``(forecast_id, issue_ts, lead_min)``."""
-    config = forecasts.select("forecast_id", "product_id").join(
-        products.select("product_id", "base_prefix", F.transform("variants", lambda v: v.getField("name")).alias("_names")), "product_id"
-    )
+    names_of = products.select("product_id", "base_prefix", F.transform("variants", lambda v: v.getField("name")).alias("_names"))
+    config = forecasts.select("forecast_id", "product_id").join(F.broadcast(names_of), "product_id")
     joined = fields.join(F.broadcast(config), "forecast_id")
     base = names.forecast_base_name(F.col("base_prefix"), F.col("issue_ts"), F.col("lead_min"))
     spread = joined.withColumn("base", base).withColumn("name", F.explode(names.output_file_names(F.col("base"), F.col("_names"))))

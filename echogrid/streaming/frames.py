@@ -35,7 +35,7 @@ def ready_stream(arrivals: DataFrame, product_inputs: DataFrame, horizon: str =
     """
     once = arrivals.withWatermark("frame_ts", horizon).dropDuplicatesWithinWatermark(["input_id", "frame_ts"])
     needed = product_inputs.groupBy("product_id").agg(F.bit_or(F.expr("shiftleft(1L, ord)")).alias("_all"))
-    bridge = F.broadcast(product_inputs.select("product_id", "input_id", "ord").join(needed, "product_id"))
+    bridge = F.broadcast(product_inputs.select("product_id", "input_id", "ord").join(F.broadcast(needed), "product_id"))
     routed = once.join(bridge, "input_id").withColumn("_bit", F.expr("shiftleft(1L, ord)"))
     seen = routed.groupBy("product_id", "frame_ts", "_all").agg(F.bit_or("_bit").alias("_seen"))
     return seen.where(F.col("_seen") == F.col("_all")).select("product_id", "frame_ts")

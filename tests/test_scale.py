@@ -72,3 +72,21 @@ def test_checkpoints_go_to_the_configured_folder(spark):
     df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
     assert df.agg(F.sum("x")).first()[0] == 90
     assert spark.sparkContext.getCheckpointDir().rstrip("/").rsplit("/", 1)[0].endswith(folder.rstrip("/")) or spark.conf.get("spark.checkpoint.dir", None)
+
+
+def test_task_functions_run_where_the_package_is_not_installed(tmp_path):
+    import subprocess
+    import sys
+
+    import numpy as np
+    from pyspark import cloudpickle
+
+    from echogrid.operators.neighbourhood import corner_scores
+    from echogrid.operators.tiles import window_of
+
+    window = window_of(0, 0, 16, 3, 16, 16)
+    level = np.arange(256.0).reshape(16, 16) % 7
+    (tmp_path / "task.bin").write_bytes(cloudpickle.dumps((corner_scores, window, level)))
+    script = "import pickle; f, w, a = pickle.load(open('task.bin', 'rb')); print(repr(float(f(a, w, 2).sum())))"
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert float(done.stdout) == float(corner_scores(level, window, 2).sum())
