@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding
+from . import exact_dedup, near_dedup, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,3 +49,10 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts of all documents; the largest doc_id of a group stays."""
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the smallest doc_id each can reach within four bits a link."""
+    found = near_dedup.groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
