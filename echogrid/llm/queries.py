@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, quality, sharding, token_counts
+from . import decontaminate, exact_dedup, near_dedup, pii, quality, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
 
+@register()
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, with a digest of the four base kinds."""
+    found = pii.spans(table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("spans"), pii.BASE_KINDS), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 @register()
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages of 13 words in all documents."""
