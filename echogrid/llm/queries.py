@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, pii, quality, sharding, token_counts
+from . import decontaminate, exact_dedup, near_dedup, pii, quality, segment, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,25 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+PIECES = "piece_bpe_32k.model"
+
+
+def segmentation_digest(encoded: DataFrame) -> DataFrame:
+    """Numbers and digests of encoded rows: ids of the best segmentation, scores of the first and last of the N best."""
+    alternatives = F.array_join(F.flatten(F.transform("changes", lambda c: F.transform(c, lambda e: F.concat_ws(":", e["at"].cast("string"), e["drop"].cast("string"), F.array_join(e["ids"], ","))))), ";")
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.size("scores").alias("n_best"), F.col("scores")[0].alias("best_score"),
+        F.element_at("scores", -1).alias("last_score"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2(alternatives, 256).alias("changes_sha256"), "round_trip",
+    )
+
+
+@register()
+def op3_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best segmentations of all documents under the 32k piece vocabulary."""
+    pieces = segment.read_model(public_tokenizers.path(PIECES))
+    return segmentation_digest(segment.encode(table(spark, sf_dir, "documents"), pieces, ["doc_id"]))
+
+
 @register()
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from the labelled ones outside the held-out fifth."""
