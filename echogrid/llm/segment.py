@@ -28,6 +28,7 @@ from . import text
 SCALE = 1 << 20  # scores are whole multiples of 1 / SCALE, so sums and ties are exact
 UNKNOWN_GAP = 10.0  # how far below the worst piece a character without a piece stands
 BEST = 4
+SLICE_BYTES = 2 << 20  # of text per lattice, whose edges take some hundred times that
 REMEMBERED = 50_000  # chunks whose segmentations a task keeps between runs of rows
 MARK = "▁".encode()
 _NONE = -(1 << 62)
@@ -365,7 +366,7 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[str], text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces, best)
-        for part in text.slices(batches, "body"):
+        for part in text.slices(batches, "body", SLICE_BYTES):
             found = encoder(part.column("body"))
             yield pa.RecordBatch.from_arrays([*(part.column(names[c]) for c in carry), *found.values()], [*names.values(), *found])
 

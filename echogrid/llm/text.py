@@ -52,16 +52,18 @@ class Words:
     def __init__(self, column: pa.Array, table: np.ndarray):
         data, rows = buffer(column)
         data = table[data]
-        held = np.zeros(len(data) + 1, bool)
-        held[:-1] = data != 32
-        fresh = held[:-1].copy()
-        fresh[1:] &= ~held[:-2]
+        held = data != 32
+        fresh = held.copy()
+        fresh[1:] &= ~held[:-1]
         edges = rows[:-1][np.diff(rows) > 0]
         fresh[edges] = held[edges]  # a word never runs on into the next row
         starts = np.flatnonzero(fresh)
-        self.packed = data[held[:-1]]
-        before = np.cumsum(held[:-1], dtype=np.int64)
-        self.offsets = np.append(before[starts] - 1, len(self.packed)).astype(np.int64)
+        # the last byte of a word is held, and what follows it is not or begins anew
+        final = held
+        final[:-1] &= ~held[1:] | fresh[1:]
+        self.packed = data[data != 32]
+        self.offsets = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(np.flatnonzero(final) + 1 - starts, out=self.offsets[1:])
         self.rows = np.searchsorted(starts, rows)
 
     def __len__(self) -> int:
