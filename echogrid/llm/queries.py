@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, pii, quality, segment, sharding, token_counts
+from . import decontaminate, exact_dedup, lm, near_dedup, pii, quality, segment, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register()
+def op1_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under a model of the documents outside the held-out tenth."""
+    return lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 SHARDS = 8
 
 
