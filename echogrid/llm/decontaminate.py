@@ -183,9 +183,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, carry: list[str], id_col: str =
     that share an id count once.  The blocks of the benchmark follow one
     another in the task that reads the row, which hands the matches on.
     """
-    names = {c: f"c{i}" for i, c in enumerate(carry)}
-    rows = docs.select(F.col(text_col).alias("body"), *[F.col(f"`{c}`").alias(names[c]) for c in carry])
-    kept = ", ".join(f"{names[c]} {f.dataType.simpleString()}" for c, f in zip(carry, rows.schema.fields[1:], strict=True))
+    rows, names, fields = text.carried(docs, text_col, carry)
+    held_body = "body" not in names.values()  # a carried text goes on to the next block by itself
     longs = pa.list_(pa.int64())
 
     def run_for(block: list[tuple[str, str | None]], first: bool, last: bool):
@@ -213,14 +212,14 @@ def judge(docs: DataFrame, benchmark: DataFrame, carry: list[str], id_col: str =
                     order = np.argsort(row, kind="stable")
                     at = pa.array(np.searchsorted(row[order], np.arange(n + 1)), pa.int32())
                     lists = [pa.ListArray.from_arrays(at, pa.array((x - shard.rows[row])[order], pa.int64())) for x in (start, end)]
-                    out += [part.column("body"), *(x.cast(longs) for x in lists), pa.array([sorted(o) for o in owned], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(out, [*names.values(), *(FINAL if last else PASSED)])
+                    out += [*([part.column("body")] * held_body), *(x.cast(longs) for x in lists), pa.array([sorted(o) for o in owned], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(out, [*names.values(), *(FINAL if last else PASSED[not held_body :])])
 
         return run
 
     held = blocks(benchmark)
     for k, block in enumerate(held):
         last = k == len(held) - 1
-        more = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else "body string, starts array<long>, ends array<long>, items array<string>"
-        rows = rows.mapInArrow(run_for(block, k == 0, last), ", ".join(x for x in (kept, more) if x))
-    return rows.select(*[F.col(names[c]).alias(c) for c in carry], *FINAL)
+        more = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else "body string, " * held_body + "starts array<long>, ends array<long>, items array<string>"
+        rows = rows.mapInArrow(run_for(block, k == 0, last), ", ".join([*fields, more]))
+    return text.uncarried(rows, names, *FINAL)

@@ -203,9 +203,7 @@ def spans(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFram
 
     Every whole text is read; null counts as empty and has no spans.
     """
-    names = {c: f"c{i}" for i, c in enumerate(carry)}
-    rows = docs.select(F.col(text_col).alias("body"), *[F.col(f"`{c}`").alias(names[c]) for c in carry])
-    fields = [f"{names[c]} {f.dataType.simpleString()}" for c, f in zip(carry, rows.schema.fields[1:], strict=True)]
+    rows, names, fields = words.carried(docs, text_col, carry)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +213,7 @@ def spans(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([*(part.column(names[c]) for c in carry), pa.array(found, kind)], [*names.values(), "spans"])
 
     found = rows.mapInArrow(run, ", ".join([*fields, "spans array<struct<kind:string,start:long,end:long>>"]))
-    return found.select(*[F.col(names[c]).alias(c) for c in carry], "spans")
+    return words.uncarried(found, names, "spans")
 
 
 def listed(found: Column, kinds: tuple[str, ...] = KINDS) -> Column:

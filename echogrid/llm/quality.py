@@ -171,9 +171,7 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
     by the bias alone.
     """
     gap, base = model.logits(), float(model.bias[1] - model.bias[0])
-    names = {c: f"c{i}" for i, c in enumerate(carry)}
-    rows = docs.select(F.col(text_col).alias("body"), *[F.col(f"`{c}`").alias(names[c]) for c in carry])
-    fields = [f"{names[c]} {f.dataType.simpleString()}" for c, f in zip(carry, rows.schema.fields[1:], strict=True)]
+    rows, names, fields = text.carried(docs, text_col, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text.slices(batches, "body"):
@@ -182,4 +180,4 @@ def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text
             yield pa.RecordBatch.from_arrays(out, [*names.values(), "score", "predicted"])
 
     scored = rows.mapInArrow(run, ", ".join([*fields, "score double, predicted int"]))
-    return scored.select(*[F.col(names[c]).alias(c) for c in carry], "score", "predicted")
+    return text.uncarried(scored, names, "score", "predicted")

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lm, near_dedup, pii, quality, segment, sharding, token_counts
+import corpus_pipeline
+
+from . import decontaminate, exact_dedup, lm, near_dedup, pii, quality, quotes, segment, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +95,32 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("spans"), pii.BASE_KINDS), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+@register(
+    r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, string_split_regex(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
+l AS (
+  SELECT conv_id, turn, length(p) - length(replace(p, '>', '')) AS lev, trim(lower(regexp_replace(regexp_replace(line, '^(\s?>)+', ''), '\s+', ' ', 'g'))) AS said
+  FROM (SELECT conv_id, turn, line, regexp_extract(line, '^(\s?>)+') AS p FROM (SELECT conv_id, turn, unnest(ls) AS line FROM m))),
+o AS (SELECT conv_id, said, min(turn) AS origin FROM l WHERE lev = 0 AND said <> '' GROUP BY ALL),
+v AS (SELECT l.conv_id, l.turn, lev, origin, count(*) AS n FROM l JOIN o USING (conv_id, said) WHERE lev > 0 AND said <> '' AND origin < l.turn GROUP BY ALL),
+k AS (SELECT conv_id, turn, sum(n)::BIGINT AS n_linked, arg_max(origin, {'a': -lev, 'b': n, 'c': origin}) AS parent FROM v GROUP BY ALL),
+up AS (SELECT conv_id, turn, parent AS root, 1 AS depth FROM k UNION ALL SELECT up.conv_id, up.turn, k.parent, depth + 1 FROM up JOIN k ON k.conv_id = up.conv_id AND k.turn = up.root),
+top AS (SELECT conv_id, turn, max_by(root, depth) AS root, max(depth) AS depth FROM up GROUP BY ALL),
+p AS (
+  SELECT m.conv_id, m.turn, role, text,
+    regexp_replace(array_to_string(list_filter(ls, lambda x, i: NOT regexp_matches(x, '^(\s?>)+')
+      AND NOT (regexp_matches(x, '^(?i:on|am|le|el|il) .*(?i:wrote|schrieb|a écrit|escribió|ha scritto)\s*:?\s*$') AND coalesce(regexp_matches(ls[i + 1], '^(\s?>)+'), false))), chr(10)), '^\n+|\n+$', '', 'g') AS body,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^(\s?>)+') AND trim(regexp_replace(x, '^(\s?>)+', '')) <> '')) AS n_quoted,
+    coalesce(n_linked, 0) AS n_linked, coalesce(parent, CASE WHEN m.turn > 0 THEN m.turn - 1 END) AS reply_to, coalesce(root, m.turn) AS thread, coalesce(depth, 0) AS depth
+  FROM m LEFT JOIN k ON k.conv_id = m.conv_id AND k.turn = m.turn LEFT JOIN top ON top.conv_id = m.conv_id AND top.turn = m.turn)
+SELECT conv_id, turn, role, body, n_quoted, n_linked, reply_to, thread, depth, row_number() OVER (PARTITION BY conv_id ORDER BY thread NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, text) - 1 AS position
+FROM p"""
+)
+def op7_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations without quotes, each message linked to what it answers."""
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 @register()
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages of 13 words in all documents."""
@@ -114,3 +142,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the smallest doc_id each can reach within four bits a link."""
     found = near_dedup.groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -360,9 +360,7 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[str], text_col: str = "t
     ``round_trip`` tells whether decoding gives the text again.  Null counts as
     empty: no ids, one segmentation of score 0.
     """
-    names = {c: f"c{i}" for i, c in enumerate(carry)}
-    rows = docs.select(F.col(text_col).alias("body"), *[F.col(f"`{c}`").alias(names[c]) for c in carry])
-    fields = [f"{names[c]} {f.dataType.simpleString()}" for c, f in zip(carry, rows.schema.fields[1:], strict=True)]
+    rows, names, fields = text.carried(docs, text_col, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces, best)
@@ -371,7 +369,7 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[str], text_col: str = "t
             yield pa.RecordBatch.from_arrays([*(part.column(names[c]) for c in carry), *found.values()], [*names.values(), *found])
 
     found = rows.mapInArrow(run, ", ".join([*fields, SCHEMA]))
-    return found.select(*[F.col(names[c]).alias(c) for c in carry], "ids", "scores", "changes", "round_trip")
+    return text.uncarried(found, names, "ids", "scores", "changes", "round_trip")
 
 
 def decode(rows: DataFrame, pieces: Pieces, carry: list[str], ids_col: str = "ids") -> DataFrame:
@@ -387,4 +385,4 @@ def decode(rows: DataFrame, pieces: Pieces, carry: list[str], ids_col: str = "id
             yield pa.RecordBatch.from_arrays([*(part.column(names[c]) for c in carry), pa.array([b.decode("utf-8", "replace") for b in back], pa.string())], [*names.values(), "text"])
 
     found = held.mapInArrow(run, ", ".join([*fields, "text string"]))
-    return found.select(*[F.col(names[c]).alias(c) for c in carry], "text")
+    return text.uncarried(found, names, "text")

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 8 << 20
 
@@ -84,3 +86,19 @@ def row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sum of each row's values; ``starts`` has one entry more than there are rows."""
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     return total[starts[1:]] - total[starts[:-1]]
+
+
+def carried(docs: DataFrame, text_col: str, carry: list[str]) -> tuple[DataFrame, dict[str, str], list[str]]:
+    """The text as ``body`` and the ``carry`` columns under names that cannot clash; those names, and their types for a schema.
+
+    A carried text column is ``body`` itself, so that a text travels once.
+    """
+    names = {c: "body" if c == text_col else f"c{i}" for i, c in enumerate(carry)}
+    rows = docs.select(F.col(f"`{text_col}`").alias("body"), *[F.col(f"`{c}`").alias(n) for c, n in names.items() if n != "body"])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows, names, [f"{n} {kinds[n]}" for n in names.values()]
+
+
+def uncarried(rows: DataFrame, names: dict[str, str], *more: str) -> DataFrame:
+    """The carried columns under their own names again, then ``more``."""
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()], *more)
