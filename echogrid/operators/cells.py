@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -80,28 +81,32 @@ def crop(cells: DataFrame, x_low: Column, y_low: Column, x_high: Column, y_high:
     return cells.where(F.col("x").between(x_low, x_high) & F.col("y").between(y_low, y_high))
 
 
-def frame_stats(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+def frame_stats(cells: DataFrame, keys: Sequence[str], size: Column | int) -> DataFrame:
     """Finite fraction, echo count, and minimum, median, mean, deviation, maximum of finite values.
 
-    Values are first counted per (frame, value), which combines before the
-    shuffle and spreads a large frame; the second stage sees distinct values only.
+    ``size`` is the number of cells of the whole grid; an absent row is a cell
+    without a value.  Values are first counted per (frame, value), which
+    combines before the shuffle and spreads a large frame; the second stage sees
+    distinct values only.  The deviation is summed around the mean, merged from
+    partial sums of the cells.
     """
     counted = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     echo = F.when(V.is_echo(F.col("value")), F.col("value"))
     n = F.col("n")
     echoes = F.sum(F.when(echo.isNotNull(), n).otherwise(0))
-    total, squares = F.sum(echo * n), F.sum(echo * echo * n)
-    variance = (squares - total * total / echoes) / (echoes - 1)
-    return counted.groupBy(*keys).agg(
+    total = F.sum(echo * n)
+    spread = cells.groupBy(*keys).agg(F.stddev_samp(echo).alias("stdev_value")).select(*[F.col(k).alias(f"_{k}") for k in keys], "stdev_value")
+    counts = counted.groupBy(*keys).agg(
         F.sum(n).alias("cells"),
         echoes.alias("echoes"),
-        (echoes / F.sum(n)).alias("finite_fraction"),
+        (echoes / (size if isinstance(size, Column) else F.lit(size))).alias("finite_fraction"),
         F.min(echo).alias("min_value"),
         F.percentile(echo, F.lit(0.5), F.when(echo.isNotNull(), n).otherwise(0)).alias("median_value"),
         F.when(echoes > 0, F.try_divide(total, echoes)).alias("mean_value"),
-        F.when(echoes > 1, F.sqrt(F.greatest(F.lit(0.0), variance))).alias("stdev_value"),
         F.max(echo).alias("max_value"),
     )
+    same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return counts.join(spread, same).select(*counts.columns[:-1], "stdev_value", "max_value")
 
 
 def fill_missing(cells: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -48,10 +48,10 @@ def wanted_forecasts(history: DataFrame, forecasts: DataFrame, products: DataFra
     return joined.join(open_issues, ["forecast_id", "issue_ts"], "left_semi")
 
 
-def latest_wanted(tasks: DataFrame, key: str, seq: str, issue: str) -> DataFrame:
-    """One pending task per key: the newest issue, then the last set."""
+def latest_wanted(tasks: DataFrame, key: str, seq: str) -> DataFrame:
+    """One pending task per key: the one that was set last, whatever its issue."""
     others = [name for name in tasks.columns if name != key]
-    chosen = F.max_by(F.struct(*others), F.struct(issue, seq)).alias("_task")
+    chosen = F.max_by(F.struct(*others), seq).alias("_task")
     return tasks.groupBy(key).agg(chosen).select(key, *[F.col(f"_task.{name}").alias(name) for name in others])
 
 
@@ -125,10 +125,9 @@ def batch_result(decoded: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stale_connections(messages: DataFrame, keys: list[str], now, stale_after_s: int = 600) -> DataFrame:
-    """Per connection: whether its last message is too old."""
+    """Per connection: whether its last message is older than the limit, to the microsecond."""
     last = messages.groupBy(*keys).agg(F.max("ts").alias("last_ts"))
-    age = F.timestamp_diff("SECOND", F.col("last_ts"), as_time(now))
-    return last.withColumn("stale", age > stale_after_s)
+    return last.withColumn("stale", F.col("last_ts") < F.timestamp_add("SECOND", F.lit(-stale_after_s), as_time(now)))
 
 
 def connection_stale(connected: Column, last_ts: Column, now: Column, stale_after_s: int = 600) -> Column:

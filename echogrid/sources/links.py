@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,66 +14,48 @@ from .catalog import as_time
 from .listing import dedupe_by_url
 
 LINK_TYPE = "application/x-odim"
-DEPTH = 8
+LINK_FIELDS = "pos: int, href: string, type: string, title: string, length: string"
 
-_LINK = "STRUCT<href: STRING, type: STRING, title: STRING, length: STRING>"
 
+def _as_text(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
 
-def _node(depth: int) -> str:
-    inner = "STRING" if depth == 0 else _node(depth - 1)
-    return f"STRUCT<links: ARRAY<{_LINK}>, coverages: ARRAY<{inner}>>"
 
+def _links_of(payload: str | None) -> list[dict]:
+    """Links of one payload: its own, then those of each nested coverage in turn, to any depth.
 
-def _links_of(node: Column, depth: int) -> Column:
-    own = F.coalesce(node.links, F.array().cast(f"array<{_LINK}>"))
-    if depth == 0:
-        return own
-    below = F.flatten(F.transform(F.coalesce(node.coverages, F.array()), lambda child: _links_of(child, depth - 1)))
-    return F.concat(own, F.coalesce(below, F.array().cast(f"array<{_LINK}>")))
-
-
-def _rest_of(node: Column, depth: int) -> Column:
-    empty = F.array().cast("array<string>")
-    if depth == 0:
-        return F.coalesce(node.coverages, empty)
-    below = F.flatten(F.transform(F.coalesce(node.coverages, F.array()), lambda child: _rest_of(child, depth - 1)))
-    return F.coalesce(below, empty)
-
-
-def payload_links(payloads: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """One row per link of the wanted type, own links first, then nested coverages.
-
-    The payload is parsed once against a schema ``depth`` coverages deep; what
-    lies deeper stays JSON text and is returned by :func:`deeper_payloads`.
-    Payloads that are not JSON objects are skipped.
+    Entries that are no objects, links of other types and links whose ``href``
+    is no text are passed over; what stands beside them counts.
+    """
+    try:
+        top = json.loads(payload) if payload is not None else None
+    except (ValueError, RecursionError):
+        return []
+    found, stack = [], [top]
+    while stack:
+        node = stack.pop()
+        if not isinstance(node, dict):
+            continue
+        own, nested = node.get("links"), node.get("coverages")
+        for link in own if isinstance(own, list) else ():
+            if isinstance(link, dict) and link.get("type") == LINK_TYPE and isinstance(link.get("href"), str):
+                found.append((link["href"], LINK_TYPE, _as_text(link.get("title")), _as_text(link.get("length"))))
+        stack.extend(reversed(nested if isinstance(nested, list) else ()))
+    return [dict(zip(("pos", "href", "type", "title", "length"), (pos, *link), strict=True)) for pos, link in enumerate(found)]
+
+
+def payload_links(payloads: DataFrame) -> DataFrame:
+    """One row per link of the wanted type, own links first, then nested coverages at any depth.
+
+    Payloads that are not JSON objects have no links.  Works on streams too.
     """
-    others = [name for name in payloads.columns if name != "payload"]
-    valid = payloads.where(names.is_json_object(F.col("payload")))
-    parsed = valid.withColumn("_node", F.from_json("payload", _node(depth)))
-    links = parsed.select(*others, F.posexplode(_links_of(F.col("_node"), depth)).alias("pos", "_link"))
-    wanted = links.where((F.col("_link.type") == LINK_TYPE) & F.col("_link.href").isNotNull())
-    return wanted.select(
-        *others, "pos", F.col("_link.href").alias("href"), F.col("_link.type").alias("type"),
-        F.col("_link.title").alias("title"), F.col("_link.length").alias("length"),
-    )
 
+    @F.pandas_udf(f"array<struct<{LINK_FIELDS}>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(_links_of)
 
-def deeper_payloads(payloads: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Coverages below the parsed depth, as payload rows of their own."""
     others = [name for name in payloads.columns if name != "payload"]
-    valid = payloads.where(names.is_json_object(F.col("payload")))
-    parsed = valid.withColumn("_node", F.from_json("payload", _node(depth)))
-    return parsed.select(*others, F.explode(_rest_of(F.col("_node"), depth)).alias("payload"))
-
-
-def payload_links_any_depth(payloads: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """All links however deep: parse again what was left, until nothing is left."""
-    found = payload_links(payloads, depth)
-    rest = deeper_payloads(payloads, depth)
-    while not rest.isEmpty():
-        found = found.unionByName(payload_links(rest, depth))
-        rest = deeper_payloads(rest, depth)
-    return found
+    return payloads.select(*others, F.explode(found(F.col("payload"))).alias("_link")).select(*others, "_link.*")
 
 
 def named_links(links: DataFrame, inputs: DataFrame) -> DataFrame:

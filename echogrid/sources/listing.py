@@ -3,31 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names
 
-# Comments, scripts and styles hold no links.
-_SKIPPED = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-_ANCHOR = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]+"|'[^']+'|[^\s"'>]+)"""
 _LINE_HREF = r'(?i)href="([^"]+)"'
-_ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+class _Anchors(HTMLParser):
+    """Collects the ``href`` of every anchor; a parser, because attributes may hold any character."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hrefs: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "a":
+            self.hrefs += [value for name, value in attrs if name == "href" and value]
+
+
+def _page_hrefs(html: str | None) -> list[str]:
+    page = _Anchors()
+    page.feed(html or "")
+    return page.hrefs
 
 
 def anchor_hrefs(html: Column) -> Column:
-    """The ``href`` of every anchor of a page, in order."""
-    raw = F.regexp_extract_all(F.regexp_replace(html, _SKIPPED, ""), F.lit(_ANCHOR), F.lit(1))
+    """The ``href`` of every anchor of a page, in order, entities decoded; empty ones are left out."""
 
-    def clean(value: Column) -> Column:
-        text = F.regexp_replace(value, r"""^["']|["']$""", "")
-        for entity, character in _ENTITIES:
-            text = F.replace(text, F.lit(entity), F.lit(character))
-        return text
+    @F.pandas_udf("array<string>")
+    def hrefs(pages: pd.Series) -> pd.Series:
+        return pages.map(_page_hrefs)
 
-    return F.transform(raw, clean)
+    return hrefs(html)
 
 
 def _without_dots(path: Column) -> Column:

@@ -30,14 +30,15 @@ def frame_counts(frames: DataFrame, ts: str, watermark: str | None = None) -> Da
 def ready_stream(arrivals: DataFrame, product_inputs: DataFrame, horizon: str = RETENTION) -> DataFrame:
     """(product_id, frame_ts) once every input of the product has arrived.
 
-    ``arrivals`` has (input_id, frame_ts TIMESTAMP).  Each group keeps one bit per
-    input, so state is a number; run it in update mode.
+    ``arrivals`` has (input_id, frame_ts TIMESTAMP).  Arrivals are deduplicated,
+    so each group counts its inputs and state is a number; any number of inputs
+    will do.  Run it in update mode.
     """
     once = arrivals.withWatermark("frame_ts", horizon).dropDuplicatesWithinWatermark(["input_id", "frame_ts"])
-    needed = product_inputs.groupBy("product_id").agg(F.bit_or(F.expr("shiftleft(1L, ord)")).alias("_all"))
-    bridge = F.broadcast(product_inputs.select("product_id", "input_id", "ord").join(F.broadcast(needed), "product_id"))
-    routed = once.join(bridge, "input_id").withColumn("_bit", F.expr("shiftleft(1L, ord)"))
-    seen = routed.groupBy("product_id", "frame_ts", "_all").agg(F.bit_or("_bit").alias("_seen"))
+    pairs = product_inputs.select("product_id", "input_id").distinct()
+    needed = pairs.groupBy("product_id").agg(F.count(F.lit(1)).alias("_all"))
+    routed = once.join(pairs.join(needed, "product_id"), "input_id")
+    seen = routed.groupBy("product_id", "frame_ts", "_all").agg(F.count(F.lit(1)).alias("_seen"))
     return seen.where(F.col("_seen") == F.col("_all")).select("product_id", "frame_ts")
 
 

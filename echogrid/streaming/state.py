@@ -6,33 +6,21 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STALE_AFTER_MS = 600_000
 
 
 def newest_issue_stream(tasks: DataFrame) -> DataFrame:
-    """Per batch and forecast: the newest issue so far and whether this batch brought it.
+    """Per batch and forecast that it touches: the newest issue so far, run in update mode.
 
-    ``tasks`` has (forecast_id, issue_ts TIMESTAMP, seq).  State is one time and
-    one number per forecast; results older than it are superseded.
+    ``tasks`` has (forecast_id, issue_ts TIMESTAMP, seq).  A streaming maximum:
+    batches are combined before the shuffle, state is one time and one number
+    per forecast; results older than it are superseded.
     """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get if state.exists else None
-        best = known
-        for batch in batches:
-            top = batch.sort_values(["issue_ts", "seq"]).iloc[-1]
-            candidate = (int(top["issue_ts"].value // 1000), int(top["seq"]))
-            best = candidate if best is None or candidate > tuple(best) else best
-        state.update(tuple(best))
-        yield pd.DataFrame(
-            {"forecast_id": [key[0]], "issue_us": [best[0]], "seq": [best[1]], "renewed": [known is None or tuple(best) > tuple(known)]}
-        )
-
-    return tasks.groupBy("forecast_id").applyInPandasWithState(
-        update, "forecast_id STRING, issue_us BIGINT, seq BIGINT, renewed BOOLEAN", "issue_us BIGINT, seq BIGINT", "update", GroupStateTimeout.NoTimeout
-    )
+    newest = tasks.groupBy("forecast_id").agg(F.max(F.struct("issue_ts", "seq")).alias("_n"))
+    return newest.select("forecast_id", F.col("_n.issue_ts").alias("issue_ts"), F.col("_n.seq").alias("seq"))
 
 
 def staleness_stream(messages: DataFrame, key: str, stale_after_ms: int = STALE_AFTER_MS) -> DataFrame:

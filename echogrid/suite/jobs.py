@@ -232,10 +232,10 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TASKS = "t AS (SELECT 'f' || (user_id % 40) AS forecast_id, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * ((event_id * 7) % 9000 * 5) AS issue_ts, event_id AS seq FROM events)"
 
 
-@query("latest_issue", f"WITH {_TASKS} SELECT forecast_id, issue_ts, seq FROM t QUALIFY row_number() OVER (PARTITION BY forecast_id ORDER BY issue_ts DESC, seq DESC) = 1")
+@query("latest_issue", f"WITH {_TASKS} SELECT forecast_id, issue_ts, seq FROM t QUALIFY row_number() OVER (PARTITION BY forecast_id ORDER BY seq DESC) = 1")
 def latest_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pending task per forecast: its newest issue."""
-    return jobs.latest_wanted(tasks(spark, sf_dir), "forecast_id", "seq", "issue_ts")
+    """One pending task per forecast: the one set last."""
+    return jobs.latest_wanted(tasks(spark, sf_dir), "forecast_id", "seq")
 
 
 @query("superseded_filter", f"WITH {_TASKS} SELECT forecast_id, issue_ts, seq FROM t WHERE issue_ts = (SELECT max(issue_ts) FROM t u WHERE u.forecast_id = t.forecast_id)")
@@ -302,7 +302,7 @@ def sync_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.sync_status(attempts)
 
 
-@query("staleness", f"SELECT user_id, max(ts) AS last_ts, date_diff('microsecond', max(ts), TIMESTAMP '{NOW}') > 600999999 AS stale FROM events GROUP BY user_id")
+@query("staleness", f"SELECT user_id, max(ts) AS last_ts, max(ts) < TIMESTAMP '{NOW}' - INTERVAL 600 SECOND AS stale FROM events GROUP BY user_id")
 def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections whose last message is more than ten minutes old."""
     return jobs.stale_connections(table(spark, sf_dir, "events"), ["user_id"], NOW)

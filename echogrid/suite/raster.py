@@ -297,13 +297,13 @@ def grid_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "frame_stats",
     f"""WITH {CELLS} SELECT input_id, k, count(*) AS cells, count(CASE WHEN isfinite(value) THEN 1 END) AS echoes,
-    round(avg(CASE WHEN isfinite(value) THEN 1.0 ELSE 0.0 END), 6) AS finite_fraction, min(CASE WHEN isfinite(value) THEN value END) AS min_value,
+    round(count(CASE WHEN isfinite(value) THEN 1 END) / {GRID * GRID}.0, 6) AS finite_fraction, min(CASE WHEN isfinite(value) THEN value END) AS min_value,
     median(CASE WHEN isfinite(value) THEN value END) AS median_value, round(avg(CASE WHEN isfinite(value) THEN value END), 6) AS mean_value,
     round(stddev_samp(CASE WHEN isfinite(value) THEN value END), 6) AS stdev_value, max(CASE WHEN isfinite(value) THEN value END) AS max_value
     FROM cells GROUP BY ALL""",
 )
 def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = C.frame_stats(C.max_cells(obs(spark, sf_dir), FRAME), FRAME)
+    stats = C.frame_stats(C.max_cells(obs(spark, sf_dir), FRAME), FRAME, GRID * GRID)
     return stats.withColumns({name: F.round(F.col(name), 6) for name in ("finite_fraction", "mean_value", "stdev_value")})
 
 
@@ -424,7 +424,7 @@ def corner_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "feature_selection",
-    f"""WITH {_SCORES.replace("range(-2, 3) t(i)),\nbad AS", "range(-2, 3) t(i)),\nbad AS")}, free AS (SELECT *, r > 0 AND r < 31 AND c > 0 AND c < 31 AS inner_cell FROM score WHERE NOT blocked),
+    f"""WITH {_SCORES}, free AS (SELECT *, r > 0 AND r < 31 AND c > 0 AND c < 31 AS inner_cell FROM score WHERE NOT blocked),
     top AS (SELECT k, max(score) AS frame_max FROM free GROUP BY k),
     best AS (SELECT *, row_number() OVER (PARTITION BY k, r // 10, c // 10 ORDER BY score DESC, r, c) AS pos FROM free WHERE inner_cell)
     SELECT k, r AS "row", c AS "col", round(score, 3) AS score, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, r, c) AS INTEGER) AS rank

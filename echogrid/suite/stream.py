@@ -99,8 +99,8 @@ def stream_latest_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"),
     )
     updates = drained(St.newest_issue_stream(tasks), "update")
-    newest = updates.groupBy("forecast_id").agg(F.max_by(F.struct("issue_us", "seq"), "batch_id").alias("_s"))
-    return newest.select("forecast_id", F.timestamp_micros("_s.issue_us").cast("timestamp_ntz").alias("issue_ts"), F.col("_s.seq").alias("seq"))
+    newest = updates.groupBy("forecast_id").agg(F.max_by(F.struct("issue_ts", "seq"), "batch_id").alias("_s"))
+    return newest.select("forecast_id", F.col("_s.issue_ts").cast("timestamp_ntz").alias("issue_ts"), F.col("_s.seq").alias("seq"))
 
 
 @query(

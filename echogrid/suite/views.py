@@ -186,6 +186,12 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.select(*notification_columns(), "event_id", "user_id")
 
 
+# A good link stands beside entries that are none, or twelve coverages deep.
+_JUNK_BEFORE = '{"links":["x",null,7,{"type":"application/x-odim","href":5},{"type":"text/html","href":"https://h/a@0@DBZH.h5"},'
+_DEEP_BEFORE = '{"links":[],"coverages":["y",' * 12 + '{"links":['
+_DEEP_AFTER = "]}" + "]}" * 12
+
+
 def notification_columns():
     floor_ts = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 300) * 300)
     location = F.when(F.col("user_id") % 3 == 0, "0-20010-0-OPERA").otherwise("0-20000-0-OTHER")
@@ -201,8 +207,8 @@ def notification_columns():
     payload = (
         F.when(F.col("event_id") % 13 == 0, F.concat(F.lit("["), link, F.lit("]")))
         .when(F.col("event_id") % 17 == 0, F.lit("not json"))
-        .when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"links":['), link, F.lit("]}")))
-        .otherwise(F.concat(F.lit('{"links":[],"coverages":[{"coverages":[{"links":['), link, F.lit("]}]}]}")))
+        .when(F.col("event_id") % 2 == 0, F.concat(F.lit(_JUNK_BEFORE), link, F.lit("]}")))
+        .otherwise(F.concat(F.lit(_DEEP_BEFORE), link, F.lit(_DEEP_AFTER)))
     )
     topic = F.concat(F.lit("ORD/eu.eumetnet/"), location, F.lit("/"), quantity)
     topic = F.when(F.col("event_id") % 19 == 0, F.concat(topic, F.lit("/extra"))).otherwise(topic)
@@ -212,8 +218,7 @@ def notification_columns():
 NOTES = """notes AS (
   SELECT event_id, user_id, ts, topic, link, loc, qty,
          CASE WHEN event_id % 13 = 0 THEN '[' || link || ']' WHEN event_id % 17 = 0 THEN 'not json'
-              WHEN event_id % 2 = 0 THEN '{"links":[' || link || ']}'
-              ELSE '{"links":[],"coverages":[{"coverages":[{"links":[' || link || ']}]}]}' END AS payload, href
+              ELSE '{}' END AS payload, href
   FROM (SELECT *, 'ORD/eu.eumetnet/' || loc || '/' || qty || CASE WHEN event_id % 19 = 0 THEN '/extra' ELSE '' END AS topic,
                '{"href":"' || href || '","type":"application/x-odim","title":"t' || (event_id % 3) || '","length":"' || (event_id % 100) || '"}' AS link
         FROM (SELECT *, 'https://store.example/' || event_type || '@' ||

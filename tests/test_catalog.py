@@ -109,10 +109,10 @@ def test_job_order(spark, products):
     assert got == [("fast", "2000"), ("one", "2110"), ("one", "2105"), ("two", "2105")]
 
 
-def test_newest_issue_wins(spark):
+def test_last_set_task_wins_and_older_results_are_superseded(spark):
     tasks = frame(spark, [("f", "2026-06-05 21:05:00", 1), ("f", "2026-06-05 21:10:00", 2), ("f", "2026-06-05 21:00:00", 3)], "forecast_id string, issue_ts string, seq int", "issue_ts")
-    row = jobs.latest_wanted(tasks, "forecast_id", "seq", "issue_ts").first()
-    assert (row.issue_ts, row.seq) == (ts("2026-06-05 21:10"), 2)
+    row = jobs.latest_wanted(tasks, "forecast_id", "seq").first()
+    assert (row.issue_ts, row.seq) == (ts("2026-06-05 21:00"), 3), "the last one set, though an older issue"
     assert [r.seq for r in jobs.drop_superseded(tasks, "forecast_id", "issue_ts").collect()] == [2]
 
 
@@ -226,8 +226,13 @@ def nested(depth, inner):
 def test_links_at_any_depth(spark):
     payloads = [(0, f'{{"links":[{link("a")},{link("b", "text/html")}]}}'), (1, "[]"), (2, "not json"), (3, nested(3, f'{{"links":[{link("deep3")}]}}')), (4, nested(20, f'{{"links":[{link("deep20")}]}}'))]
     df = spark.createDataFrame(payloads, "id int, payload string")
-    assert sorted((r.id, r.href.rsplit("/", 1)[1]) for r in links.payload_links(df).collect()) == [(0, "a"), (3, "deep3")]
-    assert sorted((r.id, r.href.rsplit("/", 1)[1]) for r in links.payload_links_any_depth(df).collect()) == [(0, "a"), (3, "deep3"), (4, "deep20")]
+    assert sorted((r.id, r.href.rsplit("/", 1)[1]) for r in links.payload_links(df).collect()) == [(0, "a"), (3, "deep3"), (4, "deep20")]
+
+
+def test_junk_beside_a_link_is_passed_over(spark):
+    odd = f'{{"links":["x",null,3,[],{{"type":"application/x-odim","href":5}},{link("good")}],"coverages":[1,null,{{"links":{{}},"coverages":3}},{{"links":[{link("below")}]}}]}}'
+    df = spark.createDataFrame([(1, odd), (2, None), (3, "{}"), (4, '"text"')], "id int, payload string")
+    assert [(r.id, r.pos, r.href, r.length) for r in links.payload_links(df).collect()] == [(1, 0, "https://h/good", "3"), (1, 1, "https://h/below", "3")]
 
 
 def test_link_files_need_quantity_suffix_and_time(spark):
@@ -269,3 +274,9 @@ def test_registry(spark):
     assert [p for p, r in rows.items() if r.nodata_rgba] == ["it", "md"]
     assert (rows["cz"].priority, rows["sk"].priority, rows["de"].priority) == (0, 5, 10)
     assert registry.product_inputs(spark).where("product_id = 'it'").count() == 2
+
+
+def test_staleness_counts_fractions_of_a_second(spark):
+    rows = frame(spark, [("a", "2026-06-05 20:55:00"), ("b", "2026-06-05 20:54:59.5"), ("c", "2026-06-05 20:54:59")], "conn string, ts string", "ts")
+    got = {r.conn: r.stale for r in jobs.stale_connections(rows, ["conn"], "2026-06-05 21:05:00").collect()}
+    assert got == {"a": False, "b": True, "c": True}

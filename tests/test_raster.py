@@ -189,8 +189,10 @@ def test_resampling_matches_numpy(spark):
 def test_frame_statistics(spark):
     array = np.array([[1.0, 2.0, np.nan], [4.0, 4.0, 9.5]])
     extra = spark.createDataFrame([(0, 5, 5, float("-inf"))], CELL)
-    row = C.frame_stats(cells_of(spark, array).union(extra), ["k"]).first()
+    row = C.frame_stats(cells_of(spark, array).union(extra), ["k"], 20).first()
     finite = array[np.isfinite(array)]
-    assert (row.cells, row.echoes) == (7, 5)
+    assert (row.cells, row.echoes, row.finite_fraction) == (7, 5, 0.25), "absent rows are cells without a value"
+    close = spark.createDataFrame([(0, 0, 0, 1e8), (0, 0, 1, 1e8 + 0.001)], CELL)
+    assert C.frame_stats(close, ["k"], 4).first().stdev_value == pytest.approx(0.001 / 2**0.5, rel=1e-3)
     assert row.median_value == np.median(finite)
     assert row.stdev_value == pytest.approx(finite.std(ddof=1))

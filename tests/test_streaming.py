@@ -122,8 +122,8 @@ def test_newest_issue_state(spark, tmp_path):
     source.add([("f", "2026-06-05 21:00:00", 3)])
     source.add([("f", "2026-06-05 21:10:00", 4)])
     seen = []
-    run(St.newest_issue_stream(source.stream()).select("forecast_id", "seq", "renewed"), "update", tmp_path / "c", seen)
-    assert [row for row in seen if row[0] == "f"] == [("f", 1, True), ("f", 1, False), ("f", 4, True)]
+    run(St.newest_issue_stream(source.stream()).select("forecast_id", "seq"), "update", tmp_path / "c", seen)
+    assert [row for row in seen if row[0] == "f"] == [("f", 1), ("f", 1), ("f", 4)]
 
 
 def test_silent_connections_turn_stale(spark, tmp_path):
@@ -148,3 +148,12 @@ def test_silent_connections_turn_stale(spark, tmp_path):
 def test_recent_frames_keep_the_boundary(spark):
     df = spark.createDataFrame([("2026-06-05 19:05:00",), ("2026-06-05 19:04:59",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("frame_ts"))
     assert Fr.recent_frames(df, "2026-06-05 21:05:00").count() == 1
+
+
+def test_readiness_of_seventy_inputs(spark, tmp_path):
+    source = Source(spark, tmp_path / "in", "input_id STRING, frame_ts TIMESTAMP")
+    source.add([(f"i{k}", "2026-06-05 21:05:00") for k in range(69)] + [(f"i{k}", "2026-06-05 21:10:00") for k in range(70)])
+    seen = []
+    bridge = spark.createDataFrame([("wide", f"i{k}", k % 7) for k in range(70)], schema.PRODUCT_INPUTS)
+    run(Fr.ready_stream(source.stream(), bridge).select("product_id", F.date_format("frame_ts", "HHmm")), "update", tmp_path / "c", seen)
+    assert seen == [("wide", "2110")]
