@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.grid import coarse_size
-from .skew import attach_by_key, attach_settled
+from .skew import attach_by_key
 from .neighbourhood import byte_levels
 from .tiles import (
     DEFAULT_TILE, Window, cogrouped, column_array, double_field, frame_tiles, int_field, map_tiles, map_tiles_with, window_of, with_halo, with_keys,
@@ -266,22 +266,29 @@ def drop_outliers(vectors: DataFrame, keys: Sequence[str], std: float = OUTLIER_
         keep = np.ones(len(x), dtype=bool)
         data = np.stack([u, v], axis=1)
         k = min(neighbours + 1, len(x))
-        for i in range(len(x)) if k > 3 else ():
-            near = np.argsort((x - x[i]) ** 2 + (y - y[i]) ** 2, kind="stable")
-            around = data[[j for j in near[: k + 1] if j != i][: k - 1]]
-            covariance = np.cov(around.T)
-            delta = data[i] - around.mean(axis=0)
-            det = covariance[0, 0] * covariance[1, 1] - covariance[0, 1] ** 2
-            if det > 1e-12:
-                keep[i] = np.sqrt(delta @ np.linalg.solve(covariance, delta)) <= std
-            else:
-                spread = np.sqrt(np.maximum(np.diag(covariance), 0.0))
-                keep[i] = bool(np.all(np.abs(delta) <= std * spread + 1e-9))
+        for start in range(0, len(x), 512) if k > 3 else ():
+            keep[start : start + 512] = _close_to_neighbours(x, y, data, np.arange(start, min(start + 512, len(x))), k - 1, std)
         return with_keys(arrow, names, group_key, {"x": x[keep], "y": y[keep], "u": u[keep], "v": v[keep]})
 
     return vectors.groupBy(*names).applyInArrow(run, schema)
 
 
+def _close_to_neighbours(x: np.ndarray, y: np.ndarray, data: np.ndarray, at: np.ndarray, count: int, std: float) -> np.ndarray:
+    """Whether the vectors ``at`` lie within ``std`` deviations of their ``count`` nearest others."""
+    squared = (x[at, None] - x) ** 2 + (y[at, None] - y) ** 2
+    squared[np.arange(len(at)), at] = np.inf
+    around = data[nearest_first(squared, count)]
+    delta = data[at] - around.mean(axis=1)
+    off = around - around.mean(axis=1, keepdims=True)
+    covariance = np.einsum("npi,npj->nij", off, off) / (count - 1)
+    a, b, c = covariance[:, 0, 0], covariance[:, 0, 1], covariance[:, 1, 1]
+    det = a * c - b * b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        distance = np.sqrt((c * delta[:, 0] ** 2 - 2 * b * delta[:, 0] * delta[:, 1] + a * delta[:, 1] ** 2) / det)
+    spread = np.sqrt(np.maximum(np.stack([a, c], axis=1), 0.0))
+    return np.where(det > 1e-12, distance <= std, np.all(np.abs(delta) <= std * spread + 1e-9, axis=1))
+
+
 def decluster(vectors: DataFrame, keys: Sequence[str], scale: int = DECLUSTER_SCALE) -> DataFrame:
     """One median vector per ``scale`` x ``scale`` square."""
     by_square = vectors.groupBy(*keys, F.floor(F.col("x") / scale).alias("_cx"), F.floor(F.col("y") / scale).alias("_cy"))
@@ -300,6 +307,19 @@ def pack_vectors(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
     return vectors.groupBy(*keys).agg(packed.alias("vectors"))
 
 
+def nearest_first(squared: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the ``k`` smallest values of each row, ascending; equal values keep their order."""
+    if k >= squared.shape[1]:
+        return np.argsort(squared, axis=1, kind="stable")
+    edge = np.partition(squared, k - 1, axis=1)[:, k - 1 : k]
+    below, tied = squared < edge, squared == edge
+    room = k - below.sum(axis=1, keepdims=True)
+    chosen = below | (tied & (np.cumsum(tied, axis=1) <= room))
+    found = np.nonzero(chosen)[1].reshape(len(squared), k)
+    order = np.argsort(np.take_along_axis(squared, found, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(found, order, axis=1)
+
+
 def idw_values(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, data: np.ndarray, mean_res: float, k: int = IDW_NEIGHBOURS, power: float = IDW_POWER, offset: float = IDW_OFFSET) -> np.ndarray:
     """Inverse-distance values at (x, y) from points; equal distances keep the point order."""
     if len(px) == 1 or data.max() == data.min():
@@ -309,7 +329,7 @@ def idw_values(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, dat
     for start in range(0, len(x), 4096):
         part = slice(start, start + 4096)
         squared = (x[part, None] - px[None, :]) ** 2 + (y[part, None] - py[None, :]) ** 2
-        near = np.argsort(squared, axis=1, kind="stable")[:, :k]
+        near = nearest_first(squared, k)
         distance = np.sqrt(np.take_along_axis(squared, near, axis=1))
         weight = (distance / mean_res + offset) ** -power
         out[part] = (weight[:, :, None] * data[near]).sum(axis=1) / weight.sum(axis=1, keepdims=True)
@@ -418,7 +438,7 @@ def extrapolate_vectors(
     reach = F.ceil(F.coalesce(F.col("speed"), F.lit(0.0)) * F.lit(float(leads[-1]))).cast("int") + 4 * max(grid_step, motion_step) + 2
     known = packed.select(*names, reach.alias("reach"), "vectors")
     reaches = known.select(*names, F.col("reach").alias("_reach"))
-    routed = attach_settled(values.where(F.col("value").isNotNull()).select(*names, "row", "col", "value"), reaches, names, ["row", "col"])
+    routed = attach_by_key(values.where(F.col("value").isNotNull()).select(*names, "row", "col", "value"), reaches, names, ["row", "col"])
     tiled = with_halo(routed, tile, F.col("_reach"), height, width).select(*names, "tile_r", "tile_c", "row", "col", "value")
     sides = frame_tiles(known, tile, height, width)
     schema = T.StructType([*(values.schema[key] for key in names), int_field("lead"), int_field("row"), int_field("col"), double_field("value")])

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .skew import attach_by_key
 from ..functions import values as V
 from .tiles import (
-    DEFAULT_TILE, Window, bool_field, column_array, double_field, int_field, map_tiles, map_tiles_with, with_halo,
+    DEFAULT_TILE, Window, bool_field, column_array, double_field, int_field, map_tiles, map_tiles_with, with_halo, with_keys,
 )
 
 # Feature selection defaults.
@@ -111,8 +112,8 @@ def frame_corners(
 ) -> DataFrame:
     """Corner scores straight from opened frames: levels are computed inside the tile.
 
-    ``candidates`` returns only cells a feature may come from: free and with a
-    positive score, which leaves out the empty part of every frame.
+    ``candidates`` returns only cells with a positive score, which leaves out
+    the empty part of every frame.
     """
     half, pad = block_size // 2, buffer // 2
     halo = max(half + 1, pad)
@@ -121,7 +122,7 @@ def frame_corners(
         levels = byte_levels(column_array(table, "value"), known["low"], known["high"])
         scored = _scored(window, table, levels, half, pad)
         if candidates:
-            keep = ~scored["blocked"] & (scored["score"] > 0)
+            keep = scored["score"] > 0
             return {name: values[keep] for name, values in scored.items()}
         return scored
 
@@ -228,6 +229,22 @@ def _scored(window: Window, table: pa.Table, levels: np.ndarray, half: int, pad:
     }
 
 
+def _spaced_peaks(row: np.ndarray, col: np.ndarray, score: np.ndarray, free: np.ndarray, spacing: float, limit: int) -> np.ndarray:
+    """Indices of free local maxima, best first, each at least ``spacing`` cells from those before it."""
+    r0, c0 = row.min(), col.min()
+    field = np.full((row.max() - r0 + 3, col.max() - c0 + 3), -np.inf)
+    field[row - r0 + 1, col - c0 + 1] = score
+    around = np.max([_shifted(field, dr, dc, -np.inf) for dr in (-1, 0, 1) for dc in (-1, 0, 1)], axis=0)
+    left = np.flatnonzero(free & (score >= around[row - r0 + 1, col - c0 + 1]))
+    left = left[np.lexsort((col[left], row[left], -score[left]))]
+    kept = []
+    while len(left) and len(kept) < limit:
+        best = left[0]
+        kept.append(best)
+        left = left[(row[left] - row[best]) ** 2 + (col[left] - col[best]) ** 2 >= spacing * spacing]
+    return np.array(kept, np.int64)
+
+
 def select_features(
     scores: DataFrame,
     keys: Sequence[str],
@@ -237,28 +254,25 @@ def select_features(
     spacing: int = MIN_DISTANCE,
     limit: int = MAX_CORNERS,
 ) -> DataFrame:
-    """Best cell per spacing block, above a share of the frame's best score, best ``limit`` per frame.
+    """Corners above a share of the frame's best free score, best first, no two closer than ``spacing``; ``limit`` per frame.
 
-    The frame maximum and the block winners are plain aggregates.  The final
-    ranking sees one row per block; Spark limits ranks before its shuffle.
+    A corner is a free inner cell that no neighbour, blocked or not, exceeds.
+    The frame's best score is an aggregate; only cells above the share meet in
+    one pass per frame, which the grid's size bounds.
     """
     h = F.lit(height) if isinstance(height, int) else height
     w = F.lit(width) if isinstance(width, int) else width
     inner = (F.col("row") > 0) & (F.col("row") < h - 1) & (F.col("col") > 0) & (F.col("col") < w - 1)
-    open_cells = scores.where(~F.col("blocked"))
-    blocks = (
-        open_cells.groupBy(*keys, F.floor(F.col("row") / spacing).alias("_br"), F.floor(F.col("col") / spacing).alias("_bc"))
-        .agg(
-            F.max("score").alias("block_max"),
-            F.max_by(F.struct("row", "col", "score"), F.when(inner, F.struct(F.col("score"), -F.col("row"), -F.col("col")))).alias("best"),
-        )
-    )
-    top = blocks.groupBy(*keys).agg(F.max("block_max").alias("frame_max"))
-    ranked = attach_by_key(blocks, top, keys, ["_br", "_bc"])
-    kept = ranked.where((F.col("best.score") > 0) & (F.col("best.score") >= quality * F.col("frame_max")))
-    order = W.partitionBy(*keys).orderBy(F.col("best.score").desc(), F.col("best.row"), F.col("best.col"))
-    return (
-        kept.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= limit)
-        .select(*keys, F.col("best.row").alias("row"), F.col("best.col").alias("col"), F.col("best.score").alias("score"), "rank")
-    )
+    top = scores.where(~F.col("blocked")).groupBy(*keys).agg(F.max("score").alias("frame_max"))
+    ranked = attach_by_key(scores.where(F.col("score") > 0), top, keys, ["row", "col"])
+    strong = ranked.where(F.col("score") >= quality * F.col("frame_max")).select(*keys, "row", "col", "score", (inner & ~F.col("blocked")).alias("free"))
+    names = list(keys)
+    schema = T.StructType([*(strong.schema[key] for key in names), int_field("row"), int_field("col"), double_field("score"), int_field("rank")])
+    arrow = to_arrow_schema(schema)
+
+    def pick(group_key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        row, col, score = (column_array(table, name) for name in ("row", "col", "score"))
+        best = _spaced_peaks(row, col, score, column_array(table, "free").astype(bool), spacing, limit)
+        return with_keys(arrow, names, group_key, {"row": row[best], "col": col[best], "score": score[best], "rank": np.arange(1, len(best) + 1)})
+
+    return strong.groupBy(*names).applyInArrow(pick, schema)

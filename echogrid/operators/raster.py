@@ -11,7 +11,6 @@ from ..functions import grid
 from ..functions import values as V
 from ..functions.projection import WEB_MERCATOR, Crs, forward, inverse, project
 from .cells import max_cells, target_cells
-from .skew import broadcast_if_small
 
 EDGE_SAMPLES = 64
 LATTICE_SAMPLES = 128
@@ -112,19 +111,21 @@ def sampling_index(
     ``input_id`` plus the ``keys`` it serves.  The index depends on grids only,
     never on frames, so its size does not grow with the archive.
     """
-    cells = target_cells(targets)
     x = grid.column_centre(F.col("col"), F.col("x_min"), F.col("px"))
     y = grid.row_centre(F.col("row"), F.col("y_max"), F.col("py"))
-    cells = cells.select(*keys, "row", "col", x.alias("_tx"), y.alias("_ty"))
     geo = sources.select(
         *keys, "input_id",
         F.col("x_min").alias("_sx0"), F.col("y_max").alias("_sy0"), F.col("px").alias("_spx"), F.col("py").alias("_spy"),
         F.col("width").alias("_sw"), F.col("height").alias("_sh"),
     )
-    parts = []
+    # Grids meet the inputs they use before they are spread into cells; inputs of one projection share a branch.
+    by_crs: dict[Crs, list[str]] = {}
     for input_id, crs in source_crs.items():
-        served = cells.join(F.broadcast(geo.where(F.col("input_id") == input_id)), list(keys))
-        placed = project(served, F.col("_tx"), F.col("_ty"), target_crs, crs, ("_sx", "_sy"))
+        by_crs.setdefault(crs, []).append(input_id)
+    parts = []
+    for crs, input_ids in by_crs.items():
+        served = target_cells(targets.join(geo.where(F.col("input_id").isin(*input_ids)), list(keys)))
+        placed = project(served.withColumns({"_tx": x, "_ty": y}), F.col("_tx"), F.col("_ty"), target_crs, crs, ("_sx", "_sy"))
         parts.append(
             placed.withColumn("_col", grid.nearest_column(F.col("_sx"), F.col("_sx0"), F.col("_spx")))
             .withColumn("_row", grid.nearest_row(F.col("_sy"), F.col("_sy0"), F.col("_spy")))
@@ -140,16 +141,16 @@ def sampling_index(
     )
 
 
-def resample_nearest(cells: DataFrame, index: DataFrame, check_size: bool = True) -> DataFrame:
+def resample_nearest(cells: DataFrame, index: DataFrame) -> DataFrame:
     """Carry source values to target cells by equi-join on the computed source cell.
 
-    All frames share the index.  It is broadcast only when counted small; else
-    both sides shuffle on (input, row, col), which spreads a hot input over its
-    own cells.  Target cells outside the source have no row (missing).
+    All frames share the index.  Adaptive execution broadcasts it if its
+    measured bytes allow; else both sides shuffle on (input, row, col), which
+    spreads a hot input over its own cells.  Target cells outside the source
+    have no row (missing).
     """
-    side = broadcast_if_small(index) if check_size else index
     source = cells.withColumnsRenamed({"row": "src_row", "col": "src_col"})
-    return source.join(side, ["input_id", "src_row", "src_col"]).drop("src_row", "src_col")
+    return source.join(index, ["input_id", "src_row", "src_col"]).drop("src_row", "src_col")
 
 
 def pool_max(cells: DataFrame, keys: Sequence[str], factor: Column, height: Column, width: Column) -> DataFrame:

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Sides up to this many rows are broadcast; larger ones take the salted join.
-BROADCAST_ROW_LIMIT = 2_000_000
 SALTS = 16
 
 
@@ -25,32 +23,9 @@ def attach_by_key(
     The many side is salted with a hash of its ``spread`` columns and the small
     side is repeated once per salt, so a key with a third of all rows lands in
     ``salts`` tasks.  The salt is a function of the row, so a recomputed task
-    gives the same rows.
+    gives the same rows.  Nothing is counted: adaptive execution broadcasts the
+    small side if its measured bytes allow it.
     """
     salted_many = many.withColumn("_salt", F.pmod(F.hash(*spread), F.lit(salts)))
     salted_keys = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_many.join(salted_keys, [*keys, "_salt"], how).drop("_salt")
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast only after counting that the side is under ``limit`` rows.
-
-    The count stops at ``limit + 1`` rows.  Above it the side is returned as it
-    is, and the planner picks a shuffle join.
-    """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
-
-
-def attach_settled(
-    many: DataFrame, settled: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROW_LIMIT
-) -> DataFrame:
-    """:func:`attach_by_key` for a small side that is already written or checkpointed.
-
-    Counting such a side is cheap, so it is broadcast under ``limit`` rows, which
-    spares the many side its shuffle.  Above the limit the salted join is used.
-    """
-    if settled.limit(limit + 1).count() <= limit:
-        return many.join(F.broadcast(settled), list(keys), how)
-    return attach_by_key(many, settled, keys, spread, how)

@@ -13,7 +13,7 @@ from ..functions.projection import Crs
 from ..operators import motion as M
 from ..operators import neighbourhood as N
 from ..operators.raster import composite_to_grid
-from ..operators.skew import attach_by_key, attach_settled, broadcast_if_small
+from ..operators.skew import attach_by_key
 from ..operators.tiles import DEFAULT_TILE
 from ..session import cut_lineage
 
@@ -119,7 +119,7 @@ def nowcast(
     # A few rows per issue, used throughout: written once.
     numbered = cut_lineage(numbered_history(history, keys))
     steps = history_steps(numbered, keys)
-    placed = attach_settled(cells, numbered, [*keys, "frame_ts"], ["row", "col"])
+    placed = attach_by_key(cells, numbered, [*keys, "frame_ts"], ["row", "col"])
     vectors = _vectors(placed, keys, height, width, method, tile)
     # A few hundred rows per issue, read by the halo and by the velocities.
     per_minute = cut_lineage(
@@ -134,7 +134,7 @@ def nowcast(
     lead = F.get(F.array(*map(F.lit, leads)), F.col("lead"))
     value = V.mask_at_or_below(F.col("value"), floor) if floor is not None else F.col("value")
     stamped = moved.select(*keys, lead.alias("lead_min"), "row", "col", value.alias("value")).where(F.col("value").isNotNull())
-    timed = stamped.join(broadcast_if_small(issues), list(keys))
+    timed = stamped.join(issues, list(keys))
     return timed.withColumn("valid_ts", names.valid_time(F.col("issue_ts"), F.col("lead_min")))
 
 

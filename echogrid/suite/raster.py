@@ -424,11 +424,17 @@ def corner_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "feature_selection",
-    f"""WITH {_SCORES}, free AS (SELECT *, r > 0 AND r < 31 AND c > 0 AND c < 31 AS inner_cell FROM score WHERE NOT blocked),
-    top AS (SELECT k, max(score) AS frame_max FROM free GROUP BY k),
-    best AS (SELECT *, row_number() OVER (PARTITION BY k, r // 10, c // 10 ORDER BY score DESC, r, c) AS pos FROM free WHERE inner_cell)
-    SELECT k, r AS "row", c AS "col", round(score, 3) AS score, CAST(row_number() OVER (PARTITION BY k ORDER BY score DESC, r, c) AS INTEGER) AS rank
-    FROM best JOIN top USING (k) WHERE pos = 1 AND score > 0 AND score >= 0.01 * frame_max""",
+    f"""WITH RECURSIVE {_SCORES.replace("score AS (SELECT", "exact AS (SELECT")},
+    score AS (SELECT k, r, c, round(score, 3) AS score, blocked FROM exact),
+    top AS (SELECT k, max(score) AS frame_max FROM score WHERE NOT blocked GROUP BY k),
+    cand AS (SELECT s.* FROM score s JOIN top USING (k) WHERE NOT blocked AND r > 0 AND r < 31 AND c > 0 AND c < 31 AND score > 0 AND score >= 0.01 * frame_max
+      AND NOT EXISTS (SELECT 1 FROM score n WHERE n.k = s.k AND n.r BETWEEN s.r - 1 AND s.r + 1 AND n.c BETWEEN s.c - 1 AND s.c + 1 AND n.score > s.score)),
+    g AS (SELECT k, 0 AS n, CAST([] AS STRUCT(s DOUBLE, r BIGINT, c BIGINT)[]) AS acc FROM (SELECT DISTINCT k FROM cand)
+      UNION ALL
+      SELECT g.k, g.n + 1, list_append(any_value(g.acc), CAST(max({{'s': score, 'r': -r, 'c': -c}}) AS STRUCT(s DOUBLE, r BIGINT, c BIGINT)))
+      FROM g JOIN cand ON cand.k = g.k WHERE len(list_filter(g.acc, lambda a: (a.r + cand.r) * (a.r + cand.r) + (a.c + cand.c) * (a.c + cand.c) < 100)) = 0 GROUP BY g.k, g.n)
+    SELECT k, -e.r AS "row", -e.c AS "col", e.s AS score, CAST(n AS INTEGER) AS rank FROM (SELECT k, n, acc[n] AS e FROM g WHERE n > 0)""",
 )
 def feature_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.select_features(scored(spark, sf_dir), ["k"], GRID, GRID).withColumn("score", F.round("score", 3))
+    """Corners of every frame, best first, ten cells apart; scores are rounded first, so that equal ones tie."""
+    return N.select_features(scored(spark, sf_dir).withColumn("score", F.round("score", 3)), ["k"], GRID, GRID)

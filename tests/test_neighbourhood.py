@@ -69,8 +69,9 @@ def test_levels_span_the_byte_range(spark, filled):
 def test_features_keep_their_distance_classes_and_limit(spark, filled):
     scores = N.corner_score(C.rescale_to_byte(filled, ["k"]), ["k"], 37, 45, tile=16)
     found = N.select_features(scores, ["k"], 37, 45).collect()
-    blocks = [(r.row // 10, r.col // 10) for r in found]
-    assert len(blocks) == len(set(blocks)) and found
+    apart = [(a.row - b.row) ** 2 + (a.col - b.col) ** 2 for a in found for b in found if a.rank < b.rank]
+    assert len(found) > 2 and min(apart) >= 100
+    assert [r.score for r in sorted(found, key=lambda r: r.rank)] == sorted((r.score for r in found), reverse=True)
     assert N.select_features(scores, ["k"], 37, 45, limit=2).count() == 2
 
 
@@ -95,3 +96,10 @@ def test_candidates_give_the_same_features(spark, raster):
     every, some = (N.frame_corners(opened, ranges, ["k"], 37, 45, tile=16, candidates=flag) for flag in (False, True))
     assert some.count() < every.count()
     assert rows(N.select_features(some, ["k"], 37, 45)) == rows(N.select_features(every, ["k"], 37, 45))
+
+
+def test_a_busy_block_keeps_more_than_one_corner(spark):
+    cells = [(1, 9, 9, 5.0), (1, 10, 10, 4.0), (1, 0, 30, 9.0), (1, 19, 9, 3.0), (1, 12, 24, 2.0), (1, 12, 25, 2.5), (1, 30, 30, 0.01)]
+    df = spark.createDataFrame([(*c, (c[1], c[2]) == (12, 25)) for c in cells], "k int, row int, col int, score double, blocked boolean")
+    found = sorted((r.rank, r.row, r.col) for r in N.select_features(df, ["k"], 40, 40).collect())
+    assert found == [(1, 9, 9), (2, 19, 9)], "(10, 10) is too near, (12, 24) has a higher blocked neighbour, (0, 30) is on the edge"

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from echogrid import suite
 from echogrid.operators import cells as C
-from echogrid.operators.skew import attach_by_key, broadcast_if_small
+from echogrid.operators.skew import attach_by_key
 from echogrid.operators.tiles import with_halo
 from echogrid.session import cut_lineage, shared_dir
 
@@ -30,15 +31,19 @@ def test_hot_key_is_spread_over_salts(spark):
     assert len(salts) == 16 and max(r["count"] for r in salts) < 200
 
 
-def test_broadcast_only_under_the_limit(spark):
-    small, large = spark.range(10), spark.range(50)
-    probe = spark.range(100)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" in plan(probe.join(broadcast_if_small(small, 20), "id"))
-        assert "BroadcastHashJoin" not in plan(probe.join(broadcast_if_small(large, 20), "id"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+# Queries that write and read a store or a stream, or settle an intermediate, before their result.
+EAGER = {"nowcast", "forecast_store", "overlay_tiles", "sidecar_documents", "product_registry", "extrapolate_vectors", "track_features", "block_match", "vector_outliers"}
+
+
+@pytest.mark.parametrize("name", sorted(set(suite.QUERIES) - EAGER))
+def test_building_a_plan_runs_no_job(spark, name):
+    if name.startswith("stream_"):
+        pytest.skip("runs a stream")
+    spark.sparkContext.setJobGroup(f"plan-{name}", "planning")
+    suite.QUERIES[name](spark, SF)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"plan-{name}")
+    stages = [spark.sparkContext.statusTracker().getJobInfo(j) for j in jobs]
+    assert all(info is None or len(info.stageIds) == 1 for info in stages), "reading a footer is the only job"
 
 
 def test_halo_copies_stay_bounded(spark):
