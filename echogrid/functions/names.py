@@ -170,8 +170,19 @@ def retry_delay(attempts: Column, base_s: float = 5.0, cap_s: float = 300.0) ->
     return F.least(F.lit(base_s) * F.pow(F.lit(2.0), exponent), F.lit(cap_s))
 
 
-def frame_budget(retention_s: Column, period_s: Column) -> Column:
-    """Frames an input should hold: retention over period plus two; NULL stays NULL."""
+# Frames to look for where an input keeps everything, by kind of source.
+UNLIMITED_FRAMES = {"arco_zarr": 12}
+
+
+def frame_budget(retention_s: Column, period_s: Column, source_kind: Column | None = None) -> Column:
+    """Frames an input should hold: retention over period plus two.
+
+    Without a retention it is the fixed number of the input's kind of source,
+    or NULL for kinds without one.
+    """
     period = F.greatest(period_s, F.lit(1))
     frames = F.greatest(F.lit(1), F.floor(retention_s / period) + 2)
-    return F.when(retention_s.isNotNull(), frames).cast("int")
+    unlimited = F.lit(None)
+    for kind, count in UNLIMITED_FRAMES.items() if source_kind is not None else ():
+        unlimited = F.when(source_kind == kind, count).otherwise(unlimited)
+    return F.when(retention_s.isNotNull(), frames).otherwise(unlimited).cast("int")

@@ -91,12 +91,18 @@ def completeness(catalog: DataFrame, inputs: DataFrame, now) -> DataFrame:
     """Frames held against the budget of each input's retention."""
     from ..sources.catalog import within_retention
 
-    config = inputs.select("input_id", "retention_s", names.frame_budget(F.col("retention_s"), F.col("period_s")).alias("budget"))
+    config = inputs.select("input_id", "retention_s", names.frame_budget(F.col("retention_s"), F.col("period_s"), F.col("source_kind")).alias("budget"))
     slots = catalog.select("input_id", "frame_ts").distinct().join(F.broadcast(config), "input_id")
     recent = within_retention(now) & (F.col("frame_ts") <= as_time(now))
     return slots.groupBy("input_id", "budget").agg(F.count(F.when(recent, 1)).alias("held"))
 
 
+def product_budget(inputs: DataFrame, product_inputs: DataFrame) -> DataFrame:
+    """Frames to look for per product: the largest budget over its inputs with a retention, NULL if none has one."""
+    config = inputs.select("input_id", names.frame_budget(F.col("retention_s"), F.col("period_s")).alias("budget"))
+    return product_inputs.join(config, "input_id").groupBy("product_id").agg(F.max("budget").alias("budget"))
+
+
 def publish_latency(files: DataFrame, declared: DataFrame, keys: list[str]) -> DataFrame:
     """Seconds from frame time to file time, against the declared delay.
 

@@ -9,22 +9,50 @@ from ..operators.skew import attach_by_key
 from ..operators.tiles import DEFAULT_TILE
 
 
+def _issue(column: str = "issue_ts"):
+    return F.date_format(F.col(column), "yyyyMMddHHmmss").alias("issue")
+
+
+def write_cells(cells: DataFrame, path: str) -> None:
+    """Store the finite cells of new issues beside what is there, in folders by forecast, issue and lead."""
+    stored = cells.select("*", _issue()).withColumn("value", F.col("value").cast("float"))
+    spread = stored.repartition("forecast_id", "issue", "lead_min", F.floor(F.col("row") / DEFAULT_TILE))
+    (
+        spread.sortWithinPartitions("forecast_id", "issue", "lead_min", "row", "col")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("forecast_id", "issue", "lead_min").parquet(f"{path}/cells")
+    )
+
+
+def write_frames(frames: DataFrame, path: str) -> None:
+    """List the frames of one issue per forecast; from then on that issue is the one that is read."""
+    frames.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("forecast_id").parquet(f"{path}/frames")
+
+
 def write_fields(cells: DataFrame, frames: DataFrame, path: str) -> None:
     """Store one issue per forecast in place of what the store held for it.
 
     ``frames`` lists every (forecast_id, issue_ts, lead_min, valid_ts), echoes or
-    not; ``cells`` has the finite values.  Both are partitioned by forecast and
-    overwritten per partition, so other forecasts stay.  A forecast whose new
-    fields are all missing writes no cells; its old ones are masked on read,
-    because their issue is no longer listed.
+    not; ``cells`` has the finite values.  Cells come first and are not read
+    until the frames list their issue, so a reader, or a failure in between,
+    sees the old issue whole.  Other forecasts stay.  Issues that are no longer
+    listed are dropped at the end.
     """
-    frames.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("forecast_id").parquet(f"{path}/frames")
-    stored = cells.withColumn("value", F.col("value").cast("float"))
-    spread = stored.repartition("forecast_id", "lead_min", F.floor(F.col("row") / DEFAULT_TILE))
-    (
-        spread.sortWithinPartitions("forecast_id", "lead_min", "row", "col")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("forecast_id").parquet(f"{path}/cells")
-    )
+    write_cells(cells, path)
+    write_frames(frames, path)
+    drop_unlisted(frames.sparkSession, path, [r[0] for r in frames.select("forecast_id").distinct().collect()])
+
+
+def drop_unlisted(spark: SparkSession, path: str, forecasts: list[str]) -> None:
+    """Remove the cell folders of the given forecasts' issues that no frame lists."""
+    listed = {(r[0], r[1]) for r in read_frames(spark, path).where(F.col("forecast_id").isin(forecasts)).select("forecast_id", _issue()).distinct().collect()}
+    hadoop, escaped = spark._jvm.org.apache.hadoop.fs, spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for forecast in forecasts:
+        folder = hadoop.Path(f"{path}/cells/forecast_id={escaped(forecast)}")
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in store.listStatus(folder) if store.exists(folder) else ():
+            kind, _, issue = status.getPath().getName().partition("=")
+            if kind == "issue" and (forecast, issue) not in listed:
+                store.delete(status.getPath(), True)
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
@@ -37,11 +65,15 @@ def existing_minutes(spark: SparkSession, path: str, forecast_id: str, issue_ts:
     return frames.where((F.col("forecast_id") == forecast_id) & (F.col("issue_ts") == F.lit(issue_ts).cast("timestamp_ntz"))).select("lead_min")
 
 
-def read_fields(spark: SparkSession, path: str, forecast_id: str | None = None) -> DataFrame:
-    """Cells of the listed issues; a forecast filter reads its partition only."""
-    cells, frames = spark.read.parquet(f"{path}/cells"), read_frames(spark, path)
+CELLS = "issue_ts TIMESTAMP_NTZ, valid_ts TIMESTAMP_NTZ, row INT, col INT, value FLOAT, forecast_id STRING, issue STRING, lead_min INT"
+
+
+def read_fields(spark: SparkSession, path: str, forecast_id: str | None = None, lead_min: int | None = None) -> DataFrame:
+    """Cells of the listed issues; filters on forecast and lead read their folders only."""
+    cells, frames = spark.read.schema(CELLS).parquet(f"{path}/cells"), read_frames(spark, path)
     if forecast_id is not None:
         cells, frames = (df.where(F.col("forecast_id") == forecast_id) for df in (cells, frames))
-    current = frames.groupBy("forecast_id").agg(F.max("issue_ts").alias("_issue"))
-    joined = attach_by_key(cells, current, ["forecast_id"], ["lead_min", "row", "col"])
-    return joined.where(F.col("issue_ts") == F.col("_issue")).drop("_issue")
+    if lead_min is not None:
+        cells = cells.where(F.col("lead_min") == lead_min)
+    current = frames.groupBy("forecast_id").agg(F.max("issue_ts").alias("_at")).select("forecast_id", _issue("_at"))
+    return attach_by_key(cells, current, ["forecast_id", "issue"], ["lead_min", "row", "col"]).drop("issue")

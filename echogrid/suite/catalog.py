@@ -232,7 +232,7 @@ def product_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "frame_budget",
-    f"""WITH {GOOD_FILES}, r(input_id, s, budget) AS (VALUES ('click', 7200, 26), ('error', 7200, 26), ('purchase', 86400, 290), ('signup', NULL, NULL), ('view', 864000, 2882)),
+    f"""WITH {GOOD_FILES}, r(input_id, s, budget) AS (VALUES ('click', 7200, 26), ('error', 7200, 26), ('purchase', 86400, 290), ('signup', NULL, 12), ('view', 864000, 2882)),
     slots AS (SELECT DISTINCT input_id, frame_ts FROM good)
     SELECT input_id, CAST(budget AS INTEGER) AS budget, count(CASE WHEN (s IS NULL OR frame_ts >= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 1 SECOND * s) AND frame_ts <= TIMESTAMP '2024-01-15 12:00:00' THEN 1 END) AS held FROM slots JOIN r USING (input_id) GROUP BY ALL""",
 )
@@ -241,5 +241,6 @@ def frame_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.jobs import completeness
 
     keep = F.when(F.col("input_id") == "purchase", 86400).when(F.col("input_id") == "signup", F.lit(None)).when(F.col("input_id") == "view", 864000).otherwise(7200)
-    config = catalog_inputs(spark).withColumn("retention_s", keep.cast("int"))
+    kind = F.when(F.col("input_id") == "signup", "arco_zarr").otherwise(F.col("source_kind"))
+    config = catalog_inputs(spark).withColumns({"retention_s": keep.cast("int"), "source_kind": kind})
     return completeness(full_catalog(spark, sf_dir), config, NOON)

@@ -23,6 +23,19 @@ def ready_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready(spark, sf_dir)
 
 
+@query(
+    "product_budget",
+    f"""WITH {READY}, r(input_id, budget) AS (VALUES ('click', 26), ('error', 26), ('purchase', 290), ('signup', NULL), ('view', 2882)),
+    b AS (SELECT product_id, max(budget) AS budget FROM bridge JOIN r USING (input_id) GROUP BY ALL), n AS (SELECT product_id, count(*) AS ready FROM ready GROUP BY ALL)
+    SELECT product_id, CAST(budget AS INTEGER) AS budget, ready FROM b JOIN n USING (product_id)""",
+)
+def product_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames to look for per product, the most that one of its inputs keeps, beside its ready frames."""
+    keep = F.when(F.col("input_id") == "purchase", 86400).when(F.col("input_id") == "signup", F.lit(None)).when(F.col("input_id") == "view", 864000).otherwise(7200)
+    budgets = jobs.product_budget(catalog_inputs(spark).withColumn("retention_s", keep.cast("int")), product_inputs(spark))
+    return budgets.join(ready(spark, sf_dir).groupBy("product_id").agg(F.count(F.lit(1)).alias("ready")), "product_id")
+
+
 @query("job_files", f"WITH {READY} SELECT DISTINCT r.product_id, r.frame_ts, CAST(b.ord AS INTEGER) AS ord, g.input_id, g.path FROM ready r JOIN bridge b USING (product_id) JOIN good g ON g.input_id = b.input_id AND g.frame_ts = r.frame_ts")
 def job_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of every ready job with their input order."""

@@ -203,6 +203,21 @@ def variant_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def forecast_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persistence forecasts written twice to the store and read back: the newer issue replaces the older."""
+    return forecast_store.read_fields(spark, filled_store(spark, sf_dir)).select("forecast_id", "issue_ts", "lead_min", "row", "col", F.col("value").cast("double").alias("value"))
+
+
+@query(
+    "stored_minutes",
+    f"""WITH {SCAN}, h AS (SELECT CAST(k // 3 AS INTEGER) AS forecast_id, max(k) AS k FROM scan GROUP BY k // 3 HAVING count(DISTINCT k) >= 2)
+    SELECT 'f' || forecast_id AS forecast_id, TIMESTAMP '2026-06-05' + INTERVAL 5 MINUTE * k AS issue_ts, CAST(m AS INTEGER) AS lead_min FROM h, (VALUES (10), (20)) l(m)""",
+)
+def stored_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leads that the store lists for each forecast's issue, read without a cell."""
+    return forecast_store.read_frames(spark, filled_store(spark, sf_dir)).select("forecast_id", "issue_ts", "lead_min")
+
+
+def filled_store(spark: SparkSession, sf_dir: str) -> str:
+    """A store that received every forecast's oldest issue, then its newest."""
     history = whole_runs(scan_history(spark, sf_dir))
     cells = scan(spark, sf_dir).select(F.floor(F.col("k") / 3).cast("int").alias("forecast"), frame_time(F.col("k")).alias("frame_ts"), "row", "col", "value")
     folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
@@ -215,5 +230,4 @@ def forecast_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         latest = cells.withColumnRenamed("frame_ts", "issue_ts").join(issues, ["forecast", "issue_ts"]).where(V.mask_at_or_below(F.col("value"), 4.0).isNotNull())
         stamped = latest.withColumn("forecast_id", F.concat(F.lit("f"), F.col("forecast").cast("string"))).drop("forecast").join(listed, ["forecast_id", "issue_ts"])
         forecast_store.write_fields(stamped, listed, folder)
-    back = forecast_store.read_fields(spark, folder)
-    return back.select("forecast_id", "issue_ts", "lead_min", "row", "col", F.col("value").cast("double").alias("value"))
+    return folder

@@ -113,6 +113,18 @@ def test_store_replaces_one_forecast_and_keeps_the_other(spark, tmp_path):
     assert forecast_store.read_fields(spark, path, "a").count() == 1
 
 
+def test_a_failure_between_cells_and_frames_leaves_the_old_issue(spark, tmp_path):
+    path = str(tmp_path / "store")
+    forecast_store.write_fields(*fields(spark, [("a", "2026-06-05 21:00:00", 10)]), path)
+    cells, frames = fields(spark, [("a", "2026-06-05 21:05:00", 10)])
+    forecast_store.write_cells(cells, path)
+    read = lambda **only: [(r.issue_ts.strftime("%H%M"), r.lead_min) for r in forecast_store.read_fields(spark, path, **only).collect()]
+    assert read() == [("2100", 10)]
+    forecast_store.write_fields(cells, frames, path)
+    assert read() == read(forecast_id="a", lead_min=10) == [("2105", 10)] and read(lead_min=20) == []
+    assert [p.name for p in (tmp_path / "store/cells/forecast_id=a").iterdir()] == ["issue=20260605210500"], "the old issue is gone"
+
+
 def test_registry_documents(spark, tmp_path):
     path = str(tmp_path / "products")
     registry_export.write_product_documents(registry.products(spark), path)
