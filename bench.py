@@ -18,6 +18,7 @@ HEADLINE = (
     "palette_histogram", "composite_products", "variant_cells", "resample_composite", "frame_stats", "morph_open", "corner_score",
     "feature_selection", "block_match", "idw_grid", "idw_upscaled", "bilinear_resize", "warp_values", "extrapolate_uniform", "extrapolate_vectors", "nowcast",
     "overlay_tiles", "ready_timestamps", "pending_jobs", "history_frames", "gap_detection", "announced_files", "asof_frontier",
+    "bundle_backlog", "buffered_bounds", "discovery_union", "listed_files",
 )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,8 @@ def build_session(app_name: str = "echogrid", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named in ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where none is set and the session runs in
-    local mode, which is how the tests run.
+    A folder of our own is made only where none is set and driver and executors
+    are one process, which is how the tests run.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -42,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     already = spark.sparkContext.getCheckpointDir()
     if already:
         return already
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(made)
