@@ -28,8 +28,8 @@ from . import text
 SCALE = 1 << 20  # scores are whole multiples of 1 / SCALE, so sums and ties are exact
 UNKNOWN_GAP = 10.0  # how far below the worst piece a character without a piece stands
 BEST = 4
-SLICE_BYTES = 2 << 20  # of text per lattice, whose edges take some hundred times that
-REMEMBERED = 50_000  # chunks whose segmentations a task keeps between runs of rows
+SLICE_BYTES = 1 << 20  # of text per lattice, whose edges take some hundred times that
+REMEMBERED = 5_000  # chunks whose segmentations a task keeps between runs of rows
 MARK = "▁".encode()
 _NONE = -(1 << 62)
 
@@ -75,8 +75,11 @@ class Trie:
             ends[node] = number
         keys = np.array(sorted(moves), np.int64)
         self.keys, self.targets = keys, np.array([moves[k] for k in keys.tolist()], np.int64)
-        self.piece = np.full(len(moves) + 1, -1, np.int64)
+        self.piece = np.full(len(moves) + 1, -1, np.int32)
         self.piece[list(ends)] = list(ends.values())
+        # the first two bytes are looked up without a search
+        self.one = np.array([moves.get(b, -1) for b in range(256)], np.int64)
+        self.two = np.array([-1 if a < 0 else moves.get(a << 8 | b, -1) for a in self.one.tolist() for b in range(256)], np.int64)
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         key = node << 8 | byte
@@ -91,37 +94,38 @@ class Lattice:
         self.offsets, self.pieces, self.packed = offsets, pieces, packed
         sizes = np.diff(offsets)
         n = len(sizes)
-        owner = np.repeat(np.arange(n), sizes)
-        lead = np.flatnonzero((packed & 0xC0) != 0x80)
+        owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        lead = np.flatnonzero((packed & 0xC0) != 0x80).astype(np.int32)
         end_of = offsets[1:][owner]
         starts, ends, ids = [], [], []
         at, node = lead, np.zeros(len(lead), np.int64)
-        bytes_ = packed.astype(np.int64)
         depth = 0
         while len(at):
-            node = trie.step(node, bytes_[at + depth])
+            byte = packed[at + depth].astype(np.int64)
+            node = trie.one[byte] if depth == 0 else trie.two[packed[at].astype(np.int64) << 8 | byte] if depth == 1 else trie.step(node, byte)
             alive = node >= 0
             at, node = at[alive], node[alive]
             hit = trie.piece[node] >= 0
-            starts.append(at[hit])
-            ends.append(at[hit] + depth + 1)
+            starts.append(at[hit].astype(np.int32))
+            ends.append((at[hit] + depth + 1).astype(np.int32))
             ids.append(trie.piece[node[hit]])
             depth += 1
             inside = at + depth < end_of[at]
             at, node = at[inside], node[inside]
-        start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, ids))
-        after = np.append(lead[1:], len(packed))
-        place = np.full(len(packed) + 1, -1)
+        start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (starts, ends, ids))
+        after = np.append(lead[1:], np.int32(len(packed)))
+        place = np.full(len(packed) + 1, -1, np.int32)
         place[lead] = np.arange(len(lead))
         single = np.zeros(len(lead), bool)
         single[place[start[after[place[start]] == end]]] = True
         bare = np.flatnonzero(~single)
         worst = int(pieces.scores[pieces.usable].min()) if pieces.usable.any() else 0
-        weight = np.concatenate([pieces.scores[piece], np.full(len(bare), worst - int(UNKNOWN_GAP * SCALE))])
-        start, end, piece = np.concatenate([start, lead[bare]]), np.concatenate([end, after[bare]]), np.concatenate([piece, np.full(len(bare), -1)])
+        weight = np.concatenate([pieces.scores[piece], np.full(len(bare), worst - int(UNKNOWN_GAP * SCALE))]).astype(np.int32)
+        start, end, piece = np.concatenate([start, lead[bare]]), np.concatenate([end, after[bare]]), np.concatenate([piece, np.full(len(bare), -1, np.int32)])
         chunk = owner[start]
-        local = end - offsets[:-1][chunk]
-        order = np.argsort((local << 40) + ((end + chunk) << 6) - np.minimum(end - start, 63), kind="stable")
+        local = (end - offsets[:-1][chunk]).astype(np.int32)
+        # by end within the chunk, then end, then the longest first; no two are equal
+        order = np.argsort((local.astype(np.int64) << 40) + ((end + chunk).astype(np.int64) << 6) - np.minimum(end - start, 63))
         self.start, self.end, self.piece, self.weight, self.chunk = (x[order] for x in (start + chunk, end + chunk, piece, weight, chunk))
         self.sources = offsets[:-1] + np.arange(n)
         self.sinks = offsets[1:] + np.arange(n)
@@ -131,9 +135,9 @@ class Lattice:
         """Viterbi scores of all nodes; the longest piece wins a tie."""
         self.score = np.full(nodes, _NONE, np.int64)
         self.score[self.sources] = 0
-        self.back = np.full(nodes, -1)
-        self.first = np.full(nodes, 0)
-        self.count = np.zeros(nodes, np.int64)
+        self.back = np.full(nodes, -1, np.int32)
+        self.first = np.zeros(nodes, np.int32)
+        self.count = np.zeros(nodes, np.int32)
         heads = np.flatnonzero(np.diff(self.end, prepend=-1)) if len(self.end) else np.zeros(0, np.int64)
         spans = np.diff(np.append(heads, len(self.end)))
         self.first[self.end[heads]] = heads
@@ -180,7 +184,7 @@ class Lattice:
         ahead = np.full(len(self.score), _NONE, np.int64)
         ahead[self.sinks] = 0
         local = self.start - self.sources[self.chunk]
-        order = np.argsort((local << 40) + self.start, kind="stable")[::-1]
+        order = np.argsort((local.astype(np.int64) << 40) + (self.start.astype(np.int64) << 6) + np.minimum(self.end - self.start, 63))[::-1]
         start, end, weight, level = self.start[order], self.end[order], self.weight[order], local[order]
         heads = np.flatnonzero(np.diff(start, prepend=-1)) if len(start) else np.zeros(0, np.int64)
         edges = np.flatnonzero(np.diff(level, prepend=-1))
@@ -205,6 +209,18 @@ class Lattice:
         out[spot] = self.packed[at] + self.pieces.zero
         return out, width
 
+    def ids_of(self, edges: list[int]) -> list[int]:
+        """Piece ids of a few edges."""
+        out: list[int] = []
+        for edge in edges:
+            piece = int(self.piece[edge])
+            if piece >= 0:
+                out.append(piece)
+            else:
+                at = int(self.start[edge] - self.chunk[edge])
+                out += [b + self.pieces.zero for b in self.packed[at : at + int(self.end[edge] - self.start[edge])].tolist()]
+        return out
+
     def n_best(self, chunk: int, n: int) -> list[tuple[int, list[int]]]:
         """Score and edges of the ``n`` best segmentations by backward A-star, ties by the longest last pieces."""
         source, sink = int(self.sources[chunk]), int(self.sinks[chunk])
@@ -301,7 +317,7 @@ class Encoder:
             code = int(codes[c])
             name = lattice.packed[lattice.offsets[code] : lattice.offsets[code + 1]].tobytes()
             if name not in self.memo:
-                self.memo[name] = [(score, lattice.ids(np.array(edges))[0].tolist()) for score, edges in lattice.n_best(code, self.best)]
+                self.memo[name] = [(score, lattice.ids_of(edges)) for score, edges in lattice.n_best(code, self.best)]
             options.append(self.memo[name])
         first = (0,) * len(options)
         heap, seen, found = [(0, first)], {first}, []
