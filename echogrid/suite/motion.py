@@ -75,7 +75,17 @@ def decluster_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.decluster(cell_vectors(spark, sf_dir), ["k"], scale=4)
 
 
-@query("vector_outliers")
+@query(
+    "vector_outliers",
+    f"""WITH {_DECLUSTERED}, n AS (SELECT k, count(*) AS n FROM dec GROUP BY k),
+    near AS (SELECT a.*, b.u AS bu, b.v AS bv, row_number() OVER (PARTITION BY a.k, a.x, a.y ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.y, b.x, b.u, b.v) AS pos
+      FROM dec a JOIN dec b ON a.k = b.k AND (a.x <> b.x OR a.y <> b.y)),
+    m AS (SELECT k, x, y, u, v, u - avg(bu) AS du, v - avg(bv) AS dv, var_samp(bu) AS a, covar_samp(bu, bv) AS b, var_samp(bv) AS c
+      FROM near JOIN n USING (k) WHERE n > 3 AND pos <= least(13, n) - 1 GROUP BY k, x, y, u, v)
+    SELECT k, x, y, u, v FROM m WHERE CASE WHEN a * c - b * b > 1e-12 THEN c * du * du - 2 * b * du * dv + a * dv * dv <= 4 * (a * c - b * b)
+      ELSE abs(du) <= 2 * sqrt(a) + 1e-9 AND abs(dv) <= 2 * sqrt(c) + 1e-9 END
+    UNION ALL SELECT k, x, y, u, v FROM dec JOIN n USING (k) WHERE n <= 3""",
+)
 def vector_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declustered vectors without those far from their neighbours."""
     return M.drop_outliers(M.decluster(cell_vectors(spark, sf_dir), ["k"], scale=4), ["k"], std=2.0, neighbours=12)
@@ -196,11 +206,27 @@ def extrapolate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nowcast")
 def nowcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full nowcast of every run of three scans, six leads."""
+    return run_nowcast(spark, sf_dir, "lucas_kanade")
+
+
+@query(
+    "nowcast_persistence",
+    f"""WITH {SCAN}, h AS (SELECT CAST(k // 3 AS INTEGER) AS forecast, max(k) AS k FROM scan GROUP BY k // 3 HAVING count(DISTINCT k) >= 2)
+    SELECT forecast, CAST(m AS INTEGER) AS lead_min, "row", "col", value, TIMESTAMP '2026-06-05' + INTERVAL 5 MINUTE * k AS issue_ts,
+      TIMESTAMP '2026-06-05' + INTERVAL 5 MINUTE * k + INTERVAL 1 MINUTE * m AS valid_ts
+    FROM h JOIN scan USING (k), (VALUES (10), (20), (30), (40), (50), (60)) l(m) WHERE value > 4""",
+)
+def nowcast_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without motion: the newest scan at every lead."""
+    return run_nowcast(spark, sf_dir, "zero")
+
+
+def run_nowcast(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     cells = scan(spark, sf_dir).select(
         F.floor(F.col("k") / 3).cast("int").alias("forecast"), frame_time(F.col("k")).alias("frame_ts"), "row", "col", "value"
     )
     history = whole_runs(scan_history(spark, sf_dir))
-    out = Now.nowcast(cells, history, ["forecast"], GRID, GRID, (10, 20, 30, 40, 50, 60), floor=4.0, tile=GRID)
+    out = Now.nowcast(cells, history, ["forecast"], GRID, GRID, (10, 20, 30, 40, 50, 60), floor=4.0, method=method, tile=TILE)
     return out.withColumn("value", F.round("value", 6))
 
 
