@@ -32,6 +32,7 @@ IDW_POWER = 0.5
 IDW_OFFSET = 0.5
 
 SEARCH_RADIUS = 10
+SEARCH_LEVELS = 2  # halvings of the image; the search reaches its radius doubled as often
 WINDOW_HALF = 7
 REFINE_STEPS = 5
 MIN_EIGENVALUE = 1e-4
@@ -121,19 +122,63 @@ def _bilinear(array: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return upper * (1 - fy) + lower * fy
 
 
-def _track(prev: np.ndarray, nxt: np.ndarray, r: np.ndarray, c: np.ndarray, radius: int, half: int, refine: bool):
-    """Displacement of each feature: integer search, then Gauss-Newton steps."""
+def _halved(array: np.ndarray, top: int, left: int) -> np.ndarray:
+    """Means of 2 x 2 cells that begin on even rows and columns of the whole grid; edges are repeated."""
+    pad = [(start % 2, (size + start % 2) % 2) for start, size in zip((top, left), array.shape, strict=True)]
+    even = np.pad(array, pad, mode="edge")
+    return even.reshape(even.shape[0] // 2, 2, even.shape[1] // 2, 2).mean(axis=(1, 3))
+
+
+def _patches(image: np.ndarray, r: np.ndarray, c: np.ndarray, half: int) -> np.ndarray:
     span = np.arange(-half, half + 1)
-    wr = r[:, None, None] + span[None, :, None]
-    wc = c[:, None, None] + span[None, None, :]
-    patch = _clamped(prev, wr, wc)
+    return _clamped(image, r[:, None, None] + span[None, :, None], c[:, None, None] + span[None, None, :])
+
+
+def _search(prev: np.ndarray, nxt: np.ndarray, r: np.ndarray, c: np.ndarray, start_r: np.ndarray, start_c: np.ndarray, radius: int, half: int):
+    """Displacement of least mean squared difference within ``radius`` of the start; the shortest step wins a tie."""
+    patch = _patches(prev, r, c, half)
     best = np.full(len(r), np.inf)
-    dr, dc = np.zeros(len(r)), np.zeros(len(r))
+    dr, dc = start_r.copy(), start_c.copy()
     moves = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]
     for a, b in sorted(moves, key=lambda move: (move[0] ** 2 + move[1] ** 2, move)):
-        cost = ((patch - _clamped(nxt, wr + a, wc + b)) ** 2).mean(axis=(1, 2))
+        cost = ((patch - _patches(nxt, r + start_r + a, c + start_c + b, half)) ** 2).mean(axis=(1, 2))
+        better = cost < best
+        best, dr, dc = np.where(better, cost, best), np.where(better, start_r + a, dr), np.where(better, start_c + b, dc)
+    return dr, dc, best
+
+
+def _coarse_to_fine(prev: np.ndarray, nxt: np.ndarray, r: np.ndarray, c: np.ndarray, top: int, left: int, radius: int, half: int, levels: int):
+    """The same over halved images first, each level starting from twice what the coarser one found."""
+    pyramid = [(prev, nxt, top, left)]
+    for _ in range(levels):
+        a, b, t, l = pyramid[-1]
+        pyramid.append((_halved(a, t, l), _halved(b, t, l), t // 2, l // 2))
+    dr = dc = np.zeros(len(r), np.int64)
+    for level in range(levels, -1, -1):
+        a, b, t, l = pyramid[level]
+        reach = radius if level == levels else 2
+        dr, dc, cost = _search(a, b, ((r + top) >> level) - t, ((c + left) >> level) - l, 2 * dr, 2 * dc, reach, half)
+    return dr, dc, cost
+
+
+def search_halo(radius: int, half: int, levels: int) -> int:
+    """Cells around a feature that its search may read, at the coarsest level's cell size."""
+    return (radius + half + 1) * 2**levels + 2
+
+
+def _track(prev: np.ndarray, nxt: np.ndarray, r: np.ndarray, c: np.ndarray, radius: int, half: int, refine: bool, top: int = 0, left: int = 0, levels: int = SEARCH_LEVELS):
+    """Displacement of each feature: integer search near it and coarse to fine, the better match; then Gauss-Newton steps."""
+    span = np.arange(-half, half + 1)
+    wr = r[:, None, None] + span[None, :, None]
+    wc = c[:, None, None] + span[None, None, :]
+    patch = _clamped(prev, wr, wc)
+    still = np.zeros(len(r), np.int64)
+    dr, dc, best = _search(prev, nxt, r, c, still, still, radius, half)
+    if levels and len(r):
+        far_r, far_c, cost = _coarse_to_fine(prev, nxt, r, c, top, left, radius, half, levels)
         better = cost < best
-        best, dr, dc = np.where(better, cost, best), np.where(better, a, dr), np.where(better, b, dc)
+        dr, dc = np.where(better, far_r, dr), np.where(better, far_c, dc)
+    dr, dc = dr.astype(float), dc.astype(float)
     gy = (_clamped(prev, wr + 1, wc) - _clamped(prev, wr - 1, wc)) / 2
     gx = (_clamped(prev, wr, wc + 1) - _clamped(prev, wr, wc - 1)) / 2
     xx, xy, yy = (gx * gx).sum((1, 2)), (gx * gy).sum((1, 2)), (gy * gy).sum((1, 2))
@@ -164,6 +209,7 @@ def track_features(
     half: int = WINDOW_HALF,
     refine: bool = True,
     tile: int = DEFAULT_TILE,
+    levels: int = SEARCH_LEVELS,
 ) -> DataFrame:
     """Sparse vectors ``x, y, u, v`` (columns and rows per frame step) of the features.
 
@@ -178,7 +224,8 @@ def track_features(
         .groupBy(*keys, "row", "col")
         .agg(F.max("prev").alias("prev"), F.max("next").alias("next"), F.max("feature").alias("feature"))
     )
-    halo = radius + half + 2
+    halo = search_halo(radius, half, levels)
+    tile = max(tile, 2 * halo)  # halo copies stay within four times the cells
 
     def fn(window: Window, table: pa.Table) -> dict[str, np.ndarray]:
         row, col = column_array(table, "row"), column_array(table, "col")
@@ -187,7 +234,7 @@ def track_features(
         nxt = window.dense(row, col, np.nan_to_num(column_array(table, "next")), fill=0.0)
         order = np.lexsort((col[chosen], row[chosen]))
         r, c = row[chosen][order], col[chosen][order]
-        dr, dc, good = _track(prev, nxt, r - window.top, c - window.left, radius, half, refine)
+        dr, dc, good = _track(prev, nxt, r - window.top, c - window.left, radius, half, refine, window.top, window.left, levels)
         return {"x": c[good].astype(float), "y": r[good].astype(float), "u": dc[good], "v": dr[good]}
 
     tiled = with_halo(flagged, tile, halo, height, width)
@@ -205,6 +252,7 @@ def track_frames(
     half: int = WINDOW_HALF,
     refine: bool = True,
     tile: int = DEFAULT_TILE,
+    levels: int = SEARCH_LEVELS,
 ) -> DataFrame:
     """Sparse vectors between neighbouring frames of a history, in one shuffle.
 
@@ -214,7 +262,8 @@ def track_frames(
     goes to at most two pairs, and both images and the features of a tile arrive
     as rows with a role.  ``ranges`` and ``features`` are keyed by (keys, pos).
     """
-    halo = radius + half + 2
+    halo = search_halo(radius, half, levels)
+    tile = max(tile, 2 * halo)  # halo copies stay within four times the cells
     before = F.when(F.col("pos") < F.col("last"), F.struct(F.col("pos").alias("pair"), F.lit(0).alias("role")))
     after = F.when(F.col("pos") > 1, F.struct((F.col("pos") - 1).alias("pair"), F.lit(1).alias("role")))
     roles = F.explode(F.filter(F.array(before, after), lambda part: part.isNotNull()))
@@ -241,7 +290,7 @@ def track_frames(
 
         order = np.lexsort((col[chosen], row[chosen]))
         r, c = row[chosen][order], col[chosen][order]
-        dr, dc, good = _track(image(0), image(1), r - window.top, c - window.left, radius, half, refine)
+        dr, dc, good = _track(image(0), image(1), r - window.top, c - window.left, radius, half, refine, window.top, window.left, levels)
         return {"x": c[good].astype(float), "y": r[good].astype(float), "u": dc[good], "v": dr[good]}
 
     tiled = with_halo(images.unionByName(marks), tile, halo, height, width)

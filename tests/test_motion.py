@@ -262,3 +262,11 @@ def test_masked_rmse(spark):
     a, b = cells_of(spark, [[1.0, 2.0, np.nan]]), cells_of(spark, [[2.0, 2.0, 5.0]])
     row = C.masked_rmse(a, b, ["k"]).first()
     assert (row.cells, row.rmse, row.differing) == (2, pytest.approx(np.sqrt(0.5)), 0.5)
+
+
+@pytest.mark.parametrize(("dy", "dx"), [(0, 25), (-31, 12), (3, -4), (0, 0)])
+def test_fast_and_slow_blobs_are_tracked(dy, dx):
+    y, x = np.mgrid[0:120, 0:140]
+    blob = lambda r, c: 200 * np.exp(-(((y - r) / 4.0) ** 2 + ((x - c) / 6.0) ** 2))
+    dr, dc, good = M._track(blob(60, 60), blob(60 + dy, 60 + dx), np.array([60, 58]), np.array([60, 63]), M.SEARCH_RADIUS, M.WINDOW_HALF, True, 3, 5)
+    assert good.all() and np.allclose(dr, dy, atol=0.1) and np.allclose(dc, dx, atol=0.1)
