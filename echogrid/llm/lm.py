@@ -9,15 +9,19 @@ The automaton of the whole corpus never meets in one place.  Documents are
 dealt into blocks.  A block asks for the n-grams that its texts hold; counts are
 kept in buckets of n-gram hashes, which add up the counts of all blocks and
 answer each block in the order of its question; a block then compiles the part
-of the automaton that its texts can reach, which scores them exactly.
+of the automaton that its texts can reach, which scores them exactly.  From
+three words on it asks for open n-grams alone: if no other block holds an
+n-gram's first words, or its last, none holds the n-gram.
 Contexts back off with weight k / (c + k): hierarchical Dirichlet smoothing,
 which needs counts only.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from . import text
 ORDER = 3
 STRENGTH = (10_000.0, 20.0)  # k of contexts of one and of two words
 FLOOR = 0.1  # added to every word's count
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 KEY_BITS = 56
 LANE = 64
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -97,13 +101,15 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Numbers by byte planes, so that equal high bytes lie together."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    """Numbers by byte planes, compressed: equal high bytes lie together."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unplanes(raw: bytes, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    plain = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(plain, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
 def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -113,54 +119,111 @@ def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]])
 
 
-def _bucket_payload(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
-    out = []
-    for keys, counts in parts:
-        out += [_planes(np.diff(keys, prepend=np.uint64(0))), _planes(counts.astype(np.uint32))]
-    return out
+class Level(NamedTuple):
+    """N-grams of one order in a block, numbered by hash."""
+
+    slot: np.ndarray  # number of the n-gram that ends at each position, -1 without one
+    example: np.ndarray  # a position where each n-gram ends
+    keys: np.ndarray
+    local: np.ndarray  # occurrences in the block's training rows
+    open: np.ndarray  # whether other blocks may hold it
+    shared: np.ndarray | None  # whether other blocks do hold it, if that is known yet
+    counts: np.ndarray | None  # occurrences in all training rows, if they are known yet
+
+
+def _levels(tokens: Tokens, learn: np.ndarray, answers: list[np.ndarray], order: int) -> Iterator[Level]:
+    """Levels of order 1 to ``order``; the answers to the open n-grams of an order, where there are any, complete its counts."""
+    before: Level | None = None
+    for n, (spot, held) in enumerate(tokens.keys(order)):
+        rank, at = _numbered(held)
+        example = spot[at].astype(np.int32)
+        local = np.bincount(rank[learn[spot]], minlength=len(at))
+        slot = np.full(len(tokens), -1, np.int32)
+        slot[spot] = rank
+        free = np.ones(len(at), bool)
+        if n > 1:
+            free = before.shared[before.slot[example - 1]] & before.shared[before.slot[example]]
+        counts = shared = None
+        if n < len(answers):
+            counts, shared = local.copy(), np.zeros(len(at), bool)
+            counts[free], shared[free] = answers[n] >> 1, answers[n] & 1
+        before = Level(slot, example, held[at], local, free, shared, counts)
+        yield before
+
+
+def _block(docs: pa.Table) -> tuple[Tokens, np.ndarray]:
+    tokens = Tokens(docs["body"])
+    return tokens, np.repeat(~docs["held_out"].to_numpy(), np.diff(tokens.rows))
+
 
+def _read(answers: pa.Table, orders: int) -> list[np.ndarray]:
+    """Counts by order from the buckets' answers."""
+    answers = answers.sort_by([("round", "ascending"), ("bucket", "ascending")])
+    rounds, held = answers["round"].to_pylist(), answers["held"]
+    out: list[list[np.ndarray]] = [[] for _ in range(orders)]
+    for which, row in zip(rounds, held, strict=True):
+        for n, raw in enumerate(row):
+            out[which + n].append(_unplanes(raw.as_py(), np.uint64).astype(np.int64))
+    return [np.concatenate(x) for x in out]
 
-def _questions(table: pa.Table, buckets: int, order: int) -> pa.Table:
-    """One row per bucket: the block's distinct n-grams of each order with their counts in training rows."""
-    tokens = Tokens(table["body"])
-    learn = np.repeat(~table["held_out"].to_numpy(), np.diff(tokens.rows))
-    block = table["block"][0].as_py()
+
+def _asked(block: int, buckets: int, levels: list[Level]) -> pa.Table:
+    """One row per bucket: for each level the keys of open n-grams and their counts in the block's training rows."""
     per_bucket: list[list[bytes]] = [[] for _ in range(buckets)]
-    for spot, held in tokens.keys(order):
-        keys, _ = _distinct(held)
-        seen, n = _distinct(held[learn[spot]])
-        counts = np.zeros(len(keys), np.uint32)
-        counts[np.searchsorted(keys, seen)] = n
+    for level in levels:
+        keys, counts = level.keys[level.open], level.local[level.open].astype(np.uint32)
         cut = _edges(keys, buckets)
-        for b in range(buckets):
-            per_bucket[b] += _bucket_payload([(keys[cut[b] : cut[b + 1]], counts[cut[b] : cut[b + 1]])])
-    kind = pa.list_(pa.binary())
-    return pa.table({"bucket": pa.array(range(buckets), pa.int64()), "block": pa.array([block] * buckets, pa.int64()), "held": pa.array(per_bucket, kind)})
+        for b, (low, high) in enumerate(itertools.pairwise(cut)):
+            per_bucket[b] += [_planes(np.diff(keys[low:high], prepend=np.uint64(0))), _planes(counts[low:high])]
+    return pa.table({"bucket": pa.array(range(buckets), pa.int64()), "block": pa.array([block] * buckets, pa.int64()), "held": pa.array(per_bucket, pa.list_(pa.binary()))})
+
+
+def _first_questions(docs: pa.Table, buckets: int, order: int) -> pa.Table:
+    """Words and pairs of words, all of them."""
+    tokens, learn = _block(docs)
+    return _asked(docs["block"][0].as_py(), buckets, list(_levels(tokens, learn, [], min(order, 2))))
+
+
+def _next_questions(docs: pa.Table, answers: pa.Table, buckets: int, order: int) -> pa.Table:
+    """The open n-grams of ``order`` words, once those of fewer words are known."""
+    tokens, learn = _block(docs)
+    for level in _levels(tokens, learn, _read(answers, order - 1), order):
+        last = level
+    return _asked(docs["block"][0].as_py(), buckets, [last])
 
 
-def _answers(table: pa.Table, order: int) -> pa.Table:
-    """Counts over all blocks, for each block in the order it asked, and the bucket's words and tokens."""
-    asked = table["held"]
-    out: list[list[bytes]] = [[] for _ in range(len(asked))]
+def _answers(asked: pa.Table, first: int) -> pa.Table:
+    """Twice the count over all blocks, one more if several blocks asked, for each block in the order it asked.
+
+    The words' answer also has the bucket's numbers of words and tokens.
+    """
+    held = asked["held"]
+    out: list[list[bytes]] = [[] for _ in range(len(held))]
     words = tokens = 0
-    for n in range(order):
-        keys = [np.cumsum(_unplanes(row[2 * n].as_py(), np.uint64), dtype=np.uint64) for row in asked]
-        every = np.concatenate(keys)
-        known, _ = _distinct(every)
-        total = np.zeros(len(known), np.int64)
-        for k, row in zip(keys, asked, strict=True):
-            total[np.searchsorted(known, k)] += _unplanes(row[2 * n + 1].as_py(), np.uint32)
-        if n == 0:
+    for n in range(len(held[0]) // 2):
+        keys = [np.cumsum(_unplanes(row[2 * n].as_py(), np.uint64), dtype=np.uint64) for row in held]
+        known, _ = _distinct(np.concatenate(keys))
+        total, askers = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+        places = [np.searchsorted(known, k) for k in keys]
+        for at, row in zip(places, held, strict=True):
+            total[at] += _unplanes(row[2 * n + 1].as_py(), np.uint32)
+            askers[at] += 1
+        if n == first == 0:
             words, tokens = int((total > 0).sum()), int(total.sum())
-        for k, one in zip(keys, out, strict=True):
-            one.append(_planes(total[np.searchsorted(known, k)].astype(np.uint64)))
-    size = len(asked)
+        told = (2 * total + (askers > 1)).astype(np.uint64)
+        for at, one in zip(places, out, strict=True):
+            one.append(_planes(told[at]))
+    size = len(held)
     return pa.table({
-        "block": table["block"], "bucket": table["bucket"], "held": pa.array(out, pa.list_(pa.binary())),
+        "block": asked["block"], "bucket": asked["bucket"], "round": pa.array([first] * size, pa.int32()), "held": pa.array(out, pa.list_(pa.binary())),
         "words": pa.array([words] * size, pa.int64()), "tokens": pa.array([tokens] * size, pa.int64()),
     })
 
 
+ASKED = "bucket long, block long, held array<binary>"
+ANSWERS = "block long, bucket long, round int, held array<binary>, words long, tokens long"
+
+
 class Automaton:
     """What a block's texts can reach of the automaton.
 
@@ -169,39 +232,35 @@ class Automaton:
     contexts of n - 1 words and are found by n-gram number.
     """
 
-    def __init__(self, tokens: Tokens, counts: list[np.ndarray], words: int, total: int, strength: tuple[float, ...] = STRENGTH):
+    def __init__(self, levels: Iterator[Level], words: int, total: int, strength: tuple[float, ...] = STRENGTH):
         self.arcs = []  # by order: number of each position's n-gram, source, target, log-probability, liveness
-        orders = len(counts)
         states = 1
-        lower_p = lower_c = lower_slot = lower_state = None
-        fails, backs = [np.zeros(1, np.int64)], [np.zeros(1)]
-        for n, (spot, held) in enumerate(tokens.keys(orders)):
-            rank, example = _numbered(held)
-            slot = np.full(len(tokens), -1, np.int32)
-            slot[spot], example = rank, spot[example]
-            c = counts[n].astype(np.float64)
+        fails, backs = [np.zeros(1, np.int32)], [np.zeros(1)]
+        below = lower_p = lower_state = None
+        for n, level in enumerate(levels):
+            c = level.counts.astype(np.float64)
             if n == 0:
                 p = (c + FLOOR) / (total + FLOOR * (words + 1))
-                source, live = np.zeros(len(c), np.int64), np.ones(len(c), bool)
+                source = shorter = np.zeros(len(c), np.int32)
+                live = np.ones(len(c), bool)
                 self.known, self.base = c > 0, np.log10(p)
             else:
-                context, suffix = lower_slot[example - 1], lower_slot[example]
+                context, suffix = below.slot[level.example - 1], below.slot[level.example]
                 k = strength[n - 1]
-                p = (c + k * lower_p[suffix]) / (lower_c[context] + k)
-                source, live = lower_state[context], c > 0
-            last = n == orders - 1
+                p = (c + k * lower_p[suffix]) / (below.counts[context] + k)
+                source, shorter, live = lower_state[context], lower_state[suffix], c > 0
             # a context is a state if it was seen; its failure leads to its last words
-            shorter = np.zeros(len(c), np.int64) if n == 0 else lower_state[lower_slot[example]]
-            state = np.where(c > 0, states + np.arange(len(c)), shorter)
-            self.arcs.append((slot, source, shorter if last else state, np.log10(p), live))
+            state = np.where(c > 0, states + np.arange(len(c), dtype=np.int32), shorter)
+            last = n == len(strength)
+            self.arcs.append((level.slot, source, shorter if last else state, np.log10(p), live))
             if not last:
                 fails.append(shorter)
                 backs.append(np.log10(strength[n] / (c + strength[n])))
                 states += len(c)
-            lower_p, lower_c, lower_slot, lower_state = p, c, slot, state
+            below, lower_p, lower_state = level, p, state
         self.fail, self.backoff = np.concatenate(fails), np.concatenate(backs)
         ends = np.cumsum([len(f) for f in fails])
-        self.depth = np.searchsorted(ends, np.arange(len(self.fail)), "right")
+        self.depth = np.searchsorted(ends, np.arange(len(self.fail)), "right").astype(np.int8)
 
     def read(self, tokens: Tokens) -> np.ndarray:
         """Log-probability of every token.
@@ -245,12 +304,9 @@ class Automaton:
 
 
 def _score(docs: pa.Table, answers: pa.Table, order: int, strength: tuple[float, ...]) -> pa.Table:
-    tokens = Tokens(docs["body"])
-    answers = answers.sort_by("bucket")
-    held = answers["held"]
-    counts = [np.concatenate([_unplanes(row[n].as_py(), np.uint64) for row in held]) for n in range(order)]
+    tokens, learn = _block(docs)
     words, total = sum(answers["words"].to_pylist()), sum(answers["tokens"].to_pylist())
-    model = Automaton(tokens, counts, words, total, strength)
+    model = Automaton(_levels(tokens, learn, _read(answers, order), order), words, total, strength[: order - 1])
     one = model.arcs[0][0]
     size = np.diff(tokens.rows)
     return pa.table({
@@ -265,6 +321,13 @@ def _sums(values: np.ndarray, rows: np.ndarray) -> pa.Array:
     return pa.array(np.add.reduceat(values, rows[:-1]) if len(rows) > 1 else np.zeros(0))
 
 
+def _round(dealt: DataFrame, answered: DataFrame, blocks: int, order: int) -> DataFrame:
+    """Answers to the open n-grams of ``order`` words."""
+    ask = lambda d, a: _next_questions(d, a, blocks, order)
+    asked = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(ask, ASKED)
+    return asked.groupBy("bucket").applyInArrow(lambda t: _answers(t, order - 1), ANSWERS)
+
+
 def held_out(id_column: Column, folds: int = 10) -> Column:
     """Whether the CRC-32 of the id's text (null: empty) is divisible by ``folds``."""
     return F.crc32(F.encode(F.coalesce(id_column.cast("string"), F.lit("")), "UTF-8")) % folds == 0
@@ -284,8 +347,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     blocks = max(1, math.ceil(size / block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "body"), F.lit(blocks)))
     kind = dict(rows.dtypes)["id"]
-    asked = dealt.groupBy("block").applyInArrow(lambda t: _questions(t, blocks, order), "bucket long, block long, held array<binary>")
-    answered = asked.groupBy("bucket").applyInArrow(lambda t: _answers(t, order), "block long, bucket long, held array<binary>, words long, tokens long")
+    asked = dealt.groupBy("block").applyInArrow(lambda t: _first_questions(t, blocks, order), ASKED)
+    answered = asked.groupBy("bucket").applyInArrow(lambda t: _answers(t, 0), ANSWERS)
+    for n in range(3, order + 1):
+        answered = answered.unionByName(_round(dealt, answered, blocks, n))
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
         lambda d, a: _score(d, a, order, strength),
         f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
