@@ -268,9 +268,39 @@ def largest_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.largest_rings(areas).select("feature", F.rint(F.col("area") / 1e6).cast("bigint").alias("area_km2"))
 
 
-@query("buffered_bounds")
+_E2 = P.WGS84_FLATTENING * (2 - P.WGS84_FLATTENING)
+_E1 = math.sqrt(_E2)
+_QP = 1 - (1 - _E2) / (2 * _E1) * math.log((1 - _E1) / (1 + _E1))
+_RQ = P.EARTH_RADIUS * math.sqrt(_QP / 2)
+_Q_OF = "(1 - {e2!r}::DOUBLE) * (sin(t) / (1 - {e2!r}::DOUBLE * sin(t) * sin(t)) - ln((1 - {e!r}::DOUBLE * sin(t)) / (1 + {e!r}::DOUBLE * sin(t))) / (2 * {e!r}::DOUBLE))".format(e2=_E2, e=_E1)
+# Latitude from the authalic q by Newton steps, written out.
+_NEWTON = "t + (1 - {e2!r}::DOUBLE * sin(t) * sin(t)) ** 2 / (2 * cos(t)) * (q / (1 - {e2!r}::DOUBLE) - sin(t) / (1 - {e2!r}::DOUBLE * sin(t) * sin(t)) + ln((1 - {e!r}::DOUBLE * sin(t)) / (1 + {e!r}::DOUBLE * sin(t))) / (2 * {e!r}::DOUBLE))".format(e2=_E2, e=_E1)
+
+
+def _newton(source: str, steps: int) -> str:
+    for _ in range(steps):
+        source = f"SELECT * REPLACE ({_NEWTON} AS t) FROM ({source})"
+    return source
+
+
+@query(
+    "buffered_bounds",
+    f"""WITH {_RINGS}, p AS (SELECT v.feature, ring, seq, lon0, lat0, {_AX} AS x, {_AY} AS y FROM v JOIN ctr USING (feature)),
+    a AS (SELECT a.feature, a.ring, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area FROM p a JOIN p b ON a.feature = b.feature AND a.ring = b.ring AND b.seq = (a.seq + 1) % {VERTICES} GROUP BY ALL),
+    best AS (SELECT feature, max({{'a': area, 'r': -ring}}) AS b FROM a GROUP BY feature),
+    g AS (SELECT p.feature, radians(lon0) AS l0, radians(lat0) AS t, x + 80000 * cos(i * {2 * math.pi / 64!r}::DOUBLE) AS gx, y + 80000 * sin(i * {2 * math.pi / 64!r}::DOUBLE) AS gy
+      FROM p JOIN best ON p.feature = best.feature AND p.ring = -best.b.r, range(64) k(i)),
+    c AS (SELECT *, asin({_Q_OF} / {_QP!r}::DOUBLE) AS b1, {P.EARTH_RADIUS!r}::DOUBLE * cos(t) / sqrt(1 - {_E2!r}::DOUBLE * sin(t) * sin(t)) / ({_RQ!r}::DOUBLE * cos(asin({_Q_OF} / {_QP!r}::DOUBLE))) AS d FROM g),
+    r AS (SELECT *, sqrt(gx * gx / (d * d) + d * d * gy * gy) AS rho FROM c), s AS (SELECT *, 2 * asin(rho / (2 * {_RQ!r}::DOUBLE)) AS ce FROM r),
+    w AS (SELECT feature, degrees(l0 + atan2(gx * sin(ce), d * rho * cos(b1) * cos(ce) - d * d * gy * sin(b1) * sin(ce))) AS lon,
+      {_QP!r}::DOUBLE * (cos(ce) * sin(b1) + d * gy * sin(ce) * cos(b1) / rho) AS q FROM s),
+    z AS ({_newton("SELECT feature, lon, q, asin(q / 2) AS t FROM w", 6)})
+    SELECT feature, round(min(lon), 6) AS west, round(min(degrees(t)), 6) AS south, round(max(lon), 6) AS east, round(max(degrees(t)), 6) AS north FROM z GROUP BY feature""",
+)
 def buffered_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.buffered_bounds(vertices(spark, sf_dir), buffer_km=80.0)
+    """Bounds of the largest ring of each feature, grown by 80 km."""
+    grown = G.buffered_bounds(vertices(spark, sf_dir), buffer_km=80.0)
+    return grown.select("feature", *[F.round(side, 6).alias(side) for side in ("west", "south", "east", "north")])
 
 
 @query(
