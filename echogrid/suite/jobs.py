@@ -113,16 +113,15 @@ def wanted_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored forecast fields of every purchase slot; some have no readable metadata."""
-    source = files(spark, sf_dir).where(F.col("input_id").isin("purchase", "view"))
-    return source.select(
+    """Stored forecast fields of every file's slot; some have no readable metadata."""
+    return files(spark, sf_dir).select(
         F.when(F.col("input_id") == "purchase", "solo_forecast").otherwise("duo_forecast").alias("forecast_id"),
         F.when(F.col("event_id") % 9 != 0, F.col("slot_ts")).alias("issue_ts"),
         (F.col("user_id") % 3 * 10 + 10).cast("int").alias("lead_min"), "user_id",
     )
 
 
-_FIELDS = FILES + """, fld AS (SELECT CASE input_id WHEN 'purchase' THEN 'solo' ELSE 'duo' END AS p, slot_ts AS issue_ts, CAST(user_id % 3 * 10 + 10 AS INTEGER) AS lead_min, user_id FROM files WHERE input_id IN ('purchase', 'view') AND event_id % 9 <> 0),
+_FIELDS = FILES + """, fld AS (SELECT CASE input_id WHEN 'purchase' THEN 'solo' ELSE 'duo' END AS p, slot_ts AS issue_ts, CAST(user_id % 3 * 10 + 10 AS INTEGER) AS lead_min, user_id FROM files WHERE event_id % 9 <> 0),
 fb AS (SELECT *, 'radar_' || p || '_' || strftime(issue_ts, '%Y%m%d_%H%M') || '_fct' || lead_min AS base FROM fld),
 done AS (SELECT DISTINCT unnest(CASE user_id % 5 WHEN 0 THEN [base || '.json', base || '_overlay.png', base || '_overlay_small.png'] WHEN 1 THEN [base || '.json'] ELSE [] END) AS name FROM fb)"""
 

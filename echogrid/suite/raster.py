@@ -120,13 +120,14 @@ def composite_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "composite_products",
-    f"""WITH {OBS}, b(product_id, input_id) AS (VALUES ('cz','cz_maxz'), ('it','opera_dbzh'), ('it','it_sri_arco'), ('de','opera_dbzh')),
+    f"""WITH {OBS}, b AS (SELECT unnest(string_split('de pl sk at be ch dk ee fi fr gb hr hu ie is it lv lt md mt nl no pt ro rs es se si', ' ')) AS product_id, 'opera_dbzh' AS input_id
+      UNION ALL VALUES ('cz', 'cz_maxz'), ('it', 'it_sri_arco')),
     m AS (SELECT product_id, k, "row", "col", max(value) AS value FROM obs JOIN b USING (input_id) GROUP BY ALL)
     SELECT product_id, k, "row", "col", {SETTLED} FROM m""",
 )
 def composite_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bridge = registry.product_inputs(spark).where(F.col("product_id").isin("cz", "it", "de"))
-    return settled(C.composite_inputs(obs(spark, sf_dir), bridge, ["k"]))
+    """Every product's inputs merged by maximum."""
+    return settled(C.composite_inputs(obs(spark, sf_dir), registry.product_inputs(spark), ["k"]))
 
 
 @query(
