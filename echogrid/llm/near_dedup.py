@@ -27,6 +27,7 @@ LEAF_ROWS = 16_384
 LEAVES = 64
 DIRECT = 100  # leaf pairs below which two nodes are compared at once
 FRONTIER = 1 << 19
+SLICE_BYTES = 2 << 20  # of text whose shingles are hashed at once
 
 
 def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -76,7 +77,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``id`` and ``fp`` (the fingerprint's bits as a long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text.slices(batches, "body"):
+        for part in text.slices(batches, "body", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fingerprints(part.column("body"), shingle).view(np.int64))], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 # Byte tables: ASCII capitals become small, separators become a blank.
 _SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
