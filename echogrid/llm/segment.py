@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding with the N best segmentations.
 
 A text's piece lattice has a node between characters and an edge for each piece.
-No piece runs on from a character into a following blank, so the lattice is a
-series of short ones, one per chunk (a word with the blanks before it), and only
-distinct chunks are searched.  Forward Viterbi scores of all chunks are found
-together; they are the exact heuristic of a backward A-star search, which hands
-out a chunk's segmentations best first.  The N best of a whole text change the
-chunks that lose least.
+The text is cut before blanks and around control characters wherever no piece
+runs over the cut, so the lattice is a series of short ones, one per chunk (mostly
+a word with the blanks before it), and only distinct chunks are searched.  Forward
+Viterbi scores of all chunks are found together; they are the exact heuristic of a
+backward A-star search, which hands out a chunk's segmentations best first.  The N
+best of a whole text change the chunks that lose least.
 """
 
 from __future__ import annotations
@@ -80,6 +80,9 @@ class Trie:
         # the first two bytes are looked up without a search
         self.one = np.array([moves.get(b, -1) for b in range(256)], np.int64)
         self.two = np.array([-1 if a < 0 else moves.get(a << 8 | b, -1) for a in self.one.tolist() for b in range(256)], np.int64)
+        # pairs of bytes that some piece holds side by side
+        self.joined = np.zeros(1 << 16, bool)
+        self.joined[[a << 8 | b for name in itertools.compress(pieces.names, pieces.usable) for a, b in itertools.pairwise(name)]] = True
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         key = node << 8 | byte
@@ -239,8 +242,10 @@ class Lattice:
         return found
 
 
-def _chunks(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A blank before every text that is not empty, then the start of each chunk: at a blank after a non-blank, and around control characters."""
+def _chunks(data: np.ndarray, rows: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A blank before every text that is not empty, then the start of each chunk: at a blank after a non-blank, and
+    around control characters, but never between two bytes that a piece has ``joined``.
+    """
     sizes = np.diff(rows)
     full = sizes > 0
     moved = np.empty(len(data) + int(full.sum()), np.uint8)
@@ -252,6 +257,8 @@ def _chunks(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if len(moved):
         blank, odd = moved == 32, moved < 32
         fresh[1:] = (blank[1:] & ~blank[:-1]) | odd[1:] | odd[:-1]
+        cuts = np.flatnonzero(fresh)
+        fresh[cuts[joined[moved[cuts - 1].astype(np.int64) << 8 | moved[cuts]]]] = False
         fresh[begins] = True
     return moved, np.flatnonzero(fresh)
 
@@ -273,7 +280,7 @@ class Encoder:
             lengths = np.array([len(b) for b in cleaned], np.int64)
         else:
             lengths = np.diff(rows)
-        spaced, starts = _chunks(plain, np.concatenate([[0], np.cumsum(lengths)]))
+        spaced, starts = _chunks(plain, np.concatenate([[0], np.cumsum(lengths)]), self.trie.joined)
         owned = np.concatenate([[0], np.cumsum(lengths + (lengths > 0))])
         of_row = np.searchsorted(starts, owned)
         n = len(lengths)

@@ -60,6 +60,16 @@ def test_n_best_equal_all_segmentations(text):
     assert found["round_trip"] == ("▁" not in text)
 
 
+@given(st.lists(st.sampled_from(["\r", "\n", ";", " {", ")", "}", "a", " "]), max_size=6).map("".join))
+@settings(max_examples=150, deadline=None)
+def test_n_best_over_carriage_returns(text):
+    test_n_best_equal_all_segmentations.hypothesis.inner_test(text)
+
+
+def test_a_piece_that_ends_in_a_carriage_return_is_found():
+    assert BY_NAME[";\r"][0] in ENCODER(pa.array(["a;\r\nb"]))["ids"].to_pylist()[0]
+
+
 def test_a_star_of_one_chunk_is_sorted_and_complete():
     packed = np.frombuffer(b" therein", np.uint8)
     lattice = segment.Lattice(packed, np.array([0, len(packed)]), ENCODER.trie, PIECES)
