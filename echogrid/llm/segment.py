@@ -29,7 +29,7 @@ SCALE = 1 << 20  # scores are whole multiples of 1 / SCALE, so sums and ties are
 UNKNOWN_GAP = 10.0  # how far below the worst piece a character without a piece stands
 BEST = 4
 SLICE_BYTES = 1 << 20  # of text per lattice, whose edges take some hundred times that
-REMEMBERED = 5_000  # chunks whose segmentations a task keeps between runs of rows
+REMEMBERED = 5_000  # chunks whose segmentations a task keeps between runs of rows, while they have SLICE_BYTES at most
 MARK = "▁".encode()
 _NONE = -(1 << 62)
 
@@ -225,22 +225,48 @@ class Lattice:
         return out
 
     def n_best(self, chunk: int, n: int) -> list[tuple[int, list[int]]]:
-        """Score and edges of the ``n`` best segmentations by backward A-star, ties by the longest last pieces."""
+        """Score and edges of the ``n`` best segmentations by backward A-star, ties by the longest last pieces.
+
+        The heuristic is exact, so from an entry the search runs straight down the
+        back edges to the source.  That way is taken at once, and of the edges that
+        turn off it only as many are kept as segmentations are still wanted.
+        """
         source, sink = int(self.sources[chunk]), int(self.sinks[chunk])
-        heap = [(-int(self.score[sink]), (), sink, 0, ())]
+        heap: list[tuple[int, bytes, list[int], int]] = []
+
+        def push(cost: int, edges: list[int], node: int) -> None:
+            fixed = len(edges)
+            while node != source:
+                edges.append(int(self.back[node]))
+                node = int(self.start[edges[-1]])
+            # big-endian nodes compare as bytes like the nodes themselves
+            heapq.heappush(heap, (cost, self.start[edges].astype(">u4").tobytes() if edges else b"", edges, fixed))
+
+        push(-int(self.score[sink]), [], sink)
         found = []
         while heap and len(found) < n:
-            cost, path, node, behind, edges = heapq.heappop(heap)
-            if node == source:
-                found.append((-cost, list(edges[::-1])))
-                continue
-            low = int(self.first[node])
-            for edge in range(low, low + int(self.count[node])):
-                before = int(self.start[edge])
-                sofar = behind + int(self.weight[edge])
-                heapq.heappush(heap, (-(int(self.score[before]) + sofar), (*path, before), before, sofar, (*edges, edge)))
+            cost, _, edges, fixed = heapq.heappop(heap)
+            found.append((-cost, edges[::-1]))
+            if len(found) < n:
+                for loss, _, at, edge in heapq.nsmallest(n - len(found), self._turns(edges, fixed)):
+                    at = abs(at)
+                    push(cost + loss, [*edges[:at], edge], int(self.start[edge]))
         return found
 
+    def _turns(self, edges: list[int], fixed: int) -> Iterator[tuple[int, bool, int, int]]:
+        """Edges that turn off a path behind its first ``fixed`` ones: what they lose, then how such paths are ordered.
+
+        A longer piece than the path's comes before all that follow the path on, the
+        earliest turn first; a shorter one after them, the latest turn first.
+        """
+        for at in range(fixed, len(edges)):
+            own = edges[at]
+            node = int(self.end[own])
+            low, score = int(self.first[node]), int(self.score[node])
+            for edge in range(low, low + int(self.count[node])):
+                if edge != own:
+                    yield score - int(self.score[self.start[edge]]) - int(self.weight[edge]), edge > own, -at if edge > own else at, edge
+
 
 def _chunks(data: np.ndarray, rows: np.ndarray, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A blank before every text that is not empty, then the start of each chunk: at a blank after a non-blank, and
@@ -300,7 +326,7 @@ class Encoder:
         flat = ids[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(id_starts[:-1][codes], size)]
         chunk_at = np.concatenate([[0], np.cumsum(size)])
         totals = text.row_sums(lattice.score[lattice.sinks][codes], of_row)
-        if len(self.memo) > REMEMBERED:
+        if len(self.memo) > REMEMBERED or sum(map(len, self.memo)) > SLICE_BYTES:
             self.memo.clear()
         scores, changes = [], []
         for r in range(n):

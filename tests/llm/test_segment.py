@@ -1,3 +1,6 @@
+import heapq
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -78,6 +81,45 @@ def test_a_star_of_one_chunk_is_sorted_and_complete():
     assert lattice.losses(lattice.best_paths()[0])[0] == found[0][0] - found[1][0]
 
 
+def whole_paths(lattice, chunk, n):
+    """The search with whole paths in its heap."""
+    source, sink = int(lattice.sources[chunk]), int(lattice.sinks[chunk])
+    heap, found = [(-int(lattice.score[sink]), (), sink, 0, ())], []
+    while heap and len(found) < n:
+        cost, path, node, behind, edges = heapq.heappop(heap)
+        if node == source:
+            found.append((-cost, list(edges[::-1])))
+            continue
+        low = int(lattice.first[node])
+        for edge in range(low, low + int(lattice.count[node])):
+            before, after = int(lattice.start[edge]), behind + int(lattice.weight[edge])
+            heapq.heappush(heap, (-(int(lattice.score[before]) + after), (*path, before), before, after, (*edges, edge)))
+    return found
+
+
+@pytest.mark.parametrize("body", [" therein", " aaaaaaaaa", " ====", " \r\r\r;\r", " 日本語日本", " internationalization", " 000000000000"])
+@pytest.mark.parametrize("n", [1, 4, 50])
+def test_a_star_orders_ties_by_the_longest_last_pieces(body, n):
+    packed = np.frombuffer(body.encode(), np.uint8)
+    lattice = segment.Lattice(packed, np.array([0, len(packed)]), ENCODER.trie, PIECES)
+    assert lattice.n_best(0, n) == whole_paths(lattice, 0, n)
+
+
+@pytest.mark.parametrize("part", ["x", "therein"])
+def test_a_long_text_without_blanks_takes_little_memory(part):
+    body = (" " + part * 200_000)[:200_000].encode()
+    lattice = segment.Lattice(np.frombuffer(body, np.uint8), np.array([0, len(body)]), ENCODER.trie, PIECES)
+    tracemalloc.start()
+    found = lattice.n_best(0, segment.BEST)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == segment.BEST and len({tuple(e) for _, e in found}) == segment.BEST and peak < 200 << 20
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+    assert all(b"".join(bytes(lattice.packed[a:b]) for a, b in zip(lattice.start[e].tolist(), lattice.end[e].tolist(), strict=True)) == body for _, e in found)
+    assert all(int(lattice.weight[e].astype(np.int64).sum()) == s for s, e in found)
+    assert lattice.losses(lattice.best_paths()[0])[0] == found[0][0] - found[1][0]
+
+
 def test_rows_do_not_depend_on_their_neighbours():
     texts = ["the end", "", None, "then  an\nend", "x" * 3000, "the end"]
     whole = [dict(zip(("i", "s", "c", "r"), v, strict=True)) for v in zip(*(c.to_pylist() for c in ENCODER(pa.array(texts)).values()), strict=True)]
