@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echogrid.llm import decontaminate, exact_dedup, near_dedup, quality, segment
@@ -20,10 +20,17 @@ from echogrid.session import shared_dir
 PIECES = "piece_bpe_32k.model"
 
 
+def _passed(docs: DataFrame, judged: DataFrame, verdict: Column) -> DataFrame:
+    """The columns of ``docs`` where ``verdict`` holds; it names what ``judged`` has after them v0, v1 and so on, whatever their names."""
+    n = len(docs.columns)
+    private = judged.toDF(*[f"c{i}" for i in range(n)], *[f"v{i}" for i in range(len(judged.columns) - n)])
+    return private.filter(verdict).select(*[F.col(f"c{i}").alias(name) for i, name in enumerate(docs.columns)])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality classifier rejects; it learns from the labelled rows among ``docs``."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, docs.columns).filter("predicted = 1").drop("score", "predicted")
+    return _passed(docs, quality.score(docs, model, docs.columns), F.col("v1") == 1)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,16 +39,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by SimHash, keep the smallest doc_id.  Rows with a null id stay only where their group has no other id."""
-    grouped = near_dedup.groups(docs)
-    kept = grouped.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
+    """Of each group linked by SimHash, keep one text: the one with the smallest doc_id, null last, then the smallest digest.
+
+    Rows equal in id and text, which the stage before leaves once, stay or go together.
+    """
+    digest = F.unhex(F.md5("text"))
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")).alias("key"), "text")
+    grouped = near_dedup.groups(rows, "key")
+    kept = grouped.filter(F.col("id") == F.col("component_id")).select("id.*").distinct().toDF("kept_none", "kept_id", "kept_digest")
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), digest.alias("row_digest"))
+    same = F.col("row_id").eqNullSafe(F.col("kept_id")) & F.col("row_digest").eqNullSafe(F.col("kept_digest"))
+    return held.join(kept, same, "left_semi").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which a twentieth or more is benchmark passages."""
     judged = decontaminate.judge(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns)
-    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+    return _passed(docs, judged, ~F.col("v4"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

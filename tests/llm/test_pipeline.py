@@ -64,3 +64,26 @@ def test_odd_rows_pass_through_every_stage(spark):
             part = stage(spark, part, SF)
         assert part.filter(F.col("doc_id") == 4).count() <= 1
 
+
+def test_verdict_columns_may_clash_with_those_of_the_documents(spark):
+    more = ["score", "predicted", "contaminated", "n_words", "id", "fp", "component_id", "kept_id", "c0", "v1", "v4", "body"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    odd = spark.createDataFrame([(None, t, "en", "s", 1) for t in (None, "", "no id at all", "No id at all", "another text")], docs.schema)
+    plain = docs.union(odd)
+    wide = plain.select("*", *[F.lit(i).alias(c) for i, c in enumerate(more)])
+    for name, stage in corpus_pipeline.STAGES:
+        plain, wide = stage(spark, plain, SF).localCheckpoint(), stage(spark, wide, SF).localCheckpoint()
+        columns = plain.columns
+        assert sorted(map(str, plain.collect())) == sorted(map(str, wide.select(*columns).collect())), name
+        if name != "encode":
+            assert wide.columns == [*columns, *more]
+            assert wide.filter(" or ".join(f"not {c} <=> {i}" for i, c in enumerate(more))).isEmpty()
+
+
+def test_near_copies_are_decided_row_by_row(spark):
+    one, two, three, four = ("alpha beta gamma delta epsilon zeta", "red green blue white black grey", "one two three four five six", "north south east west up down")
+    rows = [(None, one), (None, one.upper()), (5, two), (None, two.upper()), (3, three), (7, three.upper()), (7, four), (None, four.upper())]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(k for k in kept if k[0] is not None) == [(3, three), (5, two), (7, four)]
+    assert len(kept) == 4 and [k for k in kept if k[0] is None][0][1].lower() == one
