@@ -215,14 +215,15 @@ def history_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("resample_ellipsoidal")
 def resample_ellipsoidal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with an equal-area and a transverse Mercator source."""
+    """The same with an equal-area and a transverse Mercator source beside the Mercator one."""
     crs = {
+        "cz_maxz": SOURCE_CRS["cz_maxz"],
         "opera_dbzh": P.Crs("laea", f=P.WGS84_FLATTENING, lat0=55.0, lon0=10.0, x0=1950000.0, y0=-2100000.0),
         "it_sri_arco": P.Crs("tmerc", f=P.WGS84_FLATTENING, lat0=42.0, lon0=12.5),
     }
     targets = spark.createDataFrame([("eu", 1000000.0, 7000000.0, 20000.0, 20000.0, 40, 60)], "product_id string, x_min double, y_max double, px double, py double, width int, height int")
     sources = spark.createDataFrame(
-        [("eu", "opera_dbzh", 1900000.0, -2000000.0, 15000.0, 15000.0, 32, 32), ("eu", "it_sri_arco", -250000.0, 900000.0, 16000.0, 16000.0, 32, 32)],
+        [("eu", "cz_maxz", 0.0, 0.0, 15557.0, 15557.0, 32, 32), ("eu", "opera_dbzh", 1900000.0, -2000000.0, 15000.0, 15000.0, 32, 32), ("eu", "it_sri_arco", -250000.0, 900000.0, 16000.0, 16000.0, 32, 32)],
         "product_id string, input_id string, x_min double, y_max double, px double, py double, width int, height int",
     )
     return settled(R.composite_to_grid(obs(spark, sf_dir), targets, sources, crs, ["product_id"], ["k"]))
