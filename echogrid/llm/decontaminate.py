@@ -119,8 +119,8 @@ def match(shard: Shard, phrases: Phrases, reach: int | None = None) -> tuple[np.
 
 
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_BYTES) -> list[list[tuple[str, str | None]]]:
-    """Items in blocks of about ``limit`` bytes, item ids as text; a benchmark over ``MOST_BYTES`` is refused."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("body"))
+    """Items in blocks of about ``limit`` bytes, item ids as text, a null id as an empty one; a benchmark over ``MOST_BYTES`` is refused."""
+    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("body"))
     size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     if size > MOST_BYTES:
         raise ValueError(f"a benchmark of {size} bytes; judge it in parts of at most {MOST_BYTES}")
@@ -180,7 +180,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, carry: list[str], id_col: str =
 
     A row is contaminated if it has hit words and they are a twentieth of its
     words or more.  Null and empty texts have no words and are clean.  Items
-    that share an id count once.  The blocks of the benchmark follow one
+    that share an id count once; null ids are one item with an empty id.  The blocks of the benchmark follow one
     another in the task that reads the row, which hands the matches on.
     """
     rows, names, fields = text.carried(docs, text_col, carry)

@@ -78,3 +78,13 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert decontaminate.judge(empty, bench, ["doc_id"]).collect() == []
     assert [tuple(r)[:4] for r in decontaminate.judge(docs, bench, ["doc_id"]).collect()] == [(1, 1, 0, 0)]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 4])
+def test_items_without_an_id_are_one_with_an_empty_id(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", ("item_id", "text", limit))
+    docs = spark.createDataFrame([(1, "a b zz"), (2, "zz zz"), (3, "c d")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b"), (None, "c d"), (4, "c d")], "item_id long, text string")
+    want = [(i, *brute(t, [("", "a b"), ("", "c d"), (4, "c d")])) for i, t in ((1, "a b zz"), (2, "zz zz"), (3, "c d"))]
+    assert sorted(map(tuple, decontaminate.judge(docs, bench, ["doc_id"]).collect())) == want
+    assert sorted((r.id, r.item) for r in decontaminate.spans(docs, bench).collect()) == [(1, ""), (3, ""), (3, "4")]
