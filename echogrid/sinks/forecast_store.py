@@ -25,7 +25,7 @@ def write_cells(cells: DataFrame, path: str) -> None:
 
 def write_frames(frames: DataFrame, path: str) -> None:
     """List the frames of one issue per forecast; from then on that issue is the one that is read."""
-    frames.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("forecast_id").parquet(f"{path}/frames")
+    frames.withColumn("lead_min", F.col("lead_min").cast("int")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("forecast_id").parquet(f"{path}/frames")
 
 
 def write_fields(cells: DataFrame, frames: DataFrame, path: str) -> None:
@@ -55,9 +55,15 @@ def drop_unlisted(spark: SparkSession, path: str, forecasts: list[str]) -> None:
                 store.delete(status.getPath(), True)
 
 
+FRAMES = "issue_ts TIMESTAMP_NTZ, valid_ts TIMESTAMP_NTZ, lead_min INT, forecast_id STRING"
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Issue times and leads without touching a cell."""
-    return spark.read.parquet(f"{path}/frames")
+    """Issue times and leads without touching a cell.
+
+    The schema is given, as a forecast id that looks like a number or a date would else be read as one.
+    """
+    return spark.read.schema(FRAMES).parquet(f"{path}/frames")
 
 
 def existing_minutes(spark: SparkSession, path: str, forecast_id: str, issue_ts: str) -> DataFrame:

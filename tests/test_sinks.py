@@ -113,6 +113,15 @@ def test_store_replaces_one_forecast_and_keeps_the_other(spark, tmp_path):
     assert forecast_store.read_fields(spark, path, "a").count() == 1
 
 
+@pytest.mark.parametrize("name", ["007", "7", "2024-01-01", "2024-01-01 00:00:00", "1e3", "true", "a=b/c%"])
+def test_ids_that_look_like_other_types_stay_text(spark, tmp_path, name):
+    path = str(tmp_path / "store")
+    for issue in ("2026-06-05 21:00:00", "2026-06-05 21:05:00"):
+        forecast_store.write_fields(*fields(spark, [(name, issue, 10), ("b", issue, 10)]), path)
+    assert sorted((r.forecast_id, str(r.issue_ts)) for r in forecast_store.read_fields(spark, path).collect()) == sorted((f, "2026-06-05 21:05:00") for f in (name, "b"))
+    assert forecast_store.read_fields(spark, path, name, 10).count() == forecast_store.existing_minutes(spark, path, name, "2026-06-05 21:05:00").count() == 1
+
+
 def test_a_failure_between_cells_and_frames_leaves_the_old_issue(spark, tmp_path):
     path = str(tmp_path / "store")
     forecast_store.write_fields(*fields(spark, [("a", "2026-06-05 21:00:00", 10)]), path)
