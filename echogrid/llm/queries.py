@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, lm, near_dedup, pii, quality, quotes, segment, sharding, token_counts
+from . import decontaminate, exact_dedup, lm, near_dedup, pii, quality, quotes, resampling, segment, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -144,6 +144,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@register()
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents, drawn towards the words of the benchmark."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.withColumnRenamed("id", "doc_id").select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -13,6 +13,7 @@ SLICE_BYTES = 4 << 20
 
 # Byte tables: ASCII capitals become small, separators become a blank.
 _SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+SMALL = np.frombuffer(_SMALL, np.uint8)
 SPACED = np.frombuffer(bytes(32 if b == 32 or 9 <= b <= 13 else _SMALL[b] for b in range(256)), np.uint8)
 ALPHANUMERIC = np.frombuffer(bytes(_SMALL[b] if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)), np.uint8)
 CASED = np.frombuffer(bytes(32 if b == 32 or 9 <= b <= 13 else b for b in range(256)), np.uint8)
