@@ -20,16 +20,17 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
-def attach(many: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def attach(many: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """Join values per key (one row a key) onto many rows a key, inner or left.
 
     Keys that hold a ``HEAVY``-th of the rows or more are at most ``HEAVY``, so
     their values are broadcast and their rows stay where they are; all others
     are shuffled, none with more than that share.  ``many`` is read once more to
-    count its keys, so it should be a table or come cheaply from one.  A null
+    count its keys, so it should be a table or come cheaply from one, unless
+    ``counted`` has the keys that can be heavy with their rows as ``_n``.  A null
     key meets nothing.
     """
-    held = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    held = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if counted is None else counted
     total = F.broadcast(held.agg(F.sum("_n").alias("_all")))
     heavy = held.join(total, F.col("_n") * HEAVY >= F.col("_all")).drop("_n", "_all")
     known = heavy.collect()

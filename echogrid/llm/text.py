@@ -45,6 +45,28 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def blocks(column: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """The text of a column of one row, cut in front of white space that follows a visible ASCII character into blocks of about ``limit`` bytes.
+
+    An empty text is one empty block; a stretch without such a place stays whole.
+    """
+    data, _ = buffer(column)
+    if len(data) <= limit:
+        yield pa.array([data.tobytes()], pa.large_binary())
+        return
+    visible = (data > 32) & (data < 127)
+    cuts = np.flatnonzero((SPACED[data[1:]] == 32) & visible[:-1]) + 1
+    start = 0
+    while start < len(data):
+        if len(data) - start <= limit:
+            stop = len(data)
+        else:
+            fit = int(np.searchsorted(cuts, start + limit, "right"))
+            stop = int(cuts[fit - 1]) if fit and cuts[fit - 1] > start else int(cuts[fit]) if fit < len(cuts) else len(data)
+        yield pa.array([data[start:stop].tobytes()], pa.large_binary())
+        start = stop
+
+
 def lengths(column: pa.Array) -> np.ndarray:
     return np.diff(buffer(column)[1])
 
@@ -83,6 +105,44 @@ class Words:
         return found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
 
 
+def varint_sizes(values: np.ndarray) -> np.ndarray:
+    """Bytes that each number takes in ``varints``."""
+    sizes = np.ones(len(values), np.int64)
+    for k in range(1, 10):
+        more = values >= np.uint64(1) << np.uint64(7 * k)
+        if not more.any():
+            break
+        sizes += more
+    return sizes
+
+
+def varints(values: np.ndarray) -> bytes:
+    """Seven bits a byte, lowest first, the top bit set on all bytes but a number's last."""
+    values = values.astype(np.uint64)
+    sizes = varint_sizes(values)
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint8)
+    some = np.arange(len(values))
+    while len(some):
+        left = values[some]
+        more = left >= 128
+        out[starts[some]] = (left & np.uint64(127)) | (more.astype(np.uint64) << np.uint64(7))
+        some = some[more]
+        values[some] >>= np.uint64(7)
+        starts[some] += 1
+    return out.tobytes()
+
+
+def read_varints(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(raw, np.uint8)
+    ends = np.flatnonzero(data < 128)
+    if len(ends) == len(data):
+        return data.astype(np.uint64)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)
+    return np.add.reduceat((data & 127).astype(np.uint64) << (7 * place).astype(np.uint64), starts)
+
+
 def row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sum of each row's values; ``starts`` has one entry more than there are rows."""
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
