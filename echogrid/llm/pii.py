@@ -8,7 +8,9 @@ and validates what lies between.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -26,6 +28,8 @@ LABEL = DIGITS | LETTERS | {"-"}
 LOCAL = LABEL | frozenset("._%+")
 PHONE = DIGITS | frozenset(" ().-")
 URL = LABEL | frozenset("._~:/?#[]@!$&'()*+,;=%")
+HOST = URL - frozenset("/?#")
+URL_TAIL = frozenset(".,;:!?'()[]&*")  # not counted in at the end of an address
 SCHEMES = ("http", "https", "ftp", "ftps", "sftp", "ssh", "ws", "wss", "smb", "ldap", "jdbc", "postgres", "postgresql", "mysql", "mongodb", "redis", "amqp")
 CUES = ("account", "acct", "konto", "kontonummer", "cuenta", "compte", "passport", "reisepass", "pasaporte", "passeport", "ssn")
 CUE_JOINTS = ("number", "num", "nummer", "numéro", "numero", "número", "nr", "no", "n°", "id", "is", "#", ":", "=", ".", "-", " ")
@@ -112,12 +116,22 @@ def url(body: str, at: int) -> tuple[int, int] | None:
         start -= 1
     if body[start:at].lower() not in SCHEMES or (start and body[start - 1] in LABEL):
         return None
-    end = _run(body, at + 3, URL)
-    while end > at + 3 and body[end - 1] in ".,;:!?'()[]&*":
+    # only the host is read before it is judged, so that a run of failing schemes is read once
+    stop = _run(body, at + 3, HOST)
+    tail = _run(body, stop, URL_TAIL)
+    whole = body[tail : tail + 1] not in URL  # nothing but the host is left of the address
+    if whole:
+        stop = _untailed(body, at + 3, stop)
+    labels = body[at + 3 : stop].rpartition("@")[2].partition(":")[0].split(".")
+    if len(labels) < 2 or not all(x and not set(x) - LABEL for x in labels):
+        return None
+    return start, stop if whole else _untailed(body, at + 3, _run(body, stop, URL))
+
+
+def _untailed(body: str, floor: int, end: int) -> int:
+    while end > floor and body[end - 1] in URL_TAIL:
         end -= 1
-    host = body[at + 3 : end].split("/")[0].split("?")[0].split("#")[0].rpartition("@")[2].partition(":")[0]
-    labels = host.split(".")
-    return (start, end) if len(labels) > 1 and all(x and not set(x) - LABEL for x in labels) else None
+    return end
 
 
 def iban(body: str, at: int) -> tuple[int, int] | None:
@@ -192,8 +206,12 @@ def find(anchors: ahocorasick.Automaton, body: str) -> list[tuple[str, int, int]
                 more.append((span[0], 4, span[1]))
         elif span := iban(body, last + 1) if kind == "iban" else account(body, last + 1, length):
             more.append((span[0], 5 if kind == "iban" else 6, span[1]))
+    # the farthest end of the base spans up to each, to tell in one look whether any overlaps
+    base.sort()
+    begun, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     for start, kind, end in sorted(set(more)):
-        if kind == 4 or not any(a < end and start < b for a, k, b in base if k < 4):
+        before = bisect_left(begun, end)
+        if kind == 4 or not before or reach[before - 1] <= start:
             base.append((start, kind, end))
     return [(KINDS[kind], start, end) for start, kind, end in sorted(base)]
 
@@ -201,7 +219,9 @@ def find(anchors: ahocorasick.Automaton, body: str) -> list[tuple[str, int, int]
 def spans(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
     """``carry`` columns of every row, then ``spans``, an array of (kind, start, end).
 
-    Every whole text is read; null counts as empty and has no spans.
+    Every whole text is read, once: a null or empty one has no spans, a long
+    one takes time in proportion.  Rows that repeat have the same spans each; an
+    empty table gives no rows.
     """
     rows, names, fields = words.carried(docs, text_col, carry)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -3,9 +3,9 @@
 A text's piece lattice has a node between characters and an edge for each piece.
 The text is cut before blanks and around control characters wherever no piece
 runs over the cut, so the lattice is a series of short ones, one per chunk (mostly
-a word with the blanks before it), and only distinct chunks are searched.  Forward
-Viterbi scores of all chunks are found together; they are the exact heuristic of a
-backward A-star search, which hands out a chunk's segmentations best first.  The N
+a word with the blanks before it), and only distinct chunks are searched, as many
+together as a lattice of bounded size holds.  Forward Viterbi scores of all its
+chunks are found at once; they are the exact heuristic of a backward A-star search, which hands out a chunk's segmentations best first.  The N
 best of a whole text change the chunks that lose least.
 """
 
@@ -28,7 +28,7 @@ from . import text
 SCALE = 1 << 20  # scores are whole multiples of 1 / SCALE, so sums and ties are exact
 UNKNOWN_GAP = 10.0  # how far below the worst piece a character without a piece stands
 BEST = 4
-SLICE_BYTES = 1 << 20  # of text per lattice, whose edges take some hundred times that
+SLICE_BYTES = 1 << 20  # of text that is encoded together, and of distinct chunks per lattice, whose edges take some hundred times that
 REMEMBERED = 5_000  # chunks whose segmentations a task keeps between runs of rows, while they have SLICE_BYTES at most
 MARK = "▁".encode()
 _NONE = -(1 << 62)
@@ -289,6 +289,18 @@ def _chunks(data: np.ndarray, rows: np.ndarray, joined: np.ndarray) -> tuple[np.
     return moved, np.flatnonzero(fresh)
 
 
+class Searched(NamedTuple):
+    """Distinct chunks with the ids of their best segmentations, its score, and what the second best loses; their lattice, if it is one."""
+
+    packed: np.ndarray
+    offsets: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+    scores: np.ndarray
+    losses: np.ndarray
+    lattice: Lattice | None
+
+
 class Encoder:
     def __init__(self, pieces: Pieces, best: int = BEST):
         self.pieces, self.best = pieces, best
@@ -316,47 +328,55 @@ class Encoder:
         found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(spaced))]).dictionary_encode()
         codes = found.indices.to_numpy().astype(np.int64)
         packed, offsets = text.buffer(found.dictionary)
-        lattice = Lattice(packed, offsets, self.trie, self.pieces)
-        edges, edge_starts = lattice.best_paths()
-        ids, width = lattice.ids(edges)
-        id_starts = np.concatenate([[0], np.cumsum(width)])[edge_starts]
-        losses = lattice.losses(edges)
-        count = np.diff(id_starts)
+        found = self._search(packed, offsets)
+        count = np.diff(found.starts)
         size = count[codes]
-        flat = ids[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(id_starts[:-1][codes], size)]
+        flat = found.ids[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - found.starts[:-1][codes], size)]
         chunk_at = np.concatenate([[0], np.cumsum(size)])
-        totals = text.row_sums(lattice.score[lattice.sinks][codes], of_row)
+        totals = text.row_sums(found.scores[codes], of_row)
         if len(self.memo) > REMEMBERED or sum(map(len, self.memo)) > SLICE_BYTES:
             self.memo.clear()
         scores, changes = [], []
         for r in range(n):
             low, high = int(of_row[r]), int(of_row[r + 1])
-            s, c = self._n_best(lattice, codes[low:high], losses[codes[low:high]], chunk_at[low:high] - chunk_at[low] if high > low else None, count)
+            s, c = self._n_best(found, codes[low:high], chunk_at[low:high] - chunk_at[low] if high > low else None, count)
             scores.append([(int(totals[r]) - x) / SCALE for x in s])
             changes.append(c)
         row_ids = chunk_at[of_row]
         return self._columns(flat, row_ids, scores, changes, self._same(flat, row_ids, data, rows))
 
-    def _n_best(self, lattice: Lattice, codes, losses, at, count) -> tuple[list[int], list[list[dict]]]:
+    def _search(self, packed: np.ndarray, offsets: np.ndarray) -> Searched:
+        """Best segmentations of all chunks, from one lattice for every SLICE_BYTES of them; a longer chunk has its own."""
+        ids, widths, scores, losses, lattice, start = [], [], [], [], None, 0
+        while start < len(offsets) - 1:
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, "right")) - 1)
+            low, high = int(offsets[start]), int(offsets[stop])
+            lattice = Lattice(packed[low:high], offsets[start : stop + 1] - low, self.trie, self.pieces)
+            edges, edge_starts = lattice.best_paths()
+            own, width = lattice.ids(edges)
+            ids.append(own)
+            widths.append(np.diff(np.concatenate([[0], np.cumsum(width)])[edge_starts]))
+            scores.append(lattice.score[lattice.sinks])
+            losses.append(lattice.losses(edges))
+            start = stop
+        starts = np.concatenate([[0], np.cumsum(np.concatenate(widths))])
+        return Searched(packed, offsets, np.concatenate(ids), starts, np.concatenate(scores), np.concatenate(losses), lattice if len(ids) == 1 else None)
+
+    def _n_best(self, found: Searched, codes, at, count) -> tuple[list[int], list[list[dict]]]:
         """Losses of the N best segmentations of a row, the best first, and the changes that make each from the best."""
         k = min(self.best - 1, len(codes))
         if k == 0:
             return [0], [[]]
+        losses = found.losses[codes]
         edge = np.partition(losses, k - 1)[k - 1]
-        chosen = np.concatenate([np.flatnonzero(losses < edge), np.flatnonzero(losses == edge)])[:k]
+        chosen = np.concatenate([np.flatnonzero(losses < edge), np.flatnonzero(losses == edge)[:k]])[:k]
         chosen = np.sort(chosen[losses[chosen] < 1 << 59])
-        options = []
-        for c in chosen:
-            code = int(codes[c])
-            name = lattice.packed[lattice.offsets[code] : lattice.offsets[code + 1]].tobytes()
-            if name not in self.memo:
-                self.memo[name] = [(score, lattice.ids_of(edges)) for score, edges in lattice.n_best(code, self.best)]
-            options.append(self.memo[name])
+        options = [self._options(found, int(codes[c])) for c in chosen]
         first = (0,) * len(options)
-        heap, seen, found = [(0, first)], {first}, []
-        while heap and len(found) < self.best:
+        heap, seen, picks = [(0, first)], {first}, []
+        while heap and len(picks) < self.best:
             loss, pick = heapq.heappop(heap)
-            found.append((loss, pick))
+            picks.append((loss, pick))
             for i, listed in enumerate(options):
                 if pick[i] + 1 < len(listed):
                     after = (*pick[:i], pick[i] + 1, *pick[i + 1 :])
@@ -368,9 +388,18 @@ class Encoder:
                 {"at": int(at[c]), "drop": int(count[codes[c]]), "ids": options[i][p][1]}
                 for i, (c, p) in enumerate(zip(chosen, pick, strict=True)) if p
             ]
-            for _, pick in found
+            for _, pick in picks
         ]
-        return [loss for loss, _ in found], changes
+        return [loss for loss, _ in picks], changes
+
+    def _options(self, found: Searched, code: int) -> list[tuple[int, list[int]]]:
+        """Score and ids of the N best segmentations of a chunk, from its lattice or, where that is gone, one of its own."""
+        own = found.packed[found.offsets[code] : found.offsets[code + 1]]
+        name = own.tobytes()
+        if name not in self.memo:
+            lattice, chunk = (found.lattice, code) if found.lattice else (Lattice(own, np.array([0, len(own)], np.int64), self.trie, self.pieces), 0)
+            self.memo[name] = [(score, lattice.ids_of(edges)) for score, edges in lattice.n_best(chunk, self.best)]
+        return self.memo[name]
 
     def _same(self, flat: np.ndarray, row_ids: np.ndarray, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Whether decoding each row's ids gives its bytes again."""
@@ -392,7 +421,7 @@ def decode_flat(pieces: Pieces, flat: np.ndarray, row_ids: np.ndarray) -> list[b
     names = pieces.names
     out = []
     for low, high in itertools.pairwise(row_ids.tolist()):
-        joined = b"".join([names[i] for i in flat[low:high].tolist()])
+        joined = b"".join(b"".join([names[i] for i in flat[k : min(k + 65_536, high)].tolist()]) for k in range(low, high, 65_536))
         out.append(joined[1:] if joined[:1] == b" " else joined)
     return out
 
@@ -406,8 +435,12 @@ def encode(docs: DataFrame, pieces: Pieces, carry: list[str], text_col: str = "t
     ``ids`` is the best one, ``scores`` has the log-probabilities of all that
     were found (fewer than ``best`` if there are no more), ``changes`` says
     for each what to replace in ``ids``: from ``at``, ``drop`` ids by others.
-    ``round_trip`` tells whether decoding gives the text again.  Null counts as
-    empty: no ids, one segmentation of score 0.
+    ``round_trip`` tells whether decoding gives the text again.
+
+    Null counts as empty: no ids, one segmentation of score 0.  Rows that repeat
+    are encoded each, equal scores go by the order of ``Lattice.n_best``; an
+    empty table gives no rows.  A long text takes memory by its distinct chunks,
+    of which one without a place to cut has a lattice of some 200 times its bytes.
     """
     rows, names, fields = text.carried(docs, text_col, carry)
 

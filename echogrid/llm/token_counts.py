@@ -5,11 +5,14 @@ run of texts is cut into chunks; for each chunk the map from entry state to
 exit state is found, the maps are composed by a parallel prefix scan, and each
 chunk is then run once from its true state, emitting piece starts.  A distinct
 piece is one transition, annotated with the number of tokens it emits; those
-numbers are compiled from the merge table for all new pieces of a run at once.
+numbers are compiled from the merge table for all new pieces of a run at once,
+those of long pieces in one sweep over the ranks.  A long text is cut in front
+of white space, where a piece always begins.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -28,6 +31,9 @@ FRESH, LETTERS, NUMBERS, OTHERS, QUOTE, BLANK_ONE, BLANK_MORE, SPACE_ONE, SPACE_
 HERE, BEFORE = 1, 2  # a piece starts at this character, at the one before
 LETTERLIKE = (LETTER, SUFFIX, R, V, L, E)
 CHUNK = 64
+LONG_PIECE = 64  # bytes; longer pieces are merged rank by rank, all of them together
+RANK_STEP = 1024  # ranks that a sweep takes before it sorts what it has put off
+NEVER = np.int32(2**31 - 1)  # the rank of a pair that has no merge
 
 
 def _step(state: int, kind: int) -> tuple[int, int]:
@@ -124,35 +130,46 @@ class Merges:
     def __init__(self, ranked: list[tuple[bytes, bytes]]):
         ids = {bytes([b]): b for b in range(256)}
         keys, made = [], []
-        for a, b in ranked:
+        self.ordered, last = True, dict.fromkeys(range(256), -1)  # whether no merge comes before those that make its sides
+        for rank, (a, b) in enumerate(ranked):
+            self.ordered &= max(last[ids[a]], last[ids[b]]) < rank
             keys.append(ids[a] << 32 | ids[b])
             made.append(ids.setdefault(a + b, len(ids)))
+            last.setdefault(made[-1], rank)
         keys = np.array(keys, np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order, np.array(made, np.int64)
+        self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), np.array(made, np.int64)
+        self.twice = np.array([a == b for a, b in ranked], bool)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each neighbouring pair; a large number where there is no merge."""
-        key = left << 32 | right
+        """Rank of each neighbouring pair; NEVER where there is no merge."""
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], 1 << 40)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
 
     def counts(self, packed: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Tokens of each piece: all pieces merge their best pair, the leftmost of equals, until none can."""
+        """Tokens of each piece, of all short ones together and of all long ones together."""
         sizes = np.diff(offsets)
         out = sizes.copy()
-        symbols = packed.astype(np.int64)
-        which = np.flatnonzero(sizes > 1)
-        pick = np.repeat(sizes > 1, sizes)
-        symbols, owner = symbols[pick], np.repeat(np.arange(len(which)), sizes[which])
-        ranks = self._ranks(symbols, owner)
+        long = (sizes > LONG_PIECE) & self.ordered
+        for which, merged in ((np.flatnonzero((sizes > 1) & ~long), self.rounds), (np.flatnonzero(long), self.sweep)):
+            if len(which):
+                pick = np.zeros(len(sizes), bool)
+                pick[which] = True
+                out[which] = merged(packed[np.repeat(pick, sizes)], sizes[which])
+        return out
+
+    def rounds(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tokens of short pieces: in every round each merges its best pair, the leftmost of equals, until none can."""
+        symbols, owner, out = data.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), sizes.copy()
+        ranks = self._at(symbols, owner, np.arange(len(symbols)))
         while len(symbols):
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
             best = np.minimum.reduceat(ranks, starts)
             group = np.cumsum(np.diff(owner, prepend=-1) != 0) - 1
-            hit = np.flatnonzero((ranks == best[group]) & (ranks < 1 << 40))
+            hit = np.flatnonzero((ranks == best[group]) & (ranks < NEVER))
             hit = hit[np.diff(group[hit], prepend=-1) != 0]
-            out[which[owner[hit]]] -= 1
+            out[owner[hit]] -= 1
             symbols[hit] = self.made[ranks[hit]]
             stay = np.ones(len(symbols), bool)
             stay[hit + 1] = False
@@ -167,13 +184,82 @@ class Merges:
                 ranks[at] = self._at(symbols, owner, at)
         return out
 
-    def _ranks(self, symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        return self._at(symbols, owner, np.arange(len(symbols)))
-
     def _at(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
         after = np.minimum(at + 1, len(symbols) - 1)
         found = self.rank(symbols[at], symbols[after])
-        return np.where((owner[at] == owner[after]) & (at < after), found, 1 << 40)
+        return np.where((owner[at] == owner[after]) & (at < after), found, NEVER)
+
+    def sweep(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tokens of long pieces: symbols are linked lists, and the ranks are taken in order.
+
+        A merge makes pairs of later ranks only, so all pairs of a rank merge in
+        one step, from the left where they overlap, and a position is looked at
+        as often as its pair changes.  New pairs wait: those that come up within
+        RANK_STEP by rank, the others together until the next sort.
+        """
+        n = len(data)
+        ends = np.cumsum(sizes)
+        symbols = data.astype(np.int32)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        after[ends - 1], before[ends - sizes] = -1, -1
+        ranks = np.full(n, NEVER)
+        linked = np.flatnonzero(after >= 0)
+        ranks[linked] = self.rank(symbols[linked], symbols[linked + 1])
+        del linked
+        alive = np.ones(n, bool)
+        pending = [self._keys(ranks, np.flatnonzero(ranks < NEVER))]
+        queue, at, limit = np.zeros(0, np.int64), 0, -1
+        soon: list[int] = []
+        near: dict[int, list[np.ndarray]] = {}
+        while True:
+            head = int(queue[at] >> 32) if at < len(queue) else int(NEVER)
+            rank = min(head, soon[0]) if soon else head
+            if rank > limit:
+                queue, at = np.concatenate([queue[at:], *pending]), 0
+                pending.clear()
+                if not len(queue):
+                    return np.add.reduceat(alive.astype(np.int64), ends - sizes)
+                queue.sort(kind="stable")
+                limit = int(queue[0] >> 32) + RANK_STEP
+                continue
+            stop = at + int(np.searchsorted(queue[at:], (rank + 1) << 32))
+            spots, at = queue[at:stop] & 0xFFFFFFFF, stop
+            if soon and soon[0] == rank:
+                heapq.heappop(soon)
+                spots = np.concatenate([spots, *near.pop(rank)])
+            spots = np.unique(spots[ranks[spots] == rank])
+            if not len(spots):
+                continue
+            if self.twice[rank] and len(spots) > 1:  # of pairs that overlap in a chain, every other one
+                chain = np.flatnonzero(np.append(True, after[spots[:-1]] != spots[1:]))
+                place = np.arange(len(spots)) - np.repeat(chain, np.diff(np.append(chain, len(spots))))
+                spots = spots[place % 2 == 0]
+            gone = after[spots]
+            far = after[gone]
+            symbols[spots], after[spots] = self.made[rank], far
+            held = far >= 0
+            before[far[held]] = spots[held]
+            ranks[gone], alive[gone] = NEVER, False
+            left = before[spots]
+            touched = np.concatenate([spots, left[left >= 0]])
+            right = after[touched]
+            ranks[touched] = np.where(right >= 0, self.rank(symbols[touched], symbols[np.maximum(right, 0)]), NEVER)
+            keys = np.unique(self._keys(ranks, touched[ranks[touched] < NEVER]))
+            cut = int(np.searchsorted(keys, (limit + 1) << 32))
+            if cut < len(keys):
+                pending.append(keys[cut:])
+            if cut:
+                own = (keys[:cut] >> 32).astype(np.int64)
+                edges = np.flatnonzero(np.diff(own, prepend=-1))
+                for first, spot in zip(own[edges].tolist(), np.split(keys[:cut] & 0xFFFFFFFF, edges[1:]), strict=True):
+                    if first not in near:
+                        near[first] = []
+                        heapq.heappush(soon, first)
+                    near[first].append(spot)
+
+    @staticmethod
+    def _keys(ranks: np.ndarray, spots: np.ndarray) -> np.ndarray:
+        return ranks[spots].astype(np.int64) << 32 | spots
 
 
 def read_tokenizer(path: str) -> tuple[list[tuple[bytes, bytes]], list[str]]:
@@ -269,19 +355,26 @@ class Counter:
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``n_bytes`` and ``n_tokens`` of every row's whole text; null counts as empty.
+    """``id``, ``n_bytes`` and ``n_tokens`` of every row's whole text, in time linear in it.
 
     The merge table is read on the driver and travels with the task (its size
     is that of the tokenizer, not of the data).  Special strings in a text are
     one token each, no token is added at either end.
+
+    A null text counts as empty, with no tokens.  Rows that repeat are counted
+    each; an empty table gives no rows.  A text over a slice is counted block
+    by block, and one piece of any length is merged in one sweep.  Other
+    columns are not read.
     """
     merges, special = read_tokenizer(tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(merges, special)
+        limit = 1 << 62 if any(c.isspace() for mark in special for c in mark) else text.SLICE_BYTES  # no cut within a special string
         for part in text.slices(batches, "body"):
             body = part.column("body")
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(text.lengths(body), pa.int64()), pa.array(count(body), pa.int64())], ["id", "n_bytes", "n_tokens"])
+            tokens = count(body) if part.num_rows > 1 else np.array([sum(int(count(block)[0]) for block in text.blocks(body, limit))])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(text.lengths(body), pa.int64()), pa.array(tokens, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_bytes long, n_tokens long")

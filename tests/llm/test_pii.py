@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -68,6 +69,57 @@ def test_added_kinds(body, want):
     assert sorted(pii.find(ANCHORS, body)) == sorted(want)
 
 
+def plain_url(body, at):
+    """The address read to its end before the host is judged."""
+    start = at
+    while start > 0 and at - start < 12 and body[start - 1] in pii.LETTERS:
+        start -= 1
+    if body[start:at].lower() not in pii.SCHEMES or (start and body[start - 1] in pii.LABEL):
+        return None
+    end = at + 3
+    while end < len(body) and body[end] in pii.URL:
+        end += 1
+    while end > at + 3 and body[end - 1] in ".,;:!?'()[]&*":
+        end -= 1
+    host = re.split("[/?#]", body[at + 3 : end])[0].rpartition("@")[2].partition(":")[0]
+    labels = host.split(".")
+    return (start, end) if len(labels) > 1 and all(x and not set(x) - pii.LABEL for x in labels) else None
+
+
+@given(st.lists(st.sampled_from([*"a.b/?#:@!)( -é", "http://", "://", "a.b", "x@y.z", "?!", "ftp://u:p@h.i"]), max_size=14).map("".join))
+@settings(max_examples=2000, deadline=None)
+def test_addresses_equal_plain_reading(body):
+    for m in re.finditer("://", body):
+        assert pii.url(body, m.start()) == plain_url(body, m.start())
+
+
+@pytest.mark.parametrize("part", ["http://", "http://a", "http://a.b?!", "https://x@y:http://", "iban abcd ", "account 123456 a@b.cc 1.2.3.4 ", "+1(", "a@", "@a.", "1.", "1-", "http://a.b/))"])
+def test_time_is_linear(part):
+    def seconds(n):
+        body, start = part * (n // len(part)), time.process_time()
+        pii.find(ANCHORS, body)
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(800_000) < 10 * max(0.1, seconds(200_000))
+
+
+def test_five_megabytes_of_schemes_through_the_operator(spark):
+    docs = spark.createDataFrame([(1, "http://" * 750_000), (2, "a.b http://c.d " * 100_000)], "doc_id long, text string")
+    found = {r.doc_id: r.n for r in pii.spans(docs, ["doc_id"]).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert found == {1: 0, 2: 100_000}
+
+
+def test_added_spans_give_way_to_base_spans():
+    rng = np.random.default_rng(4)
+    parts = ["account 4111111111111111 ", "acct 123456 ", "a@b.co ", "iban DE89370400440532013000 ", "1.2.3.4 ", "konto no 99999999 "]
+    body = "".join(rng.choice(parts, 400))
+    found = pii.find(ANCHORS, body)
+    base_spans = [(a, b) for k, a, b in found if k in pii.BASE_KINDS]
+    assert {"iban", "account", "card"} <= {k for k, _, _ in found}
+    assert not any(a < d and c < b for k, a, b in found if k in ("iban", "account") for c, d in base_spans)
+
+
 def test_clean_text_has_no_spans():
     rng = np.random.default_rng(1)
     body = " ".join("".join(rng.choice(list("aeinorst"), rng.integers(1, 9))) for _ in range(20_000))

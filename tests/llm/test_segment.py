@@ -1,4 +1,5 @@
 import heapq
+import resource
 import tracemalloc
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from echogrid.llm import segment
 
@@ -127,6 +129,37 @@ def test_rows_do_not_depend_on_their_neighbours():
     assert whole == alone
 
 
+def test_results_do_not_depend_on_how_chunks_meet_in_lattices(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["the", "international", "x", "日本", "a\nb", "zzzz", "therein"], 40)) for _ in range(5)] + [None, "", "y" * 300]
+    want = {k: v.to_pylist() for k, v in ENCODER(pa.array(texts)).items()}
+    for limit in (1, 20, 200):
+        monkeypatch.setattr(segment, "SLICE_BYTES", limit)
+        assert {k: v.to_pylist() for k, v in segment.Encoder(PIECES)(pa.array(texts)).items()} == want
+
+
+def test_twenty_megabytes_of_words_through_the_operator(spark):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("aeinorstdlu"), rng.integers(2, 9))) for _ in range(150_000)]
+    body = " ".join(rng.choice(words, 3_200_000))
+    docs = spark.createDataFrame([(1, body)], "doc_id long, text string")
+    before = resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss
+    row = segment.encode(docs, PIECES, ["doc_id"]).select(F.size("ids").alias("n"), F.size("scores").alias("s"), "round_trip").first()
+    assert row.round_trip and row.s == segment.BEST and row.n > 3_200_000 and len(body) > 20_000_000
+    assert before < 3_000_000
+
+
+def test_memory_of_many_distinct_chunks_is_bounded():
+    rng = np.random.default_rng(3)
+    body = " ".join("".join(x) for x in rng.choice(list("aeinorst"), (400_000, 7)))
+    encoder = segment.Encoder(PIECES)
+    tracemalloc.start()
+    encoder(pa.array([body]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 900 << 20, peak
+
+
 def test_library_decodes_the_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     encoded = segment.encode(docs, PIECES, ["doc_id"])
