@@ -1,16 +1,14 @@
-"""Benchmark decontamination over a positional inverted index.
-
-The index is sharded by document: each run of documents keeps, for every term
-of the benchmark, the sorted positions at which it stands.  A query phrase is
-answered inside a shard by taking the shortest posting list among its terms and
-intersecting it with the others, each moved by its term's offset, rarest first.
-Every text is indexed whole, in the task that reads it, and nothing is shuffled.
-The benchmark travels to the shards in blocks of bounded size.
+"""Benchmark decontamination over a stored positional inverted index.
+
+The index of the training texts is a table (``positions``): it is built once and
+any number of benchmarks ask it.  A benchmark becomes distinct windows of words
+with the items that own them; windows are looked up as phrases, or by proximity.
+What a document holds of each window comes back as word positions; items are put
+together once for each set of windows, not for each document.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,160 +17,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
+from .balance import attach, stored
+from .positions import Index, build, matches
 
 WINDOW = 13
-BLOCK_BYTES = 4 << 20
-MOST_BYTES = 256 << 20  # of a benchmark, which the driver reads block by block
+BATCH = 20_000  # windows of a batch
 
 FINAL = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-PASSED = ["body", "starts", "ends", "items"]
 
 
-class Phrases:
-    """A block of the benchmark: its terms, and its distinct windows as rows of term numbers.
+def windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``w``, ``terms`` and ``items`` of the distinct windows, a table of the shared folder.
 
-    A row is padded with -1 beyond the end of a short window.  ``owners`` lists
-    the items of window ``k`` at ``starts[k] : starts[k + 1]``.
+    A window is ``window`` neighbouring words; an item of fewer words, but not
+    none, is one.  Item ids are text, a null id is an empty one; each window
+    lists its items once, in order.
     """
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        words = text.Words(pa.array([t for _, t in items], pa.string()), text.ALPHANUMERIC)
-        codes, self.terms = words.coded()
-        self.items = [i for i, _ in items]
-        counts = np.diff(words.rows)
-        per_item = np.where(counts > 0, np.maximum(counts - window + 1, 1), 0)
-        owner = np.repeat(np.arange(len(items)), per_item)
-        first = np.repeat(words.rows[:-1] - np.cumsum(per_item) + per_item, per_item) + np.arange(per_item.sum())
-        spot = first[:, None] + np.arange(window)
-        padded = np.append(codes, -1).astype(np.int32)
-        matrix = np.where(spot < words.rows[1:][owner][:, None], padded[np.minimum(spot, len(codes))], -1)
-        self.matrix, which = np.unique(matrix, axis=0, return_inverse=True)
-        pairs = np.unique(np.stack([which.reshape(-1), owner], axis=1), axis=0)
-        self.owners = pairs[:, 1]
-        self.starts = np.searchsorted(pairs[:, 0], np.arange(len(self.matrix) + 1))
-
-    def phrase(self, k: int) -> np.ndarray:
-        row = self.matrix[k]
-        return row[row >= 0]
-
-    def of(self, k: int) -> list[str]:
-        return [self.items[i] for i in self.owners[self.starts[k] : self.starts[k + 1]]]
-
-
-class Shard:
-    """Positional index of a run of documents: per term its positions, counted over the whole run."""
-
-    def __init__(self, column: pa.Array, terms: list[bytes]):
-        words = text.Words(column, text.ALPHANUMERIC)
-        self.rows = words.rows
-        codes, vocabulary = words.coded()
-        number = {w: k for k, w in enumerate(terms)}
-        of = np.array([number.get(w, -1) for w in vocabulary], np.int64)
-        posted = of[codes] if len(codes) else codes
-        held = np.flatnonzero(posted >= 0)
-        order = np.argsort(posted[held], kind="stable")
-        self.positions = held[order]
-        self.starts = np.searchsorted(posted[held][order], np.arange(len(terms) + 1))
-        self.sizes = np.diff(self.starts)
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.starts[term] : self.starts[term + 1]]
-
-    def exact(self, phrase: np.ndarray) -> np.ndarray:
-        """Start positions of the phrase, inside one document each."""
-        order = np.argsort(self.sizes[phrase], kind="stable")
-        starts = self.postings(phrase[order[0]]) - order[0]
-        for offset in order[1:]:
-            if not len(starts):
-                return starts
-            listed = self.postings(phrase[offset])
-            at = np.searchsorted(listed, starts + offset)
-            starts = starts[listed[np.minimum(at, len(listed) - 1)] == starts + offset] if len(listed) else listed
-        if not len(starts):
-            return starts
-        row = np.searchsorted(self.rows, starts, "right") - 1
-        return starts[starts + len(phrase) <= self.rows[row + 1]]
-
-    def near(self, phrase: np.ndarray, reach: int) -> np.ndarray:
-        """Positions of the phrase's rarest term that have all its other terms within ``reach`` words, in one document."""
-        terms = np.unique(phrase)
-        terms = terms[np.argsort(self.sizes[terms], kind="stable")]
-        at = self.postings(terms[0])
-        row = np.searchsorted(self.rows, at, "right") - 1
-        low, high = np.maximum(at - reach, self.rows[row]), np.minimum(at + reach, self.rows[row + 1] - 1)
-        for term in terms[1:]:
-            listed = self.postings(term)
-            inside = np.searchsorted(listed, low) < np.searchsorted(listed, high, "right")
-            at, low, high = at[inside], low[inside], high[inside]
-        return at
-
-
-def match(shard: Shard, phrases: Phrases, reach: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, start, end) of every exact match, or with ``reach`` the proximity matches around the rarest term."""
-    found = []
-    for k in np.flatnonzero(np.append(shard.sizes > 0, True)[phrases.matrix].all(axis=1)):
-        phrase = phrases.phrase(k)
-        at = shard.exact(phrase) if reach is None else shard.near(phrase, reach)
-        if len(at):
-            found.append(np.stack([np.full(len(at), k), at, at + (len(phrase) if reach is None else 1)]))
-    return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 3
-
-
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_BYTES) -> list[list[tuple[str, str | None]]]:
-    """Items in blocks of about ``limit`` bytes, item ids as text, a null id as an empty one; a benchmark over ``MOST_BYTES`` is refused."""
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("body"))
-    size = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    if size > MOST_BYTES:
-        raise ValueError(f"a benchmark of {size} bytes; judge it in parts of at most {MOST_BYTES}")
-    n = size // limit + 1
-    return [[tuple(r) for r in rows.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()] for k in range(n)]
-
-
-def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, reach: int | None = None) -> DataFrame:
-    """One row per document and item that it holds: word positions ``starts`` and ``ends`` of the matches.
 
-    Exact phrase matches of whole windows, or proximity matches with ``reach``.
-    Null and empty texts, and items without words, match nothing.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text.slices(batches, "body"):
+            words = text.Words(part.column("body"), text.ALPHANUMERIC)
+            held, counts = words.array().cast(pa.binary()), np.diff(words.rows)
+            per_item = np.where(counts > 0, np.maximum(counts - window + 1, 1), 0)
+            owner = np.repeat(np.arange(part.num_rows), per_item)
+            first = np.repeat(words.rows[:-1] - np.cumsum(per_item) + per_item, per_item) + np.arange(per_item.sum())
+            size = np.minimum(window, counts[owner])
+            for low in range(0, len(owner), BATCH):
+                own, begin, n = owner[low : low + BATCH], first[low : low + BATCH], size[low : low + BATCH]
+                cuts = np.concatenate([[0], np.cumsum(n)])
+                spots = np.arange(cuts[-1]) - np.repeat(cuts[:-1] - begin, n)
+                yield pa.RecordBatch.from_arrays([part.column("item").take(pa.array(own)), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), held.take(pa.array(spots)))], ["item", "terms"])
+
+    cut = rows.mapInArrow(run, "item string, terms array<binary>")
+    owned = cut.groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return stored(owned.withColumn("w", F.monotonically_increasing_id()), "windows")
+
+
+def covered(found: DataFrame) -> DataFrame:
+    """``block``, ``ordinal`` and ``n_hit``, the words of the document inside any match."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        starts = rows.column("starts").combine_chunks()
+        sizes = np.repeat(rows.column("size").to_numpy(), starts.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        ordinal = np.repeat(rows.column("ordinal").to_numpy(), starts.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        low = (ordinal << 40) + starts.flatten().to_numpy()
+        order = np.argsort(low, kind="stable")
+        low, high = low[order], (low + sizes)[order]
+        reach = np.maximum.accumulate(high)
+        before = np.concatenate([[np.int64(-1)], reach[:-1]])
+        added = high - np.maximum(low, np.minimum(before, high))
+        named, place = np.unique(low >> 40, return_inverse=True)
+        block = rows.column("block")[0].as_py()
+        return pa.table({"block": pa.array(np.full(len(named), block)), "ordinal": pa.array(named.astype(np.int32)), "n_hit": pa.array(np.bincount(place, added, len(named)).astype(np.int64))})
+
+    return found.groupBy("block").applyInArrow(run, "block long, ordinal int, n_hit long")
+
+
+def owners(found: DataFrame, held: DataFrame) -> DataFrame:
+    """``block``, ``ordinal``, ``n_items`` and ``items_sha256`` of every document with a match.
+
+    Windows with the same items are one set; documents with the same sets are
+    answered together.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-
-    def run_for(block: list[tuple[str, str | None]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(block, window)
-            for part in text.slices(batches, "body"):
-                shard = Shard(part.column("body"), phrases.terms)
-                which, start, end = match(shard, phrases, reach)
-                row = np.searchsorted(shard.rows, start, "right") - 1
-                held: dict[tuple[int, str], tuple[list[int], list[int]]] = {}
-                for w, r, a, b in zip(which.tolist(), row.tolist(), (start - shard.rows[row]).tolist(), (end - shard.rows[row]).tolist(), strict=True):
-                    for item in phrases.of(w):
-                        one = held.setdefault((r, item), ([], []))
-                        one[0].append(a)
-                        one[1].append(b)
-                keys = list(held)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("id").take(pa.array([k[0] for k in keys], pa.int64())), pa.array([k[1] for k in keys], pa.string()),
-                        pa.array([held[k][0] for k in keys], pa.list_(pa.int64())), pa.array([held[k][1] for k in keys], pa.list_(pa.int64())),
-                    ],
-                    ["id", "item", "starts", "ends"],
-                )
-
-        return run
-
-    out = None
-    for block in blocks(benchmark):
-        found = rows.mapInArrow(run_for(block), f"id {dict(rows.dtypes)['id']}, item string, starts array<long>, ends array<long>")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _cover(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """How many words of each row lie in any match."""
-    step = np.zeros(rows[-1] + 1, np.int64)
-    np.add.at(step, start, 1)
-    np.add.at(step, end, -1)
-    return text.row_sums((np.cumsum(step[:-1]) > 0).astype(np.int64), rows)
+    named = held.select("w", "items", F.sha2(F.to_json("items").cast("binary"), 256).alias("own"))
+    pairs = attach(found.select("block", "ordinal", "w"), named.select("w", "own"), ["w"])
+    documents = stored(pairs.groupBy("block", "ordinal").agg(F.sort_array(F.collect_set("own")).alias("sets")).withColumn("all", F.sha2(F.array_join("sets", ",").cast("binary"), 256)), "owners")
+    distinct = documents.groupBy("all").agg(F.first("sets").alias("sets")).select("all", F.explode("sets").alias("own"))
+    sets = named.groupBy("own").agg(F.first("items").alias("items"))
+    listed = distinct.join(sets, "own").select("all", F.explode("items").alias("item"))
+    answers = listed.groupBy("all").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    digests = answers.select("all", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    return attach(documents.drop("sets"), digests, ["all"]).drop("all")
+
+
+def judge_index(index: Index, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``judge`` for texts that are already indexed: no text is read."""
+    held = windows(benchmark, window=window)
+    found = stored(matches(index, held.select("w", "terms")), "matches")
+    hits = covered(found).join(owners(found, held), ["block", "ordinal"])
+    judged = index.texts.join(hits, ["block", "ordinal"], "left")
+    hit, none = F.coalesce("n_hit", F.lit(0)), F.sha2(F.lit(b""), 256)
+    verdict = (hit > 0) & (hit * 20 >= F.col("n_words"))
+    out = judged.select(
+        *index.carried.values(), "n_words", hit.cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", none).alias("items_sha256"), verdict.alias("contaminated"),
+    )
+    return text.uncarried(out, index.carried, *FINAL)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, carry: list[str], id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -180,46 +111,27 @@ def judge(docs: DataFrame, benchmark: DataFrame, carry: list[str], id_col: str =
 
     A row is contaminated if it has hit words and they are a twentieth of its
     words or more.  Null and empty texts have no words and are clean.  Items
-    that share an id count once; null ids are one item with an empty id.  The blocks of the benchmark follow one
-    another in the task that reads the row, which hands the matches on.
+    that share an id count once; null ids are one item with an empty id, and
+    items without words match nothing.  Rows that repeat are judged each; an
+    empty table gives no rows, an empty benchmark clean ones.  A text over a
+    block is a block of its own.  Columns may have any names.
+    """
+    return judge_index(build(docs, carry, text_col), benchmark, window)
+
+
+def spans(docs: DataFrame | Index, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, reach: int | None = None) -> DataFrame:
+    """One row per document and item that it holds: ``id``, ``item`` and word positions ``starts`` and ``ends`` of the matches.
+
+    Exact phrase matches of whole windows, or with ``reach`` proximity matches:
+    the places of a window's rarest term that has all its other terms within that
+    many words.  An index may be given, of which the id is the first carried column.
     """
-    rows, names, fields = text.carried(docs, text_col, carry)
-    held_body = "body" not in names.values()  # a carried text goes on to the next block by itself
-    longs = pa.list_(pa.int64())
-
-    def run_for(block: list[tuple[str, str | None]], first: bool, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(block, window)
-            for part in text.slices(batches, "body"):
-                n = part.num_rows
-                shard = Shard(part.column("body"), phrases.terms)
-                which, start, end = match(shard, phrases)
-                row = np.searchsorted(shard.rows, start, "right") - 1
-                owned = [set() for _ in range(n)] if first else [set(x) for x in part.column("items").to_pylist()]
-                for w, r in set(zip(which.tolist(), row.tolist(), strict=True)):
-                    owned[r].update(phrases.of(w))
-                if not first:  # matches of the blocks before, as positions in the row
-                    before = np.repeat(np.arange(n), np.diff(part.column("starts").offsets.to_numpy()))
-                    row = np.concatenate([row, before])
-                    start = np.concatenate([start, part.column("starts").flatten().to_numpy() + shard.rows[before]])
-                    end = np.concatenate([end, part.column("ends").flatten().to_numpy() + shard.rows[before]])
-                out = [part.column(names[c]) for c in carry]
-                if last:
-                    counts, hit = np.diff(shard.rows), _cover(shard.rows, start, end)
-                    out += [pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(o) for o in owned], pa.int64())]
-                    out += [pa.array([hashlib.sha256(",".join(sorted(o)).encode()).hexdigest() for o in owned], pa.string()), pa.array((hit > 0) & (20 * hit >= counts))]
-                else:
-                    order = np.argsort(row, kind="stable")
-                    at = pa.array(np.searchsorted(row[order], np.arange(n + 1)), pa.int32())
-                    lists = [pa.ListArray.from_arrays(at, pa.array((x - shard.rows[row])[order], pa.int64())) for x in (start, end)]
-                    out += [*([part.column("body")] * held_body), *(x.cast(longs) for x in lists), pa.array([sorted(o) for o in owned], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(out, [*names.values(), *(FINAL if last else PASSED[not held_body :])])
-
-        return run
-
-    held = blocks(benchmark)
-    for k, block in enumerate(held):
-        last = k == len(held) - 1
-        more = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else "body string, " * held_body + "starts array<long>, ends array<long>, items array<string>"
-        rows = rows.mapInArrow(run_for(block, k == 0, last), ", ".join([*fields, more]))
-    return text.uncarried(rows, names, *FINAL)
+    index = docs if isinstance(docs, Index) else build(docs, [id_col], text_col)
+    held = windows(benchmark, window=window)
+    found = matches(index, held.select("w", "terms"), reach)
+    size = F.col("size") if reach is None else F.lit(1)
+    pairs = attach(stored(found, "matches").select("block", "ordinal", "w", size.alias("size"), "starts"), held.select("w", "items"), ["w"])
+    spread = pairs.withColumn("item", F.explode("items")).withColumn("a", F.explode("starts")).select("block", "ordinal", "item", "a", (F.col("a") + F.col("size")).alias("b"))
+    listed = spread.distinct().groupBy("block", "ordinal", "item").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    own = next(iter(index.carried.values()))
+    return listed.join(index.texts.select("block", "ordinal", F.col(own).alias("id")), ["block", "ordinal"]).select("id", "item", F.col("spans.a").alias("starts"), F.col("spans.b").alias("ends"))
