@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echogrid.session import shared_dir
+from echogrid.session import cut_lineage, shared_dir
 
 HEAVY = 1_000  # a key is heavy from this fraction of the rows on, so there are at most that many
 
@@ -31,15 +31,13 @@ def attach(many: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str =
     key meets nothing.
     """
     held = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if counted is None else counted
-    total = F.broadcast(held.agg(F.sum("_n").alias("_all")))
-    heavy = held.join(total, F.col("_n") * HEAVY >= F.col("_all")).drop("_n", "_all")
-    known = heavy.collect()
-    if not known:
+    total = held.agg(F.sum("_n").alias("_all"))
+    heavy = cut_lineage(held.join(F.broadcast(total), F.col("_n") * HEAVY >= F.col("_all")).select(*[F.col(k).alias(f"_{k}") for k in keys]))
+    if heavy.isEmpty():
         return many.join(per_key, list(keys), how)
-    heavy = F.broadcast(many.sparkSession.createDataFrame(known, heavy.schema))
-    same = [many[k].eqNullSafe(heavy[k]) for k in keys]
-    busy, rest = many.join(heavy, same, "left_semi"), many.join(heavy, same, "left_anti")
-    values = F.broadcast(per_key.join(heavy, list(keys), "left_semi"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    busy, rest = many.join(F.broadcast(heavy), same, "left_semi"), many.join(F.broadcast(heavy), same, "left_anti")
+    values = F.broadcast(per_key.join(F.broadcast(heavy), same, "left_semi"))
     return busy.join(values, list(keys), how).unionByName(rest.join(per_key, list(keys), how))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from echogrid.session import cut_lineage
 
-SALTS = 8
+from .balance import attach
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def roots(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = held.select("u", "v").unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+        large = attach(both, least, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         held = settle(small.filter("u > v").distinct())

@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import components, text
+from .balance import attach
 
 SHINGLE = 4
 BUDGET = 4
 TOP_BITS = 12
 LEAF_ROWS = 16_384
+LEAF_MOST = 1 << 20
 LEAVES = 64
 DIRECT = 100  # leaf pairs below which two nodes are compared at once
 FRONTIER = 1 << 19
@@ -84,45 +86,73 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp long")
 
 
-def top_units(counts: dict[int, int], bits: int, leaf: int, budget: int = BUDGET) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Subtrees as (depth, prefix), cut where at most ``leaf`` rows lie below, and the pairs of them within budget."""
-    levels = [np.zeros(1 << bits, np.int64)]
-    for prefix, n in counts.items():
-        levels[0][prefix] = n
-    for _ in range(bits):
-        levels.append(levels[-1].reshape(-1, 2).sum(axis=1))
-    levels.reverse()  # levels[d][prefix of d bits]
-    leaves: list[tuple[int, int]] = []
+Node = tuple[int, int]  # depth and prefix
+
+
+def top_units(counts: dict[Node, int], budget: int = BUDGET) -> tuple[list[Node], list[tuple[int, int]]]:
+    """The leaves of the top as (depth, prefix), and the pairs of them within budget.
+
+    ``counts`` has the rows of every node of the top, down to the nodes that are
+    taken whole; a node without any is not in it.
+    """
+    leaves: list[Node] = []
     pairs: list[tuple[int, int]] = []
+    numbers: dict[Node, int] = {}
 
-    def whole(depth: int, prefix: int) -> bool:
-        return depth == bits or levels[depth][prefix] <= leaf
+    def halves(node: Node) -> list[Node]:
+        below = [(node[0] + 1, 2 * node[1]), (node[0] + 1, 2 * node[1] + 1)]
+        return [x for x in below if x in counts] or [node]
 
-    stack = [((0, 0), (0, 0), 0)]
-    numbers: dict[tuple[int, int], int] = {}
+    stack = [((0, 0), (0, 0))] if counts else []
     while stack:
-        a, b, used = stack.pop()
-        if not levels[a[0]][a[1]] or not levels[b[0]][b[1]]:
-            continue
-        if whole(*a) and whole(*b):
+        a, b = stack.pop()
+        ways_a, ways_b = halves(a), halves(b)
+        if ways_a == [a] and ways_b == [b]:
             for node in (a, b):
                 if node not in numbers:
                     numbers[node] = len(leaves)
                     leaves.append(node)
             pairs.append((numbers[a], numbers[b]))
             continue
-        halves = lambda node: [node] if whole(*node) else [(node[0] + 1, 2 * node[1]), (node[0] + 1, 2 * node[1] + 1)]
-        for i, x in enumerate(halves(a)):
-            for j, y in enumerate(halves(b)):
+        for i, x in enumerate(ways_a):
+            for j, y in enumerate(ways_b):
                 if a == b and j < i:
                     continue
                 depth = min(x[0], y[0])
-                apart = ((x[1] >> (x[0] - depth)) ^ (y[1] >> (y[0] - depth))).bit_count()
-                if apart <= budget:
-                    stack.append((x, y, apart))
+                if ((x[1] >> (x[0] - depth)) ^ (y[1] >> (y[0] - depth))).bit_count() <= budget:
+                    stack.append((x, y))
     return leaves, pairs
 
 
+def top_counts(prints: DataFrame, leaf: int | None = None) -> dict[Node, int]:
+    """Rows of each node of the trie's top, deep enough that none of its leaves has more than ``leaf``.
+
+    Prefixes are counted some bits at a time, below the first level only where a
+    node is too crowded, and no deeper than that calls for: what comes to the
+    driver are some times as many nodes as rows divided by ``leaf``.
+    """
+    whole = prints.count()
+    most = leaf or min(LEAF_MOST, max(LEAF_ROWS, whole // LEAVES))
+    counts: dict[Node, int] = {(0, 0): whole} if whole else {}
+    crowded, depth, bits = ([0] if whole > most else []), 0, TOP_BITS
+    while crowded:
+        inside = prints.filter(F.shiftrightunsigned("fp", 64 - depth).isin(crowded)) if depth else prints
+        prefix = F.shiftrightunsigned("fp", 64 - depth - bits) if depth + bits < 64 else F.col("fp")
+        found = inside.groupBy(prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n")).collect()
+        level = {(depth + bits, int(p) & ((1 << (depth + bits)) - 1)): n for p, n in found}
+        sums = dict(level)
+        for d in range(depth + bits, depth + 1, -1):
+            for (_, p), n in [(node, n) for node, n in sums.items() if node[0] == d]:
+                sums[d - 1, p >> 1] = sums.get((d - 1, p >> 1), 0) + n
+        # a node is there if what is above it is too crowded to be a leaf
+        counts |= {(d, p): n for (d, p), n in sums.items() if d == depth + 1 or sums[d - 1, p >> 1] > most}
+        depth += bits
+        crowded = [p for (_, p), n in level.items() if n > most and depth < 64]
+        if crowded:
+            bits = min(TOP_BITS, 64 - depth, max(1, (max(level.values()) // most).bit_length() + 1))
+    return counts
+
+
 def trie_links(left: np.ndarray, right: np.ndarray | None, budget: int = BUDGET) -> np.ndarray:
     """A spanning forest (pairs of fingerprints) of the links within ``left``, or between ``left`` and ``right``.
 
@@ -184,21 +214,21 @@ def _compare(left, other, la, lb, ra, rb, own, shift, forest, budget) -> None:
         start = stop
 
 
+def homes(values: np.ndarray, leaves: list[Node]) -> np.ndarray:
+    """The leaf of each fingerprint; leaves are disjoint ranges that cover all of them."""
+    lows = np.array([p << (64 - d) for d, p in leaves], np.uint64)
+    order = np.argsort(lows)
+    return order[np.searchsorted(lows[order], values, "right") - 1]
+
+
 def links(prints: DataFrame, budget: int = BUDGET, leaf: int | None = None) -> DataFrame:
     """Edges (``a``, ``b``) between distinct fingerprints ``fp`` whose components are those of all links.
 
     Only counts by prefix reach the driver.  Each fingerprint is sent to the
-    units of its subtree.  A leaf has a ``LEAVES``-th of the rows, so a
-    fingerprint has some 60 copies of eight bytes at any size; a crowded prefix
-    is cut down to ``TOP_BITS`` bits.
+    units of its subtree: a leaf has a ``LEAVES``-th of the rows, ``LEAF_MOST``
+    at most, whatever their number and however crowded a prefix is.
     """
-    bits = TOP_BITS
-    prefix = F.shiftrightunsigned("fp", 64 - bits).cast("int").alias("prefix")
-    counts = {r[0]: r[1] for r in prints.groupBy(prefix).count().collect()}
-    leaves, pairs = top_units(counts, bits, leaf or max(LEAF_ROWS, sum(counts.values()) // LEAVES), budget)
-    of = np.zeros(1 << bits, np.int64)
-    for k, (depth, node) in enumerate(leaves):
-        of[node << (bits - depth) : (node + 1) << (bits - depth)] = k
+    leaves, pairs = top_units(top_counts(prints, leaf), budget)
     units: list[list[tuple[int, int]]] = [[] for _ in leaves]
     for unit, (a, b) in enumerate(pairs):
         units[a].append((unit, 0 if a == b else 1))
@@ -208,7 +238,7 @@ def links(prints: DataFrame, budget: int = BUDGET, leaf: int | None = None) -> D
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
-            home = of[(values >> np.uint64(64 - bits)).astype(np.int64)]
+            home = homes(values, leaves)
             order = np.argsort(home, kind="stable")
             values, home = values[order], home[order]
             edges = np.flatnonzero(np.diff(home, prepend=-1))
@@ -230,15 +260,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """``id``, ``fp`` and ``component_id`` of every row: the smallest id reachable over links.
 
     Null and empty texts share fingerprint zero and are linked like any other.
-    A null id never is the smallest; rows are returned one for one.
+    A null id never is the smallest; rows are returned one for one, also those
+    that repeat, and an empty table gives none.  Texts of any length are
+    fingerprinted whole.
     """
     rows = components.settle(with_fingerprints(docs, id_col, text_col, shingle))
     prints = components.settle(rows.groupBy("fp").agg(F.min("id").alias("least")))
     edges = links(prints.select("fp"), budget)
     roots = components.roots(edges)
-    named = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = components.settle(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = named.join(least, "root").select("fp", "component_id")
-    salted = of_print.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(components.SALTS - 1))))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(components.SALTS)).cast("int"))
-    return dealt.join(salted, ["fp", "salt"]).select("id", "fp", "component_id")
+    of_print = attach(named.select("fp", "root"), least, ["root"]).select("fp", "component_id")
+    return attach(rows, of_print, ["fp"]).select("id", "fp", "component_id")

@@ -63,18 +63,38 @@ def test_trie_join_keeps_every_component(seed):
     assert tops.tolist() == whole
 
 
-def test_top_of_the_trie_covers_every_close_pair():
+@pytest.mark.parametrize(("leaf", "bits"), [(300, 12), (40, 3), (1, 12), (10_000, 12)])
+def test_top_of_the_trie_covers_every_close_pair(spark, monkeypatch, leaf, bits):
+    monkeypatch.setattr(near_dedup, "TOP_BITS", bits)
     rng = np.random.default_rng(3)
-    prefixes = rng.integers(0, 64, 5000) * rng.integers(0, 2, 5000)
-    counts = dict(zip(*[x.tolist() for x in np.unique(prefixes, return_counts=True)], strict=True))
-    leaves, pairs = near_dedup.top_units(counts, 6, 300)
-    home = {p: k for k, (depth, node) in enumerate(leaves) for p in range(node << (6 - depth), (node + 1) << (6 - depth))}
+    crowd = (np.uint64(0xABCDEF) << np.uint64(40)) | rng.integers(0, 1 << 9, 250, dtype=np.uint64)  # alike in 55 bits
+    prints = np.unique(np.concatenate([rng.integers(0, 1 << 64, 700, dtype=np.uint64), crowd, np.array([0, 2**64 - 1], np.uint64)]))
+    counts = near_dedup.top_counts(spark.createDataFrame([(int(v),) for v in prints.view(np.int64)], "fp long"), leaf)
+    leaves, pairs = near_dedup.top_units(counts)
+    home = near_dedup.homes(prints, leaves)
+    assert all(n <= leaf for n in np.bincount(home)) and [counts[node] for node in leaves] == np.bincount(home, minlength=len(leaves)).tolist()
+    assert all(int(v) >> (64 - leaves[h][0]) == leaves[h][1] for v, h in zip(prints.tolist(), home))
     held = {frozenset(p) for p in pairs}
     assert len(held) == len(pairs)
-    for p in counts:
-        for q in counts:
-            if (p ^ q).bit_count() <= 4:
-                assert frozenset((home[p], home[q])) in held
+    close = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    assert all(frozenset((home[i], home[j])) in held for i, j in zip(*np.nonzero(close)))
+
+
+def test_small_leaves_change_no_group(spark, texts, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, near_dedup.groups(docs).collect()))
+    monkeypatch.setattr(near_dedup.links, "__defaults__", (near_dedup.BUDGET, 3))
+    assert sorted(map(tuple, near_dedup.groups(docs).collect())) == want
+
+
+def test_no_task_is_far_above_the_others(spark):
+    """A third of all rows equal, with a null id and an empty text: what names them is broadcast, not dealt by key."""
+    rows = [(None, "")] * 3000 + [(i, f"words of their own {i} {i * 7} {i * 13} and {i % 97} more {i * 31}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = near_dedup.groups(docs)
+    assert found.count() == 9000 and found.filter("fp = 0").count() == 3000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
 
 
 def test_groups_match_brute_force(spark, texts):
