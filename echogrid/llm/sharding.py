@@ -6,15 +6,14 @@ more shard, a key stays or moves into the new one.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .balance import numbered, stored
+
 MULTIPLIER = 2862933555777941757  # of the published jump-hash generator
-ROWS_PER_CELL = 20_000
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -57,18 +56,17 @@ def assign(rows: DataFrame, key_col: str, shards: int, keep: list[Column]) -> Da
     """``keep`` columns plus ``shard``, ``grown_shard`` and the gapless ``slot`` in the shard.
 
     Slots follow the key hash, then the key, then the kept columns, so they are
-    a stable shuffle of the shard.  A shard is numbered cell by cell, a cell
-    being a range of hash values of about ``ROWS_PER_CELL`` rows, so no task
-    holds a shard.  Repeated keys share shard and cell and get slots of their own.
+    a stable shuffle of the shard.  All shards are numbered in one sort, whose
+    ranges no shard and no key fills alone: rows that repeat a key, null ones
+    too, share the shard and are told apart by their place in the written table.
+    A null key hashes as an empty text; an empty table gives no rows.
     """
     high, low = key_halves(F.col(key_col))
-    bits = max(0, min(31, math.ceil(math.log2(max(1, rows.count()) / (ROWS_PER_CELL * min(shards, 64)) + 1e-9))))
     keyed = rows.select(F.struct(*keep).alias("kept"), F.col(key_col).alias("key"), high.alias("high"), low.alias("low"))
     placed = keyed.withColumn("shard", shard_of(F.col("high"), F.col("low"), shards)).withColumn("grown", shard_of(F.col("high"), F.col("low"), shards + 1))
-    placed = placed.withColumn("cell", F.shiftright("high", 32 - bits) if bits else F.lit(0).cast("long"))
-    sizes = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "cell").orderBy("high", "low", "key", "kept")
-    numbered = placed.withColumn("at", F.row_number().over(inside) - 1)
-    return numbered.join(starts, ["shard", "cell"]).select("kept.*", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"), F.col("grown").alias("grown_shard"))
+    told = stored(placed.withColumn("apart", F.monotonically_increasing_id()), "shards")
+    held = numbered(told, [F.col(c) for c in ("shard", "high", "low", "key", "kept", "apart")], "at")
+    firsts = told.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))  # a row a shard
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = firsts.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return held.join(F.broadcast(starts), "shard").select("kept.*", "shard", (F.col("at") - F.col("start")).cast("long").alias("slot"), F.col("grown").alias("grown_shard"))
