@@ -3,7 +3,7 @@
 The grouping key is the MD5 of the text followed by the text itself, so rows
 meet by hash and are told apart by their bytes; equal rows are combined before
 the shuffle, which makes a text held by a third of all rows cheap.  The flags
-go back to the rows by narrow digests only, over salted keys.
+go back to the rows by narrow digests only, those of heavy texts by broadcast.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+from .balance import attach, stored
 
 
 def content_hash(text: Column) -> Column:
@@ -38,15 +38,14 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     The row with the largest id of equal texts is kept.  Rows that repeat id
-    and text alike are one document: all of them carry the same flag.  Classes
+    and text alike are one document: all of them carry the same flag, and a
+    whole table of marks has them all, where ``survivors`` has one.  Classes
     were told apart by bytes; rows find theirs by MD5 and SHA-256 together.
+    An empty table gives no rows; a long text travels once a class, at most.
     """
-    rows = docs.select(F.col(id_col).alias("id"), _whole(text_col).alias("body")).select(
-        "id", content_hash(F.col("body")).alias("h"), F.sha2("body", 256).alias("sha"),
-        F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"),
-    )
-    repeated = classes(docs, id_col, text_col).filter("group_size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.join(repeated, ["h", "sha", "salt"], "left")
+    rows = docs.select(F.col(id_col).alias("id"), _whole(text_col).alias("body")).select("id", content_hash(F.col("body")).alias("h"), F.sha2("body", 256).alias("sha"))
+    repeated = stored(classes(docs, id_col, text_col).filter("group_size > 1"), "classes")
+    joined = attach(rows, repeated, ["h", "sha"], "left", repeated.select("h", "sha", F.col("group_size").alias("_n")))
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(

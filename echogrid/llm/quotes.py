@@ -4,7 +4,8 @@ Quoted lines begin with ">" once per level.  A quoted line is normalised and
 hashed, and joined to the message of the same conversation that first said it.
 A message answers the one that it quotes most at its outermost level.
 Everything is DataFrame expressions; hot lines and conversations are combined
-before they are shuffled, and no conversation is gathered in one task.
+before they are shuffled, and no conversation is gathered in one task: messages are numbered by ranges of
+threads, of which even the longest has few.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .balance import attach
 from .components import settle
 
 QUOTED = r"^(\s?>)+"
 ATTRIBUTION = r"^(?i:on|am|le|el|il) .*(?i:wrote|schrieb|a écrit|escribió|ha scritto)\s*:?\s*$"
 CELL_TURNS = 1024
+RANGE_THREADS = 65_536  # turns that begin threads numbered in one window
 
 
 def split_lines(text: Column) -> Column:
@@ -57,7 +60,7 @@ def links(messages: DataFrame) -> DataFrame:
     lines = said_lines(messages)
     origins = lines.filter("level = 0").groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
     quoted = lines.filter("level > 0").groupBy("conv", "turn", "level", "hash").agg(F.count(F.lit(1)).alias("n"))
-    found = quoted.join(origins, ["conv", "hash"]).filter("origin < turn")
+    found = attach(settle(quoted), origins, ["conv", "hash"]).filter("origin < turn")
     votes = found.groupBy("conv", "turn", "level", "origin").agg(F.sum("n").alias("n"))
     best = F.max_by("origin", F.struct(-F.col("level"), F.col("n"), F.col("origin")))
     return votes.groupBy("conv", "turn").agg(F.sum("n").alias("n_linked"), best.alias("parent"))
@@ -98,9 +101,15 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     placed = rows.select("conv", "turn", "role", "text", body(F.col("text")).alias("body"), quoted.alias("n_quoted")).join(known, ["conv", "turn"], "left")
     placed = placed.withColumn("thread", F.coalesce("root", "turn")).withColumn("cell", F.floor(F.col("turn") / CELL_TURNS))
     keys = ["conv", "thread", "cell"]
-    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("conv").orderBy("thread", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*[F.col(k).alias(f"s_{k}") for k in keys], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.floor(F.col("thread") / RANGE_THREADS))
+    # first by ranges of threads, of which a conversation has few, then within each range
+    earlier = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv", "range").orderBy("thread", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.groupBy("conv", "range").agg(F.sum("n").alias("n"))
+    bases = ranges.select(F.col("conv").alias("b_conv"), F.col("range").alias("b_range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = sizes.select(*[F.col(k).alias(f"s_{k}") for k in keys], "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("inner"))
+    based = within.join(bases, F.col("s_conv").eqNullSafe(F.col("b_conv")) & F.col("range").eqNullSafe(F.col("b_range")))
+    starts = based.select(*[f"s_{k}" for k in keys], (F.col("base") + F.col("inner")).alias("start"))
     inside = Window.partitionBy(*keys).orderBy("turn", "role", "text")
     numbered = placed.withColumn("at", F.row_number().over(inside) - 1)
     same = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys]
