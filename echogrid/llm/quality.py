@@ -78,11 +78,11 @@ class Features:
 
     def means(self, values: np.ndarray) -> np.ndarray:
         """Mean of ``values[bucket]`` over each row's features; zero without features."""
-        per_word = text.row_sums(values[self.of_word], self.starts)
-        totals = text.row_sums(per_word[self.codes], self.rows)
+        per_word = text.segment_sums(values[self.of_word], self.starts)
+        totals = text.segment_sums(per_word[self.codes], self.rows)
         counts = text.row_sums(np.diff(self.starts)[self.codes], self.rows)
         pair = np.append(np.where(self.paired, values[self.pairs], 0.0), 0.0)[: len(self.codes)]
-        totals = totals + text.row_sums(pair, self.rows)
+        totals = totals + text.segment_sums(pair, self.rows)
         counts = counts + text.row_sums(np.append(self.paired, False)[: len(self.codes)].astype(np.int64), self.rows)
         return totals / np.maximum(counts, 1)
 
@@ -131,13 +131,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Train on at most ``sample`` labelled rows that are not held out, chosen by a hash of their ids.
 
     An id labelled more than once counts with its largest label; null labels
-    and ids are not learned from.  Only the sampled rows' sparse features meet
-    in one task, and only the model, whose size is fixed, reaches the driver.
+    and ids are not learned from.  Texts that repeat an id are rows of their own,
+    rows that repeat id and text are one.  Only the sampled rows' sparse features
+    meet in one task, and only the model, whose size is fixed, reaches the driver.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(chosen), "id").select("id", "body", "label")
+    digest = F.unhex(F.md5(F.coalesce("body", F.lit(""))))
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(known, "id")
+    chosen = labelled.select("id", digest.alias("digest")).distinct().orderBy(F.xxhash64("id"), "id", "digest").limit(sample)
+    keyed = labelled.withColumn("digest", digest)
+    rows = keyed.join(F.broadcast(chosen), ["id", "digest"]).groupBy("id", "digest", "label").agg(F.first("body").alias("body"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text.slices(batches, "body", 1 << 20):
@@ -145,10 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             row, bucket, share = Features(part.column("body")).counted()
             at = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(at, pa.array(v, kind)) for v, kind in ((bucket, pa.int32()), (share, pa.float32()))]
-            yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.string()), part.column("label"), *lists], ["id", "label", "buckets", "shares"])
+            yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.string()), part.column("digest"), part.column("label"), *lists], ["id", "digest", "label", "buckets", "shares"])
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("label", "ascending")]).slice(0, 2 * sample)
+        table = table.sort_by([("id", "ascending"), ("digest", "ascending")])
         rows = [
             (np.array(b.values, np.int64), np.array(s.values, np.float32), int(y > 0))
             for b, s, y in zip(table["buckets"], table["shares"], table["label"].to_pylist(), strict=True)
@@ -156,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         model = train(rows)
         return pa.table({"vectors": [model.vectors.tobytes()], "layer": [model.layer.tobytes()], "bias": [model.bias.tobytes()]})
 
-    spelt = rows.mapInArrow(spell, "id string, label int, buckets array<int>, shares array<float>")
+    spelt = rows.mapInArrow(spell, "id string, digest binary, label int, buckets array<int>, shares array<float>")
     learned = spelt.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "vectors binary, layer binary, bias binary").collect()
     if not learned:
         return train([])
@@ -167,8 +171,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 def score(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``carry`` columns of every row, then ``score`` (probability of label 1) and ``predicted``.
 
-    Every whole text is read.  A text without words, null included, is scored
-    by the bias alone.
+    Every whole text is read, and a score depends on nothing but the text and the
+    model.  A text without words, null included, is scored by the bias alone;
+    rows that repeat are scored each, an empty table gives no rows.
     """
     gap, base = model.logits(), float(model.bias[1] - model.bias[0])
     rows, names, fields = text.carried(docs, text_col, carry)

@@ -149,6 +149,15 @@ def row_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``row_sums`` of floats, each row's summed by itself, so it does not depend on the rows beside it."""
+    out = np.zeros(len(starts) - 1, values.dtype)
+    full = np.flatnonzero(np.diff(starts))
+    if len(full):
+        out[full] = np.add.reduceat(values, starts[full])
+    return out
+
+
 def carried(docs: DataFrame, text_col: str, carry: list[str]) -> tuple[DataFrame, dict[str, str], list[str]]:
     """The text as ``body`` and the ``carry`` columns under names that cannot clash; those names, and their types for a schema.
 
