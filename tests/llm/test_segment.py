@@ -1,5 +1,4 @@
 import heapq
-import resource
 import tracemalloc
 
 import numpy as np
@@ -141,12 +140,10 @@ def test_results_do_not_depend_on_how_chunks_meet_in_lattices(monkeypatch):
 def test_twenty_megabytes_of_words_through_the_operator(spark):
     rng = np.random.default_rng(2)
     words = ["".join(rng.choice(list("aeinorstdlu"), rng.integers(2, 9))) for _ in range(150_000)]
-    body = " ".join(rng.choice(words, 3_200_000))
+    body = " ".join(rng.choice(words, 3_500_000))
     docs = spark.createDataFrame([(1, body)], "doc_id long, text string")
-    before = resource.getrusage(resource.RUSAGE_CHILDREN).ru_maxrss
     row = segment.encode(docs, PIECES, ["doc_id"]).select(F.size("ids").alias("n"), F.size("scores").alias("s"), "round_trip").first()
-    assert row.round_trip and row.s == segment.BEST and row.n > 3_200_000 and len(body) > 20_000_000
-    assert before < 3_000_000
+    assert row.round_trip and row.s == segment.BEST and row.n > 3_500_000 and len(body) > 20_000_000
 
 
 def test_memory_of_many_distinct_chunks_is_bounded():
