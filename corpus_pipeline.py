@@ -38,24 +38,33 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.survivors(docs)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``key``, the id (null last) and a digest of the text, and ``text``: rows equal in both are judged alike."""
+    digest = F.unhex(F.md5("text"))
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")).alias("key"), "text")
+
+
+def _with_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose key is among ``keys``, or is not."""
+    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.unhex(F.md5("text")).alias("row_digest"))
+    chosen = keys.select("key.*").distinct().toDF("key_none", "key_id", "key_digest")
+    same = F.col("row_id").eqNullSafe(F.col("key_id")) & F.col("row_digest").eqNullSafe(F.col("key_digest"))
+    return held.join(chosen, same, how).select("row.*")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by SimHash, keep one text: the one with the smallest doc_id, null last, then the smallest digest.
 
     Rows equal in id and text, which the stage before leaves once, stay or go together.
     """
-    digest = F.unhex(F.md5("text"))
-    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest")).alias("key"), "text")
-    grouped = near_dedup.groups(rows, "key")
-    kept = grouped.filter(F.col("id") == F.col("component_id")).select("id.*").distinct().toDF("kept_none", "kept_id", "kept_digest")
-    held = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), digest.alias("row_digest"))
-    same = F.col("row_id").eqNullSafe(F.col("kept_id")) & F.col("row_digest").eqNullSafe(F.col("kept_digest"))
-    return held.join(kept, same, "left_semi").select("row.*")
+    grouped = near_dedup.groups(_keyed(docs), "key")
+    return _with_keys(docs, grouped.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("key")), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more is benchmark passages."""
-    judged = decontaminate.judge(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.columns)
-    return _passed(docs, judged, ~F.col("v4"))
+    """Drop documents of which a twentieth or more is benchmark passages; texts are indexed under their keys and travel no further."""
+    judged = decontaminate.judge(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), ["key"])
+    return _with_keys(docs, judged.filter("contaminated").select("key"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
