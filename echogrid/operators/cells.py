@@ -24,9 +24,17 @@ def max_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def composite_inputs(cells: DataFrame, product_inputs: DataFrame, keys: Sequence[str] = ("frame_ts",)) -> DataFrame:
-    """Maximum over all inputs of each product; the bridge table is a small dimension."""
-    routed = cells.join(F.broadcast(product_inputs.select("product_id", "input_id")), "input_id")
-    return max_cells(routed, ["product_id", *keys])
+    """Maximum over all inputs of each product; the bridge table is a small dimension.
+
+    Each input's cells are merged once, whatever the number of products that use
+    it, and only products of several inputs are merged again.
+    """
+    merged = max_cells(cells, ["input_id", *keys])
+    several = product_inputs.groupBy("product_id").agg((F.count(F.lit(1)) > 1).alias("_several"))
+    bridge = product_inputs.select("product_id", "input_id").join(several, "product_id")
+    routed = merged.join(F.broadcast(bridge), "input_id")
+    columns = ["product_id", *keys, "row", "col", "value"]
+    return max_cells(routed.where("_several"), ["product_id", *keys]).select(columns).unionByName(routed.where("NOT _several").select(columns))
 
 
 def check_single_timestamp(frames: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ the feature limit, so per-frame vector steps stay small.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +17,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.grid import coarse_size
 from .skew import attach_by_key
+from .nearest import nearest_points
 from .neighbourhood import byte_levels
 from .tiles import (
-    DEFAULT_TILE, Window, cogrouped, column_array, double_field, frame_tiles, int_field, map_tiles, map_tiles_with, window_of, with_halo, with_keys,
+    DEFAULT_TILE, Window, cogrouped, column_array, double_field, frame_tiles, geometry, int_field, map_tiles_with, window_of, with_halo, with_keys,
 )
 from .warp import coarse_nodes, lead_differences, moved_cells, replicate_sample, resize_positions
 
@@ -32,10 +33,12 @@ IDW_POWER = 0.5
 IDW_OFFSET = 0.5
 
 SEARCH_RADIUS = 10
-SEARCH_LEVELS = 2  # halvings of the image; the search reaches its radius doubled as often
+COARSE = 4  # cells a side of the squares whose means are the bottom of the pyramid
+COARSE_HALF = 4
 WINDOW_HALF = 7
 REFINE_STEPS = 5
 MIN_EIGENVALUE = 1e-4
+MISMATCH = 1.0  # mean squared difference of a match, as a share of the patch's variance, from which on it explains nothing
 
 
 def frame_pairs(levels: DataFrame, order: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
@@ -67,13 +70,14 @@ def _clamped(array: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarra
 
 
 def block_match(
-    pairs: DataFrame, keys: Sequence[str], height: int, width: int, block: int, radius: int, tile: int = DEFAULT_TILE
+    pairs: DataFrame, keys: Sequence[str], height: int, width: int, block: int, radius: int, tile: int = DEFAULT_TILE, frames: DataFrame | None = None
 ) -> DataFrame:
     """Best integer displacement of each ``block`` x ``block`` square of every pair.
 
     Minimises the mean squared difference over the cells whose displaced
     position stays in the grid; ties go to the shortest, then to the smallest
-    (dr, dc).  ``tile`` must be a multiple of ``block``.
+    (dr, dc).  ``tile`` must be a multiple of ``block``.  ``frames`` lists the
+    pairs; without it they are read from the cells, which computes those twice.
     """
     if tile % block:
         raise ValueError("tile must be a multiple of block")
@@ -107,7 +111,8 @@ def block_match(
 
     tiled = with_halo(pairs.select(*keys, "row", "col", "prev", "next"), tile, radius, height, width)
     fields = [int_field("block_r"), int_field("block_c"), int_field("dr"), int_field("dc"), double_field("cost")]
-    return map_tiles_with(tiled, pairs.select(*keys).distinct(), keys, tile, fn, fields, height, width, radius, empty_tiles=True)
+    listed = (pairs if frames is None else frames).select(*keys).distinct()
+    return map_tiles_with(tiled, listed, keys, tile, fn, fields, height, width, radius, empty_tiles=True)
 
 
 def _bilinear(array: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -134,9 +139,8 @@ def _patches(image: np.ndarray, r: np.ndarray, c: np.ndarray, half: int) -> np.n
     return _clamped(image, r[:, None, None] + span[None, :, None], c[:, None, None] + span[None, None, :])
 
 
-def _search(prev: np.ndarray, nxt: np.ndarray, r: np.ndarray, c: np.ndarray, start_r: np.ndarray, start_c: np.ndarray, radius: int, half: int):
-    """Displacement of least mean squared difference within ``radius`` of the start; the shortest step wins a tie."""
-    patch = _patches(prev, r, c, half)
+def _search(patch: np.ndarray, nxt: np.ndarray, r: np.ndarray, c: np.ndarray, start_r: np.ndarray, start_c: np.ndarray, radius: int, half: int):
+    """Displacement of least mean squared difference from the patch within ``radius`` of the start; the shortest step wins a tie."""
     best = np.full(len(r), np.inf)
     dr, dc = start_r.copy(), start_c.copy()
     moves = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]
@@ -147,56 +151,176 @@ def _search(prev: np.ndarray, nxt: np.ndarray, r: np.ndarray, c: np.ndarray, sta
     return dr, dc, best
 
 
-def _coarse_to_fine(prev: np.ndarray, nxt: np.ndarray, r: np.ndarray, c: np.ndarray, top: int, left: int, radius: int, half: int, levels: int):
-    """The same over halved images first, each level starting from twice what the coarser one found."""
-    pyramid = [(prev, nxt, top, left)]
-    for _ in range(levels):
-        a, b, t, l = pyramid[-1]
-        pyramid.append((_halved(a, t, l), _halved(b, t, l), t // 2, l // 2))
+def pyramid_depth(height: int, width: int, radius: int, block: int) -> int:
+    """Halvings of an image of ``block`` x ``block`` means until a search of ``radius`` reaches across the grid."""
+    depth = 0
+    while radius * block << depth < max(height, width):
+        depth += 1
+    return depth
+
+
+def coarse_starts(prev: np.ndarray, nxt: np.ndarray, r: np.ndarray, c: np.ndarray, depth: int, radius: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Displacement of each feature over whole images: searched on every halving and followed down, the best match at the bottom."""
+    images = [(prev, nxt)]
+    for _ in range(depth):
+        images.append(tuple(_halved(image, 0, 0) for image in images[-1]))
+    best = np.full(len(r), np.inf)
     dr = dc = np.zeros(len(r), np.int64)
-    for level in range(levels, -1, -1):
-        a, b, t, l = pyramid[level]
-        reach = radius if level == levels else 2
-        dr, dc, cost = _search(a, b, ((r + top) >> level) - t, ((c + left) >> level) - l, 2 * dr, 2 * dc, reach, half)
-    return dr, dc, cost
+    for top in range(depth + 1):
+        far_r = far_c = np.zeros(len(r), np.int64)
+        for level in range(top, -1, -1):
+            a, b = images[level]
+            far_r, far_c, cost = _search(_patches(a, r >> level, c >> level, half), b, r >> level, c >> level, 2 * far_r, 2 * far_c, radius if level == top else 2, half)
+        better = cost < best
+        best, dr, dc = np.where(better, cost, best), np.where(better, far_r, dr), np.where(better, far_c, dc)
+    return dr, dc
+
+
+def _gradients(wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Central differences (down, right) of patches that have one cell more on each side."""
+    return (wide[:, 2:, 1:-1] - wide[:, :-2, 1:-1]) / 2, (wide[:, 1:-1, 2:] - wide[:, 1:-1, :-2]) / 2
 
 
-def search_halo(radius: int, half: int, levels: int) -> int:
-    """Cells around a feature that its search may read, at the coarsest level's cell size."""
-    return (radius + half + 1) * 2**levels + 2
+def _trackable(wide: np.ndarray) -> np.ndarray:
+    """Whether a patch changes in both directions, so that its match is one place."""
+    gy, gx = _gradients(wide)
+    xx, xy, yy = (gx * gx).sum((1, 2)), (gx * gy).sum((1, 2)), (gy * gy).sum((1, 2))
+    smaller = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy**2)
+    return smaller / gx[0].size > MIN_EIGENVALUE if len(wide) else np.zeros(0, dtype=bool)
 
 
-def _track(prev: np.ndarray, nxt: np.ndarray, r: np.ndarray, c: np.ndarray, radius: int, half: int, refine: bool, top: int = 0, left: int = 0, levels: int = SEARCH_LEVELS):
-    """Displacement of each feature: integer search near it and coarse to fine, the better match; then Gauss-Newton steps."""
+def _refined(wide: np.ndarray, nxt: np.ndarray, r: np.ndarray, c: np.ndarray, dr: np.ndarray, dc: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fractions of a cell by Gauss-Newton steps from an integer match; a solution that leaves its neighbourhood is not taken."""
     span = np.arange(-half, half + 1)
-    wr = r[:, None, None] + span[None, :, None]
-    wc = c[:, None, None] + span[None, None, :]
-    patch = _clamped(prev, wr, wc)
-    still = np.zeros(len(r), np.int64)
-    dr, dc, best = _search(prev, nxt, r, c, still, still, radius, half)
-    if levels and len(r):
-        far_r, far_c, cost = _coarse_to_fine(prev, nxt, r, c, top, left, radius, half, levels)
-        better = cost < best
-        dr, dc = np.where(better, far_r, dr), np.where(better, far_c, dc)
-    dr, dc = dr.astype(float), dc.astype(float)
-    gy = (_clamped(prev, wr + 1, wc) - _clamped(prev, wr - 1, wc)) / 2
-    gx = (_clamped(prev, wr, wc + 1) - _clamped(prev, wr, wc - 1)) / 2
+    wr, wc = r[:, None, None] + span[None, :, None], c[:, None, None] + span[None, None, :]
+    gy, gx = _gradients(wide)
     xx, xy, yy = (gx * gx).sum((1, 2)), (gx * gy).sum((1, 2)), (gy * gy).sum((1, 2))
     det = xx * yy - xy * xy
-    smaller = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy**2)
-    good = smaller / patch[0].size > MIN_EIGENVALUE if len(r) else np.zeros(0, dtype=bool)
-    if refine:
-        safe = np.where(good & (det > 0), det, 1.0)
-        start_r, start_c = dr.copy(), dc.copy()
-        for _ in range(REFINE_STEPS):
-            diff = patch - _bilinear(nxt, wr + dr[:, None, None], wc + dc[:, None, None])
-            bx, by = (gx * diff).sum((1, 2)), (gy * diff).sum((1, 2))
-            dc = np.where(good, dc + (yy * bx - xy * by) / safe, dc)
-            dr = np.where(good, dr + (xx * by - xy * bx) / safe, dr)
-        # A solution that left the searched cell's neighbourhood has diverged.
-        far = (np.abs(dr - start_r) > 2) | (np.abs(dc - start_c) > 2)
-        dr, dc = np.where(far, start_r, dr), np.where(far, start_c, dc)
-    return dr, dc, good
+    safe = np.where(det > 0, det, 1.0)
+    fine_r, fine_c = dr.astype(float), dc.astype(float)
+    for _ in range(REFINE_STEPS):
+        diff = wide[:, 1:-1, 1:-1] - _bilinear(nxt, wr + fine_r[:, None, None], wc + fine_c[:, None, None])
+        bx, by = (gx * diff).sum((1, 2)), (gy * diff).sum((1, 2))
+        fine_c = np.where(det > 0, fine_c + (yy * bx - xy * by) / safe, fine_c)
+        fine_r = np.where(det > 0, fine_r + (xx * by - xy * bx) / safe, fine_r)
+    far = (np.abs(fine_r - dr) > 2) | (np.abs(fine_c - dc) > 2)
+    return np.where(far, dr, fine_r), np.where(far, dc, fine_c)
+
+
+def _levels(table: pa.Table, mine: np.ndarray, known: dict, role: int) -> np.ndarray:
+    """Values of one image as byte levels; they are levels already if the frame has no range."""
+    value = column_array(table, "value")[mine]
+    low = known.get(f"low{role}")
+    return np.nan_to_num(value) if low is None else byte_levels(value, low, known[f"high{role}"])
+
+
+def _image(window: Window, table: pa.Table, known: dict, role: int) -> np.ndarray:
+    mine = column_array(table, "role") == role
+    row, col = column_array(table, "row")[mine], column_array(table, "col")[mine]
+    return window.dense(row, col, _levels(table, mine, known, role), fill=0.0)
+
+
+def matched_features(
+    images: DataFrame, features: DataFrame, per_pair: DataFrame, keys: Sequence[str], height, width,
+    radius: int, half: int, tile: int, coarse: bool = True,
+) -> DataFrame:
+    """Sparse vectors ``x, y, u, v`` of ``features`` (keys, row, col) between the images of each pair.
+
+    ``images`` has (keys, role, row, col, value) with role 0 before and 1 after;
+    ``per_pair`` one row per pair, with ``refine`` and, unless values are byte
+    levels, the range of both frames.  Three steps, none of which sees a whole
+    fine image: means of 4 x 4 cells of a pair meet in one group, where a pyramid
+    as deep as the grid asks for gives each feature a start; the feature's tile
+    cuts its patch; the patch travels to the tiles where it may lie, at its own
+    place and at its start, and is matched there.  The better match counts; one
+    that explains nothing of the patch is not found and is dropped.
+    """
+    names = list(keys)
+    sized = per_pair.withColumns(geometry(height, width, 0)).drop("reach")
+    marks = features.select(*names, "row", "col")
+    if coarse:
+        marks = _with_starts(images, marks, sized, names, radius)
+    else:
+        marks = marks.withColumns({"start_r": F.lit(0), "start_c": F.lit(0)})
+
+    def cut(window: Window, table: pa.Table, known: dict) -> dict[str, np.ndarray]:
+        row, col = column_array(table, "row"), column_array(table, "col")
+        chosen = np.flatnonzero((column_array(table, "role") == 2) & window.is_core(row, col))
+        chosen = chosen[np.lexsort((col[chosen], row[chosen]))]
+        wide = _patches(_image(window, table, known, 0), row[chosen] - window.top, col[chosen] - window.left, half + 1)
+        good = _trackable(wide)
+        chosen, wide = chosen[good], wide[good]
+        return {
+            "from_r": row[chosen], "from_c": col[chosen], "start_r": column_array(table, "start_r")[chosen].astype(np.int64), "start_c": column_array(table, "start_c")[chosen].astype(np.int64),
+            "patch": list(wide.reshape(len(chosen), (2 * half + 3) ** 2)), "spread": wide[:, 1:-1, 1:-1].var(axis=(1, 2)),
+        }
+
+    before = images.where(F.col("role") == 0).unionByName(marks.withColumns({"role": F.lit(2), "value": F.lit(0.0)}), allowMissingColumns=True)
+    tiled = with_halo(before, tile, half + 1, height, width)
+    fields = [*[int_field(name) for name in ("from_r", "from_c", "start_r", "start_c")], T.StructField("patch", T.ArrayType(T.DoubleType())), double_field("spread")]
+    patches = map_tiles_with(tiled, sized.drop("grid_h", "grid_w"), names, tile, cut, fields, height, width, half + 1)
+
+    start = lambda r, c: F.struct(r.alias("start_r"), c.alias("start_c"))
+    own, far = start(F.lit(0), F.lit(0)), start(F.col("start_r"), F.col("start_c"))
+    tried = patches.withColumn("_s", F.explode(F.when((F.col("start_r") == 0) & (F.col("start_c") == 0), F.array(own)).otherwise(F.array(own, far))))
+    inside = lambda at, size: F.greatest(F.lit(0), F.least(at, (size if isinstance(size, Column) else F.lit(size)) - 1)).cast("int")
+    asked = tried.select(
+        *names, F.lit(2).alias("role"), inside(F.col("from_r") + F.col("_s.start_r"), height).alias("row"), inside(F.col("from_c") + F.col("_s.start_c"), width).alias("col"),
+        "from_r", "from_c", "_s.start_r", "_s.start_c", "patch", "spread",
+    )
+
+    def match(window: Window, table: pa.Table, known: dict) -> dict[str, np.ndarray]:
+        row, col = column_array(table, "row"), column_array(table, "col")
+        chosen = np.flatnonzero((column_array(table, "role") == 2) & window.is_core(row, col))
+        if not len(chosen):
+            return {field.name: np.array([]) for field in found}
+        from_r, from_c, start_r, start_c = (column_array(table, name)[chosen].astype(np.int64) for name in ("from_r", "from_c", "start_r", "start_c"))
+        wide = np.array(table.column("patch").take(pa.array(chosen)).to_pylist()).reshape(len(chosen), 2 * half + 3, 2 * half + 3)
+        nxt = _image(window, table, known, 1)
+        r, c = from_r - window.top, from_c - window.left
+        dr, dc, cost = _search(wide[:, 1:-1, 1:-1], nxt, r, c, start_r, start_c, radius, half)
+        fine_r, fine_c = _refined(wide, nxt, r, c, dr, dc, half) if known["refine"] else (dr.astype(float), dc.astype(float))
+        return {"from_r": from_r, "from_c": from_c, "cost": cost, "far": np.abs(start_r) + np.abs(start_c), "dr": fine_r, "dc": fine_c, "spread": column_array(table, "spread")[chosen]}
+
+    found = [int_field("from_r"), int_field("from_c"), double_field("cost"), int_field("far"), double_field("dr"), double_field("dc"), double_field("spread")]
+    reach = half + radius + 3
+    after = images.where(F.col("role") == 1).unionByName(asked, allowMissingColumns=True)
+    matches = map_tiles_with(with_halo(after, tile, reach, height, width), sized.drop("grid_h", "grid_w"), names, tile, match, found, height, width, reach)
+    best = matches.groupBy(*names, "from_r", "from_c").agg(F.min(F.struct("cost", "far", "dr", "dc", "spread")).alias("_b"))
+    kept = best.where(F.col("_b.cost") <= MISMATCH * F.col("_b.spread"))
+    return kept.select(*names, F.col("from_c").cast("double").alias("x"), F.col("from_r").cast("double").alias("y"), F.col("_b.dc").alias("u"), F.col("_b.dr").alias("v"))
+
+
+def _with_starts(images: DataFrame, marks: DataFrame, sized: DataFrame, names: list[str], radius: int) -> DataFrame:
+    """``marks`` with ``start_r, start_c``, the displacement that a pair's coarse images give, in one group a pair of a sixteenth of its cells."""
+    square = lambda name: F.floor(F.col(name) / COARSE).cast("int").alias(name)
+    means = images.groupBy(*names, "role", square("row"), square("col")).agg(F.sum("value").alias("value"), F.count("value").alias("n"))
+    rows = means.unionByName(marks.withColumns({"role": F.lit(2), "value": F.lit(0.0), "n": F.lit(0).cast("long")}))
+    schema = T.StructType([*(marks.schema[name] for name in names), *[int_field(name) for name in ("row", "col", "start_r", "start_c")]])
+    arrow = to_arrow_schema(schema)
+
+    def run(group_key: tuple[pa.Scalar, ...], table: pa.Table, side: pa.Table) -> pa.Table:
+        role = column_array(table, "role")
+        row, col = (column_array(table, name)[role == 2] for name in ("row", "col"))
+        if not len(row) or not side.num_rows:
+            return arrow.empty_table()
+        known = {name: side.column(name)[0].as_py() for name in side.schema.names}
+        height, width = known["grid_h"], known["grid_w"]
+
+        def image(part: int) -> np.ndarray:
+            out, mine = np.zeros((-(-height // COARSE), -(-width // COARSE))), role == part
+            total, low = column_array(table, "value")[mine], known.get(f"low{part}")
+            if low is not None:
+                span = known[f"high{part}"] - low
+                total = (total - column_array(table, "n")[mine] * low) * (255 / span if span > 1e-8 else 1.0)
+            out[column_array(table, "row")[mine], column_array(table, "col")[mine]] = total / COARSE**2
+            return out
+
+        depth = pyramid_depth(height, width, radius, COARSE)
+        dr, dc = coarse_starts(image(0), image(1), row // COARSE, col // COARSE, depth, radius, COARSE_HALF)
+        return with_keys(arrow, names, group_key, {"row": row, "col": col, "start_r": COARSE * dr, "start_c": COARSE * dc})
+
+    return cogrouped(rows, sized, names).applyInArrow(run, schema)
 
 
 def track_features(
@@ -209,36 +333,20 @@ def track_features(
     half: int = WINDOW_HALF,
     refine: bool = True,
     tile: int = DEFAULT_TILE,
-    levels: int = SEARCH_LEVELS,
+    coarse: bool = True,
+    frames: DataFrame | None = None,
 ) -> DataFrame:
     """Sparse vectors ``x, y, u, v`` (columns and rows per frame step) of the features.
 
-    ``features`` holds (keys, row, col) with keys ending in the pair.  They ride
-    along as flagged cells, so one shuffle brings both images and the features
-    of a tile together.  ``refine=False`` keeps the integer match.
+    ``features`` holds (keys, row, col) with keys ending in the pair, ``pairs``
+    the byte levels ``prev`` and ``next``.  ``refine=False`` keeps the integer
+    match, ``coarse=False`` looks no farther than ``radius``.  ``frames`` lists
+    the pairs; without it they are read from the features.
     """
-    marks = features.select(*keys, "row", "col", F.lit(True).alias("feature"))
-    flagged = (
-        pairs.select(*keys, "row", "col", "prev", "next", F.lit(False).alias("feature"))
-        .unionByName(marks, allowMissingColumns=True)
-        .groupBy(*keys, "row", "col")
-        .agg(F.max("prev").alias("prev"), F.max("next").alias("next"), F.max("feature").alias("feature"))
-    )
-    halo = search_halo(radius, half, levels)
-    tile = max(tile, 2 * halo)  # halo copies stay within four times the cells
-
-    def fn(window: Window, table: pa.Table) -> dict[str, np.ndarray]:
-        row, col = column_array(table, "row"), column_array(table, "col")
-        chosen = column_array(table, "feature").astype(bool) & window.is_core(row, col)
-        prev = window.dense(row, col, np.nan_to_num(column_array(table, "prev")), fill=0.0)
-        nxt = window.dense(row, col, np.nan_to_num(column_array(table, "next")), fill=0.0)
-        order = np.lexsort((col[chosen], row[chosen]))
-        r, c = row[chosen][order], col[chosen][order]
-        dr, dc, good = _track(prev, nxt, r - window.top, c - window.left, radius, half, refine, window.top, window.left, levels)
-        return {"x": c[good].astype(float), "y": r[good].astype(float), "u": dc[good], "v": dr[good]}
-
-    tiled = with_halo(flagged, tile, halo, height, width)
-    return map_tiles(tiled, keys, tile, fn, [double_field(name) for name in ("x", "y", "u", "v")])
+    both = F.array(F.struct(F.lit(0).alias("role"), F.col("prev").alias("value")), F.struct(F.lit(1).alias("role"), F.col("next").alias("value")))
+    images = pairs.select(*keys, "row", "col", F.explode(both).alias("_i")).select(*keys, "_i.role", "row", "col", F.col("_i.value").cast("double").alias("value"))
+    listed = (features if frames is None else frames).select(*keys).distinct()
+    return matched_features(images.where("value IS NOT NULL"), features, listed.withColumn("refine", F.lit(refine)), keys, height, width, radius, half, tile, coarse)
 
 
 def track_frames(
@@ -246,56 +354,35 @@ def track_frames(
     ranges: DataFrame,
     features: DataFrame,
     keys: Sequence[str],
-    height: int,
-    width: int,
+    height,
+    width,
+    refine: Column,
     radius: int = SEARCH_RADIUS,
     half: int = WINDOW_HALF,
-    refine: bool = True,
     tile: int = DEFAULT_TILE,
-    levels: int = SEARCH_LEVELS,
 ) -> DataFrame:
-    """Sparse vectors between neighbouring frames of a history, in one shuffle.
+    """Sparse vectors between neighbouring frames of a history.
 
     ``opened`` has (keys, pos, last, row, col, value) with frames numbered
     ``pos`` = 1..``last``; pair p joins frames p and p + 1.  A frame's part in
-    its pairs follows from its number, so frames meet without a join: each cell
-    goes to at most two pairs, and both images and the features of a tile arrive
-    as rows with a role.  ``ranges`` and ``features`` are keyed by (keys, pos).
+    its pairs follows from its number, so frames meet without a join.  ``ranges``
+    and ``features`` are keyed by (keys, pos).  Height and width may be columns
+    among the keys; ``refine`` is a column over the ranges.
     """
-    halo = search_halo(radius, half, levels)
-    tile = max(tile, 2 * halo)  # halo copies stay within four times the cells
     before = F.when(F.col("pos") < F.col("last"), F.struct(F.col("pos").alias("pair"), F.lit(0).alias("role")))
     after = F.when(F.col("pos") > 1, F.struct((F.col("pos") - 1).alias("pair"), F.lit(1).alias("role")))
     roles = F.explode(F.filter(F.array(before, after), lambda part: part.isNotNull()))
     images = opened.withColumn("_p", roles).select(*keys, F.col("_p.pair").alias("pair"), F.col("_p.role").alias("role"), "row", "col", "value")
-    marks = features.select(*keys, F.col("pos").alias("pair"), F.lit(2).alias("role"), "row", "col", F.lit(0.0).alias("value"))
+    marks = features.select(*keys, F.col("pos").alias("pair"), "row", "col")
     pair_keys = [*keys, "pair"]
-    spans = ranges.withColumn("_p", roles).select(*keys, F.col("_p.pair").alias("pair"), F.col("_p.role").alias("role"), "low", "high")
+    spans = ranges.withColumns({"_p": roles, "refine": refine}).select(*keys, F.col("_p.pair").alias("pair"), F.col("_p.role").alias("role"), "low", "high", "refine")
     pick = lambda role, name: F.max(F.when(F.col("role") == role, F.col(name)))
     known_ranges = (
         spans.groupBy(*pair_keys)
-        .agg(pick(0, "low").alias("low0"), pick(0, "high").alias("high0"), pick(1, "low").alias("low1"), pick(1, "high").alias("high1"))
+        .agg(pick(0, "low").alias("low0"), pick(0, "high").alias("high0"), pick(1, "low").alias("low1"), pick(1, "high").alias("high1"), F.max("refine").alias("refine"))
         .where(F.col("low0").isNotNull() & F.col("low1").isNotNull())
     )
-
-    def fn(window: Window, table: pa.Table, known: dict) -> dict[str, np.ndarray]:
-        row, col, value, role = (column_array(table, name) for name in ("row", "col", "value", "role"))
-        chosen = (role == 2) & window.is_core(row, col)
-        if not chosen.any():
-            return {name: np.array([]) for name in ("x", "y", "u", "v")}
-
-        def image(part: int) -> np.ndarray:
-            mine = role == part
-            return window.dense(row[mine], col[mine], byte_levels(value[mine], known[f"low{part}"], known[f"high{part}"]), fill=0.0)
-
-        order = np.lexsort((col[chosen], row[chosen]))
-        r, c = row[chosen][order], col[chosen][order]
-        dr, dc, good = _track(image(0), image(1), r - window.top, c - window.left, radius, half, refine, window.top, window.left, levels)
-        return {"x": c[good].astype(float), "y": r[good].astype(float), "u": dc[good], "v": dr[good]}
-
-    tiled = with_halo(images.unionByName(marks), tile, halo, height, width)
-    fields = [double_field(name) for name in ("x", "y", "u", "v")]
-    return map_tiles_with(tiled, known_ranges, pair_keys, tile, fn, fields, height, width, halo)
+    return matched_features(images, marks, known_ranges, pair_keys, height, width, radius, half, tile)
 
 
 def drop_outliers(vectors: DataFrame, keys: Sequence[str], std: float = OUTLIER_STD, neighbours: int = OUTLIER_NEIGHBOURS) -> DataFrame:
@@ -315,18 +402,18 @@ def drop_outliers(vectors: DataFrame, keys: Sequence[str], std: float = OUTLIER_
         keep = np.ones(len(x), dtype=bool)
         data = np.stack([u, v], axis=1)
         k = min(neighbours + 1, len(x))
-        for start in range(0, len(x), 512) if k > 3 else ():
-            keep[start : start + 512] = _close_to_neighbours(x, y, data, np.arange(start, min(start + 512, len(x))), k - 1, std)
+        if k > 3:
+            around = nearest_points(x, y, x, y, k - 1, np.arange(len(x)))
+            for start in range(0, len(x), 4096):
+                keep[start : start + 4096] = _close_to_neighbours(data, np.arange(start, min(start + 4096, len(x))), around[start : start + 4096], std)
         return with_keys(arrow, names, group_key, {"x": x[keep], "y": y[keep], "u": u[keep], "v": v[keep]})
 
     return vectors.groupBy(*names).applyInArrow(run, schema)
 
 
-def _close_to_neighbours(x: np.ndarray, y: np.ndarray, data: np.ndarray, at: np.ndarray, count: int, std: float) -> np.ndarray:
-    """Whether the vectors ``at`` lie within ``std`` deviations of their ``count`` nearest others."""
-    squared = (x[at, None] - x) ** 2 + (y[at, None] - y) ** 2
-    squared[np.arange(len(at)), at] = np.inf
-    around = data[nearest_first(squared, count)]
+def _close_to_neighbours(data: np.ndarray, at: np.ndarray, near: np.ndarray, std: float) -> np.ndarray:
+    """Whether the vectors ``at`` lie within ``std`` deviations of their nearest others."""
+    around, count = data[near], near.shape[1]
     delta = data[at] - around.mean(axis=1)
     off = around - around.mean(axis=1, keepdims=True)
     covariance = np.einsum("npi,npj->nij", off, off) / (count - 1)
@@ -356,32 +443,18 @@ def pack_vectors(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
     return vectors.groupBy(*keys).agg(packed.alias("vectors"))
 
 
-def nearest_first(squared: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the ``k`` smallest values of each row, ascending; equal values keep their order."""
-    if k >= squared.shape[1]:
-        return np.argsort(squared, axis=1, kind="stable")
-    edge = np.partition(squared, k - 1, axis=1)[:, k - 1 : k]
-    below, tied = squared < edge, squared == edge
-    room = k - below.sum(axis=1, keepdims=True)
-    chosen = below | (tied & (np.cumsum(tied, axis=1) <= room))
-    found = np.nonzero(chosen)[1].reshape(len(squared), k)
-    order = np.argsort(np.take_along_axis(squared, found, axis=1), axis=1, kind="stable")
-    return np.take_along_axis(found, order, axis=1)
-
-
 def idw_values(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, data: np.ndarray, mean_res: float, k: int = IDW_NEIGHBOURS, power: float = IDW_POWER, offset: float = IDW_OFFSET) -> np.ndarray:
-    """Inverse-distance values at (x, y) from points; equal distances keep the point order."""
+    """Inverse-distance values at (x, y) from the nearest points; equal distances keep the point order."""
     if len(px) == 1 or data.max() == data.min():
         return np.broadcast_to(data[0], (len(x), data.shape[1])).copy()
-    k = min(k, len(px))
+    near = nearest_points(px, py, x, y, k)
     out = np.empty((len(x), data.shape[1]))
     for start in range(0, len(x), 4096):
         part = slice(start, start + 4096)
-        squared = (x[part, None] - px[None, :]) ** 2 + (y[part, None] - py[None, :]) ** 2
-        near = nearest_first(squared, k)
-        distance = np.sqrt(np.take_along_axis(squared, near, axis=1))
+        own = near[part]
+        distance = np.sqrt((x[part, None] - px[own]) ** 2 + (y[part, None] - py[own]) ** 2)
         weight = (distance / mean_res + offset) ** -power
-        out[part] = (weight[:, :, None] * data[near]).sum(axis=1) / weight.sum(axis=1, keepdims=True)
+        out[part] = (weight[:, :, None] * data[own]).sum(axis=1) / weight.sum(axis=1, keepdims=True)
     return out
 
 
@@ -451,12 +524,8 @@ def zero_motion(grids: DataFrame, keys: Sequence[str]) -> DataFrame:
     return grids.select(*keys, *[F.lit(None).cast("double").alias(name) for name in ("x", "y", "u", "v")]).where(F.lit(False))
 
 
-# Motion methods a forecast may name: whether matches are refined, or no motion.
-MOTION_METHODS: dict[str, Callable[..., DataFrame] | None] = {
-    "lucas_kanade": lambda *args, **kw: track_frames(*args, refine=True, **kw),
-    "block_match": lambda *args, **kw: track_frames(*args, refine=False, **kw),
-    "zero": None,
-}
+# Motion methods a forecast may name: whether matches are refined; None is no motion.
+MOTION_METHODS: dict[str, bool | None] = {"lucas_kanade": True, "block_match": False, "zero": None}
 
 
 def extrapolate_vectors(
@@ -464,11 +533,11 @@ def extrapolate_vectors(
     vectors: DataFrame,
     frames: DataFrame,
     keys: Sequence[str],
-    leads: Sequence[float],
-    height: int,
-    width: int,
-    motion_step: int = 2,
-    grid_step: int = 2,
+    leads: Sequence[float] | Column,
+    height: int | Column,
+    width: int | Column,
+    motion_step: int | Column = 2,
+    grid_step: int | Column = 2,
     tile: int = DEFAULT_TILE,
 ) -> DataFrame:
     """Extrapolation with velocities interpolated from vectors where they are used.
@@ -477,47 +546,55 @@ def extrapolate_vectors(
     Each tile receives its frame's vectors (bounded, see :func:`pack_vectors`)
     and fills the velocities of its region itself, so no velocity is ever
     shuffled.  ``frames`` lists the frame sets; those without vectors stand still.
-    Interpolated velocities are averages of vectors, so the fastest vector
-    bounds the travel and with it the halo.  Both small sides should be written
-    or checkpointed before, as they are read more than once.
+    Leads (ascending), grid and steps may be columns of ``frames``, so frame sets
+    of many grids and lead lists share one plan.  Interpolated velocities are
+    averages of vectors, so the fastest vector bounds the travel and with it the
+    halo.  Both small sides should be written or checkpointed before, as they
+    are read more than once.
     """
     names = list(keys)
+    if not isinstance(leads, Column):
+        lead_differences(list(leads))
+        leads = F.array(*[F.lit(float(lead)) for lead in leads])
+    as_column = lambda value: value if isinstance(value, Column) else F.lit(value)
+    settings = {"_leads": leads.cast("array<double>"), "_motion": as_column(motion_step).cast("int"), "_step": as_column(grid_step).cast("int")}
     fastest = vectors.groupBy(*names).agg(F.max(F.greatest(F.abs("u"), F.abs("v"))).alias("speed"))
-    packed = frames.select(*names).join(fastest, names, "left").join(pack_vectors(vectors, names), names, "left")
-    reach = F.ceil(F.coalesce(F.col("speed"), F.lit(0.0)) * F.lit(float(leads[-1]))).cast("int") + 4 * max(grid_step, motion_step) + 2
-    known = packed.select(*names, reach.alias("reach"), "vectors")
-    reaches = known.select(*names, F.col("reach").alias("_reach"))
+    listed = frames.withColumns(settings | geometry(height, width, 0)).select(*names, *settings, "grid_h", "grid_w")
+    packed = listed.join(fastest, names, "left").join(pack_vectors(vectors, names), names, "left")
+    farthest = F.coalesce(F.col("speed"), F.lit(0.0)) * F.coalesce(F.try_element_at("_leads", F.lit(-1)), F.lit(0.0))
+    known = packed.withColumn("reach", F.ceil(farthest).cast("int") + 4 * F.greatest("_step", "_motion") + 2).drop("speed")
+    reaches = known.select(*names, F.col("reach").alias("_reach"), F.col("grid_h").alias("_h"), F.col("grid_w").alias("_w"))
     routed = attach_by_key(values.where(F.col("value").isNotNull()).select(*names, "row", "col", "value"), reaches, names, ["row", "col"])
-    tiled = with_halo(routed, tile, F.col("_reach"), height, width).select(*names, "tile_r", "tile_c", "row", "col", "value")
-    sides = frame_tiles(known, tile, height, width)
+    tiled = with_halo(routed, tile, F.col("_reach"), F.col("_h"), F.col("_w")).select(*names, "tile_r", "tile_c", "row", "col", "value")
     schema = T.StructType([*(values.schema[key] for key in names), int_field("lead"), int_field("row"), int_field("col"), double_field("value")])
     arrow = to_arrow_schema(schema)
-    steps = lead_differences(list(leads))
-    ch, cw = -(-height // motion_step), -(-width // motion_step)
 
-    def velocities(window: Window, packed_rows: list | None) -> tuple[np.ndarray, np.ndarray]:
+    def velocities(window: Window, packed_rows: list | None, step: int) -> tuple[np.ndarray, np.ndarray]:
         shape = (window.rows, window.cols)
         if not packed_rows:
             return np.zeros(shape), np.zeros(shape)
+        ch, cw = -(-window.height // step), -(-window.width // step)
         points = np.array([(p["x"], p["y"], p["u"], p["v"]) for p in packed_rows])
-        r0, r1 = coarse_nodes(window.top, window.top + window.rows - 1, height, ch)
-        c0, c1 = coarse_nodes(window.left, window.left + window.cols - 1, width, cw)
+        r0, r1 = coarse_nodes(window.top, window.top + window.rows - 1, window.height, ch)
+        c0, c1 = coarse_nodes(window.left, window.left + window.cols - 1, window.width, cw)
         r, c = np.meshgrid(np.arange(r0, r1 + 1), np.arange(c0, c1 + 1), indexing="ij")
-        uv = idw_values(c.ravel() * float(motion_step), r.ravel() * float(motion_step), points[:, 0], points[:, 1], points[:, 2:], float(motion_step))
+        uv = idw_values(c.ravel() * float(step), r.ravel() * float(step), points[:, 0], points[:, 1], points[:, 2:], float(step))
         uv = uv.reshape(*r.shape, 2)
-        y = resize_positions(np.arange(window.top, window.top + window.rows), ch, height)
-        x = resize_positions(np.arange(window.left, window.left + window.cols), cw, width)
+        y = resize_positions(np.arange(window.top, window.top + window.rows), ch, window.height)
+        x = resize_positions(np.arange(window.left, window.left + window.cols), cw, window.width)
         y, x = np.meshgrid(y, x, indexing="ij")
         return tuple(replicate_sample(uv[:, :, part], y, x, ch, cw, r0, c0) for part in (0, 1))
 
     def run(group_key: tuple[pa.Scalar, ...], cells: pa.Table, side: pa.Table) -> pa.Table:
         if cells.num_rows == 0 or side.num_rows == 0:
             return arrow.empty_table()
+        own = {name: side.column(name)[0].as_py() for name in ("reach", "grid_h", "grid_w", "vectors", "_leads", "_motion", "_step")}
+        if not own["_leads"]:
+            return arrow.empty_table()
         tile_r, tile_c = (int(part.as_py()) for part in group_key[len(names) :])
-        window = window_of(tile_r, tile_c, tile, int(side.column("reach")[0].as_py()), height, width)
+        window = window_of(tile_r, tile_c, tile, own["reach"], own["grid_h"], own["grid_w"])
         field = window.dense(column_array(cells, "row"), column_array(cells, "col"), column_array(cells, "value"))
-        u, v = velocities(window, side.column("vectors")[0].as_py())
-        return with_keys(arrow, names, group_key[: len(names)], moved_cells(window, field, u, v, steps, grid_step))
+        u, v = velocities(window, own["vectors"], own["_motion"])
+        return with_keys(arrow, names, group_key[: len(names)], moved_cells(window, field, u, v, lead_differences(own["_leads"]), own["_step"]))
 
-    grouping = [*names, "tile_r", "tile_c"]
-    return cogrouped(tiled, sides, grouping).applyInArrow(run, schema)
+    return cogrouped(tiled, frame_tiles(known, tile), [*names, "tile_r", "tile_c"]).applyInArrow(run, schema)

@@ -71,11 +71,12 @@ def morph_open(filled: DataFrame, keys: Sequence[str], height, width, tile: int
     return map_tiles(tiled, keys, tile, fn, fields)
 
 
-def open_frames(cells: DataFrame, keys: Sequence[str], height: int, width: int, tile: int = DEFAULT_TILE) -> DataFrame:
+def open_frames(cells: DataFrame, keys: Sequence[str], height, width, tile: int = DEFAULT_TILE) -> DataFrame:
     """Fill missing cells with the frame minimum and remove isolated echoes, in one shuffle.
 
     Same rows as ``morph_open(fill_missing(cells))`` without the join of the
-    minimum onto the cells: ``(keys, row, col, value, valid)``.
+    minimum onto the cells: ``(keys, row, col, value, valid)``, and the value as
+    it was in ``raw``.  Height and width may be columns among the keys.
     """
     echo = F.when(V.is_echo(F.col("value")), F.col("value"))
     floor = cells.groupBy(*keys).agg(F.min(echo).alias("low")).where(F.col("low").isNotNull())
@@ -87,10 +88,10 @@ def open_frames(cells: DataFrame, keys: Sequence[str], height: int, width: int,
         mask = window.dense(row, col, (filled > known["low"]).astype(np.float64), fill=0.0) > 0
         gone = (mask & ~_opened(mask))[row - window.top, col - window.left]
         own = window.is_core(row, col)
-        return {"row": row[own], "col": col[own], "value": np.where(gone, known["low"], filled)[own], "valid": valid[own]}
+        return {"row": row[own], "col": col[own], "value": np.where(gone, known["low"], filled)[own], "valid": valid[own], "raw": value[own]}
 
     tiled = with_halo(cells.select(*keys, "row", "col", "value"), tile, 2, height, width)
-    fields = [int_field("row"), int_field("col"), double_field("value"), bool_field("valid")]
+    fields = [int_field("row"), int_field("col"), double_field("value"), bool_field("valid"), double_field("raw")]
     return map_tiles_with(tiled, floor, keys, tile, fn, fields, height, width, 2)
 
 
@@ -107,7 +108,7 @@ def byte_levels(value: np.ndarray, low: float, high: float) -> np.ndarray:
 
 
 def frame_corners(
-    opened: DataFrame, ranges: DataFrame, keys: Sequence[str], height: int, width: int,
+    opened: DataFrame, ranges: DataFrame, keys: Sequence[str], height, width,
     block_size: int = BLOCK_SIZE, buffer: int = NODATA_BUFFER, tile: int = DEFAULT_TILE, candidates: bool = False,
 ) -> DataFrame:
     """Corner scores straight from opened frames: levels are computed inside the tile.

@@ -27,12 +27,15 @@ def _tiles_reached(index: str, halo: Column, size: Column, tile: int) -> Column:
     return F.explode(F.sequence(low, high))
 
 
+def geometry(height: int | Column, width: int | Column, halo: int | Column) -> dict[str, Column]:
+    """The columns that say how large a row's grid is and how far a tile of it reads."""
+    sized = {"grid_h": height, "grid_w": width, "reach": halo}
+    return {name: (size if isinstance(size, Column) else F.lit(size)).cast("int") for name, size in sized.items()}
+
+
 def with_halo(cells: DataFrame, tile: int, halo: int | Column, height: int | Column, width: int | Column) -> DataFrame:
     """One row per (cell, tile that reads it), with ``tile_r`` and ``tile_c``."""
-    reach = halo if isinstance(halo, Column) else F.lit(halo)
-    h = height if isinstance(height, Column) else F.lit(height)
-    w = width if isinstance(width, Column) else F.lit(width)
-    sized = cells.withColumns({"grid_h": h.cast("int"), "grid_w": w.cast("int"), "reach": reach.cast("int")})
+    sized = cells.withColumns(geometry(height, width, halo))
     by_row = sized.withColumn("tile_r", _tiles_reached("row", F.col("reach"), F.col("grid_h"), tile))
     return by_row.withColumn("tile_c", _tiles_reached("col", F.col("reach"), F.col("grid_w"), tile))
 
@@ -118,9 +121,9 @@ def map_tiles_with(
     tile: int,
     fn: Callable[[Window, pa.Table, dict], dict[str, np.ndarray]],
     fields: Sequence[T.StructField],
-    height: int,
-    width: int,
-    halo: int,
+    height: int | Column,
+    width: int | Column,
+    halo: int | Column,
     empty_tiles: bool = False,
 ) -> DataFrame:
     """Like :func:`map_tiles`, with the frame's row of ``per_frame`` as a dict.
@@ -128,7 +131,9 @@ def map_tiles_with(
     Per-frame values meet the tiles by cogrouping one small row per tile, so the
     cells need no join, and no shuffle, beyond the one that builds the tiles.
     Frames without a row are left out.  Tiles without a cell are too, unless
-    ``empty_tiles`` asks for them.
+    ``empty_tiles`` asks for them.  Height, width and halo may be columns of
+    ``per_frame``, so that frames of many grids share one plan; the tiles must
+    have been made with the same.
     """
     schema = T.StructType([*(tiled.schema[key] for key in keys), *fields])
     arrow = to_arrow_schema(schema)
@@ -139,12 +144,13 @@ def map_tiles_with(
         if side.num_rows == 0 or (table.num_rows == 0 and not empty_tiles):
             return arrow.empty_table()
         tile_r, tile_c = (int(part.as_py()) for part in group_key[len(names) :])
-        window = window_of(tile_r, tile_c, tile, halo, height, width)
+        sized = [int(side.column(name)[0].as_py()) for name in ("reach", "grid_h", "grid_w")]
+        window = window_of(tile_r, tile_c, tile, *sized)
         known = {name: side.column(name)[0].as_py() for name in extra}
         return with_keys(arrow, names, group_key[: len(names)], fn(window, table, known))
 
     grouping = [*names, "tile_r", "tile_c"]
-    sides = frame_tiles(per_frame, tile, height, width)
+    sides = frame_tiles(per_frame.withColumns(geometry(height, width, halo)), tile)
     slim = tiled.drop("reach", "grid_h", "grid_w")
     return cogrouped(slim, sides, grouping).applyInArrow(run, schema)
 
@@ -155,10 +161,10 @@ def cogrouped(left: DataFrame, right: DataFrame, grouping: Sequence[str]):
     return left.groupBy(*grouping).cogroup(renamed.groupBy(*[f"_side_{name}" for name in grouping]))
 
 
-def frame_tiles(per_frame: DataFrame, tile: int, height: int, width: int) -> DataFrame:
-    """One row per tile of each frame row."""
-    rows = F.explode(F.sequence(F.lit(0), F.lit((height - 1) // tile)))
-    cols = F.explode(F.sequence(F.lit(0), F.lit((width - 1) // tile)))
+def frame_tiles(per_frame: DataFrame, tile: int) -> DataFrame:
+    """One row per tile of each frame row, whose grid is ``grid_h`` by ``grid_w``."""
+    last = lambda name: F.floor((F.col(name) - 1) / F.lit(tile)).cast("int")
+    rows, cols = F.explode(F.sequence(F.lit(0), last("grid_h"))), F.explode(F.sequence(F.lit(0), last("grid_w")))
     return per_frame.withColumn("tile_r", rows).withColumn("tile_c", cols)
 
 

@@ -109,8 +109,12 @@ def replicate_sample(array: np.ndarray, y: np.ndarray, x: np.ndarray, height: in
     return (array[a, c] * (1 - fx) + array[a, d] * fx) * (1 - fy) + (array[b, c] * (1 - fx) + array[b, d] * fx) * fy
 
 
+WHOLE = 1e-9  # of a cell; a position that close to a cell's centre is that cell, so rounding loses none at the edge of data
+
+
 def _sample_values(array: np.ndarray, y: np.ndarray, x: np.ndarray, top: int, left: int) -> np.ndarray:
     """Sample values at whole-grid positions; any missing tap with weight makes NaN."""
+    y, x = (np.where(np.abs(at - np.rint(at)) < WHOLE, np.rint(at), at) for at in (y, x))
     y0, x0 = np.floor(y).astype(np.int64), np.floor(x).astype(np.int64)
     fy, fx = y - y0, x - x0
     total = np.zeros(y.shape)

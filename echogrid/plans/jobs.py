@@ -110,7 +110,7 @@ def publish_latency(files: DataFrame, declared: DataFrame, keys: list[str]) -> D
     """
     seconds = F.timestamp_diff("SECOND", F.col("frame_ts"), F.col("modified"))
     counted = files.groupBy(*keys, seconds.alias("latency_s")).agg(F.count(F.lit(1)).alias("n"))
-    joined = counted.join(F.broadcast(declared), keys)
+    joined = counted.join(declared, keys)
     late = F.sum(F.when(F.col("latency_s") > F.col("publish_delay_s"), F.col("n")).otherwise(0))
     return joined.groupBy(*keys, "publish_delay_s").agg(
         F.sum("n").alias("files"), late.alias("late"), F.percentile("latency_s", F.lit(0.5), F.col("n")).alias("median_s"), F.max("latency_s").alias("max_s")

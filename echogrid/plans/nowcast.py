@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -69,8 +69,8 @@ def motion_vectors(
 ) -> DataFrame:
     """Cleaned, declustered vectors per issue, from all neighbouring history pairs."""
     check_method(method)
-    placed = attach_by_key(cells, numbered_history(history, keys), [*keys, "frame_ts"], ["row", "col"])
-    return _vectors(placed, keys, height, width, method, tile)
+    settings = issue_settings(history, keys, height, width, (), None, method, 1, 1)
+    return _vectors(_opened(cells, history, settings, keys, tile), settings, keys, tile)
 
 
 def check_method(method: str) -> None:
@@ -78,18 +78,48 @@ def check_method(method: str) -> None:
         raise ValueError(f"unknown motion method {method!r}; known: {sorted(M.MOTION_METHODS)}")
 
 
-def _vectors(placed: DataFrame, keys: Sequence[str], height: int, width: int, method: str, tile: int) -> DataFrame:
-    track = M.MOTION_METHODS[method]
-    if track is None:
-        return M.zero_motion(placed.select(*keys), keys)
-    frame = [*keys, "pos", "last"]
-    # Read by the ranges, the scores and the tracking: written once to the
-    # shared folder instead of being computed three times.
-    opened = cut_lineage(N.open_frames(placed, frame, height, width, tile))
-    ranges = N.level_range(opened, frame)
-    scores = N.frame_corners(opened.where(F.col("pos") < F.col("last")), ranges, frame, height, width, tile=tile, candidates=True)
-    features = N.select_features(scores, frame, height, width)
-    vectors = track(opened, ranges, features, keys, height, width, tile=tile)
+def issue_settings(history: DataFrame, keys: Sequence[str], height: int, width: int, minutes: Sequence[int], floor: float | None, method: str, motion_grid_step: int, warp_grid_step: int) -> DataFrame:
+    """The same settings for every issue of a history."""
+    leads = F.array(*map(F.lit, lead_minutes(minutes))).cast("array<int>")
+    return history.select(*keys).distinct().withColumns(
+        {
+            "height": F.lit(height), "width": F.lit(width), "floor": F.lit(floor).cast("double"), "method": F.lit(method), "leads": leads,
+            "motion_grid_step": F.lit(motion_grid_step), "warp_grid_step": F.lit(warp_grid_step),
+        }
+    )
+
+
+def checked_settings(settings: DataFrame) -> DataFrame:
+    """Settings with ascending leads; an unknown method or a lead that is not positive is an error."""
+    leads = F.array_sort(F.array_distinct("leads"))
+    known = F.col("method").isin(*M.MOTION_METHODS)
+    good = F.assert_true(F.coalesce(known, F.lit(False)), F.concat(F.lit("unknown motion method "), F.coalesce("method", F.lit("NULL"))))
+    positive = F.assert_true(F.coalesce(F.array_min("leads") > 0, F.lit(True)), F.lit("forecast minutes must be positive"))
+    return settings.where(good.isNull() & positive.isNull()).withColumn("leads", leads)
+
+
+def _opened(cells: DataFrame, history: DataFrame, settings: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    """Opened history frames, keyed by issue, grid and place in the history.
+
+    The grid's size is part of the key, so every tile operator finds it there.
+    Read by the ranges, the scores, the tracking and as the newest frame: written
+    once to the shared folder.  Issues without motion need their newest frame only.
+    """
+    placed = numbered_history(history, keys).join(settings.select(*keys, "height", "width", (F.col("method") == "zero").alias("_still")), list(keys))
+    wanted = placed.where(~F.col("_still") | (F.col("pos") == F.col("last")))
+    rows = attach_by_key(cells, cut_lineage(wanted), [*keys, "frame_ts"], ["row", "col"])
+    return cut_lineage(N.open_frames(rows, [*keys, "height", "width", "pos", "last"], F.col("height"), F.col("width"), tile))
+
+
+def _vectors(opened: DataFrame, settings: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    grid = [*keys, "height", "width"]
+    frame, size = [*grid, "pos", "last"], (F.col("height"), F.col("width"))
+    refined = [name for name, refine in M.MOTION_METHODS.items() if refine]
+    tracked = settings.where(F.col("method") != "zero").select(*grid, F.col("method").isin(*refined).alias("_refine"))
+    ranges = N.level_range(opened, frame).join(tracked, grid)
+    scores = N.frame_corners(opened.where(F.col("pos") < F.col("last")), ranges, frame, *size, tile=tile, candidates=True)
+    features = N.select_features(scores, frame, *size)
+    vectors = M.track_frames(opened, ranges, features, grid, *size, F.col("_refine"), tile=tile).select(*keys, "x", "y", "u", "v")
     return M.decluster(M.drop_outliers(vectors, keys), keys)
 
 
@@ -106,36 +136,48 @@ def nowcast(
     warp_grid_step: int = 2,
     tile: int = DEFAULT_TILE,
 ) -> DataFrame:
-    """Forecast cells ``(keys, issue_ts, lead_min, valid_ts, row, col, value)``.
+    """:func:`nowcast_all` with the same grid, leads, floor, method and steps for every issue."""
+    check_method(method)
+    return nowcast_all(cells, history, issue_settings(history, keys, height, width, minutes, floor, method, motion_grid_step, warp_grid_step), keys, tile)
+
+
+def nowcast_all(cells: DataFrame, history: DataFrame, settings: DataFrame, keys: Sequence[str], tile: int = DEFAULT_TILE) -> DataFrame:
+    """Forecast cells ``(keys, issue_ts, lead_min, valid_ts, row, col, value)`` of all issues, each by its own settings.
 
     ``cells`` holds one row per (keys, frame_ts, row, col); frames outside
-    ``history`` are ignored.  Only finite cells above the floor are returned;
-    everything else, such as an issue whose newest frame has no echo, is missing.
-    Velocities are per minute, so issues with different frame spacings share one
-    plan with leads in minutes.
+    ``history`` are ignored.  ``settings`` has one row per issue: ``height,
+    width, floor`` (or NULL), ``method, leads`` (minutes), ``motion_grid_step,
+    warp_grid_step``; issues without a row are left out.  Only finite cells above
+    the floor are returned; everything else, such as an issue whose newest frame
+    has no echo, is missing.  Velocities are per minute, so issues with different
+    grids, frame spacings and lead lists share one plan.
     """
-    check_method(method)
-    leads = lead_minutes(minutes)
     # A few rows per issue, used throughout: written once.
-    numbered = cut_lineage(numbered_history(history, keys))
-    steps = history_steps(numbered, keys)
-    placed = attach_by_key(cells, numbered, [*keys, "frame_ts"], ["row", "col"])
-    vectors = _vectors(placed, keys, height, width, method, tile)
+    own = cut_lineage(checked_settings(settings))
+    steps = cut_lineage(history_steps(history.join(own.select(*keys), list(keys), "left_semi"), keys))
+    opened = _opened(cells, history, own, keys, tile)
+    vectors = _vectors(opened, own, keys, tile)
     # A few hundred rows per issue, read by the halo and by the velocities.
     per_minute = cut_lineage(
         vectors.join(steps.select(*keys, "dt_min"), list(keys)).select(
             *keys, "x", "y", (F.col("u") / F.col("dt_min")).alias("u"), (F.col("v") / F.col("dt_min")).alias("v")
         )
     )
-    source = placed.where((F.col("pos") == F.col("last")) & V.is_echo(F.col("value"))).select(*keys, "row", "col", "value")
-    issues = steps.select(*keys, F.col("issue_frame").alias("issue_ts"))
-    step = motion_step(height, width, motion_grid_step)
-    moved = M.extrapolate_vectors(source, per_minute, issues, keys, [float(m) for m in leads], height, width, step, warp_grid_step, tile)
-    lead = F.get(F.array(*map(F.lit, leads)), F.col("lead"))
-    value = V.mask_at_or_below(F.col("value"), floor) if floor is not None else F.col("value")
-    stamped = moved.select(*keys, lead.alias("lead_min"), "row", "col", value.alias("value")).where(F.col("value").isNotNull())
-    timed = stamped.join(issues, list(keys))
-    return timed.withColumn("valid_ts", names.valid_time(F.col("issue_ts"), F.col("lead_min")))
+    source = opened.where((F.col("pos") == F.col("last")) & V.is_echo(F.col("raw"))).select(*keys, "row", "col", F.col("raw").alias("value"))
+    issues = steps.select(*keys, F.col("issue_frame").alias("issue_ts")).join(own, list(keys))
+    step = usable_step(F.col("height"), F.col("width"), F.col("motion_grid_step"))
+    moved = M.extrapolate_vectors(source, per_minute, own, keys, F.col("leads"), F.col("height"), F.col("width"), step, F.col("warp_grid_step"), tile)
+    timed = moved.join(issues.select(*keys, "issue_ts", "leads", "floor"), list(keys))
+    value = F.when(F.col("floor").isNull() | (F.col("value") > F.col("floor")), F.col("value"))
+    stamped = timed.select(*keys, F.get("leads", F.col("lead")).alias("lead_min"), "row", "col", value.alias("value"), "issue_ts").where(F.col("value").isNotNull())
+    return stamped.withColumn("valid_ts", names.valid_time(F.col("issue_ts"), F.col("lead_min")))
+
+
+def usable_step(height: Column, width: Column, step: Column) -> Column:
+    """:func:`motion_step` over columns."""
+    wanted = F.greatest(F.lit(1), step)
+    coarse = F.least(F.ceil(height / wanted), F.ceil(width / wanted))
+    return F.when(coarse >= 2, wanted).otherwise(1)
 
 
 def motion_step(height: int, width: int, step: int, grid_max: int | None = None) -> int:

@@ -1,10 +1,11 @@
-"""Classified cells as paletted PNG tiles."""
+"""Classified cells as paletted PNG tiles, and such tiles read back."""
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,107 @@ def paletted_png(
     return b"".join(parts)
 
 
+class Image(NamedTuple):
+    """What a paletted PNG holds."""
+
+    indices: np.ndarray
+    palette: list[tuple[int, int, int]]
+    alphas: list[int]
+    comments: dict[str, str]
+
+
+def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(kind, body) of each chunk; a wrong signature, checksum or end is an error."""
+    if not data.startswith(PNG_MAGIC):
+        raise ValueError("not a PNG")
+    at, kind = len(PNG_MAGIC), b""
+    while kind != b"IEND":
+        size = int.from_bytes(data[at : at + 4], "big")
+        tagged, check = data[at + 4 : at + 8 + size], data[at + 8 + size : at + 12 + size]
+        if len(check) < 4:
+            raise ValueError("the PNG ends within a chunk")
+        if zlib.crc32(tagged).to_bytes(4, "big") != check:
+            raise ValueError(f"checksum of chunk {tagged[:4]!r}")
+        kind, at = tagged[:4], at + 12 + size
+        yield kind, tagged[4:]
+
+
+def unfiltered(lines: np.ndarray) -> np.ndarray:
+    """Scanlines of one byte a pixel, each behind its filter type, as the bytes before filtering."""
+    height, width = lines.shape[0], lines.shape[1] - 1
+    out = np.zeros((height + 1, width + 1), np.int64)  # a row above and a column before, all zero
+    for y in range(1, height + 1):
+        kind, line = int(lines[y - 1, 0]), lines[y - 1, 1:].astype(np.int64)
+        if kind == 0:
+            out[y, 1:] = line
+        elif kind == 1:
+            out[y, 1:] = np.cumsum(line) & 255
+        elif kind == 2:
+            out[y, 1:] = (line + out[y - 1, 1:]) & 255
+        elif kind in (3, 4):
+            for x in range(1, width + 1):
+                left, above, corner = int(out[y, x - 1]), int(out[y - 1, x]), int(out[y - 1, x - 1])
+                if kind == 3:
+                    guess = (left + above) // 2
+                else:
+                    near = left + above - corner
+                    guess = min((left, above, corner), key=lambda value: abs(near - value))
+                out[y, x] = (line[x - 1] + guess) & 255
+        else:
+            raise ValueError(f"filter type {kind}")
+    return out[1:, 1:].astype(np.uint8)
+
+
+def read_png(data: bytes) -> Image:
+    """An 8-bit paletted PNG without interlacing; text chunks by keyword."""
+    parts: dict[bytes, list[bytes]] = {}
+    for kind, body in png_chunks(data):
+        parts.setdefault(kind, []).append(body)
+    width, height, depth, color, _, _, interlaced = struct.unpack(">IIBBBBB", parts[b"IHDR"][0])
+    if (depth, color, interlaced) != (8, 3, 0):
+        raise ValueError(f"bit depth {depth}, color type {color}, interlacing {interlaced}")
+    lines = np.frombuffer(zlib.decompress(b"".join(parts[b"IDAT"])), np.uint8).reshape(height, width + 1)
+    palette = np.frombuffer(parts[b"PLTE"][0], np.uint8).reshape(-1, 3)
+    comments = dict(body.decode("latin-1").split("\0", 1) for body in parts.get(b"tEXt", ()))
+    return Image(unfiltered(lines), [tuple(rgb) for rgb in palette.tolist()], list(b"".join(parts.get(b"tRNS", ()))), comments)
+
+
+def read_tiles(tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What each tile shows: keys, ``idx, rgba, n`` for every index that it uses, ``height, width``, ``comment`` and ``error``.
+
+    A tile that cannot be read is one row with its error.
+    """
+    names = list(keys)
+    fields = "height INT, width INT, comment STRING, idx INT, rgba STRING, n BIGINT, error STRING"
+    schema = T.StructType([*(tiles.schema[key] for key in names), *T.StructType.fromDDL(fields)])
+    arrow = to_arrow_schema(schema)
+
+    def shown(data: bytes) -> dict[str, list]:
+        image = read_png(data)
+        idx, n = np.unique(image.indices, return_counts=True)
+        color = lambda i: "#" + bytes([*image.palette[i], image.alphas[i] if i < len(image.alphas) else 255]).hex()
+        height, width = image.indices.shape
+        same = {"height": height, "width": width, "comment": image.comments.get("Comment"), "error": None}
+        return {name: [value] * len(idx) for name, value in same.items()} | {"idx": idx.tolist(), "rgba": [color(i) for i in idx.tolist()], "n": n.tolist()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                try:
+                    columns = shown(batch.column("png")[i].as_py())
+                except Exception as problem:  # a bad tile must not stop the others
+                    columns = {name: [None] for name in ("height", "width", "comment", "idx", "rgba", "n")} | {"error": [f"{type(problem).__name__}: {problem}"]}
+                yield from with_keys(arrow, names, [batch.column(name)[i] for name in names], columns).to_batches()
+
+    return tiles.select(*names, "png").mapInArrow(run, schema)
+
+
+def geobox_numbers(comment: Column) -> dict[str, Column]:
+    """West, south, east and north out of a bounds comment; NULL where it is none."""
+    parts = F.split(F.regexp_extract(comment, "^GeoBox=([^,]+,[^,]+,[^,]+,[^,]+)$", 1), ",")
+    return {name: F.try_element_at(parts, F.lit(k + 1)).try_cast("double") for k, name in enumerate(("west", "south", "east", "north"))}
+
+
 def hex_rgb(color: str) -> tuple[int, int, int]:
     bare = color.lstrip("#")
     if len(bare) != 6:

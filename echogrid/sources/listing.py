@@ -87,9 +87,13 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def listed_files(pages: DataFrame, inputs: DataFrame) -> DataFrame:
-    """Remote files of HTML listing inputs; ``pages`` has (input_id, url, html)."""
+    """Remote files of HTML listing inputs; ``pages`` has (input_id, url, html).
+
+    A page that was fetched again unchanged is parsed once; dealing pages out by
+    what they hold also spreads a scan of few splits over all tasks.
+    """
     config = inputs.select("input_id", "suffixes", "ts_pattern", "source_id")
-    links = page_links(pages.join(F.broadcast(config), "input_id"))
+    links = page_links(pages.select("input_id", "url", "html").distinct().join(F.broadcast(config), "input_id"))
     matching = F.exists("suffixes", lambda suffix: F.endswith(F.lower(F.col("filename")), suffix))
     stamped = links.where(matching).withColumn("frame_ts", names.parsed_timestamp(F.col("filename"), F.col("ts_pattern")))
     rows = stamped.where(F.col("frame_ts").isNotNull()).select(

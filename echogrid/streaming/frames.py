@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import logging
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import readiness
 from ..sources.catalog import as_time, usable_files
+from .batch_log import MERGE_AFTER, BatchLog
 
+LOG = logging.getLogger(__name__)
 RETENTION = "2 hours"
 CATALOG = "input_id STRING, frame_ts TIMESTAMP_NTZ, path STRING, filename STRING, batch_id BIGINT, frame_date DATE"
 
@@ -49,6 +54,24 @@ def paired_stream(left: DataFrame, right: DataFrame, horizon: str = RETENTION) -
     return a.join(b, F.expr("a.frame_ts = b.frame_ts")).select(F.col("a.frame_ts").alias("frame_ts"))
 
 
+def notified(outputs: DataFrame, listener: Callable[[dict], None]) -> DataFrame:
+    """``outputs`` with ``error``: each row is handed to the listener, in the task that holds it, and what it raises is kept."""
+    schema = T.StructType([*outputs.schema.fields, T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors = []
+            for row in batch.to_pylist():
+                try:
+                    listener(row)
+                    errors.append(None)
+                except Exception as problem:  # a listener must not stop the others
+                    errors.append(f"{type(problem).__name__}: {problem}")
+            yield batch.append_column("error", pa.array(errors, pa.string()))
+
+    return outputs.mapInArrow(run, schema)
+
+
 def refresh_on_arrival(
     arrivals: DataFrame,
     inputs: DataFrame,
@@ -59,32 +82,45 @@ def refresh_on_arrival(
     checkpoint: str,
     on_ready: Callable[[DataFrame, int], None] | None = None,
     available_now: bool = True,
+    on_output: Callable[[dict], None] | None = None,
+    merge_after: int = MERGE_AFTER,
 ) -> StreamingQuery:
     """Grow the catalog with each batch of files and write the jobs it makes pending.
 
-    Every batch overwrites its own ``batch_id`` folder, so a batch that runs
-    again after a restart gives the same result.  Only timestamps touched by the
-    batch are looked at.  ``on_ready`` is called with the pending jobs; what it
-    raises is reported and does not stop the stream.
+    The catalog is a batch log: a batch that runs again after a restart is not
+    added twice, and its jobs overwrite their own folder.  Only timestamps
+    touched by the batch are looked at.  ``on_ready`` is called with the pending
+    jobs, ``on_output`` with each of them as a row.  What listeners raise is kept
+    under ``reports`` beside the jobs that they heard of, and does not stop the
+    stream; how many were heard and failed is observed while that is written.
     """
-    catalog_path, jobs_path = f"{folder}/catalog", f"{folder}/jobs"
+    jobs_path, reports_path = f"{folder}/jobs", f"{folder}/reports"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        log = BatchLog(spark, f"{folder}/catalog", CATALOG, "frame_date", merge_after)
         fresh = usable_files(batch, inputs).select("input_id", "frame_ts", "path", "filename", F.to_date("frame_ts").alias("frame_date"))
-        fresh.write.mode("overwrite").partitionBy("frame_date").parquet(f"{catalog_path}/batch_id={batch_id}")
-        catalog = spark.read.schema(CATALOG).option("basePath", catalog_path).parquet(catalog_path)
+        log.append(fresh, batch_id)
+        days = [str(r[0]) for r in fresh.select("frame_date").distinct().collect()]  # a batch's days are few
+        catalog = log.read(days)
         added = catalog.where(F.col("batch_id") == batch_id).select("frame_date", "frame_ts").distinct()
-        # The join on the date prunes the catalog to the days of this batch.
         touched = catalog.join(added, ["frame_date", "frame_ts"], "left_semi")
         ready = readiness.ready_timestamps(touched, products, product_inputs)
         pending = readiness.pending_jobs(ready, products, outputs())
         pending.write.mode("overwrite").parquet(f"{jobs_path}/batch_id={batch_id}")
+        jobs = spark.read.schema(pending.schema).parquet(f"{jobs_path}/batch_id={batch_id}")
+        if on_output is not None:
+            heard = Observation()
+            told = notified(jobs, on_output).observe(heard, F.count(F.lit(1)).alias("outputs"), F.count("error").alias("failed"))
+            told.write.mode("overwrite").parquet(f"{reports_path}/batch_id={batch_id}")
+            LOG.info("batch %d: %s", batch_id, heard.get)
         if on_ready is not None:
             try:
-                on_ready(spark.read.parquet(f"{jobs_path}/batch_id={batch_id}"), batch_id)
+                on_ready(jobs, batch_id)
             except Exception as problem:  # a listener must not stop the stream
-                print(f"output listener failed on batch {batch_id}: {problem}")
+                LOG.warning("output listener failed on batch %d: %s", batch_id, problem)
+                error = F.lit(f"{type(problem).__name__}: {problem}")
+                jobs.withColumn("error", error).write.mode("overwrite").parquet(f"{reports_path}/listener/batch_id={batch_id}")
 
     writer = arrivals.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -11,7 +11,7 @@ from ..sources import bundles, chunks, discovery, links, listing, rasters
 from ..operators import cells as C
 from . import query
 from .raster import FRAME
-from .views import CELLS, FILES, GRID, NOTES, OBS, SCAN, files, notifications, obs, scan, table
+from .views import CELLS, FILES, GRID, NOTES, OBS, SCAN, SETTLED, files, notifications, obs, scan, settled, table
 
 _STRIPPED = r"""regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g')"""
 _HREFS = rf"""hrefs AS (SELECT page_id, url, unnest(range(len(h))) AS pos, unnest(h) AS raw FROM (SELECT page_id, url,
@@ -237,33 +237,84 @@ def chunk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_cells(source, ["vec_id"])
 
 
+MERCATOR = "+proj=merc +lat_ts=0 +lon_0=0 +x_0=-1254222.15 +y_0=-6702777.85 +a=6378137 +b=6378137"
+_FILES_OF = f"""WITH {SCAN}, f AS (SELECT k, CASE WHEN k % 7 = 3 THEN 'no dataset with quantity DBZH; available: TH' WHEN k % 5 = 4 THEN 'ValueError: expected 8x32 values, found 248' END AS error FROM (SELECT DISTINCT k FROM scan))"""
+
+
+def raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each scan as a file of counts in blocks of eight rows.
+
+    Two datasets carry reflectivity, of which the composite is the one to read,
+    though its name comes later; every seventh file has another quantity only,
+    and every fifth has a block that is cut short.
+    """
+    count = (
+        F.when(F.col("value").isNull(), F.lit(255)).when(F.col("value") == float("-inf"), F.lit(0)).otherwise(((F.col("value") + 32) / 0.5).cast("int"))
+    )
+    cells = scan(spark, sf_dir).select("k", "row", "col", count.alias("raw"), F.explode(F.array(F.lit("dataset1"), F.lit("dataset2"))).alias("dataset"))
+    shifted = cells.withColumn("raw", F.when(F.col("dataset") == "dataset2", F.col("raw")).otherwise(F.lit(7)))
+    frames = scan(spark, sf_dir).select("k").distinct()
+    quantity = F.when(F.col("k") % 7 == 3, "TH").otherwise("DBZH")
+    dataset = lambda name, product: F.struct(
+        F.lit(name).alias("name"), F.lit(product).alias("product"), quantity.alias("quantity"), F.lit(0.5).alias("gain"), F.lit(-32.0).alias("offset"),
+        F.lit(255.0).alias("nodata"), F.lit(0.0).alias("undetect"), F.lit("|u1").alias("dtype"),
+    )
+    header = F.struct(
+        F.date_format(F.timestamp_add("MINUTE", F.col("k") * 5, F.lit("2026-06-05 00:00:00").cast("timestamp_ntz")), "yyyyMMdd").alias("date"),
+        F.date_format(F.timestamp_add("MINUTE", F.col("k") * 5, F.lit("2026-06-05 00:00:00").cast("timestamp_ntz")), "HHmmss").alias("time"),
+        F.lit(MERCATOR).alias("projdef"), F.lit(GRID).alias("xsize"), F.lit(GRID).alias("ysize"), F.lit(1555.7).alias("xscale"), F.lit(1555.7).alias("yscale"),
+        F.lit(11.2669).alias("UL_lon"), F.lit(51.4584).alias("UL_lat"), F.lit("deflate").alias("packing"), F.array(dataset("dataset1", "PPI"), dataset("dataset2", "MAX")).alias("datasets"),
+    )
+    described = frames.withColumn("_h", header).select("k", F.to_json("_h").alias("header"), "_h.xsize", "_h.ysize", "_h.datasets")
+    parts = rasters.pack_rasters(shifted, described, ["k"], 8)
+    broken = (F.col("k") % 5 == 4) & (F.col("dataset") == "dataset2") & (F.col("first_row") == 16)
+    cut = parts.where(broken).withColumn("content", short_block(F.col("content")))
+    return parts.where(~F.coalesce(broken, F.lit(False))).unionByName(cut)
+
+
+@F.udf("binary")
+def short_block(content: bytes) -> bytes:
+    """A deflated block without its last eight counts."""
+    import zlib
+
+    return zlib.compress(zlib.decompress(content)[:-8])
+
+
 @query(
     "raster_decode",
-    f"""WITH {SCAN}, ok AS (SELECT * FROM scan WHERE k % 5 <> 4), ax AS (SELECT CAST(i AS INTEGER) AS i FROM range({GRID}) t(i))
-    SELECT f.k, CAST(a.i AS INTEGER) AS "row", CAST(b.i AS INTEGER) AS "col", CASE WHEN s.value IS NULL THEN -9999::DOUBLE WHEN s.value = CAST('-Infinity' AS DOUBLE) THEN -8888 ELSE s.value END AS raw, NULL::VARCHAR AS error
-    FROM (SELECT DISTINCT k FROM ok) f CROSS JOIN ax a CROSS JOIN ax b LEFT JOIN ok s ON s.k = f.k AND s."row" = a.i AND s."col" = b.i
-    UNION ALL SELECT DISTINCT k, NULL::INTEGER, NULL::INTEGER, NULL::DOUBLE, 'ValueError: expected 32x32 values, found 1022' FROM scan WHERE k % 5 = 4""",
+    f"""{_FILES_OF} SELECT s.k, "row", "col", CASE WHEN s.value IS NULL THEN 255::DOUBLE WHEN s.value = CAST('-Infinity' AS DOUBLE) THEN 0 ELSE (s.value + 32) * 2 END AS raw, {SETTLED}
+    FROM (SELECT f.k, a.i AS "row", b.i AS "col", scan.value FROM f CROSS JOIN (SELECT CAST(i AS INTEGER) AS i FROM range({GRID}) t(i)) a CROSS JOIN (SELECT CAST(i AS INTEGER) AS i FROM range({GRID}) t(i)) b
+      LEFT JOIN scan ON scan.k = f.k AND scan."row" = a.i AND scan."col" = b.i WHERE f.error IS NULL) s""",
 )
 def raster_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames packed to raw chunks and decoded again; every fifth chunk is cut short and reports an error."""
-    from ..functions.values import store_encode
+    """Counts and decoded values of every cell of the files that decode."""
+    return settled(rasters.decode_rasters(raster_files(spark, sf_dir), ["k"], "DBZH", [MERCATOR]).cells)
+
 
-    cells = scan(spark, sf_dir).select("k", "row", "col", store_encode(F.col("value")).alias("raw"))
-    packed = rasters.encode_chunks(cells, ["k"], GRID, GRID, nodata=-9999.0)
-    cut = F.expr("substring(content, 1, length(content) - 8)")
-    broken = packed.withColumn("content", F.when(F.col("k") % 5 == 4, cut).otherwise(F.col("content")))
-    return rasters.decode_rasters(broken, ["k"])
+@query(
+    "raster_frames",
+    f"""{_FILES_OF} SELECT k, TIMESTAMP '2026-06-05' + INTERVAL 5 MINUTE * k AS frame_ts, CAST({GRID} AS INTEGER) AS xsize, CAST({GRID} AS INTEGER) AS ysize, 1555.7::DOUBLE AS xscale, 1555.7::DOUBLE AS yscale,
+      round(6378137 * radians(11.2669::DOUBLE) - 1254222.15, 3) AS x_min, round(6378137 * ln(tan(pi() / 4 + radians(51.4584::DOUBLE) / 2)) - 6702777.85, 3) AS y_max,
+      CASE WHEN k % 7 <> 3 THEN 'dataset2' END AS dataset, CASE WHEN k % 7 <> 3 THEN 'DBZH' END AS quantity, CASE WHEN k % 7 <> 3 THEN 0.5::DOUBLE END AS gain, CASE WHEN k % 7 <> 3 THEN -32.0::DOUBLE END AS "offset",
+      CASE WHEN k % 7 <> 3 THEN 255.0::DOUBLE END AS nodata, CASE WHEN k % 7 <> 3 THEN 0.0::DOUBLE END AS undetect, error FROM f""",
+)
+def raster_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time, grid, anchor, chosen dataset and factors of every file, with what is wrong with it."""
+    frames = rasters.decode_rasters(raster_files(spark, sf_dir), ["k"], "DBZH", [MERCATOR]).frames
+    return frames.select(
+        "k", "frame_ts", "xsize", "ysize", "xscale", "yscale", F.round("x_min", 3).alias("x_min"), F.round("y_max", 3).alias("y_max"), "dataset", "quantity", "gain", "offset", "nodata", "undetect", "error"
+    )
 
 
 @query(
     "batch_isolation",
-    f"""WITH {OBS}, f AS (SELECT DISTINCT k // 6 AS k FROM obs) SELECT count(*) AS frames, count(CASE WHEN k % 5 <> 4 THEN 1 END) AS rendered, count(CASE WHEN k % 5 = 4 THEN 1 END) AS failed FROM f""",
+    f"""{_FILES_OF} SELECT count(*) AS frames, count(CASE WHEN error IS NULL THEN 1 END) AS rendered, count(error) AS failed FROM f""",
 )
 def batch_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of the batch above that decoded and that failed."""
+    """Files of the batch above that decoded and that failed."""
     from ..plans.jobs import batch_result
 
-    return batch_result(raster_decode(spark, sf_dir), ["k"])
+    return batch_result(rasters.decode_rasters(raster_files(spark, sf_dir), ["k"], "DBZH", [MERCATOR]).frames, ["k"])
 
 
 @query(

@@ -6,24 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grid
+from ..functions import values as V
 from ..operators import cells as C
 from ..operators import motion as M
 from ..operators import neighbourhood as N
 from ..operators import warp as Wp
 from ..plans import nowcast as Now
+from ..session import cut_lineage
 from . import query
 from .raster import _LEVELS, TILE, prepared
 from .views import AXIS, GRID, OBS, SCAN, scan, table
 
 
+def pair_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans with an echo whose successor has one too."""
+    frames = scan(spark, sf_dir).where(V.is_echo(F.col("value"))).select(F.lit(1).alias("all"), "k").distinct()
+    return frames.join(frames.select("all", (F.col("k") - 1).alias("k")), ["all", "k"]).select(
+        "all", F.col("k").alias("pair"), F.col("k").alias("first_seq"), (F.col("k") + 1).alias("second_seq")
+    )
+
+
 def level_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each scan beside the next one, as byte levels."""
     levels = C.rescale_to_byte(prepared(spark, sf_dir), ["k"]).withColumn("all", F.lit(1))
-    frames = levels.select("all", "k").distinct()
-    order = frames.join(frames.select("all", (F.col("k") - 1).alias("k")), ["all", "k"]).select(
-        "all", F.col("k").alias("pair"), F.col("k").alias("first_seq"), (F.col("k") + 1).alias("second_seq")
-    )
-    return M.frame_pairs(levels, order, ["all"], "k").drop("all")
+    return M.frame_pairs(levels, pair_order(spark, sf_dir), ["all"], "k").drop("all")
 
 
 _PAIRS = _LEVELS + """, img AS (SELECT low.k, a.i AS r, b.i AS c, coalesce(l.level, 0) AS level
@@ -39,7 +45,7 @@ _PAIRS = _LEVELS + """, img AS (SELECT low.k, a.i AS r, b.i AS c, coalesce(l.lev
     QUALIFY row_number() OVER (PARTITION BY pair, br, bc ORDER BY cost, dr * dr + dc * dc, dr, dc) = 1""",
 )
 def block_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = M.block_match(level_pairs(spark, sf_dir), ["pair"], GRID, GRID, block=8, radius=2, tile=TILE)
+    best = M.block_match(level_pairs(spark, sf_dir), ["pair"], GRID, GRID, block=8, radius=2, tile=TILE, frames=pair_order(spark, sf_dir))
     return best.withColumn("cost", F.round("cost", 6))
 
 
@@ -52,7 +58,7 @@ def features_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("track_features")
 def track_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse vectors of the selected features of every scan pair."""
-    vectors = M.track_features(level_pairs(spark, sf_dir), features_of_pairs(spark, sf_dir), ["pair"], GRID, GRID, radius=4, half=3, tile=TILE)
+    vectors = M.track_features(level_pairs(spark, sf_dir), features_of_pairs(spark, sf_dir), ["pair"], GRID, GRID, radius=4, half=3, tile=TILE, frames=pair_order(spark, sf_dir))
     return vectors.select("pair", *[F.round(name, 6).alias(name) for name in ("x", "y", "u", "v")])
 
 
@@ -197,12 +203,30 @@ def frame_time(k):
 @query("extrapolate_vectors")
 def extrapolate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans moved along velocities interpolated from the declustered vectors, three leads."""
-    vectors = M.decluster(cell_vectors(spark, sf_dir), ["k"], scale=4)
-    frames = scan(spark, sf_dir).select("k").distinct()
+    vectors = cut_lineage(M.decluster(cell_vectors(spark, sf_dir), ["k"], scale=4))
+    frames = cut_lineage(scan(spark, sf_dir).select("k").distinct())
     moved = M.extrapolate_vectors(scan(spark, sf_dir), vectors, frames, ["k"], [0.5, 1.0, 2.0], GRID, GRID, 2, 2, TILE)
     return moved.withColumn("value", F.round("value", 6))
 
 
+@query(
+    "extrapolate_packed",
+    f"""WITH {SCAN}, pts AS (SELECT k, l.lead, r.i AS r, c.i AS c, r.i - (0.25::DOUBLE * (k % 3)) * l.t AS sy, c.i - (-0.5::DOUBLE) * l.t AS sx
+      FROM (SELECT DISTINCT k FROM scan), (SELECT CAST(i AS INTEGER) AS i FROM range({GRID}) a(i)) r, (SELECT CAST(i AS INTEGER) AS i FROM range({GRID}) b(i)) c, (VALUES (0, 2.0), (1, 6.0)) l(lead, t)),
+    four AS (SELECT k, lead, r, c, CAST(floor(sy) AS INTEGER) + dr AS rr, CAST(floor(sx) AS INTEGER) + dc AS cc,
+      CASE dr WHEN 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END * CASE dc WHEN 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END AS w FROM pts, (VALUES (0,0),(0,1),(1,0),(1,1)) d(dr, dc))
+    SELECT four.k, lead, r AS "row", c AS "col", round(sum(s.value * w), 6) AS value FROM four LEFT JOIN scan s ON s.k = four.k AND s."row" = rr AND s."col" = cc
+    WHERE w > 0 GROUP BY ALL HAVING bool_and(coalesce(isfinite(s.value), false))""",
+)
+def extrapolate_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans moved along packed vectors that are the same all over a scan, which is a plain shift."""
+    places = M.decluster(cell_vectors(spark, sf_dir), ["k"], scale=4)
+    vectors = cut_lineage(places.select("k", "x", "y", F.lit(-0.5).alias("u"), (F.col("k") % 3 * 0.25).cast("double").alias("v")))
+    frames = cut_lineage(scan(spark, sf_dir).select("k").distinct())
+    moved = M.extrapolate_vectors(scan(spark, sf_dir), vectors, frames, ["k"], [2.0, 6.0], GRID, GRID, 1, 1, TILE)
+    return moved.withColumn("value", F.round("value", 6))
+
+
 @query("nowcast")
 def nowcast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full nowcast of every run of three scans, six leads."""
@@ -230,6 +254,49 @@ def run_nowcast(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     return out.withColumn("value", F.round("value", 6))
 
 
+# Scans laid into grids of their own, moving by whole cells: by remainder of the scan's number the grid,
+# where the scan's corner lies, cells down and right a frame, method, floor and leads.
+MOVING = (
+    (0, 32, 32, 0, 0, 0, 0, "zero", 4.0, (10, 20, 30, 40, 50, 60), 2),
+    (1, 72, 80, 16, 20, 1, 2, "lucas_kanade", 8.0, (20, 5, 10, 5), 1),
+    (2, 96, 72, 30, 20, -2, 1, "block_match", None, (30, 10), 1),
+)
+_MOVING = ", ".join(f"({k}, {h}, {w}, {r}, {c}, {dr}, {dc}, {'NULL' if low is None else low}::DOUBLE, [{', '.join(map(str, sorted(set(leads))))}])" for k, h, w, r, c, dr, dc, _, low, leads, _ in MOVING)
+
+
+@query(
+    "nowcast_grids",
+    f"""WITH {SCAN}, {AXIS}, kind(of, h, w, r0, c0, dr, dc, low, leads) AS (VALUES {_MOVING}),
+    full_scan AS (SELECT f.k, a.i AS r, b.i AS c, CASE WHEN isfinite(s.value) THEN s.value ELSE CAST((a.i * a.i * 7 + b.i * b.i * 13 + a.i * b.i * 3 + f.k) % 45 AS DOUBLE) END AS value
+      FROM (SELECT DISTINCT k FROM scan) f CROSS JOIN axis a CROSS JOIN axis b LEFT JOIN scan s ON s.k = f.k AND s."row" = a.i AND s."col" = b.i),
+    moved AS (SELECT k, m, h, w, low, r + r0 + dr * m // 5 AS r, c + c0 + dc * m // 5 AS c, value FROM full_scan JOIN kind ON of = k % 3, unnest(leads) l(m))
+    SELECT k AS forecast, CAST(m AS INTEGER) AS lead_min, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS "col", round(value, 6) AS value,
+      TIMESTAMP '2026-06-05' + INTERVAL 5 MINUTE * k AS issue_ts, TIMESTAMP '2026-06-05' + INTERVAL 5 MINUTE * k + INTERVAL 1 MINUTE * m AS valid_ts
+    FROM moved WHERE r BETWEEN 0 AND h - 1 AND c BETWEEN 0 AND w - 1 AND (low IS NULL OR value > low)""",
+)
+def nowcast_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plan over three grids, methods, floors and lead lists; scans that move by whole cells are found and carried on."""
+    settings, history, cells = moving_scans(spark, sf_dir)
+    out = Now.nowcast_all(cells, history, settings, ["forecast"], tile=TILE)
+    return out.withColumn("value", F.round("value", 6))
+
+
+def moving_scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Settings, history and cells of one forecast a scan: the scan is the newest of three frames, each moved on from the one before."""
+    schema = "of int, height int, width int, r0 int, c0 int, dr int, dc int, method string, floor double, leads array<int>, warp_grid_step int"
+    kinds = spark.createDataFrame([(*row[:9], list(row[9]), row[10]) for row in MOVING], schema)
+    forecasts = scan(spark, sf_dir).select("k").distinct().withColumn("of", F.col("k") % 3).join(kinds, "of").withColumnRenamed("k", "forecast")
+    settings = forecasts.select("forecast", "height", "width", "floor", "method", "leads", F.col("warp_grid_step").alias("motion_grid_step"), "warp_grid_step")
+    axis = C.target_cells(scan_grids(spark, sf_dir)).select("k", "row", "col")
+    made = ((F.col("row") * F.col("row") * 7 + F.col("col") * F.col("col") * 13 + F.col("row") * F.col("col") * 3 + F.col("k")) % 45).cast("double")
+    whole = axis.join(scan(spark, sf_dir), ["k", "row", "col"], "left").select(F.col("k").alias("forecast"), "row", "col", F.when(V.is_echo(F.col("value")), F.col("value")).otherwise(made).alias("value"))
+    ago = forecasts.withColumn("ago", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("frame_ts", frame_time(F.col("forecast") - F.col("ago")))
+    placed = whole.join(ago.select("forecast", "ago", "frame_ts", "r0", "c0", "dr", "dc"), "forecast").select(
+        "forecast", "frame_ts", (F.col("row") + F.col("r0") - F.col("ago") * F.col("dr")).cast("int").alias("row"), (F.col("col") + F.col("c0") - F.col("ago") * F.col("dc")).cast("int").alias("col"), "value"
+    )
+    return settings, ago.select("forecast", "frame_ts"), placed
+
+
 def whole_runs(history: DataFrame) -> DataFrame:
     """Histories with at least two frames."""
     enough = history.groupBy("forecast").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")

@@ -44,14 +44,33 @@ def laea_sql(lon: str, lat: str, lon0: str, lat0: str) -> tuple[str, str]:
     return f"({b} * {d} * {cb} * sin({turn}))", f"({b} / {d} * ({c0} * {sb} - {s0} * {cb} * cos({turn})))"
 
 
+def tmerc_sql(lon: str, lat: str, lon0: float, lat0: float) -> tuple[str, str]:
+    """Ellipsoidal transverse Mercator coordinates as SQL text, by the series in the third flattening to its fourth power."""
+    f = P.WGS84_FLATTENING
+    n, e = f / (2 - f), math.sqrt(f * (2 - f))
+    radius = P.EARTH_RADIUS / (1 + n) * (1 + n * n / 4 + n**4 / 64)
+    # The published coefficients of the series.
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    s = f"sin(radians({lat}))"
+    t = f"sinh(atanh({s}) - {e!r} * atanh({e!r} * {s}))"
+    xi, eta = f"atan2({t}, cos(radians({lon} - {lon0})))", f"atanh(sin(radians({lon} - {lon0})) / sqrt(1 + pow({t}, 2)))"
+    north = " + ".join([xi, *(f"{a!r} * sin({2 * j + 2} * {xi}) * cosh({2 * j + 2} * {eta})" for j, a in enumerate(alpha))])
+    east = " + ".join([eta, *(f"{a!r} * cos({2 * j + 2} * {xi}) * sinh({2 * j + 2} * {eta})" for j, a in enumerate(alpha))])
+    s0 = math.sin(math.radians(lat0))
+    xi0 = math.atan(math.sinh(math.atanh(s0) - e * math.atanh(e * s0)))
+    origin = xi0 + sum(a * math.sin((2 * j + 2) * xi0) for j, a in enumerate(alpha))
+    return f"({radius!r} * ({east}))", f"({radius!r} * ({north} - {origin!r}))"
+
+
 _LX, _LY = laea_sql("lon", "lat", "10.0::DOUBLE", "55.0::DOUBLE")
+_TX, _TY = tmerc_sql("lon", "lat", 12.5, 42.0)
 
 
 @query(
     "project_points",
     f"""WITH p AS (SELECT c_custkey, {_LON} AS lon, {_LAT} AS lat FROM customer)
     SELECT c_custkey, round({RADIUS} * radians(lon), 3) AS merc_x, round({RADIUS} * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS merc_y,
-    round({_LX}, 3) AS laea_x, round({_LY}, 3) AS laea_y, true AS merc_back, true AS laea_back, true AS tmerc_back FROM p""",
+    round({_LX}, 3) AS laea_x, round({_LY}, 3) AS laea_y, round({_TX}, 1) AS tmerc_x, round({_TY}, 1) AS tmerc_y, true AS merc_back, true AS laea_back, true AS tmerc_back FROM p""",
 )
 def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forward coordinates, and whether inverting each returns within a micrometre."""
@@ -69,7 +88,7 @@ def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "c_custkey", F.round("merc_x", 3).alias("merc_x"), F.round("merc_y", 3).alias("merc_y"),
         F.round(F.col("laea_x") - 1950000.0, 3).alias("laea_x"), F.round(F.col("laea_y") + 2100000.0, 3).alias("laea_y"),
-        "merc_back", "laea_back", "tmerc_back",
+        F.round("tmerc_x", 1).alias("tmerc_x"), F.round("tmerc_y", 1).alias("tmerc_y"), "merc_back", "laea_back", "tmerc_back",
     )
 
 
@@ -170,20 +189,29 @@ def sampling_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 _VALUES = lambda rows: ", ".join("(" + ", ".join(repr(v) if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) for v in row) + ")" for row in rows)
-_RESAMPLED = OBS + f""", t(product_id, x_min, y_max, px, py, width, height) AS (VALUES {_VALUES(TARGET_GRIDS)}),
-s(product_id, input_id, x_min, y_max, px, py, width, height) AS (VALUES {_VALUES(SOURCE_GRIDS)}),
+
+
+def resampled_sql(targets: list[tuple], sources: list[tuple], x: str, y: str) -> str:
+    """Observations merged on target grids; ``x`` and ``y`` are a place in the projection of source ``s``."""
+    return OBS + f""", t(product_id, x_min, y_max, px, py, width, height) AS (VALUES {_VALUES(targets)}),
+s(product_id, input_id, x_min, y_max, px, py, width, height) AS (VALUES {_VALUES(sources)}),
 tc AS (SELECT product_id, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS "col", x_min + (c + 0.5) * px AS x, y_max - (r + 0.5) * py AS y
   FROM (SELECT *, unnest(range(width)) AS c FROM t) a, LATERAL (SELECT unnest(range(a.height)) AS r) b),
 ll AS (SELECT *, degrees(x / {RADIUS}) AS lon, degrees(pi() / 2 - 2 * atan(exp(-y / {RADIUS}))) AS lat FROM tc),
-src AS (SELECT ll.product_id, "row", "col", s.input_id, s.x_min, s.y_max, s.px, s.py, s.width, s.height,
-  CASE s.input_id WHEN 'opera_dbzh' THEN lon WHEN 'cz_maxz' THEN -1254222.15 + {_MX('lon')} ELSE -1250000.0 + {_MX('lon')} END AS sx,
-  CASE s.input_id WHEN 'opera_dbzh' THEN lat WHEN 'cz_maxz' THEN -6702777.85 + {_MY('lat')} ELSE -6700000.0 + {_MY('lat')} END AS sy FROM ll JOIN s USING (product_id)),
+src AS (SELECT ll.product_id, "row", "col", s.input_id, s.x_min, s.y_max, s.px, s.py, s.width, s.height, {x} AS sx, {y} AS sy FROM ll JOIN s USING (product_id)),
 idx AS (SELECT product_id, "row", "col", input_id, CAST(round_even((sx - x_min) / px - 0.5, 0) AS INTEGER) AS sc, CAST(round_even((y_max - sy) / py - 0.5, 0) AS INTEGER) AS sr, width, height FROM src),
 hit AS (SELECT * FROM idx WHERE sc >= 0 AND sc < width AND sr >= 0 AND sr < height),
 one AS (SELECT input_id, k, "row" AS sr, "col" AS sc, max(value) AS value FROM obs GROUP BY ALL),
 merged AS (SELECT product_id, k, hit."row", hit."col", max(value) AS value FROM one JOIN hit USING (input_id, sr, sc) GROUP BY ALL)"""
 
 
+_RESAMPLED = resampled_sql(
+    TARGET_GRIDS, SOURCE_GRIDS,
+    f"CASE s.input_id WHEN 'opera_dbzh' THEN lon WHEN 'cz_maxz' THEN -1254222.15 + {_MX('lon')} ELSE -1250000.0 + {_MX('lon')} END",
+    f"CASE s.input_id WHEN 'opera_dbzh' THEN lat WHEN 'cz_maxz' THEN -6702777.85 + {_MY('lat')} ELSE -6700000.0 + {_MY('lat')} END",
+)
+
+
 @query("sampling_index", f"""WITH {_RESAMPLED}, n AS (SELECT input_id, count(*) AS seen FROM obs GROUP BY ALL) SELECT product_id, "row", "col", input_id, sr AS src_row, sc AS src_col, seen FROM hit JOIN n USING (input_id)""")
 def sampling_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source cell of every covered target cell, with the rows its input has."""
@@ -213,7 +241,18 @@ def history_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(Now.history_cells(obs(spark, sf_dir), history, targets, sources, SOURCE_CRS, ["product_id"], "k"))
 
 
-@query("resample_ellipsoidal")
+CURVED_TARGETS = [("eu", 1000000.0, 7000000.0, 20000.0, 20000.0, 40, 60)]
+CURVED_SOURCES = [
+    ("eu", "cz_maxz", 0.0, 0.0, 15557.0, 15557.0, 32, 32), ("eu", "opera_dbzh", 1900000.0, -2000000.0, 15000.0, 15000.0, 32, 32), ("eu", "it_sri_arco", -250000.0, 900000.0, 16000.0, 16000.0, 32, 32),
+]
+_CURVED = resampled_sql(
+    CURVED_TARGETS, CURVED_SOURCES,
+    f"CASE s.input_id WHEN 'opera_dbzh' THEN 1950000.0 + {_LX} WHEN 'cz_maxz' THEN -1254222.15 + {_MX('lon')} ELSE {_TX} END",
+    f"CASE s.input_id WHEN 'opera_dbzh' THEN -2100000.0 + {_LY} WHEN 'cz_maxz' THEN -6702777.85 + {_MY('lat')} ELSE {_TY} END",
+)
+
+
+@query("resample_ellipsoidal", f"""WITH {_CURVED} SELECT product_id, k, "row", "col", {SETTLED} FROM merged""")
 def resample_ellipsoidal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with an equal-area and a transverse Mercator source beside the Mercator one."""
     crs = {
@@ -221,11 +260,9 @@ def resample_ellipsoidal(spark: SparkSession, sf_dir: str) -> DataFrame:
         "opera_dbzh": P.Crs("laea", f=P.WGS84_FLATTENING, lat0=55.0, lon0=10.0, x0=1950000.0, y0=-2100000.0),
         "it_sri_arco": P.Crs("tmerc", f=P.WGS84_FLATTENING, lat0=42.0, lon0=12.5),
     }
-    targets = spark.createDataFrame([("eu", 1000000.0, 7000000.0, 20000.0, 20000.0, 40, 60)], "product_id string, x_min double, y_max double, px double, py double, width int, height int")
-    sources = spark.createDataFrame(
-        [("eu", "cz_maxz", 0.0, 0.0, 15557.0, 15557.0, 32, 32), ("eu", "opera_dbzh", 1900000.0, -2000000.0, 15000.0, 15000.0, 32, 32), ("eu", "it_sri_arco", -250000.0, 900000.0, 16000.0, 16000.0, 32, 32)],
-        "product_id string, input_id string, x_min double, y_max double, px double, py double, width int, height int",
-    )
+    schema = "product_id string, x_min double, y_max double, px double, py double, width int, height int"
+    targets = spark.createDataFrame(CURVED_TARGETS, schema)
+    sources = spark.createDataFrame(CURVED_SOURCES, schema.replace("product_id string", "product_id string, input_id string"))
     return settled(R.composite_to_grid(obs(spark, sf_dir), targets, sources, crs, ["product_id"], ["k"]))
 
 

@@ -22,7 +22,8 @@ from ..streaming import state as St
 from . import query
 from .jobs import _TASKS
 from .motion import _POINTS, frame_time, scan_grids, scan_history, whole_runs
-from .views import BRIDGE, CELLS, FILES, GOOD_FILES, GRID, NOTES, NOW, OBS, OUTPUTS, SCAN, catalog_inputs, files, notification_columns, obs, outputs, product_inputs, products, scan, table
+from .raster import _pooled
+from .views import AXIS, BRIDGE, CELLS, FILES, GOOD_FILES, GRID, NOTES, NOW, OBS, OUTPUTS, SCAN, catalog_inputs, files, notification_columns, obs, outputs, product_inputs, products, scan, table
 
 _EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -103,15 +104,33 @@ def stream_latest_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("forecast_id", F.col("_s.issue_ts").cast("timestamp_ntz").alias("issue_ts"), F.col("_s.seq").alias("seq"))
 
 
-@query(
-    "stream_refresh",
-    f"""WITH {GOOD_FILES}, {BRIDGE}, {OUTPUTS}, slots AS (SELECT DISTINCT input_id, frame_ts FROM good),
+_READY = f"""WITH {GOOD_FILES}, {BRIDGE}, {OUTPUTS}, slots AS (SELECT DISTINCT input_id, frame_ts FROM good),
     ready AS (SELECT product_id, prefix, frame_ts FROM bridge JOIN slots USING (input_id) GROUP BY product_id, prefix, n, frame_ts HAVING count(*) = n),
-    e AS (SELECT product_id, frame_ts, unnest([b || '.json', b || '_overlay.png', b || '_overlay_small.png']) AS name FROM (SELECT *, prefix || '_' || strftime(frame_ts, '%Y%m%d_%H%M') AS b FROM ready))
-    SELECT DISTINCT product_id, frame_ts FROM e WHERE name NOT IN (SELECT name FROM outs)""",
-)
+    e AS (SELECT product_id, frame_ts, unnest([b || '.json', b || '_overlay.png', b || '_overlay_small.png']) AS name FROM (SELECT *, prefix || '_' || strftime(frame_ts, '%Y%m%d_%H%M') AS b FROM ready))"""
+
+
+@query("stream_refresh", f"{_READY} SELECT DISTINCT product_id, frame_ts FROM e WHERE name NOT IN (SELECT name FROM outs)")
 def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File arrivals grow the catalog batch by batch; each batch writes the jobs it makes pending."""
+    return spark.read.parquet(f"{refreshed(spark, sf_dir)}/jobs").select("product_id", "frame_ts").distinct()
+
+
+@query(
+    "output_notices",
+    f"""{_READY} SELECT DISTINCT product_id, frame_ts, CASE WHEN minute(frame_ts) = 35 THEN 'ValueError: no room for ' || product_id END AS error FROM e WHERE name NOT IN (SELECT name FROM outs)""",
+)
+def output_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener, which fails at one minute of the hour, made of each pending output."""
+
+    def listener(output: dict) -> None:
+        if output["frame_ts"].minute == 35:
+            raise ValueError(f"no room for {output['product_id']}")
+
+    return spark.read.parquet(f"{refreshed(spark, sf_dir, listener)}/reports").select("product_id", "frame_ts", "error").distinct()
+
+
+def refreshed(spark: SparkSession, sf_dir: str, on_output=None) -> str:
+    """The folder of a refresh over all file arrivals."""
     slot = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 300) * 300)
     suffix = F.when(F.col("event_id") % 7 == 0, ".txt").when(F.col("event_id") % 11 == 0, ".hdf.part").otherwise(".hdf")
     name = F.concat("event_type", F.lit("_"), F.date_format(slot, "yyyyMMddHHmmss"), suffix)
@@ -120,9 +139,32 @@ def stream_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     folder = f"{shared_dir(spark)}/refresh-{uuid.uuid4().hex}"
     Fr.refresh_on_arrival(
-        arrivals, catalog_inputs(spark, retention_s=None), products(spark), product_inputs(spark), lambda: outputs(spark, sf_dir), folder, f"{folder}/checkpoint"
+        arrivals, catalog_inputs(spark, retention_s=None), products(spark), product_inputs(spark), lambda: outputs(spark, sf_dir), folder, f"{folder}/checkpoint", on_output=on_output
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/jobs").select("product_id", "frame_ts").distinct()
+    return folder
+
+
+_PERIODS = 5
+_SPOKEN = f"""WITH m AS (SELECT 'c' || (event_id % 997) AS conn, ts, CAST(least({_PERIODS}, 1 + (day(ts) - 1) // 6) AS INTEGER) AS p FROM events),
+    spoken AS (SELECT conn, p, max(ts) AS last_ts FROM m GROUP BY ALL), heard AS (SELECT p, max(ts) AS newest FROM m GROUP BY p),
+    w AS (SELECT conn, p, last_ts, lead(p) OVER (PARTITION BY conn ORDER BY p) AS again FROM spoken)"""
+
+
+@query(
+    "stream_staleness",
+    f"""{_SPOKEN} SELECT conn, last_ts, false AS stale FROM spoken
+    UNION ALL SELECT w.conn, w.last_ts, true FROM w WHERE EXISTS (SELECT 1 FROM heard h WHERE h.p >= w.p AND h.p < coalesce(w.again, {_PERIODS + 1}) - CASE WHEN w.again IS NULL THEN 0 ELSE 1 END AND epoch_ms(w.last_ts) + 600000 <= epoch_ms(h.newest))""",
+)
+def stream_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections that speak, fall silent and speak again, heard in five micro-batches by the time of their messages."""
+    folder = f"{shared_dir(spark)}/spoken-{uuid.uuid4().hex}"
+    period = F.least(F.lit(_PERIODS), F.lit(1) + F.floor((F.dayofmonth("ts") - 1) / 6))
+    messages = table(spark, sf_dir, "events").select(F.concat(F.lit("c"), (F.col("event_id") % 997).cast("string")).alias("conn"), F.col("ts").cast("timestamp").alias("ts"), period.alias("p"))
+    for p in range(1, _PERIODS + 1):  # a file is a micro-batch
+        messages.where(F.col("p") == p).drop("p").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    heard = spark.readStream.schema("conn STRING, ts TIMESTAMP").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    rows = drained(St.staleness_stream(heard, "conn", event_time=True), "update")
+    return rows.select("conn", F.timestamp_micros("last_us").cast("timestamp_ntz").alias("last_ts"), "stale")
 
 
 @query(
@@ -138,18 +180,48 @@ def late_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sinks ---
 
 
+_TILED = f"""{OBS}, {AXIS}, comp AS (SELECT k, "row", "col", max(value) AS value FROM obs GROUP BY ALL),
+  dense AS (SELECT f.k, a.i AS r, b.i AS c, comp.value FROM (SELECT DISTINCT k FROM obs) f CROSS JOIN axis a CROSS JOIN axis b LEFT JOIN comp ON comp.k = f.k AND comp."row" = a.i AND comp."col" = b.i),
+  v AS (SELECT k, 'overlay' AS variant, {GRID} AS size, r, c, value FROM dense
+    UNION ALL SELECT k, 'overlay_small', 21, CAST({_pooled('r', 21)} AS INTEGER), CAST({_pooled('c', 21)} AS INTEGER), max(value) FROM dense GROUP BY ALL),
+  shown AS (SELECT k, variant, CAST(r // 16 AS INTEGER) AS tile_r, CAST(c // 16 AS INTEGER) AS tile_c, size, CASE WHEN value IS NULL THEN 16 WHEN value < 4 THEN 15 ELSE CAST(least(floor((value - 4) / 4), 14) AS INTEGER) END AS idx FROM v),
+  pal AS (SELECT CAST(i - 1 AS INTEGER) AS idx, lower(colors[i]) || 'ff' AS rgba FROM (SELECT {list(registry.STANDARD_COLORS)!r} AS colors), range(1, 16) t(i) UNION ALL VALUES (15, '#00000000'), (16, '#00000026'))"""
+
+
 @query(
     "overlay_tiles",
-    f"""WITH {OBS}, f AS (SELECT DISTINCT k FROM obs), v(variant, size) AS (VALUES ('overlay', {GRID}), ('overlay_small', 21)), t AS (SELECT k, variant, size, r, c FROM f, v, range(2) a(r), range(2) b(c))
-    SELECT k, variant, CAST(r AS INTEGER) AS tile_r, CAST(c AS INTEGER) AS tile_c, CAST(least(16, size - r * 16) AS INTEGER) AS height, CAST(least(16, size - c * 16) AS INTEGER) AS width, true AS is_png FROM t""",
+    f"""WITH {_TILED} SELECT k, variant, tile_r, tile_c, CAST(least(16, size - tile_r * 16) AS INTEGER) AS height, CAST(least(16, size - tile_c * 16) AS INTEGER) AS width, CAST(idx AS INTEGER) AS idx, rgba, count(*) AS n,
+      11.25 + k AS west, 48.0625::DOUBLE AS south, 19.5 + k AS east, 51.5::DOUBLE AS north, NULL::VARCHAR AS error FROM shown JOIN pal USING (idx) GROUP BY ALL""",
 )
 def overlay_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PNG tiles of every frame and variant."""
+    """PNG tiles of every frame and variant, read back: cells by palette entry, size and the bounds in the comment."""
     merged = C.max_cells(obs(spark, sf_dir), ["k"]).withColumns({"height": F.lit(GRID), "width": F.lit(GRID)})
     grids = merged.select("k").distinct().withColumns({"height": F.lit(GRID), "width": F.lit(GRID)})
     dense = C.densify(merged, grids, ["k"]).withColumns({"height": F.lit(GRID), "width": F.lit(GRID)})
-    tiles = render.render_tiles(dense, ["k"], nodata_rgba=registry.NODATA_TINT, tile=16)
-    return tiles.withColumn("is_png", F.startswith(F.hex("png"), F.lit("89504E470D0A1A0A"))).drop("png")
+    bounds = overlay.geobox_text(F.lit(11.25) + F.col("k"), F.lit(48.0625), F.lit(19.5) + F.col("k"), F.lit(51.5))
+    tiles = render.render_tiles(dense, ["k"], nodata_rgba=registry.NODATA_TINT, tile=16, geobox=bounds)
+    shown = overlay.read_tiles(tiles, ["k", "variant", "tile_r", "tile_c"])
+    return shown.withColumns(overlay.geobox_numbers(F.col("comment"))).drop("comment")
+
+
+@query(
+    "render_pipelines",
+    f"""WITH {CELLS}, route(product_id, input_id, several, small) AS (VALUES ('cz', 'cz_maxz', false, false), ('it', 'opera_dbzh', true, false), ('it', 'it_sri_arco', true, false), ('md', 'opera_dbzh', false, true), ('xx', 'cz_maxz', true, true), ('xx', 'opera_dbzh', true, true)),
+    m AS (SELECT product_id, small, k, "row" AS r, "col" AS c, max(value) AS value FROM cells JOIN route USING (input_id) GROUP BY ALL),
+    v AS (SELECT product_id, k, 'overlay' AS variant, {GRID} AS size, r, c, value FROM m WHERE NOT small
+      UNION ALL SELECT product_id, k, 'overlay_small', 21, CAST({_pooled('r', 21)} AS INTEGER), CAST({_pooled('c', 21)} AS INTEGER), max(value) FROM m WHERE NOT small GROUP BY ALL
+      UNION ALL SELECT product_id, k, 'thumb', 8, CAST(r // 4 AS INTEGER), CAST(c // 4 AS INTEGER), max(value) FROM m WHERE small GROUP BY ALL)
+    SELECT product_id, k, variant, CAST(size AS INTEGER) AS out_height, CAST(CASE WHEN value IS NULL OR value < 4 THEN 15 ELSE least(floor((value - 4) / 4), 14) END AS SMALLINT) AS idx, count(*) AS n FROM v GROUP BY ALL""",
+)
+def render_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four products through two pipelines, with one input and with several, counted by palette entry."""
+    chosen = spark.createDataFrame([("cz", None), ("it", "default"), ("md", "thumbs"), ("xx", "thumbs")], "product_id string, pipeline string")
+    inputs = spark.createDataFrame([("cz", "cz_maxz"), ("it", "opera_dbzh"), ("it", "it_sri_arco"), ("md", "opera_dbzh"), ("xx", "cz_maxz"), ("xx", "opera_dbzh")], "product_id string, input_id string")
+    small = (("thumb", 4.0),)
+    thumbs = render.RenderPipeline(lambda cells, keys: render.classify_single(cells, keys, specs=small), lambda cells, keys: render.classify_composite(cells, keys, specs=small))
+    cells = C.max_cells(obs(spark, sf_dir), ["input_id", "k"]).withColumns({"height": F.lit(GRID), "width": F.lit(GRID)})
+    classes = render.render_products(cells, chosen, inputs, ["k"], render.RENDER_PIPELINES | {"thumbs": thumbs})
+    return classes.groupBy("product_id", "k", "variant", "out_height", "idx").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

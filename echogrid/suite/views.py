@@ -186,7 +186,7 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.select(*notification_columns(), "event_id", "user_id")
 
 
-# A good link stands beside entries that are none, or twelve coverages deep.
+# A good link stands beside entries that are none, or twelve coverages deep, now and then twenty thousand.
 _JUNK_BEFORE = '{"links":["x",null,7,{"type":"application/x-odim","href":5},{"type":"text/html","href":"https://h/a@0@DBZH.h5"},'
 _DEEP_BEFORE = '{"links":[],"coverages":["y",' * 12 + '{"links":['
 _DEEP_AFTER = "]}" + "]}" * 12
@@ -208,6 +208,7 @@ def notification_columns():
         F.when(F.col("event_id") % 13 == 0, F.concat(F.lit("["), link, F.lit("]")))
         .when(F.col("event_id") % 17 == 0, F.lit("not json"))
         .when(F.col("event_id") % 2 == 0, F.concat(F.lit(_JUNK_BEFORE), link, F.lit("]}")))
+        .when(F.col("event_id") % 499 == 0, F.concat(F.repeat(F.lit('{"coverages":['), F.lit(20_000)), F.lit('{"links":['), link, F.lit("]}"), F.repeat(F.lit("]}"), F.lit(20_000))))
         .otherwise(F.concat(F.lit(_DEEP_BEFORE), link, F.lit(_DEEP_AFTER)))
     )
     topic = F.concat(F.lit("ORD/eu.eumetnet/"), location, F.lit("/"), quantity)

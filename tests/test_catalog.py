@@ -1,5 +1,6 @@
 """Catalog, readiness, retention and job rules on small known inputs."""
 
+import json
 from datetime import datetime
 
 import pytest
@@ -223,6 +224,25 @@ def nested(depth, inner):
     return inner if depth == 0 else f'{{"links":[],"coverages":[{nested(depth - 1, inner)}]}}'
 
 
+@pytest.mark.parametrize("text", ['{}', '[]', ' [1, -2.5e3 , "a\\u00e9\\"b", true,false , null, NaN, -Infinity] ', '{"a": {"b": [[], {}, [{"c": 1}]]}, "a": 2}', '"x"', "7", "[1,]", "[1 2]", "{1: 2}", '{"a" 1}', '{"a": }', "", "[", "]", "{", '{"a": 1]', "[1] 2", "nul", "01", '"a\nb"', "[1, 2", '{"a": 1,}', "1" * 5000])
+def test_the_stack_parser_reads_what_the_library_reads(text):
+    try:
+        want = json.loads(text)
+    except ValueError:
+        with pytest.raises(ValueError):
+            links.parse_deep(text)
+    else:
+        assert repr(links.parse_deep(text)) == repr(want)
+
+
+def test_links_a_hundred_thousand_deep(spark):
+    payloads = [(d, '{"coverages":[' * d + f'{{"links":[{link("a")}]}}' + "]}" * d) for d in (0, 900, 3000, 20_000, 100_000)]
+    payloads += [(-1, "[" * 50_000), (-2, '{"links":[' + '{"type":"application/x-odim","href":"https://h/t","title":' + "[" * 50_000 + "]" * 50_000 + "}]}"), (-3, '{"links":[{"type":"application\\/x\\u002dodim","href":"https://h/e"}]}')]
+    got = links.payload_links(spark.createDataFrame(payloads, "id int, payload string")).collect()
+    assert sorted((r.id, r.href.rsplit("/", 1)[1]) for r in got if r.id >= 0) == [(d, "a") for d in (0, 900, 3000, 20_000, 100_000)]
+    assert sorted((r.id, r.href.rsplit("/", 1)[1]) for r in got if r.id < 0) == [(-3, "e"), (-2, "t")]
+
+
 def test_links_at_any_depth(spark):
     payloads = [(0, f'{{"links":[{link("a")},{link("b", "text/html")}]}}'), (1, "[]"), (2, "not json"), (3, nested(3, f'{{"links":[{link("deep3")}]}}')), (4, nested(20, f'{{"links":[{link("deep20")}]}}'))]
     df = spark.createDataFrame(payloads, "id int, payload string")

@@ -1,11 +1,14 @@
 """Motion, interpolation, warping and nowcasts against direct computations."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from echogrid.operators import cells as C
 from echogrid.operators import motion as M
+from echogrid.operators import nearest as Nn
 from echogrid.operators import warp as Wp
 from echogrid.plans import nowcast as Now
 
@@ -135,6 +138,34 @@ def test_interpolation_matches_brute_force(spark):
     assert out.where("f = 'none' and u = 0 and v = 0").count() == 4
 
 
+@pytest.mark.parametrize("kind", ["spread", "grid", "line", "clump", "same"])
+def test_nearest_points_equal_brute_force(kind):
+    rng = np.random.default_rng(4)
+    n = 700
+    px, py = {
+        "spread": lambda: rng.uniform(0, 500, (2, n)), "grid": lambda: rng.integers(0, 25, (2, n)) * 4.0, "line": lambda: np.stack([rng.uniform(0, 300, n), np.full(n, 7.0)]),
+        "clump": lambda: np.concatenate([rng.normal(0, 1, (2, n - 5)), rng.uniform(900, 1000, (2, 5))], axis=1), "same": lambda: np.full((2, n), 3.0),
+    }[kind]()
+    x, y = np.concatenate([rng.uniform(-100, 1100, (2, 300)), np.stack([px[:50], py[:50]]), rng.integers(0, 25, (2, 50)) * 4.0], axis=1)
+    squared = (x[:, None] - px) ** 2 + (y[:, None] - py) ** 2
+    for k in (1, 20, 699, 900):
+        assert (Nn.Bins(px, py).nearest(x, y, k) == np.argsort(squared, axis=1, kind="stable")[:, :k]).all()
+    own = (px[:, None] - px) ** 2 + (py[:, None] - py) ** 2
+    np.fill_diagonal(own, np.inf)
+    assert (Nn.Bins(px, py).nearest(px, py, 30, np.arange(n)) == np.argsort(own, axis=1, kind="stable")[:, :30]).all()
+
+
+def test_the_cost_of_nearest_points_is_nearly_linear():
+    def seconds(n):
+        px, py = np.random.default_rng(1).uniform(0, 1000, (2, n))
+        start = time.process_time()
+        Nn.Bins(px, py).nearest(px, py, 20)
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 10 * max(seconds(4_000), 0.02)
+
+
 def test_one_vector_and_equal_vectors_are_constant(spark):
     grids = spark.createDataFrame([("a", 4, 4), ("b", 4, 4)], "f string, height int, width int")
     rows = [("a", 1.0, 1.0, 2.0, 3.0), ("b", 0.0, 0.0, 5.0, 5.0), ("b", 3.0, 3.0, 5.0, 5.0)]
@@ -264,9 +295,68 @@ def test_masked_rmse(spark):
     assert (row.cells, row.rmse, row.differing) == (2, pytest.approx(np.sqrt(0.5)), 0.5)
 
 
-@pytest.mark.parametrize(("dy", "dx"), [(0, 25), (-31, 12), (3, -4), (0, 0)])
-def test_fast_and_slow_blobs_are_tracked(dy, dx):
-    y, x = np.mgrid[0:120, 0:140]
-    blob = lambda r, c: 200 * np.exp(-(((y - r) / 4.0) ** 2 + ((x - c) / 6.0) ** 2))
-    dr, dc, good = M._track(blob(60, 60), blob(60 + dy, 60 + dx), np.array([60, 58]), np.array([60, 63]), M.SEARCH_RADIUS, M.WINDOW_HALF, True, 3, 5)
-    assert good.all() and np.allclose(dr, dy, atol=0.1) and np.allclose(dc, dx, atol=0.1)
+MOVES = [(0, 25), (-31, 12), (3, -4), (0, 0), (50, 0), (0, -80), (-50, 62), (39, 39), (97, 30)]
+
+
+@pytest.mark.parametrize("tile", [64, 256])
+def test_fast_and_slow_blobs_are_tracked(spark, tile):
+    y, x = np.mgrid[0:260, 0:300]
+    spot = lambda r, c: 200 * np.exp(-(((y - r) / 4.0) ** 2 + ((x - c) / 6.0) ** 2))
+    rows = []
+    for pair, (dy, dx) in enumerate(MOVES):
+        prev, nxt = spot(120, 150), spot(120 + dy, 150 + dx)
+        r, c = np.nonzero((prev > 1e-3) | (nxt > 1e-3))
+        rows += [(pair, int(i), int(j), float(prev[i, j]), float(nxt[i, j])) for i, j in zip(r, c)]
+    pairs = spark.createDataFrame(rows, "pair int, row int, col int, prev double, next double")
+    marks = spark.createDataFrame([(p, r, c) for p in range(len(MOVES)) for r, c in ((120, 150), (118, 153))], "pair int, row int, col int")
+    got = M.track_features(pairs, marks, ["pair"], 260, 300, tile=tile).collect()
+    assert len(got) == 2 * len(MOVES)
+    for r in got:
+        assert (r.v, r.u) == pytest.approx(MOVES[r.pair], abs=0.1)
+
+
+def test_what_is_gone_is_not_tracked(spark):
+    rng = np.random.default_rng(5)
+    r, c = np.mgrid[0:80, 0:90]
+    prev, noise = 200 * np.exp(-(((r - 40) / 4.0) ** 2 + ((c - 45) / 6.0) ** 2)), rng.normal(100, 40, (80, 90))
+    cells = [(k, int(i), int(j), float(prev[i, j]), v) for i in range(80) for j in range(90) for k, v in ((0, 0.0), (1, float(noise[i, j])), (2, float(prev[i, j])))]
+    pairs = spark.createDataFrame(cells, "pair int, row int, col int, prev double, next double")
+    marks = spark.createDataFrame([(k, 40, 45) for k in range(3)], "pair int, row int, col int")
+    assert [(v.pair, v.u, v.v) for v in M.track_features(pairs, marks, ["pair"], 80, 90).collect()] == [(2, 0.0, 0.0)]
+
+
+def test_the_pyramid_reaches_across_the_grid():
+    for size in (10, 41, 400, 2000):
+        depth = M.pyramid_depth(size, size // 2, M.SEARCH_RADIUS, M.COARSE)
+        assert M.SEARCH_RADIUS * M.COARSE << depth >= size and (depth == 0 or M.SEARCH_RADIUS * M.COARSE << depth - 1 < size)
+
+
+def test_settings_of_each_issue_are_their_own(spark):
+    frames = {"a": [blob(20 + i, 20, 60, 60, 5) for i in range(2)], "b": [blob(30 + 2 * i, 40 - i, 90, 70, 5) for i in range(3)], "c": [blob(8, 8, 20, 24, 3)] * 2, "d": [blob(8, 8, 20, 24, 3)] * 2}
+    cells = None
+    for key, some in frames.items():
+        df = stamped(spark, some, key)
+        cells = df if cells is None else cells.unionByName(df)
+    settings = spark.createDataFrame(
+        [("a", 60, 60, 1.0, "lucas_kanade", [10, 5, 10], 2, 2), ("b", 90, 70, 20.0, "block_match", [15], 1, 2), ("c", 20, 24, None, "zero", [5, 60], 2, 2)],
+        "forecast_id string, height int, width int, floor double, method string, leads array<int>, motion_grid_step int, warp_grid_step int",
+    )
+    history = cells.select("forecast_id", "frame_ts").distinct()
+    got = Now.nowcast_all(cells, history, settings, ["forecast_id"], tile=64).cache()
+    assert {(r.forecast_id, r.lead_min) for r in got.select("forecast_id", "lead_min").distinct().collect()} == {("a", 5), ("a", 10), ("b", 15), ("c", 5), ("c", 60)}
+    for key, height, width, minutes, floor, method, steps in (("a", 60, 60, (5, 10), 1.0, "lucas_kanade", (2, 2)), ("b", 90, 70, (15,), 20.0, "block_match", (1, 2)), ("c", 20, 24, (5, 60), None, "zero", (2, 2))):
+        own = [df.where(F.col("forecast_id") == key) for df in (cells, history, got)]
+        alone = Now.nowcast(own[0], own[1], ["forecast_id"], height, width, minutes, floor, method, *steps, tile=64)
+        rows = lambda df: sorted((r.lead_min, str(r.valid_ts), r.row, r.col, r.value) for r in df.collect())
+        assert rows(own[2]) == rows(alone) and rows(alone)
+        assert floor is None or all(v[4] > floor for v in rows(alone))
+    got.unpersist()
+
+
+@pytest.mark.parametrize(("field", "value", "message"), [("method", "other", "unknown motion method other"), ("leads", [10, 0], "positive")])
+def test_settings_are_checked(spark, field, value, message):
+    cells = stamped(spark, [np.ones((4, 4))] * 2)
+    row = {"forecast_id": "f", "height": 4, "width": 4, "floor": None, "method": "zero", "leads": [5], "motion_grid_step": 1, "warp_grid_step": 1} | {field: value}
+    settings = spark.createDataFrame([tuple(row.values())], "forecast_id string, height int, width int, floor double, method string, leads array<int>, motion_grid_step int, warp_grid_step int")
+    with pytest.raises(Exception, match=message):
+        Now.nowcast_all(cells, cells.select("forecast_id", "frame_ts").distinct(), settings, ["forecast_id"]).collect()

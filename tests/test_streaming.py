@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from echogrid import registry, schema
 from echogrid.streaming import frames as Fr
+from echogrid.streaming.batch_log import BatchLog
 from echogrid.streaming import notifications as No
 from echogrid.streaming import state as St
 
@@ -145,6 +146,54 @@ def test_silent_connections_turn_stale(spark, tmp_path):
     assert seen[0] == ("x", False) and ("x", True) in seen
 
 
+def test_a_key_that_falls_silent_and_speaks_again(spark, tmp_path):
+    source = Source(spark, tmp_path / "in", "conn STRING, ts TIMESTAMP")
+    source.add([("x", "2026-06-05 21:05:00"), ("x", "2026-06-05 21:04:00"), ("y", "2026-06-05 21:05:00")])
+    source.add([("y", "2026-06-05 21:10:00")])
+    source.add([("y", "2026-06-05 21:16:00")])
+    source.add([("x", "2026-06-05 21:17:00"), ("y", "2026-06-05 21:18:00")])
+    source.add([("z", "2026-06-05 21:29:00")])
+    seen = []
+    stream = St.staleness_stream(source.stream(), "conn", event_time=True)
+    run(stream.select("conn", F.date_format(F.timestamp_micros("last_us"), "HHmm"), "stale"), "update", tmp_path / "c", seen)
+    assert [r for r in seen if r[0] == "x"] == [("x", "2105", False), ("x", "2105", True), ("x", "2117", False), ("x", "2117", True)]
+    assert [r[1:] for r in seen if r[0] == "y"] == [("2105", False), ("2110", False), ("2116", False), ("2118", False), ("2118", True)]
+    assert [r for r in seen if r[0] == "z"] == [("z", "2129", False)]
+
+
+def rows_of(spark, batch_id, day):
+    return spark.createDataFrame([(f"i{batch_id}", f"2026-06-{day:02d} 00:00:00", "p", "f")], "input_id string, t string, path string, filename string").select(
+        "input_id", F.col("t").cast("timestamp_ntz").alias("frame_ts"), "path", "filename", F.to_date(F.col("t")).alias("frame_date")
+    )
+
+
+def test_a_log_of_many_batches_has_few_folders(spark, tmp_path):
+    log = BatchLog(spark, str(tmp_path / "log"), Fr.CATALOG, "frame_date", merge_after=5)
+    pinned = None
+    for batch in range(60):
+        assert log.append(rows_of(spark, batch, 1 + batch // 30), batch)
+        assert not log.append(rows_of(spark, batch, 1), batch), "a batch that runs again is not added"
+        segments = log.manifest()["segments"]
+        folders = list((tmp_path / "log/data").glob("*/segment=*"))
+        assert len(segments) <= 5 and len(folders) <= 2 * (5 + 2) and len(list((tmp_path / "log/manifest").glob("0*"))) <= 5 + 3
+        if batch == 57:
+            pinned = log.manifest()["version"]
+    assert sorted(r.batch_id for r in log.read().collect()) == list(range(60))
+    assert sorted(r.input_id for r in log.read(["2026-06-02"]).collect()) == sorted(f"i{b}" for b in range(30, 60)) and log.read(["2026-07-01"]).count() == 0
+    assert sorted(r.batch_id for r in log.read(version=pinned).collect()) == list(range(58)), "a reader pinned to a version sees that one"
+    again = BatchLog(spark, str(tmp_path / "log"), Fr.CATALOG, "frame_date", merge_after=5)
+    assert not again.append(rows_of(spark, 59, 1), 59) and again.append(rows_of(spark, 60, 2), 60) and again.read().count() == 61
+
+
+def test_listeners_hear_every_output_and_failures_are_kept(spark):
+    def listener(row):
+        if row["id"] % 3 == 0:
+            raise ValueError(f"no {row['id']}")
+
+    got = {r.id: r.error for r in Fr.notified(spark.range(10), listener).collect()}
+    assert got == {k: f"ValueError: no {k}" if k % 3 == 0 else None for k in range(10)}
+
+
 def test_recent_frames_keep_the_boundary(spark):
     df = spark.createDataFrame([("2026-06-05 19:05:00",), ("2026-06-05 19:04:59",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("frame_ts"))
     assert Fr.recent_frames(df, "2026-06-05 21:05:00").count() == 1
