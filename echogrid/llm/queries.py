@@ -9,7 +9,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from echogrid.session import shared_dir
 
 from . import collocations, decontaminate, exact_dedup, lm, near_dedup, pii, quality, quotes, resampling, segment, sharding, token_counts, warc
@@ -194,8 +193,3 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").cast(kind).alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"),
     )
-
-
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

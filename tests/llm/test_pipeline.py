@@ -53,7 +53,7 @@ def test_each_stage_drops_what_its_operator_says(spark, stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     key = lambda df: sorted((r.doc_id, tuple(r.ids)) for r in df.collect())
-    assert key(queries.QUERIES["pipeline"](spark, SF)) == key(stages[5])
+    assert key(corpus_pipeline.run(spark, SF)) == key(stages[5])
 
 
 def test_odd_rows_pass_through_every_stage(spark):
