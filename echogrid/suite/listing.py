@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -267,19 +269,12 @@ def raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     described = frames.withColumn("_h", header).select("k", F.to_json("_h").alias("header"), "_h.xsize", "_h.ysize", "_h.datasets")
     parts = rasters.pack_rasters(shifted, described, ["k"], 8)
+    short_block = F.udf(lambda content: zlib.compress(zlib.decompress(content)[:-8]), "binary")
     broken = (F.col("k") % 5 == 4) & (F.col("dataset") == "dataset2") & (F.col("first_row") == 16)
     cut = parts.where(broken).withColumn("content", short_block(F.col("content")))
     return parts.where(~F.coalesce(broken, F.lit(False))).unionByName(cut)
 
 
-@F.udf("binary")
-def short_block(content: bytes) -> bytes:
-    """A deflated block without its last eight counts."""
-    import zlib
-
-    return zlib.compress(zlib.decompress(content)[:-8])
-
-
 @query(
     "raster_decode",
     f"""{_FILES_OF} SELECT s.k, "row", "col", CASE WHEN s.value IS NULL THEN 255::DOUBLE WHEN s.value = CAST('-Infinity' AS DOUBLE) THEN 0 ELSE (s.value + 32) * 2 END AS raw, {SETTLED}

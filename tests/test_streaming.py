@@ -151,13 +151,14 @@ def test_a_key_that_falls_silent_and_speaks_again(spark, tmp_path):
     source.add([("x", "2026-06-05 21:05:00"), ("x", "2026-06-05 21:04:00"), ("y", "2026-06-05 21:05:00")])
     source.add([("y", "2026-06-05 21:10:00")])
     source.add([("y", "2026-06-05 21:16:00")])
+    source.add([("y", "2026-06-05 21:16:30")])  # by now time has come past what x had
     source.add([("x", "2026-06-05 21:17:00"), ("y", "2026-06-05 21:18:00")])
     source.add([("z", "2026-06-05 21:29:00")])
     seen = []
     stream = St.staleness_stream(source.stream(), "conn", event_time=True)
     run(stream.select("conn", F.date_format(F.timestamp_micros("last_us"), "HHmm"), "stale"), "update", tmp_path / "c", seen)
     assert [r for r in seen if r[0] == "x"] == [("x", "2105", False), ("x", "2105", True), ("x", "2117", False), ("x", "2117", True)]
-    assert [r[1:] for r in seen if r[0] == "y"] == [("2105", False), ("2110", False), ("2116", False), ("2118", False), ("2118", True)]
+    assert [r[1:] for r in seen if r[0] == "y"] == [("2105", False), ("2110", False), ("2116", False), ("2116", False), ("2118", False), ("2118", True)]
     assert [r for r in seen if r[0] == "z"] == [("z", "2129", False)]
 
 
