@@ -275,7 +275,7 @@ def matched_features(
         if not len(chosen):
             return {field.name: np.array([]) for field in found}
         from_r, from_c, start_r, start_c = (column_array(table, name)[chosen].astype(np.int64) for name in ("from_r", "from_c", "start_r", "start_c"))
-        wide = np.array(table.column("patch").take(pa.array(chosen)).to_pylist()).reshape(len(chosen), 2 * half + 3, 2 * half + 3)
+        wide = table.column("patch").combine_chunks().take(pa.array(chosen)).flatten().to_numpy().reshape(len(chosen), 2 * half + 3, 2 * half + 3)
         nxt = _image(window, table, known, 1)
         r, c = from_r - window.top, from_c - window.left
         dr, dc, cost = _search(wide[:, 1:-1, 1:-1], nxt, r, c, start_r, start_c, radius, half)

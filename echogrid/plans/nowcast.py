@@ -69,8 +69,8 @@ def motion_vectors(
 ) -> DataFrame:
     """Cleaned, declustered vectors per issue, from all neighbouring history pairs."""
     check_method(method)
-    settings = issue_settings(history, keys, height, width, (), None, method, 1, 1)
-    return _vectors(_opened(cells, history, settings, keys, tile), settings, keys, tile)
+    frames = _frames(history, issue_settings(history, keys, height, width, (), None, method, 1, 1), keys)
+    return _vectors(_opened(cells, frames, keys, tile), frames, keys, tile)
 
 
 def check_method(method: str) -> None:
@@ -98,25 +98,30 @@ def checked_settings(settings: DataFrame) -> DataFrame:
     return settings.where(good.isNull() & positive.isNull()).withColumn("leads", leads)
 
 
-def _opened(cells: DataFrame, history: DataFrame, settings: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+def _frames(history: DataFrame, settings: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The numbered history frames with their issue's settings: a few rows per issue, used throughout and written once."""
+    return cut_lineage(numbered_history(history, keys).join(checked_settings(settings), list(keys)))
+
+
+def _opened(cells: DataFrame, frames: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
     """Opened history frames, keyed by issue, grid and place in the history.
 
     The grid's size is part of the key, so every tile operator finds it there.
     Read by the ranges, the scores, the tracking and as the newest frame: written
     once to the shared folder.  Issues without motion need their newest frame only.
     """
-    placed = numbered_history(history, keys).join(settings.select(*keys, "height", "width", (F.col("method") == "zero").alias("_still")), list(keys))
-    wanted = placed.where(~F.col("_still") | (F.col("pos") == F.col("last")))
-    rows = attach_by_key(cells, cut_lineage(wanted), [*keys, "frame_ts"], ["row", "col"])
+    wanted = frames.where((F.col("method") != "zero") | (F.col("pos") == F.col("last"))).select(*keys, "frame_ts", "pos", "last", "height", "width")
+    rows = attach_by_key(cells, wanted, [*keys, "frame_ts"], ["row", "col"])
     return cut_lineage(N.open_frames(rows, [*keys, "height", "width", "pos", "last"], F.col("height"), F.col("width"), tile))
 
 
-def _vectors(opened: DataFrame, settings: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+def _vectors(opened: DataFrame, frames: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
     grid = [*keys, "height", "width"]
     frame, size = [*grid, "pos", "last"], (F.col("height"), F.col("width"))
     refined = [name for name, refine in M.MOTION_METHODS.items() if refine]
-    tracked = settings.where(F.col("method") != "zero").select(*grid, F.col("method").isin(*refined).alias("_refine"))
-    ranges = N.level_range(opened, frame).join(tracked, grid)
+    tracked = frames.where(F.col("method") != "zero").select(*frame, F.col("method").isin(*refined).alias("_refine"))
+    # A row per frame that five steps read: written once, or each would aggregate the frames again.
+    ranges = cut_lineage(N.level_range(opened, frame).join(tracked, frame))
     scores = N.frame_corners(opened.where(F.col("pos") < F.col("last")), ranges, frame, *size, tile=tile, candidates=True)
     features = N.select_features(scores, frame, *size)
     vectors = M.track_frames(opened, ranges, features, grid, *size, F.col("_refine"), tile=tile).select(*keys, "x", "y", "u", "v")
@@ -152,11 +157,11 @@ def nowcast_all(cells: DataFrame, history: DataFrame, settings: DataFrame, keys:
     has no echo, is missing.  Velocities are per minute, so issues with different
     grids, frame spacings and lead lists share one plan.
     """
-    # A few rows per issue, used throughout: written once.
-    own = cut_lineage(checked_settings(settings))
-    steps = cut_lineage(history_steps(history.join(own.select(*keys), list(keys), "left_semi"), keys))
-    opened = _opened(cells, history, own, keys, tile)
-    vectors = _vectors(opened, own, keys, tile)
+    frames = _frames(history, settings, keys)
+    steps = history_steps(frames, keys)
+    own = frames.where(F.col("pos") == F.col("last")).drop("frame_ts", "pos", "last")
+    opened = _opened(cells, frames, keys, tile)
+    vectors = _vectors(opened, frames, keys, tile)
     # A few hundred rows per issue, read by the halo and by the velocities.
     per_minute = cut_lineage(
         vectors.join(steps.select(*keys, "dt_min"), list(keys)).select(

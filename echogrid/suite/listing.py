@@ -11,6 +11,7 @@ from .. import registry
 from ..functions import names
 from ..sources import bundles, chunks, discovery, links, listing, rasters
 from ..operators import cells as C
+from ..session import cut_lineage
 from . import query
 from .raster import FRAME
 from .views import CELLS, FILES, GRID, NOTES, OBS, SCAN, SETTLED, files, notifications, obs, scan, settled, table
@@ -268,11 +269,11 @@ def raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(11.2669).alias("UL_lon"), F.lit(51.4584).alias("UL_lat"), F.lit("deflate").alias("packing"), F.array(dataset("dataset1", "PPI"), dataset("dataset2", "MAX")).alias("datasets"),
     )
     described = frames.withColumn("_h", header).select("k", F.to_json("_h").alias("header"), "_h.xsize", "_h.ysize", "_h.datasets")
-    parts = rasters.pack_rasters(shifted, described, ["k"], 8)
-    short_block = F.udf(lambda content: zlib.compress(zlib.decompress(content)[:-8]), "binary")
-    broken = (F.col("k") % 5 == 4) & (F.col("dataset") == "dataset2") & (F.col("first_row") == 16)
-    cut = parts.where(broken).withColumn("content", short_block(F.col("content")))
-    return parts.where(~F.coalesce(broken, F.lit(False))).unionByName(cut)
+    # written once, as files are
+    parts = cut_lineage(rasters.pack_rasters(shifted, described, ["k"], 8))
+    short_block = F.udf(lambda content, cut: zlib.compress(zlib.decompress(content)[:-8]) if cut else content, "binary")
+    broken = F.coalesce((F.col("k") % 5 == 4) & (F.col("dataset") == "dataset2") & (F.col("first_row") == 16), F.lit(False))
+    return parts.withColumn("content", short_block("content", broken))
 
 
 @query(

@@ -32,7 +32,7 @@ def test_hot_key_is_spread_over_salts(spark):
 
 
 # Queries that write and read a store or a stream, or settle an intermediate, before their result.
-EAGER = {"nowcast", "nowcast_persistence", "forecast_store", "stored_minutes", "overlay_tiles", "sidecar_documents", "product_registry", "extrapolate_vectors", "track_features", "block_match", "vector_outliers"}
+EAGER = {"nowcast", "nowcast_grids", "extrapolate_packed", "raster_decode", "raster_frames", "batch_isolation", "output_notices", "nowcast_persistence", "forecast_store", "stored_minutes", "overlay_tiles", "sidecar_documents", "product_registry", "extrapolate_vectors", "track_features", "block_match", "vector_outliers"}
 
 
 @pytest.mark.parametrize("name", sorted(set(suite.QUERIES) - EAGER))
