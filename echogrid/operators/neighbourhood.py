@@ -71,12 +71,12 @@ def morph_open(filled: DataFrame, keys: Sequence[str], height, width, tile: int
     return map_tiles(tiled, keys, tile, fn, fields)
 
 
-def open_frames(cells: DataFrame, keys: Sequence[str], height, width, tile: int = DEFAULT_TILE) -> DataFrame:
+def open_frames(cells: DataFrame, keys: Sequence[str], height, width, tile: int = DEFAULT_TILE, raw: bool = False) -> DataFrame:
     """Fill missing cells with the frame minimum and remove isolated echoes, in one shuffle.
 
     Same rows as ``morph_open(fill_missing(cells))`` without the join of the
-    minimum onto the cells: ``(keys, row, col, value, valid)``, and the value as
-    it was in ``raw``.  Height and width may be columns among the keys.
+    minimum onto the cells: ``(keys, row, col, value, valid)``, with ``raw`` also
+    the value as it was.  Height and width may be columns among the keys.
     """
     echo = F.when(V.is_echo(F.col("value")), F.col("value"))
     floor = cells.groupBy(*keys).agg(F.min(echo).alias("low")).where(F.col("low").isNotNull())
@@ -91,7 +91,7 @@ def open_frames(cells: DataFrame, keys: Sequence[str], height, width, tile: int
         return {"row": row[own], "col": col[own], "value": np.where(gone, known["low"], filled)[own], "valid": valid[own], "raw": value[own]}
 
     tiled = with_halo(cells.select(*keys, "row", "col", "value"), tile, 2, height, width)
-    fields = [int_field("row"), int_field("col"), double_field("value"), bool_field("valid"), double_field("raw")]
+    fields = [int_field("row"), int_field("col"), double_field("value"), bool_field("valid"), *([double_field("raw")] if raw else [])]
     return map_tiles_with(tiled, floor, keys, tile, fn, fields, height, width, 2)
 
 

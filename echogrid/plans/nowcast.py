@@ -112,7 +112,7 @@ def _opened(cells: DataFrame, frames: DataFrame, keys: Sequence[str], tile: int)
     """
     wanted = frames.where((F.col("method") != "zero") | (F.col("pos") == F.col("last"))).select(*keys, "frame_ts", "pos", "last", "height", "width")
     rows = attach_by_key(cells, wanted, [*keys, "frame_ts"], ["row", "col"])
-    return cut_lineage(N.open_frames(rows, [*keys, "height", "width", "pos", "last"], F.col("height"), F.col("width"), tile))
+    return cut_lineage(N.open_frames(rows, [*keys, "height", "width", "pos", "last"], F.col("height"), F.col("width"), tile, raw=True))
 
 
 def _vectors(opened: DataFrame, frames: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
