@@ -6,9 +6,12 @@ under ANSI mode and the session time zone never shifts a value.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .nested import parsed
+
 _DIGITS = r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$"
 
 
@@ -142,8 +145,17 @@ def topic_parts(topic: Column) -> Column:
 
 
 def is_json_object(payload: Column) -> Column:
-    """True where the text parses as JSON and its top level is an object."""
-    return F.json_object_keys(payload).isNotNull()
+    """True where the whole text parses as JSON, to any depth, and its top level is an object.
+
+    Only texts that begin as an object are parsed.
+    """
+
+    @F.pandas_udf("boolean")
+    def is_object(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: text is not None and isinstance(parsed(text), dict)).astype(bool)
+
+    begins = F.startswith(F.ltrim(payload, F.lit(" \t\n\r")), F.lit("{"))
+    return is_object(F.when(begins, payload))
 
 
 # Content types by file suffix.

@@ -60,6 +60,13 @@ def test_topics_and_payloads(spark):
     assert [r[0] for r in texts(spark, ['{"a":1}', "[1]", "nope", "3", "{}"], names.is_json_object(F.col("s")))] == [True, False, False, False, True]
 
 
+def test_objects_at_any_depth_are_objects(spark):
+    deep = '{"a":[' * 20_000 + "]}" * 20_000
+    given = [deep, "[" + deep + "]", deep + "x", deep[:-1], '{"a":NaN}', '{"a":1} x', ' \n{"a":"}"}\t', "\u00a0{}", "", None]
+    got = texts(spark, given, names.is_json_object(F.col("s")))
+    assert [r[0] for r in got] == [True, False, False, False, True, False, True, False, False, False]
+
+
 def test_keys_types_and_delays(spark):
     got = texts(spark, ["a/b.png", "c.json", "d.bin"], names.object_key(F.lit("/maps/"), F.col("s")), names.object_key(F.lit(""), F.col("s")), names.content_type(F.col("s")))
     assert got == [("maps/a/b.png", "a/b.png", "image/png"), ("maps/c.json", "c.json", "application/json"), ("maps/d.bin", "d.bin", "application/octet-stream")]
