@@ -235,6 +235,24 @@ def test_the_stack_parser_reads_what_the_library_reads(text):
         assert repr(links.parse_deep(text)) == repr(want)
 
 
+def test_deep_texts_are_parsed_in_pieces(monkeypatch):
+    from echogrid.functions import nested as whole
+
+    monkeypatch.setattr(whole, "LEVELS", 2)
+    for text in ('[[[[NaN]],{"a":[["N\\"]"]]}]]', '[{"a":[-Infinity,[NaN,[]]],"a":[[1e400]]}]', " [[[ ]]] ", "NaN", '{"[":{"\\\\":{"é":[]}}}'):
+        assert repr(whole.parse_deep(text)) == repr(json.loads(text))
+    for text in ("[[[]]", "[[[}]]", "[[]]]", "NNN", "[[NaNaN]]", '[["]]', "[[[]]]x", "", "[[[1 [2]]]]"):
+        with pytest.raises(ValueError):
+            whole.parse_deep(text)
+
+
+def test_announcements_are_spread_before_they_are_parsed(spark):
+    from echogrid.suite.views import notifications
+
+    text = notifications(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(event_id" in text and text.index("payload") < text.index("Exchange")
+
+
 def test_links_a_hundred_thousand_deep(spark):
     payloads = [(d, '{"coverages":[' * d + f'{{"links":[{link("a")}]}}' + "]}" * d) for d in (0, 900, 3000, 20_000, 100_000)]
     payloads += [(-1, "[" * 50_000), (-2, '{"links":[' + '{"type":"application/x-odim","href":"https://h/t","title":' + "[" * 50_000 + "]" * 50_000 + "}]}"), (-3, '{"links":[{"type":"application\\/x\\u002dodim","href":"https://h/e"}]}')]
