@@ -127,6 +127,20 @@ def held_out(id_column: Column, folds: int = 5) -> Column:
     return F.crc32(F.encode(F.coalesce(id_column.cast("string"), F.lit("")), "UTF-8")) % folds == 0
 
 
+def sampled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, sample: int) -> DataFrame:
+    """(id, digest, label, body) of the rows training sees.
+
+    Ids choose ids and digests choose rows: no text is shuffled but the chosen ones.
+    """
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    ids = texts.select("id").join(known.hint("merge"), "id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    keyed = texts.join(F.broadcast(ids), "id").withColumn("digest", F.unhex(F.md5(F.coalesce("body", F.lit("")))))
+    chosen = keyed.select("id", "digest").distinct().orderBy(F.xxhash64("id"), "id", "digest").limit(sample)
+    return keyed.join(F.broadcast(chosen), ["id", "digest"]).groupBy("id", "digest", "label").agg(F.first("body").alias("body"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Train on at most ``sample`` labelled rows that are not held out, chosen by a hash of their ids.
 
@@ -135,13 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     rows that repeat id and text are one.  Only the sampled rows' sparse features
     meet in one task, and only the model, whose size is fixed, reaches the driver.
     """
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    digest = F.unhex(F.md5(F.coalesce("body", F.lit(""))))
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(known, "id")
-    chosen = labelled.select("id", digest.alias("digest")).distinct().orderBy(F.xxhash64("id"), "id", "digest").limit(sample)
-    keyed = labelled.withColumn("digest", digest)
-    rows = keyed.join(F.broadcast(chosen), ["id", "digest"]).groupBy("id", "digest", "label").agg(F.first("body").alias("body"))
+    rows = sampled(docs, labels, label_col, id_col, text_col, sample)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text.slices(batches, "body", 1 << 20):

@@ -140,3 +140,14 @@ def test_training_is_repeatable(spark, judged):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet").repartition(5), spark.read.parquet(f"{SF}/labels.parquet")
     again = quality.fit(docs, labels)
     assert np.array_equal(again.vectors, judged[1].vectors)
+
+
+def test_no_text_is_shuffled_to_choose_the_sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = quality.sampled(docs, labels, "quality", "doc_id", "text", 20)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    blocks = rows._jdf.queryExecution().explainString(mode).split("\n\n")
+    moved = [block for block in blocks if ") Exchange" in block]
+    assert moved and not any("body#" in block or "text#" in block for block in moved)
+    assert rows.count() == 20
