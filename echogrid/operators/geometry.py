@@ -2,7 +2,9 @@
 
 A vertex table has (feature, ring, seq, lon, lat) with ``seq`` counted from 0 in
 each ring.  Neighbouring vertices meet by an equi-join on ``seq``, so a ring of
-any length is spread over tasks.
+any length is spread over tasks.  Vertices, rings and features grow with the
+input and the planner cannot tell how many come out of a generator, so every
+join here shuffles both sides and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ BEARINGS = 64
 def ring_edges(vertices: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """Each vertex with the next one of its ring (the last meets the first)."""
     sizes = vertices.groupBy(*RING).agg((F.max("seq") + 1).alias("_n"))
-    sized = attach_by_key(vertices, sizes, RING, ["seq"])
+    sized = attach_by_key(vertices, sizes, RING, ["seq"], few_keys=False)
     following = sized.withColumn("_at", F.pmod(F.col("seq") - 1 + F.col("_n"), F.col("_n")).cast("int")).select(
         *RING, F.col("_at").alias("seq"), F.col(x).alias("next_x"), F.col(y).alias("next_y")
     )
     here = vertices.select(*RING, F.col("seq").cast("int").alias("seq"), F.col(x).alias("x"), F.col(y).alias("y"))
-    return here.join(following, [*RING, "seq"])
+    return here.hint("merge").join(following, [*RING, "seq"])
 
 
 def _cross() -> Column:
@@ -50,7 +52,7 @@ def feature_centres(vertices: DataFrame) -> DataFrame:
 
 def ring_areas(vertices: DataFrame, centres: DataFrame) -> DataFrame:
     """Projected area of each ring, in an equal-area plane about its feature's centre."""
-    placed = attach_by_key(vertices, centres, ["feature"], ["ring", "seq"])
+    placed = attach_by_key(vertices, centres, ["feature"], ["ring", "seq"], few_keys=False)
     projected = laea_forward_at(placed, F.col("lon"), F.col("lat"), F.col("lon0"), F.col("lat0"), ("px", "py"))
     return ring_edges(projected, "px", "py").groupBy(*RING).agg((F.abs(F.sum(_cross())) / 2).alias("area"))
 
@@ -69,8 +71,8 @@ def buffered_bounds(vertices: DataFrame, buffer_km: float, bearings: int = BEARI
     extent bounds the buffered polygon up to the bearing step.
     """
     centres = feature_centres(vertices)
-    largest = largest_rings(ring_areas(vertices, centres)).join(centres, "feature").drop("area")
-    chosen = attach_by_key(vertices, largest, RING, ["seq"])
+    largest = largest_rings(ring_areas(vertices, centres)).join(centres.hint("merge"), "feature").drop("area")
+    chosen = attach_by_key(vertices, largest, RING, ["seq"], few_keys=False)
     placed = laea_forward_at(chosen, F.col("lon"), F.col("lat"), F.col("lon0"), F.col("lat0"), ("px", "py"))
     placed = placed.select("feature", "lon0", "lat0", "px", "py")
     turned = placed.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(bearings - 1))))

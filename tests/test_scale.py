@@ -68,6 +68,11 @@ def test_scans_read_only_what_is_used(spark):
     assert "l_extendedprice" not in schema and "l_orderkey" not in schema
 
 
+@pytest.mark.parametrize("name", ["largest_polygon", "buffered_bounds"])
+def test_vertices_are_never_broadcast(spark, name):
+    assert "Broadcast" not in plan(entry.queries()[name](spark, SF))
+
+
 def test_ranks_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(entry.queries()["history_frames"](spark, SF))
 
