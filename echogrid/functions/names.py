@@ -38,8 +38,8 @@ def dated_name_timestamp(text: Column) -> Column:
 
 def bundle_timestamp(text: Column) -> Column:
     """``yyyyMMdd.HHmm`` of a forecast bundle name."""
-    pattern = r"(\d{8})\.(\d{4})"
-    return _from_digits(F.concat(F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2), F.lit("00")))
+    stamp = F.regexp_extract(text, r"\d{8}\.\d{4}", 0)
+    return _from_digits(F.concat(F.replace(stamp, F.lit("."), F.lit("")), F.lit("00")))
 
 
 # Timestamp parsers an input may name in its ``ts_pattern`` column.
@@ -75,13 +75,19 @@ def forecast_base_name(prefix: Column, issue_ts: Column, minute: Column) -> Colu
     return F.concat(base_name(prefix, issue_ts), F.lit("_fct"), minute.cast("string"))
 
 
+def overlay_stem(ts: Column, offset: Column | None = None) -> Column:
+    """What the overlay names of all variants begin with, with a two-digit offset for forecasts."""
+    stamp = F.concat(F.lit("radar_"), F.date_format(ts, "yyyyMMdd_HHmm"))
+    return stamp if offset is None else F.concat(stamp, F.format_string("_forecast_fct%02d", offset))
+
+
+def overlay_ending(variant: Column) -> Column:
+    return F.concat(F.lit("_"), variant, F.lit(".png"))
+
+
 def overlay_name(ts: Column, variant: Column, offset: Column | None = None) -> Column:
     """Single-product overlay name, with a two-digit offset for forecasts."""
-    stamp = F.date_format(ts, "yyyyMMdd_HHmm")
-    if offset is None:
-        return F.concat(F.lit("radar_"), stamp, F.lit("_"), variant, F.lit(".png"))
-    lead = F.format_string("_forecast_fct%02d_", offset)
-    return F.concat(F.lit("radar_"), stamp, lead, variant, F.lit(".png"))
+    return F.concat(overlay_stem(ts, offset), overlay_ending(variant))
 
 
 # Base-name builders a product may name; each maps (prefix, timestamp) to text.

@@ -366,6 +366,7 @@ def bundle_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bundle_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Members of bundles, each once with the key that tells it apart and its number of lines, and the names of written overlays, repeats included."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
     start = F.timestamp_add("MINUTE", (F.col("o_orderkey") % 1440).cast("int"), F.date_trunc("day", "o_orderdate").cast("timestamp_ntz"))
@@ -373,12 +374,10 @@ def bundle_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     base = orders.join(lines, "o_orderkey").select("o_orderkey", start.alias("bts"), offset.alias("off"), (F.col("l_quantity") >= 10).alias("labelled"))
     member_ts = F.timestamp_add("MINUTE", F.col("off"), F.col("bts"))
     label = F.when(F.col("labelled"), F.concat(F.lit("_ft"), F.abs("off").cast("string"))).otherwise("")
-    members = base.select(
-        "o_orderkey",
+    members = base.groupBy(*base.columns).agg(F.count("*").alias("lines")).select(
+        "*",
         F.concat(F.lit("T_PABV23_C_OKPR_"), F.date_format("bts", "yyyyMMdd.HHmm"), F.lit(".ft60s10.tar")).alias("bundle"),
         F.concat(F.lit("T_PABV23_C_OKPR_"), F.date_format(member_ts, "yyyyMMddHHmmss"), label, F.lit(".hdf")).alias("member"),
-    ).distinct()
-    written = base.where("off >= 0").withColumn(
-        "variant", F.explode(F.filter(F.array(F.when(F.col("o_orderkey") % 3 == 0, "overlay"), F.when(F.col("o_orderkey") % 2 == 0, "overlay2x")), lambda v: v.isNotNull()))
     )
-    return members, written.select(names.overlay_name(F.col("bts"), F.col("variant"), F.col("off")).alias("name")).distinct()
+    written = [F.when(F.col("o_orderkey") % every == 0, names.overlay_name(F.col("bts"), F.lit(variant), F.col("off"))) for variant, every in (("overlay", 3), ("overlay2x", 2))]
+    return members, base.where("off >= 0").select(F.explode(F.array(*written)).alias("name")).where(F.col("name").isNotNull())

@@ -298,6 +298,22 @@ def test_bundle_members(spark):
     assert [r.member for r in bundles.bundle_backlog(df, done).collect()] == [members[0]]
 
 
+def test_backlog_needs_every_variant_of_the_very_name(spark):
+    bundle = "T_PABV23_C_OKPR_20250928.2225.ft60s10.tar"
+    members = [f"T_202509282{m}00_ft{n}.hdf" for m, n in (("235", "10"), ("245", "20"), ("255", "30"), ("305", "40"))]
+    df = spark.createDataFrame([(k, bundle, m) for m in members for k in (1, 1, 2)], "k int, bundle string, member string")
+    done = [f"radar_20250928_2225_forecast_fct{n}_{v}.png" for n, v in ((10, "overlay"), (10, "overlay2x"), (20, "overlay"), (20, "overlay"), (30, "a_overlay"), (30, "overlay2x"), (40, "overlay2x"))]
+    written = spark.createDataFrame([(n,) for n in [*done, "old/" + done[0][:-11] + "overlay.png", "radar_20250928_2225_forecast_fct40_overlay.PNG", "_overlay.png", "", None]], "name string")
+    got = bundles.bundle_backlog(df, written)
+    assert sorted((r.k, r.member) for r in got.collect()) == [(k, m) for k in (1, 2) for m in members[1:]], "equal members once, none for each variant"
+    assert got.columns == ["k", "bundle", "member", "bundle_ts", "member_ts", "label", "offset_min"]
+
+
+def test_names_with_broken_times_give_no_member(spark):
+    rows = [("b_20251328.2225.tar", "m_20250928223500_ft10.hdf"), ("b_20250928.2225.tar", "m_20250928226100_ft10.hdf"), ("b_2025.tar", "m_2025_ft10.hdf"), ("", ""), (None, None), ("b_20250928.2225.tar", "m_20250928223500_ft99999999999.hdf")]
+    assert bundles.bundle_members(spark.createDataFrame(rows, "bundle string, member string")).collect() == []
+
+
 def test_discovery_skips_disabled_inputs_and_limits_each(spark, inputs):
     rows = [("a", f"2026-06-05 21:{m:02d}:00", f"u{m}", f"f{m}", {}) for m in (0, 5, 10)] + [("b", "2026-06-05 21:00:00", "v", "g", {})]
     remote = frame(spark, rows, "input_id string, frame_ts string, url string, filename string, metadata map<string,string>", "frame_ts")

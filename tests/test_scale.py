@@ -73,6 +73,13 @@ def test_vertices_are_never_broadcast(spark, name):
     assert "Broadcast" not in plan(entry.queries()[name](spark, SF))
 
 
+def test_bundle_names_are_read_once_and_not_shuffled(spark):
+    text = plan(entry.queries()["bundle_backlog"](spark, SF))
+    assert text.count("_ft(") == 1 and text.count("d{8}") == 2, "conditions on what was read are not moved before the reading"
+    moved = [line for line in text.splitlines() if "Exchange" in line] + [line.split("functions=")[0] for line in text.splitlines() if "Aggregate(" in line]
+    assert all("bundle#" not in line and "member#" not in line for line in moved), "members are told apart by their keys"
+
+
 def test_ranks_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(entry.queries()["history_frames"](spark, SF))
 
